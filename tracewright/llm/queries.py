@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
+from . import language, mixing, sharding
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; labels of the held-out quarter are never seen."""
+    found = language.classify(_documents(spark, sf_dir).select("doc_id", "text", "lang"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "margin", "rejected")
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all sources takes from each document."""
     plan = mixing.plan_copies(_documents(spark, sf_dir))
@@ -26,6 +32,7 @@ def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_language_id": op3_language_id,
     "op5_mix_sources": op5_mix_sources,
     "op8_shard": op8_shard,
 }
