@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, sharding
+from . import language, mixing, packing, sharding, tokenfile
+from .tokens import public_path
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,10 +32,23 @@ def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_documents(spark, sf_dir), shards=24)
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token ids in seekable files, read back from them."""
+    folder, files = tokenfile.write_token_files(_documents(spark, sf_dir), public_path("byte_bpe_50k.json"))
+    return tokenfile.read_token_files(spark, folder, files)
+
+
+def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    return packing.pack(_documents(spark, sf_dir), public_path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op5_mix_sources": op5_mix_sources,
     "op8_shard": op8_shard,
+    "op9_token_files": op9_token_files,
+    "op10_pack": op10_pack,
 }
 
 _OP5_SQL = r"""
