@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, packing, sharding, tokenfile
+from . import language, mixing, packing, sharding, simhash, tokenfile
 from .tokens import public_path
 
 
@@ -27,6 +27,12 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and the components that four differing bits connect."""
+    found = simhash.near_components(_documents(spark, sf_dir), shingle=4, radius=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards by the law ``key``."""
     return sharding.shard_documents(_documents(spark, sf_dir), shards=24)
@@ -46,6 +52,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op5_mix_sources": op5_mix_sources,
+    "op7_near_dedup": op7_near_dedup,
     "op8_shard": op8_shard,
     "op9_token_files": op9_token_files,
     "op10_pack": op10_pack,
