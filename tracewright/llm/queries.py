@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, packing, sharding, simhash, tokenfile
+from . import language, mixing, packing, sharding, simhash, spans, tokenfile
 from .tokens import public_path
 
 
@@ -15,6 +15,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the sentences of passages that came before."""
+    cleaned = spans.remove_repeats(_documents(spark, sf_dir).select("doc_id", "text"))
+    return cleaned.select("doc_id", "text", "n_sentences", "n_removed")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document; labels of the held-out quarter are never seen."""
     found = language.classify(_documents(spark, sf_dir).select("doc_id", "text", "lang"))
@@ -50,6 +56,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op3_language_id": op3_language_id,
     "op5_mix_sources": op5_mix_sources,
     "op7_near_dedup": op7_near_dedup,
