@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, packing, sharding, simhash, spans, tokenfile
+from . import fingerprints, language, mixing, packing, sharding, simhash, spans, tokenfile
 from .tokens import public_path
 
 
@@ -33,6 +33,11 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return fingerprints.fingerprint_edits(_documents(spark, sf_dir))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and the components that four differing bits connect."""
     found = simhash.near_components(_documents(spark, sf_dir), shingle=4, radius=4)
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_language_id": op3_language_id,
     "op5_mix_sources": op5_mix_sources,
+    "op6_fingerprints": op6_fingerprints,
     "op7_near_dedup": op7_near_dedup,
     "op8_shard": op8_shard,
     "op9_token_files": op9_token_files,
