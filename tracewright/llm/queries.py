@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language, mixing, packing, sharding, simhash, spans, tokenfile
+from . import fingerprints, language, mixing, nearest, packing, sharding, simhash, spans, tokenfile
 from .tokens import public_path
 
 
@@ -27,6 +27,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "margin", "rejected")
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth one."""
+    return nearest.neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all sources takes from each document."""
     plan = mixing.plan_copies(_documents(spark, sf_dir))
@@ -63,6 +68,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_language_id": op3_language_id,
+    "op4_neighbours": op4_neighbours,
     "op5_mix_sources": op5_mix_sources,
     "op6_fingerprints": op6_fingerprints,
     "op7_near_dedup": op7_near_dedup,
