@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language, mixing, nearest, packing, sharding, simhash, spans, tokenfile
+from . import fingerprints, language, mixing, nearest, ngram, packing, sharding, simhash, spans, tokenfile
 from .tokens import public_path
 
 
@@ -21,6 +21,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "text", "n_sentences", "n_removed")
 
 
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a trigram trie of nine tenths of them."""
+    return ngram.learn_and_score(_documents(spark, sf_dir), order=3)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document; labels of the held-out quarter are never seen."""
     found = language.classify(_documents(spark, sf_dir).select("doc_id", "text", "lang"))
@@ -67,6 +72,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_lm_scores": op2_lm_scores,
     "op3_language_id": op3_language_id,
     "op4_neighbours": op4_neighbours,
     "op5_mix_sources": op5_mix_sources,
