@@ -1,0 +1,6 @@
+"""Registered queries over the star schema's stand-ins."""
+
+from . import corpus_queries, text_queries
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "corpus_queries", "text_queries"]
