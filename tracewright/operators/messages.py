@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fold_words, collapse
+from ..functions.text import collapse, fold_words
 
 #: Label of tokens that no loss is taken on (fixed value).
 IGNORED = -100
@@ -116,7 +116,7 @@ def reward_evidence(names: Column, evidence: Column) -> Column:
 def match_context(name: Column, text: Column, around: int = 100) -> Column:
     """The text around the first match with the match marked, ellipses where it is cut; null if the name is empty or not there."""
     low, needle = F.lower(text), F.lower(F.trim(name))
-    at = F.locate_in(low, needle) if hasattr(F, "locate_in") else F.instr(low, needle)
+    at = F.instr(low, needle)
     begin, size = F.greatest(F.lit(1), at - around), F.length(needle)
     left = F.concat(F.when(begin > 1, "...").otherwise(""), F.substring(text, begin, at - begin))
     end = at + size
@@ -129,7 +129,7 @@ def menu_reach(strings: Column, scrapes: Column) -> Column:
 
     Each string's end is the least over scrapes of where its first occurrence ends; deepest is the greatest of them.
     """
-    ends = F.transform(strings, lambda s: F.array_min(F.filter(F.transform(scrapes, lambda d: F.when(F.contains(F.lower(d), F.lower(s)), F.length(F.substring_index(F.lower(d), F.lower(s), 1)) + F.length(s))), lambda e: e.isNotNull())))
+    ends = F.transform(strings, lambda s: F.array_min(F.filter(F.transform(scrapes, lambda d: F.when(F.contains(F.lower(d), F.lower(s)), F.instr(F.lower(d), F.lower(s)) - 1 + F.length(s))), lambda e: e.isNotNull())))
     hit = F.filter(ends, lambda e: e.isNotNull())
     return F.when(F.size(strings) > 0, F.struct(F.array_max(hit).alias("deepest"), (F.size(hit) / F.size(strings)).alias("match_rate")))
 

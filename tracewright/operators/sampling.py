@@ -71,7 +71,7 @@ def allocate(counts: DataFrame, key: str, total: int) -> DataFrame:
     every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     df = counts.select(key, "c").withColumn("_pool", F.sum("c").over(every))
     total_c = F.least(F.lit(total).cast("long"), F.col("_pool"))
-    df = df.withColumn("_floor", F.floor(total_c * F.col("c") / F.col("_pool")) if False else F.expr(f"(least({total}L, _pool) * c) div _pool"))
+    df = df.withColumn("_floor", F.expr(f"(least({total}L, _pool) * c) div _pool"))
     df = df.withColumn("_rest", F.expr(f"(least({total}L, _pool) * c) % _pool")).withColumn("_left", total_c - F.sum("_floor").over(every))
     nth = F.row_number().over(Window.orderBy(F.col("_rest").desc(), F.col("c").desc(), F.col(key).desc()))
     return df.withColumn("_nth", nth).select(key, "c", (F.col("_floor") + (F.col("_nth") <= F.col("_left")).cast("long")).alias("quota"))
