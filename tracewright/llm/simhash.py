@@ -120,7 +120,7 @@ def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _links_of_run(fp: np.ndarray, node: np.ndarray, radius: int, dense: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what is connected within a bucket: all close pairs of small buckets, else a forest of them."""
+    """Links that connect what is connected within a bucket: all close pairs of up to ``dense`` members, else a forest."""
     k = len(fp)
     if k <= dense:
         a, b = np.triu_indices(k, 1)
@@ -142,13 +142,6 @@ def _links_of_run(fp: np.ndarray, node: np.ndarray, radius: int, dense: int) ->
             left = left[~close]
         if not len(left):
             break
-    if dense > 1:  # and each with those next to it by fingerprint, for a check that may drop links of the forest
-        order = np.argsort(fp, kind="stable")
-        for d in range(1, dense // 2):
-            a, b = order[:-d], order[d:]
-            close = _differ(fp[a], fp[b]) <= radius
-            ends[0].append(node[a[close]])
-            ends[1].append(node[b[close]])
     if not ends[0]:
         return node[:0], node[:0]
     return np.concatenate(ends[0]), np.concatenate(ends[1])
@@ -288,7 +281,7 @@ def keep_one_of_each(docs: DataFrame, *, shingle: int = 5, similarity: float = 0
     table = written(fingerprint_table(docs, word_and_shingle_fingerprints(shingle), names), "prints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id")))
     nodes = written(table.groupBy("node").agg(first.alias("first"), *[F.first(c).alias(c) for c in names]), "nodes")
-    links = covering_links(nodes.select("fp", "node"), radius, dense=32)
+    links = covering_links(nodes.select("fp", "node"), radius, dense=8)
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     most = int(256 * p + slack * math.sqrt(256 * p * (1 - p)))
     sides = [nodes.select(F.col("node").alias(s), *[F.col(c).alias(f"{s}{c}") for c in names[1:]]) for s in ("a", "b")]
