@@ -17,7 +17,11 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of this machine's where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of this machine's where it is unset.
+
+    Whatever asks for it is about to run Python workers, so their batches are made small.
+    """
+    small_batches(spark)
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
@@ -46,6 +50,12 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """From now on this session sends Python workers at most so many rows at a time; texts of a batch are in memory thrice."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def put_bytes(uri: str, chunks) -> int:
     """Write chunks to a file that appears whole or not at all; a task that runs again replaces it by the same bytes."""
     fs, path = filesystem(uri)

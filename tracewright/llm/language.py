@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_crc
+from .common import id_crc, small_batches
 
 UNKNOWN = "und"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -32,9 +32,12 @@ def learn(docs: DataFrame, *, dict_docs: int = 400, piece_chars: int = 8192, dic
     letter teach nothing. The sample is thinned by each label's count before any ranking, so a hot label costs no more.
     """
     rows = docs.select("lang", "text", F.xxhash64("doc_id", F.lit("lang")).alias("h")).where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = docs.where("lang IS NOT NULL").groupBy(F.col("lang").alias("_lang")).count()
+    counts = dict(docs.where("lang IS NOT NULL").groupBy("lang").count().collect())  # labels are few, as are dictionaries
+    if not counts:
+        return {}
+    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, 2.0 * dict_docs / n)]), F.col("lang"))
     u = F.shiftrightunsigned(F.col("h"), 11).cast("double") * F.lit(2.0**-53)
-    rows = rows.join(counts, F.col("lang") == F.col("_lang")).where(u < F.lit(2.0 * dict_docs) / F.col("count"))
+    rows = rows.where(u < share)
     rows = rows.select("lang", "h", F.substring("text", 1, piece_chars).alias("piece"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "piece"))
     sample = rows.withColumn("nth", nth).where(F.col("nth") <= dict_docs).orderBy("lang", "nth").toPandas()
@@ -93,6 +96,7 @@ def classify(docs: DataFrame, *, min_margin: float = 0.002, **sample) -> DataFra
     Score: 1 over the sum over languages of 2 to the minus excess bytes. Repeated rows get equal results.
     Columns of ``docs`` with these names are replaced.
     """
+    small_batches(docs.sparkSession)
     predict = predictor(learn(docs.where(~held_out(F.col("doc_id"))), **sample))
     out = docs.withColumn("_p", predict(F.col("text"))).withColumn("held_out", held_out(F.col("doc_id")))
     out = out.withColumns({c: F.col(f"_p.{c}") for c in ("lang_pred", "score", "margin")}).drop("_p")
