@@ -1,14 +1,15 @@
 """Substring dedup: sliding spans of consecutive sentences, of which only the first in the corpus stays."""
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import small_batches
 
 #: A sentence here is as short as content alone can cut it, so that a passage set into other text still has sentences of
 #: its own: it ends after . ! ? , ; : or a word ending in s, and at line ends.
@@ -126,6 +127,26 @@ def repeated_spans(docs: DataFrame, *, run: int = 3, words: int = 15) -> DataFra
     return rows.mapInArrow(pick, _MARKS)
 
 
+def _without(text: str | None, lo: np.ndarray, hi: np.ndarray) -> tuple[str | None, int, int]:
+    """A text without the sentences of the spans, how many sentences it has, and how many went."""
+    if text is None:
+        return None, 0, 0
+    if not len(lo):
+        return text, sum(1 for s in _CUT.split(_folded(text)) if s), 0
+    where = sentences(text)
+    gone = np.zeros(len(where) + 1, np.int64)
+    np.add.at(gone, lo, 1)
+    np.add.at(gone, hi, -1)
+    gone = np.cumsum(gone)[:-1] > 0
+    kept, at = [], 0
+    for (_, end), drop in zip(where, gone.tolist()):
+        if not drop:
+            kept.append(text[at:end])
+        at = end
+    kept.append(text[at:])
+    return "".join(kept).strip(), len(where), int(gone.sum())
+
+
 def remove_repeats(docs: DataFrame, *, run: int = 3, words: int = 15) -> DataFrame:
     """``docs`` with the text cleaned, and n_sentences, n_removed: sentences in any non-first repeated span are gone.
 
@@ -134,37 +155,33 @@ def remove_repeats(docs: DataFrame, *, run: int = 3, words: int = 15) -> DataFra
     space before a removed sentence goes with it. Null texts stay null with no sentences; repeated rows get equal
     results. All columns of ``docs`` are kept; those named n_sentences or n_removed are replaced.
     """
+    small_batches(docs.sparkSession)
     marks = repeated_spans(docs, run=run, words=words)
     marks = marks.groupBy(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))
     cols = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
     rows = docs.select(*cols, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_text_node"))
     rows = rows.join(marks, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_node") == F.col("_node")), "left")
 
-    @F.pandas_udf("text string, n_sentences int, n_removed int")
-    def clean(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, spans in parts:
-            out = []
-            for text, own in zip(texts, spans):
-                if text is None:
-                    out.append((None, 0, 0))
-                    continue
-                if own is None:
-                    out.append((text, sum(1 for s in _CUT.split(_folded(text)) if s), 0))
-                    continue
-                where = sentences(text)
-                gone = np.zeros(len(where) + 1, np.int64)
-                for s in own:
-                    gone[s["lo"]] += 1
-                    gone[s["hi"]] -= 1
-                gone = np.cumsum(gone)[:-1] > 0
-                kept, at = [], 0
-                for (_, end), drop in zip(where, gone.tolist()):
-                    if not drop:
-                        kept.append(text[at:end])
-                    at = end
-                kept.append(text[at:])
-                out.append(("".join(kept).strip() if gone.any() else text, len(where), int(gone.sum())))
-            yield pd.DataFrame(out, columns=["text", "n_sentences", "n_removed"])
-
-    rows = rows.withColumn("_c", clean("text", "_spans"))
-    return rows.select(*[F.col("_c.text").alias("text") if c == "text" else c for c in cols], "_c.n_sentences", "_c.n_removed")
+    def clean(batches):
+        for b in batches:
+            texts, spans = b.column("text"), b.column("_spans")
+            known = spans.is_valid().to_numpy(zero_copy_only=False)
+            sizes = np.where(known, spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), 0)
+            at = np.concatenate([[0], np.cumsum(sizes)])
+            flat = spans.flatten()
+            lo, hi = flat.field("lo").to_numpy(), flat.field("hi").to_numpy()
+            out, total, removed = [], [], []
+            for k in range(b.num_rows):
+                text = texts[k].as_py()
+                own = slice(int(at[k]), int(at[k + 1]))
+                text, n, gone = _without(text, lo[own], hi[own])
+                out.append(text)
+                total.append(n)
+                removed.append(gone)
+            new = {"text": pa.array(out, pa.string()), "n_sentences": pa.array(total, pa.int32()), "n_removed": pa.array(removed, pa.int32())}
+            names = [*cols, "n_sentences", "n_removed"]
+            yield pa.RecordBatch.from_arrays([new[c] if c in new else b.column(c) for c in names], names=names)
+
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    schema = T.StructType([T.StructField(c, kinds[c]) for c in cols] + [T.StructField(c, T.IntegerType()) for c in ("n_sentences", "n_removed")])
+    return rows.select(*cols, "_spans").mapInArrow(clean, schema)

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
 
 #: Characters that one step splits and joins at a time, and pre-tokens that a worker remembers.
-STEP_CHARS, REMEMBERED = 1_000_000, 500_000
+STEP_CHARS, REMEMBERED = 1_000_000, 300_000
 #: Characters whose classes are beyond doubt: for texts of these alone, the pre-token rules below are exact.
 _SAFE = re.compile(r"[\t\n -~À-ÖØ-öø-ÿ]*").fullmatch
 _L = "A-Za-zÀ-ÖØ-öø-ÿ"
