@@ -13,11 +13,12 @@ import os
 import tempfile
 from collections import OrderedDict
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import filesystem, id_crc, put_bytes, scratch, written
@@ -86,6 +87,7 @@ def encode_monotone(values: np.ndarray) -> tuple[bytes, np.ndarray]:
 
 
 _blocks: OrderedDict[tuple[int, int], np.ndarray] = OrderedDict()
+_serial = count()
 
 
 class Monotone:
@@ -93,10 +95,10 @@ class Monotone:
 
     def __init__(self, data: memoryview, table: np.ndarray):
         self.data, self.table, self.size = data, table, int(table[:-1, 3].sum())
-        self.firsts = table[:-1, 0]
+        self.firsts, self.key = table[:-1, 0], next(_serial)
 
     def block(self, k: int) -> np.ndarray:
-        found = _blocks.get((id(self), k))
+        found = _blocks.get((self.key, k))
         if found is None:
             first, offset, low, n = self.table[k].tolist()
             raw = np.frombuffer(self.data[offset : int(self.table[k + 1, 1])], np.uint8)
@@ -106,7 +108,7 @@ class Monotone:
             found = wide.view("<u8").reshape(n) + np.uint64(first)
             if low < 8:
                 found = found + (high.astype(np.uint64) << np.uint64(8 * low))
-            _blocks[id(self), k] = found
+            _blocks[self.key, k] = found
             if len(_blocks) > REMEMBERED_BLOCKS:
                 _blocks.popitem(last=False)
         return found
@@ -125,7 +127,7 @@ class Monotone:
         return self._over(at // BLOCK, lambda v, rows: v[at[rows] % BLOCK])
 
     def successor(self, values: np.ndarray) -> np.ndarray:
-        """Places of the first entries not below ascending values; size if there are none."""
+        """Places of the first entries not below ascending values; size if there are none. Entries must not repeat."""
         if not self.size:
             return np.zeros(len(values), np.int64)
         k = np.maximum(np.searchsorted(self.firsts, values, side="right") - 1, 0)
@@ -448,7 +450,7 @@ def _batch(cols, names) -> pa.RecordBatch:
 def _count_and_build(texts: DataFrame, levels: tuple[Level, ...], n: int, least: int) -> Level:
     names = ["context", "word", "low", "n"]
 
-    def count(batches):
+    def count_grams(batches):
         tally = _Tally()
         for (walk,) in _steps(batches):
             words, entry = _levels_of(walk, levels)
@@ -462,29 +464,27 @@ def _count_and_build(texts: DataFrame, levels: tuple[Level, ...], n: int, least:
         if out := tally.take(True):
             yield _batch(out, names)
 
-    grams = texts.mapInArrow(count, "context long, word long, low long, n long").groupBy("context", "word").agg(F.min("low").alias("low"), F.sum("n").alias("n"))
+    grams = texts.mapInArrow(count_grams, "context long, word long, low long, n long").groupBy("context", "word").agg(F.min("low").alias("low"), F.sum("n").alias("n"))
     once, twice = (F.count_if((F.col("word") >= 0) & (F.col("n") == k)) for k in (1, 2))
     # contexts with nothing kept need no entry: their whole mass backs off
     sketch = grams.withColumn("keep", (F.col("word") < 0) | (F.col("n") >= least))
-    from pyspark.sql import Observation
-
     seen = Observation()
     kept = written(sketch.observe(seen, once.alias("once"), twice.alias("twice"), F.count_if(F.col("keep") & (F.col("word") >= 0)).alias("kept")).where("keep").drop("keep"), f"lm-{n}")
     found = seen.get
     d, lower, kind = _discount(found["once"] or 0, found["twice"] or 0), levels[-1], _WORDS if n == 2 else _GRAMS
 
     def build(c):
-        context, word, count = c["context"], c["word"], c["n"]
+        context, word, seen_n = c["context"], c["word"], c["n"]
         head = word < 0  # the first row of each context
         which = np.cumsum(head) - 1
-        total = count[head][which]
+        total = seen_n[head][which]
         own = ~head
-        sums = np.bincount(which[own], count[own] - d, minlength=int(head.sum()))
-        back = 1.0 - sums / count[head]
+        sums = np.bincount(which[own], seen_n[own] - d, minlength=int(head.sum()))
+        back = 1.0 - sums / seen_n[head]
         order = np.argsort(c["low"][own], kind="stable")
         low = np.empty(int(own.sum()))
         low[order] = 10.0 ** (-_codes_at(lower, c["low"][own][order], kind) / STEPS)
-        p = (count[own] - d) / total[own] + back[which[own]] * low
+        p = (seen_n[own] - d) / total[own] + back[which[own]] * low
         size = np.bincount(which[own], minlength=int(head.sum()))
         has = size > 0
         starts = np.concatenate([[0], np.cumsum(size[has])])
