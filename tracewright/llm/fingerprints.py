@@ -19,7 +19,8 @@ _LANES = 0x0000000100000001  # two counters of 32 bits to a long: bits j and j +
 def terms(text: Column) -> Column:
     """Hashes of a text's terms: each word with the next one, the last alone."""
     words = F.array_remove(F.split(lower_ascii(text), r"[\x20\x09-\x0D]+"), "")
-    return F.zip_with(words, F.slice(words, 2, 2**31 - 1), lambda a, b: F.xxhash64(a, b))  # words must not be a part of the lambda
+    after = F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))
+    return F.zip_with(words, after, lambda a, b: F.xxhash64(a, b))  # words must not be a part of the lambda
 
 
 def votes_to_print(n: Column, lanes: list[Column]) -> Column:
