@@ -14,7 +14,7 @@ def check_split(split: str | None) -> None:
 
 
 def scan_entities(entities: DataFrame, *, split: str | None = None, unmarked: bool = False) -> DataFrame:
-    """All entities, those of a split, or those of none, by id."""
+    """SO1: all entities, those of a split, or those of none, by id."""
     check_split(split)
     if unmarked:
         entities = entities.where(F.col("split").isNull())

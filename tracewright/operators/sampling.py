@@ -31,7 +31,7 @@ def check_fractions(fractions: dict[str, float]) -> None:
 
 
 def parse_fractions(text: str) -> dict[str, float]:
-    """``sft=0.5,grpo=0.3`` as a dict."""
+    """FN28, SET7: ``sft=0.5,grpo=0.3`` as a dict; unknown names and sums other than 1 raise."""
     out: dict[str, float] = {}
     for part in filter(None, (p.strip() for p in text.split(","))):
         name, eq, value = part.partition("=")
@@ -138,3 +138,14 @@ def stride_probe(df: DataFrame, number: Column, order: list, k: int) -> DataFram
     places = stride_places(df.count(), k)
     probe = F.array_contains(F.lit(places), (F.col("_place") - 1).cast("int")) if places else F.lit(False)
     return ranked.withColumn("probe", probe).drop("_place")
+
+
+def effective_batch(per_device: int, accumulation: int, processes: int) -> int:
+    """SP7: rows of an optimiser step."""
+    return per_device * accumulation * max(1, processes)
+
+
+def check_groups(batch: int, group: int) -> None:
+    """SP7: a batch holds whole groups of rollouts."""
+    if group < 2 or batch % group:
+        raise ValueError(f"a batch of {batch} does not hold whole groups of {group}")

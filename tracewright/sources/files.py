@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 
 
 def open_table(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
-    """A stored table under its schema; columns that older files lack are null. A missing path raises."""
+    """SRC1: a stored table under its schema; columns that older files lack are null. A missing path raises."""
     reader = spark.read.schema(schema)
     try:
         spark.read.parquet(path).limit(0)
@@ -26,7 +26,7 @@ def open_table(spark: SparkSession, path: str, schema: str | StructType) -> Data
 
 
 def load_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    """(trace_id, body, file) of a folder of JSON files: the id within, else the file's stem; of equal ids the last path.
+    """SRC6: (trace_id, body, file) of a folder of JSON files: the id within, else the file's stem; of equal ids the last path.
 
     Files that are no JSON stay, with a null body.
     """
@@ -39,32 +39,32 @@ def load_candidates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scan_reports(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, body) of all reports below a folder: JSON files but meta.json that parse and have an aggregate."""
+    """SRC7: (file, body) of all reports below a folder: JSON files but meta.json that parse and have an aggregate."""
     raw = spark.read.option("recursiveFileLookup", True).text(folder, wholetext=True, pathGlobFilter="*.json")
     raw = raw.select(F.col("value").alias("body"), F.col("_metadata.file_name").alias("file")).where("file != 'meta.json'")
     return raw.where(F.try_variant_get(F.try_parse_json("body"), "$.aggregate", "variant").isNotNull()).select("file", "body")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, limit: int | None = None) -> DataFrame:
-    """Rows of a JSON-lines file; blank lines are skipped, only the schema's columns are parsed."""
+    """SRC8: rows of a JSON-lines file; blank lines are skipped, only the schema's columns are parsed."""
     rows = spark.read.text(path).where(F.trim("value") != "").select(F.from_json("value", schema).alias("r")).select("r.*")
     return rows.limit(limit) if limit else rows
 
 
 def write_jsonl(df: DataFrame, path: str, order: list[Column | str]) -> None:
-    """Rows as JSON lines in files whose order is theirs; nulls are written, text stays as it is."""
+    """SNK1: rows as JSON lines in files whose order is theirs; nulls are written, text stays as it is."""
     body = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
     df.orderBy(*order).select(body.alias("value")).write.mode("overwrite").text(path)
 
 
 def check_output(path: str, protected: str = "data") -> None:
-    """Reports do not go into the data folder."""
+    """SNK4: reports do not go into the data folder."""
     if protected in os.path.normpath(path).split(os.sep):
         raise ValueError(f"{path} lies in the {protected} folder")
 
 
 def write_json(record: dict, path: str) -> None:
-    """A small record as a file that appears whole or not at all."""
+    """SNK3, SNK4: a small record as a file that appears whole or not at all."""
     check_output(path)
     part = f"{path}.tmp"
     with open(part, "w", encoding="utf-8") as f:
@@ -73,23 +73,24 @@ def write_json(record: dict, path: str) -> None:
 
 
 def checksums(spark: SparkSession, path: str) -> DataFrame:
-    """(file, size, md5) of files."""
+    """PV1: (file, size, md5) of files."""
     return spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.col("length").alias("size"), F.md5("content").alias("md5"))
 
 
 def git_sha(folder: str = ".") -> str | None:
+    """PV2: the commit of a folder, if it has one."""
     found = subprocess.run(["git", "-C", folder, "rev-parse", "HEAD"], capture_output=True, text=True)
     return found.stdout.strip() or None
 
 
 def sidecar(df: DataFrame, found: str, source: str, **settings) -> dict:
-    """Provenance of an export: its counts in one aggregate, and its settings."""
+    """SNK2, PV3: provenance of an export: its counts in one aggregate, and its settings."""
     r = df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col(found)).alias("found"), F.count_distinct(source).alias("sources")).first()
     return {"rows": r["rows"], "found": r["found"], "found_false": r["rows"] - r["found"], "sources": r["sources"], "git_sha": git_sha(), **settings}
 
 
 def checkpoint_meta(path: str) -> dict | None:
-    """meta.json beside a checkpoint or one level up."""
+    """PV5: meta.json beside a checkpoint or one level up."""
     for folder in (path, os.path.dirname(os.path.normpath(path))):
         file = os.path.join(folder, "meta.json")
         if os.path.exists(file):
@@ -99,13 +100,13 @@ def checkpoint_meta(path: str) -> dict | None:
 
 
 def export_candidates(traces: DataFrame, path: str) -> None:
-    """Reference traces as candidate rows: messages give way to their number."""
+    """SNK6: reference traces as candidate rows: messages give way to their number."""
     cols = [c for c in traces.columns if c != "messages"]
     traces.select(*cols, F.size("messages").alias("n_messages")).write.mode("overwrite").json(path)
 
 
 def markdown_table(rows: Iterable[dict], columns: list[str]) -> str:
-    """A few rows of a report as a Markdown table; missing values are ``--``."""
+    """SNK5: a few rows of a report as a Markdown table; missing values are ``--``."""
     cell = lambda v: "--" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)
     lines = ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
     return "\n".join(lines + ["| " + " | ".join(cell(r.get(c)) for c in columns) + " |" for r in rows])
@@ -118,7 +119,7 @@ def report_label(run_id: Column, model_id: Column, file: Column, generic=("model
 
 
 class PlacesSource(DataSource):
-    """A harvest source over files of pages of results, one JSON array each: the seam where a live connector would sit."""
+    """SRC9, SRC10: a harvest source over files of pages of results, one JSON array each: the seam where a live connector would sit."""
 
     @classmethod
     def name(cls) -> str:
@@ -144,7 +145,7 @@ class _PlacesReader(DataSourceReader):
                 yield partition.value, json.dumps(place)
 
 
-#: Harvesters by name.
+#: SRC11, UX5: harvesters by name.
 SOURCES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "osm": lambda spark, path: spark.read.json(path),
     "places": lambda spark, path: spark.read.format("places_pages").option("path", path).load(),
