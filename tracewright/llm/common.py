@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -45,6 +46,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffles of finished steps now; without this they stay until the driver's heap is full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """The pyarrow file system of a URI of the shared folder, and the path there."""
     return pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")

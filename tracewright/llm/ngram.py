@@ -21,13 +21,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import filesystem, id_crc, put_bytes, scratch, written
+from .common import filesystem, id_crc, put_bytes, release, scratch, written
 
 BLOCK = 4096
 #: Steps of a probability code: log10 p = -code / STEPS.
 STEPS = 4096
 #: Bytes of text that a worker takes at a time; decoded blocks that it remembers; entries of a part file.
-STEP_BYTES, REMEMBERED_BLOCKS, PART_ROWS = 2_000_000, 2500, 1_000_000
+STEP_BYTES, REMEMBERED_BLOCKS, PART_ROWS = 1_000_000, 1200, 500_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _ODD = 0x9E3779B97F4A7C15
 _END = np.uint64(0xE17A1465F0C0FFEE)
@@ -343,7 +343,7 @@ def _levels_of(walk: Walk, levels: tuple[Level, ...]) -> tuple[np.ndarray, np.nd
 class _Tally:
     """Sums by key over the steps of a task; given out whenever it has grown large, so memory is bounded."""
 
-    def __init__(self, limit: int = 1_500_000):
+    def __init__(self, limit: int = 600_000):
         self.limit, self.rows, self.held = limit, [], 0
 
     def add(self, *cols: np.ndarray) -> None:
@@ -440,6 +440,7 @@ def build_trie(docs: DataFrame, *, order: int = 3, least: int = 2) -> Trie:
         if not level.size:
             break
         levels.append(level)
+        release(texts.sparkSession)
     return Trie(tuple(levels), tokens, vocabulary, unknown)
 
 
