@@ -70,62 +70,57 @@ def search(prints: DataFrame, queries: DataFrame, radius: int = 3) -> DataFrame:
 
 
 def successors(ids: DataFrame) -> DataFrame:
-    """(doc_id, node, n_chars, next_id, next_node): each document's next by id and node, the first after the last.
+    """(id, node, cut, next_id, next_node): each document's next by id and node, the first after the last; no nulls.
 
     Ranges of some ORDER_ROWS documents are ordered apart and joined at their ends, so no task sees them all.
     """
     parts = max(1, math.ceil(ids.count() / ORDER_ROWS))
-    place = [F.col("doc_id").asc_nulls_first(), F.col("node")]
-    ranged = written(ids.repartitionByRange(parts, *place).withColumn("_part", F.spark_partition_id()), "ranges")
-    own = Window.partitionBy("_part").orderBy(*place)
-    ranged = ranged.withColumns({"_id": F.lead("doc_id").over(own), "_node": F.lead("node").over(own)})
-    first = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "node")).alias("first")
-    heads = ranged.groupBy("_part").agg(first)
+    ranged = written(ids.repartitionByRange(parts, "id", "node").withColumn("_part", F.spark_partition_id()), "ranges")
+    own = Window.partitionBy("_part").orderBy("id", "node")
+    ranged = ranged.withColumns({"_id": F.lead("id").over(own), "_node": F.lead("node").over(own)})
+    heads = ranged.groupBy("_part").agg(F.min(F.struct("id", "node")).alias("first"))
     every = Window.orderBy("_part")
     after = F.coalesce(F.lead("first").over(every), F.first("first").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     heads = heads.select(F.col("_part").alias("_p"), after.alias("_after"))
     out = ranged.join(heads, F.col("_part") == F.col("_p"))
-    end = F.col("_node").isNull()
-    return out.select(
-        "doc_id", "node", "n_chars",
-        F.when(end, F.col("_after.doc_id")).otherwise(F.col("_id")).alias("next_id"), F.when(end, F.col("_after.node")).otherwise(F.col("_node")).alias("next_node"),
-    )
+    return out.select("id", "node", "cut", F.coalesce("_id", "_after.id").alias("next_id"), F.coalesce("_node", "_after.node").alias("next_node"))
+
+
+#: Stands for a null id, before all others.
+_NO_ID = -(1 << 63)
 
 
 def fingerprint_edits(docs: DataFrame, *, radius: int = 3, query_every: int = 50) -> DataFrame:
     """Fingerprints of every text and of its edited text, and how near they and the next document's are.
 
-    Null texts are empty. Rows equal in id and text are one document and one row; null ids come first in the order;
-    a lone document is its own next. n_near: for ids divisible by ``query_every`` the number of other distinct
-    fingerprints within ``radius`` bits, found through the block tables; null for the rest.
+    Null texts are empty. Rows equal in id and text are one document and one row; null ids come first in the order (and
+    are told by the smallest long, which therefore is no id); a lone document is its own next. n_near: for ids divisible
+    by ``query_every`` the number of other distinct fingerprints within ``radius`` bits, found through the block tables;
+    null for the rest. Texts are shuffled once, by id and hash; heads and sums go by the same keys.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("node"), F.length(text).cast("long").alias("n_chars"))
-    order = written(successors(base.select("doc_id", "node", "n_chars").distinct()), "order")
-    cut = F.floor(F.col("n_chars") / 4).cast("int")
-    heads = order.select(F.col("doc_id").alias("h_id"), F.col("node").alias("h_node"), cut.alias("h_cut"), "next_id", "next_node")
-    source = base.select(F.col("doc_id"), "node", "text")
-    heads = source.join(heads, F.col("doc_id").eqNullSafe(F.col("next_id")) & (F.col("node") == F.col("next_node")))
-    heads = heads.groupBy("h_id", "h_node").agg(F.min(F.substring(F.col("text"), F.lit(1), F.col("h_cut"))).alias("head"))
-    rows = base.join(heads, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("node") == F.col("h_node")))
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - cut), F.col("head"))
-    rows = rows.select("doc_id", "node", "n_chars", "text", edited.alias("edited"))
-    both = F.array(F.struct(F.lit(0).alias("k"), F.col("text").alias("t"), F.lit("").alias("sha")), F.struct(F.lit(1).alias("k"), F.col("edited").alias("t"), F.sha2("edited", 256).alias("sha")))
-    rows = rows.select("doc_id", "node", "n_chars", F.explode(both).alias("b")).select("doc_id", "node", "n_chars", "b.k", "b.sha", F.col("b.t").alias("text"))
-    prints = written(simhash(rows, ["doc_id", "node", "n_chars", "k", "sha"]), "prints")
-    own = prints.where("k = 0").select("doc_id", "node", "n_chars", "fingerprint")
-    edits = prints.where("k = 1").select(F.col("doc_id").alias("e_id"), F.col("node").alias("e_node"), F.col("sha").alias("edited_sha256"), F.col("fingerprint").alias("edited"))
-    order = order.select(F.col("doc_id").alias("o_id"), F.col("node").alias("o_node"), "next_id", "next_node")
-    following = own.select(F.col("doc_id").alias("n_id"), F.col("node").alias("n_node"), F.col("fingerprint").alias("next"))
-    out = own.join(edits, F.col("doc_id").eqNullSafe(F.col("e_id")) & (F.col("node") == F.col("e_node")))
-    out = out.join(order, F.col("doc_id").eqNullSafe(F.col("o_id")) & (F.col("node") == F.col("o_node")))
-    out = out.join(following, F.col("next_id").eqNullSafe(F.col("n_id")) & (F.col("next_node") == F.col("n_node")))
-    asked = own.where(F.col("doc_id") % query_every == 0).select(F.col("fingerprint").alias("query")).distinct()
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID).cast("long")).alias("id"), F.xxhash64(text).alias("node"), text.alias("text"))
+    cut = F.floor(F.length("text") / 4).cast("int")
+    order = written(successors(base.select("id", "node", cut.alias("cut")).distinct()), "order")
+    ask = order.select(F.col("id").alias("h_id"), F.col("node").alias("h_node"), "cut", F.col("next_id").alias("id"), F.col("next_node").alias("node"))
+    heads = base.join(ask, ["id", "node"])
+    heads = heads.groupBy("h_id", "h_node").agg(F.min(F.substring(F.col("text"), F.lit(1), F.col("cut"))).alias("head"))
+    rows = base.join(heads.withColumnsRenamed({"h_id": "id", "h_node": "node"}), ["id", "node"])
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - cut), F.col("head"))
+    both = F.array(F.struct(F.lit(0).alias("k"), F.col("text").alias("t"), F.lit("").alias("sha")), F.struct(F.lit(1).alias("k"), edited.alias("t"), F.sha2(edited, 256).alias("sha")))
+    rows = rows.select("id", "node", F.length("text").cast("long").alias("n_chars"), F.explode(both).alias("b")).select("id", "node", "n_chars", "b.k", "b.sha", F.col("b.t").alias("text"))
+    prints = written(simhash(rows, ["id", "node", "n_chars", "k", "sha"]), "prints")
+    own = prints.where("k = 0").select("id", "node", "n_chars", "fingerprint")
+    edits = prints.where("k = 1").select("id", "node", F.col("sha").alias("edited_sha256"), F.col("fingerprint").alias("edited"))
+    following = own.select(F.col("id").alias("next_id"), F.col("node").alias("next_node"), F.col("fingerprint").alias("next"))
+    out = own.join(edits, ["id", "node"]).join(order.drop("cut"), ["id", "node"]).join(following, ["next_id", "next_node"])
+    asks = (F.col("id") != _NO_ID) & (F.col("id") % query_every == 0)
+    asked = own.where(asks).select(F.col("fingerprint").alias("query")).distinct()
     found = search(own.select("fingerprint").distinct(), asked, radius).groupBy("query").agg((F.count(F.lit(1)) - 1).alias("near"))
     out = out.join(found, F.col("fingerprint") == F.col("query"), "left")
     hexed = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
     return out.select(
-        "doc_id", "n_chars", "edited_sha256", hexed("fingerprint").alias("fingerprint"), hexed("edited").alias("edited_fingerprint"),
+        F.when(F.col("id") != _NO_ID, F.col("id")).alias("doc_id"), "n_chars", "edited_sha256", hexed("fingerprint").alias("fingerprint"), hexed("edited").alias("edited_fingerprint"),
         likeness(F.col("fingerprint"), F.col("edited")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next")).alias("near_next"),
-        F.when(F.col("doc_id") % query_every == 0, F.col("near")).alias("n_near"),
+        F.when(asks, F.col("near")).alias("n_near"),
     )
