@@ -16,7 +16,7 @@ from .common import written
 
 #: Vectors that the tree is fitted on at most, and queries that calibrate the search at most.
 FIT_ROWS, CALIBRATION_QUERIES = 20_000, 64
-#: Vectors of a leaf that one group holds; larger leaves are dealt into several.
+#: Vectors that one group holds, about: of leaves next to each other, or a part of a larger leaf.
 BLOCK_ROWS = 2048
 
 
@@ -140,7 +140,11 @@ _FOUND = "query_id long, vec_id long, score double"
 
 
 class Index:
-    """Every usable vector under its leaf, dealt into blocks; and the tree, fitted on a bounded sample."""
+    """Every usable vector under its leaf, leaves in blocks; and the tree, fitted on a bounded sample.
+
+    Leaves are numbered along the tree, so those of a block (``bin``) lie together; a leaf of more than BLOCK_ROWS rows has
+    blocks of its own, numbered from 1.
+    """
 
     def __init__(self, vectors: DataFrame, *, leaf_rows: int = 64, seed: int = 0):
         rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
@@ -153,9 +157,11 @@ class Index:
         placed = rows.mapInArrow(lambda batches: _with_leaf(batches, tree), "vec_id long, embedding array<double>, leaf long")
         placed = written(placed, "vectors")
         counts = placed.groupBy(F.col("leaf").alias("_leaf")).agg(F.count(F.lit(1)).alias("_n"))
-        self.blocks = counts.select("_leaf", F.ceil(F.col("_n") / BLOCK_ROWS).cast("int").alias("_blocks"))
-        block = F.pmod(F.xxhash64("vec_id", F.lit("block")), F.col("_blocks")).cast("int")
-        self.rows = placed.join(self.blocks, F.col("leaf") == F.col("_leaf")).select("vec_id", "embedding", "leaf", block.alias("block"))
+        bins = max(1, -(-self.size // BLOCK_ROWS))
+        parts = F.ceil(F.col("_n") / BLOCK_ROWS).cast("int")
+        self.blocks = counts.select("_leaf", F.floor(F.col("_leaf") * bins / tree.leaves).alias("bin"), F.when(parts > 1, parts).otherwise(0).alias("_parts"))
+        part = F.when(F.col("_parts") > 0, F.pmod(F.xxhash64("vec_id", F.lit("block")), F.col("_parts")) + 1).otherwise(0).cast("int")
+        self.rows = placed.join(self.blocks, F.col("leaf") == F.col("_leaf")).select("vec_id", "embedding", "leaf", "bin", part.alias("block"))
 
     def calibrate(self, k: int, recall: float, seed: int = 1) -> int:
         """How many leaves a search visits so that ``recall`` of the true neighbours of sampled queries lie in them.
@@ -182,8 +188,8 @@ class Index:
     def search(self, queries: DataFrame, *, k: int = 10, recall: float = 0.95, visits: int | None = None) -> DataFrame:
         """query_id, rank, vec_id, score: the k nearest found by exact distance on the vectors as given.
 
-        queries: (query_id, embedding). Each query goes to its leaves in turn, only to their blocks; a block's task keeps
-        k per query, and those meet by query. A query that still lacks neighbours, as its leaves hold too few, visits all.
+        queries: (query_id, embedding). Each query goes to the blocks of its leaves and meets its leaves' rows alone there; a
+        block gives k per query, and those meet by query. A query that still lacks neighbours, as its leaves hold too few, visits all.
         """
         tree = self.tree
         most = max(visits or self.calibrate(k, recall), 1)
@@ -198,14 +204,20 @@ class Index:
         def seek(asked: DataFrame, route) -> DataFrame:
             asked = asked.mapInArrow(route, "query_id long, embedding array<double>, leaf long")
             asked = asked.join(self.blocks, F.col("leaf") == F.col("_leaf"))
-            asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select("query_id", "embedding", "leaf", "block")
+            whole = F.col("_parts") == 0
+            asked = asked.withColumn("block", F.explode(F.when(whole, F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("_parts"))))))
+            asked = asked.groupBy("query_id", "bin", "block").agg(F.first("embedding").alias("embedding"), F.collect_list("leaf").alias("leaves"))
 
             def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-                if not len(left) or not len(right):
-                    return _top(np.zeros(0), [], np.zeros(0), np.zeros((0, 1)), k)
-                return _top(left.query_id.to_numpy(), np.array(left.embedding.tolist()), right.vec_id.to_numpy(), np.array(right.embedding.tolist()), k)
-
-            return _best(asked.groupBy("leaf", "block").cogroup(self.rows.groupBy("leaf", "block")).applyInPandas(meet, _FOUND), k)
+                found = [_top(np.zeros(0), [], np.zeros(0), np.zeros((0, 1)), k)]
+                if len(left) and len(right):
+                    ids, leaf, rows = right.vec_id.to_numpy(), right.leaf.to_numpy(), np.array(right.embedding.tolist())
+                    for qid, q, leaves in zip(left.query_id.to_numpy(), left.embedding, left.leaves):
+                        own = np.isin(leaf, leaves)
+                        found.append(_top(np.array([qid]), [np.asarray(q)], ids[own], rows[own], k))
+                return pd.concat(found)
+
+            return _best(asked.groupBy("bin", "block").cogroup(self.rows.groupBy("bin", "block")).applyInPandas(meet, _FOUND), k)
 
         queries = queries.select(F.col("query_id").cast("long"), F.col("embedding").cast("array<double>")).where(usable(F.col("embedding")))
         found = written(seek(queries, route), "found")
