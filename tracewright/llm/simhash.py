@@ -9,10 +9,10 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import release, written
 from .components import components
 
 BITS = 64
@@ -119,12 +119,22 @@ def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count((a ^ b).view(np.uint64))  # of signed numbers it would count the absolute value's bits
 
 
-def _links_of_run(fp: np.ndarray, node: np.ndarray, radius: int, dense: int) -> tuple[np.ndarray, np.ndarray]:
+def _near(rows: list[np.ndarray], a: np.ndarray, b: np.ndarray, radius: int, most: int | None) -> np.ndarray:
+    """Which of the pairs (a, b) of rows (fp, node, s0, ...) pass: fp within ``radius``, and all s together within ``most``."""
+    close = _differ(rows[0][a], rows[0][b]) <= radius
+    if most is not None and close.any():
+        at = np.nonzero(close)[0]
+        a, b = np.broadcast_to(a, close.shape)[at], np.broadcast_to(b, close.shape)[at]
+        close[at] = sum(_differ(s[a], s[b]).astype(np.int64) for s in rows[2:]) <= most
+    return close
+
+
+def _links_of_run(rows: list[np.ndarray], radius: int, most: int | None, dense: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect what is connected within a bucket: all close pairs of up to ``dense`` members, else a forest."""
-    k = len(fp)
+    node, k = rows[1], len(rows[0])
     if k <= dense:
         a, b = np.triu_indices(k, 1)
-        close = _differ(fp[a], fp[b]) <= radius
+        close = _near(rows, a, b, radius, most)
         return node[a[close]], node[b[close]]
     at, left = [], np.arange(k)
     ends: tuple[list, list] = ([], [])
@@ -133,7 +143,7 @@ def _links_of_run(fp: np.ndarray, node: np.ndarray, radius: int, dense: int) ->
             at, left = [left[0]], left[1:]
             continue
         i = at.pop()
-        close = _differ(fp[left], fp[i]) <= radius
+        close = _near(rows, left, np.array([i]), radius, most)
         found = left[close]
         if len(found):
             ends[0].append(np.full(len(found), node[i]))
@@ -147,38 +157,43 @@ def _links_of_run(fp: np.ndarray, node: np.ndarray, radius: int, dense: int) ->
     return np.concatenate(ends[0]), np.concatenate(ends[1])
 
 
-def _link_buckets(radius: int, dense: int, limit: int | None) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Over rows (bucket, sub, fp, node) sorted by bucket and sub: the links of each bucket; rows of buckets over ``limit`` as hot."""
-    names = ["a", "b", "hot", "bucket"]
+def _link_buckets(radius: int, most: int | None, dense: int, limit: int | None, extra: tuple[str, ...]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Over rows (bucket, sub, fp, node, extra) sorted by bucket and sub: the links of each bucket; rows of buckets over ``limit`` as hot."""
+    names = ["a", "b", "hot", "bucket", *extra]
 
-    def batch(a, b, hot, bucket):
-        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (a, b, hot, bucket)], names=names)
+    def batch(a, b, hot, bucket, *more):
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (a, b, hot, bucket, *more)], names=names)
 
-    def finish(bucket, sub, fp, node, bounds):
+    def hot(cols, at):
+        fp, node, *more = (c[at] for c in cols[2:])
+        return batch(fp, node, np.ones(len(fp), np.int64), cols[0][at], *more)
+
+    def finish(cols, bounds):
         """The runs between bounds; those of two members at once."""
+        rows, node = cols[2:], cols[3]
         size = np.diff(bounds)
         two = bounds[:-1][size == 2]
-        close = (_differ(fp[two], fp[two + 1]) <= radius) if len(two) else np.zeros(0, bool)
+        close = _near(rows, two, two + 1, radius, most) if len(two) else np.zeros(0, bool)
         a, b = [node[two[close]]], [node[two[close] + 1]]
         for s, e in zip(bounds[:-1][size > 2].tolist(), bounds[1:][size > 2].tolist()):
-            x, y = _links_of_run(fp[s:e], node[s:e], radius, dense)
+            x, y = _links_of_run([c[s:e] for c in rows], radius, most, dense)
             a.append(x)
             b.append(y)
         a, b = np.concatenate(a), np.concatenate(b)
         lo, hi = np.minimum(a, b), np.maximum(a, b)
         pairs = np.unique(np.stack([lo, hi], 1)[lo != hi], axis=0) if len(lo) else np.zeros((0, 2), np.int64)
         zero = np.zeros(len(pairs), np.int64)
-        return batch(pairs[:, 0], pairs[:, 1], zero, zero)
+        return batch(pairs[:, 0], pairs[:, 1], zero, zero, *[zero for _ in extra])
 
     def run(batches):
         held, hot_key = None, None
         for rb in batches:
-            cols = [rb.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "sub", "fp", "node")]
+            cols = [rb.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "sub", "fp", "node", *extra)]
             if hot_key is not None:  # the rest of a hot bucket streams through
                 same = (cols[0] == hot_key[0]) & (cols[1] == hot_key[1])
                 n = len(same) if same.all() else int(np.argmin(same))
                 if n:
-                    yield batch(cols[2][:n], cols[3][:n], np.ones(n, np.int64), cols[0][:n])
+                    yield hot(cols, slice(n))
                     cols = [c[n:] for c in cols]
                 if not len(cols[0]):
                     continue
@@ -192,7 +207,7 @@ def _link_buckets(radius: int, dense: int, limit: int | None) -> Callable[[Itera
                 ends = np.append(bounds[1:], len(cols[0]))
                 for s, e in zip(bounds.tolist(), ends.tolist()):
                     if e - s > limit:
-                        yield batch(cols[2][s:e], cols[3][s:e], np.ones(e - s, np.int64), cols[0][s:e])
+                        yield hot(cols, slice(s, e))
                 keep = np.repeat(ends - bounds <= limit, ends - bounds)
                 if len(cols[0]) - last > limit:
                     hot_key = (cols[0][last], cols[1][last])
@@ -204,53 +219,50 @@ def _link_buckets(radius: int, dense: int, limit: int | None) -> Callable[[Itera
                 keep_last, done = [c[last:] for c in cols], [c[:last] for c in cols]
             if len(done[0]):
                 change = np.nonzero((np.diff(done[0]) != 0) | (np.diff(done[1]) != 0))[0] + 1
-                yield finish(*done, np.concatenate([[0], change, [len(done[0])]]))
+                yield finish(done, np.concatenate([[0], change, [len(done[0])]]))
             held = keep_last
         if held is not None and len(held[0]):
-            yield finish(*held, np.array([0, len(held[0])]))
+            yield finish(held, np.array([0, len(held[0])]))
 
     return run
 
 
-_LINKED = "a long, b long, hot long, bucket long"
-
-
-def covering_links(prints: DataFrame, radius: int, *, dense: int = 1, limit: int = SCAN_LIMIT) -> DataFrame:
+def covering_links(prints: DataFrame, radius: int, *, dense: int = 1, limit: int = SCAN_LIMIT, extra: tuple[str, ...] = (), most: int | None = None) -> DataFrame:
     """Links (a, b) between nodes: whatever is within ``radius`` is linked or connected through links.
 
-    prints: (fp, node) longs, no two rows alike. Every mask gives each row a bucket; a pair within the radius shares one.
-    Buckets up to ``limit`` are scanned where they lie, without all pairs leaving the task. The few larger ones stream
-    through as hot and are covered again on their mask's free bits, which leaves at most 2^16 fingerprints a bucket.
+    prints: (fp, node) longs, no two rows alike, and ``extra`` longs; with ``most``, a pair must also differ in at most so
+    many bits of those, which is tested before a link is made. Every mask gives each row a bucket; a pair within the
+    radius shares one. Buckets up to ``limit`` are scanned where they lie, without all pairs leaving the task. The few
+    larger ones stream through as hot and are covered again on their mask's free bits, which leaves at most 2^16
+    fingerprints a bucket.
     """
     masks = covering_masks(list(range(BITS)), radius)
     keyed = F.explode(F.array(*[F.struct(F.lit(v).cast("long").alias("bucket"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("sub")) for v, m in enumerate(masks)]))
-    rows = prints.select("fp", "node", keyed.alias("k")).select("k.bucket", "k.sub", "fp", "node")
+    rows = prints.select("fp", "node", *extra, keyed.alias("k")).select("k.bucket", "k.sub", "fp", "node", *extra)
     rows = rows.repartition("bucket", "sub").sortWithinPartitions("bucket", "sub", "fp", "node")
-    found = written(rows.mapInArrow(_link_buckets(radius, dense, limit), _LINKED), "links")
+    linked = ", ".join(f"{c} long" for c in ("a", "b", "hot", "bucket", *extra))
+    found = written(rows.mapInArrow(_link_buckets(radius, most, dense, limit, extra), linked), "links")
     links = found.where("hot = 0").select("a", "b")
     if found.where("hot = 1").limit(1).count():
         free = [covering_masks([b for b in range(BITS) if not m >> b & 1], radius) for m in masks]
+        names = ["bucket", "sub", "fp", "node", *extra]
 
         def again(batches):
             for rb in batches:
-                fp, node, v = (rb.column(c).to_numpy() for c in ("a", "b", "bucket"))
+                fp, node, v, *more = (rb.column(c).to_numpy() for c in ("a", "b", "bucket", *extra))
                 for mask in np.unique(v).tolist():
                     own = v == mask
-                    f, n, fixed = fp[own], node[own], np.int64(_signed(masks[mask]))
+                    f, n, fixed, kept = fp[own], node[own], np.int64(_signed(masks[mask])), [c[own] for c in more]
                     for w, m in enumerate(free[mask]):
                         bucket = np.full(len(f), (mask << 20) + w)
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (bucket, f & (fixed | np.int64(_signed(m))), f, n)], names=["bucket", "sub", "fp", "node"])
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (bucket, f & (fixed | np.int64(_signed(m))), f, n, *kept)], names=names)
 
-        hot = found.where("hot = 1").select("a", "b", "bucket").mapInArrow(again, "bucket long, sub long, fp long, node long")
+        hot = found.where("hot = 1").select("a", "b", "bucket", *extra).mapInArrow(again, ", ".join(f"{c} long" for c in names))
         hot = hot.repartition("bucket", "sub").sortWithinPartitions("bucket", "sub", "fp", "node")
-        links = links.union(written(hot.mapInArrow(_link_buckets(radius, dense, None), _LINKED), "links").select("a", "b"))
+        links = links.union(written(hot.mapInArrow(_link_buckets(radius, most, dense, None, extra), linked), "links").select("a", "b"))
     return links.distinct()
 
 
-def hamming(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b))
-
-
 def near_components(docs: DataFrame, *, shingle: int = 4, radius: int = 4) -> DataFrame:
     """Every document's fingerprint and the smallest doc_id that links within ``radius`` reach.
 
@@ -281,12 +293,10 @@ def keep_one_of_each(docs: DataFrame, *, shingle: int = 5, similarity: float = 0
     table = written(fingerprint_table(docs, word_and_shingle_fingerprints(shingle), names), "prints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id")))
     nodes = written(table.groupBy("node").agg(first.alias("first"), *[F.first(c).alias(c) for c in names]), "nodes")
-    links = covering_links(nodes.select("fp", "node"), radius, dense=8)
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     most = int(256 * p + slack * math.sqrt(256 * p * (1 - p)))
-    sides = [nodes.select(F.col("node").alias(s), *[F.col(c).alias(f"{s}{c}") for c in names[1:]]) for s in ("a", "b")]
-    differ = sum((hamming(F.col(f"a{c}"), F.col(f"b{c}")) for c in names[1:]), F.lit(0))
-    links = links.join(sides[0], "a").join(sides[1], "b").where(differ <= most).select("a", "b")
+    links = covering_links(nodes.select("node", *names), radius, dense=8, extra=names[1:], most=most)
+    release(docs.sparkSession)  # the buckets' shuffle, before the texts' own
     roots = components(links)
     named = nodes.select("node", "first").join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
     keep = named.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("first", "node")).alias("k"))
