@@ -1,8 +1,34 @@
 """Cases in which an operator did less than its whole job."""
 
+import zlib
+from collections import Counter
+
 import numpy as np
+import pytest
+
+from tracewright.llm import ngram, queries, simhash
+
+# 2
+
+
+def test_op2_keeps_ngrams_seen_once(spark, tmp_path):
+    """A trigram seen once in training outweighs the same words in an order never seen."""
+    rng = np.random.default_rng(2)
+    vocabulary = [f"w{k}" for k in range(200)]
+    ids = [k for k in range(200) if zlib.crc32(str(k).encode()) % 10]
+    out = [k for k in range(200) if not zlib.crc32(str(k).encode()) % 10][:2]
+    rows = [(k, " ".join(rng.choice(vocabulary, 12))) for k in ids[:30]]
+    toks = [t.split() for _, t in rows]
+    grams = Counter(g for t in toks for g in zip(t, t[1:]))
+    once = next(t for t in toks if all(grams[g] == 1 for g in zip(t[3:7], t[4:7])))
+    seen = once[3:7]
+    unseen = next(p for p in (list(rng.permutation(seen)) for _ in range(99)) if not any(g in grams for g in zip(p, p[1:])) and p[0] == seen[0])
+    rows += [(out[0], " ".join(seen)), (out[1], " ".join(unseen))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op2_lm_scores(spark, str(tmp_path)).collect()}
+    assert got[out[0]]["base_score"] == pytest.approx(got[out[1]]["base_score"])
+    assert got[out[0]]["score"] > got[out[1]]["score"] + 1
 
-from tracewright.llm import simhash
 
 # pipeline
 
