@@ -6,7 +6,28 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tracewright.llm import ngram, queries, simhash
+from tracewright.llm import ngram, queries, simhash, spans
+
+# 1
+
+UNCUT = [f"plain{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60)]
+PASSAGES = {
+    "no cuts": " ".join(UNCUT),
+    "tabs": "\t".join(UNCUT),
+    "unspaced marks": "，".join(chr(0x4E00 + 7 * k) * 3 for k in range(30)) + "。",
+    "unspaced": "".join(chr(0x4E00 + 11 * k) for k in range(60)),
+}
+
+
+@pytest.mark.parametrize("name", PASSAGES)
+def test_op1_passages_with_few_cuts_are_found(spark, name):
+    passage = PASSAGES[name]
+    texts = [passage, f"one red {passage} two blue", f"three green {passage} four white", "a text of its own"]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(9, passage)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in spans.remove_repeats(docs).collect()}
+    assert got[0]["text"] == passage and got[3]["text"] == texts[3] and got[0]["n_removed"] == got[3]["n_removed"] == 0
+    assert all(len(got[k]["text"]) < len(texts[k]) - len(passage) / 3 for k in (1, 2)) and len(got[9]["text"]) < len(passage) / 4
+
 
 # 2
 

@@ -9,11 +9,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import release, small_batches, written
 
 #: A sentence here is as short as content alone can cut it, so that a passage set into other text still has sentences of
-#: its own: it ends after . ! ? , ; : or a word ending in s, and at line ends.
-_CUT = re.compile(r"(?<=[.!?,;:s])\s+|\s*\n\s*")
+#: its own: it ends after . ! ? , ; : or a word ending in s, at line ends, and after the same marks of other scripts.
+_CUT = re.compile(r"(?<=[.!?,;:s])\s+|\s*\n\s*|(?<=[。！？，、；：．｡､…।॥؟،؛۔።])\s*")
+#: A word, or a character of a script written without spaces.
+_OWN = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_UNIT = re.compile(rf"[{_OWN}]|[^\s{_OWN}]+")
+#: Where words are not what single spaces part.
+_ODD = re.compile(rf"^\s|\s\Z|[^\S \n]|  |[{_OWN}]").search
+#: Words that a sentence has at most. Longer ones are cut after each word whose hash is the least of the _NEAR words on
+#: either side, and what is longer still after every word, so any 51 words hold three whole sentences with 15 words.
+_LONGEST, _NEAR = 9, 2
+#: Hashes of words that a worker remembers.
+_REMEMBERED = 200_000
 _STEP_DOCS = 2000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -24,19 +34,53 @@ def _folded(text: str) -> str:
     return low if len(low) == len(text) else text
 
 
-def sentences(text: str) -> list[tuple[int, int]]:
-    """Where each sentence of a whole text begins and ends, without the white space between them."""
+_hashes: dict[str, int] = {}
+
+
+def _hash(word: str) -> int:
+    found = _hashes.get(word)
+    if found is None:
+        if len(_hashes) > _REMEMBERED:
+            _hashes.clear()
+        found = _hashes[word] = xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass"))
+    return found
+
+
+def _shorter(low: str, units: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """A piece's words, joined to sentences by content so that none has over _LONGEST words."""
+    edge = [1 << 32] * _NEAR
+    h = edge + [_hash(low[a:b]) for a, b in units] + edge
+    cuts = [k + 1 for k in range(len(units)) if (x := h[k + 2]) < h[k + 1] and x < h[k] and x <= h[k + 3] and x <= h[k + 4]]
     out, at = [], 0
-    low = _folded(text)
-    for m in _CUT.finditer(low):
-        if m.start() > at:
-            out.append((at, m.start()))
-        at = m.end()
-    if at < len(low):
-        out.append((at, len(low)))
+    for cut in [*cuts, len(units)]:
+        if cut - at > _LONGEST:
+            out.extend((a, b, 1) for a, b in units[at:cut])
+        elif cut > at:
+            out.append((units[at][0], units[cut - 1][1], cut - at))
+        at = cut
+    return out
+
+
+def _pieces(low: str) -> list[tuple[int, int, int]]:
+    """(begin, end, words) of each sentence of a folded text."""
+    out, at, odd, count = [], 0, _ODD(low), low.count
+    for begin, end in [*(m.span() for m in _CUT.finditer(low)), (len(low), len(low))]:
+        if begin > at:
+            n = count(" ", at, begin) + 1
+            units = [m.span() for m in _UNIT.finditer(low, at, begin)] if odd or n > _LONGEST else None
+            if units and len(units) > _LONGEST:
+                out.extend(_shorter(low, units))
+            else:
+                out.append((at, begin, n if units is None else len(units)))
+        at = end
     return out
 
 
+def sentences(text: str) -> list[tuple[int, int]]:
+    """Where each sentence of a whole text begins and ends, without the white space between them."""
+    return [(a, b) for a, b, _ in _pieces(_folded(text))]
+
+
 def _powers(n: int, base: int) -> np.ndarray:
     return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(max(n - 1, 0), base, np.uint64), dtype=np.uint64)])[:n]
 
@@ -45,10 +89,11 @@ def _spans_of(texts: list[str], run: int, words: int) -> tuple[np.ndarray, ...]:
     """(hash, text number, first sentence, end sentence) of every shortest run of ``run`` sentences and ``words`` words or more."""
     digest, keys, sizes, counts = xxhash.xxh64_intdigest, [], [], []
     for text in texts:
-        own = [s for s in _CUT.split(_folded(text)) if s]
+        low = _folded(text)
+        own = _pieces(low)
         counts.append(len(own))
-        keys.extend([digest(s.rstrip(" \t.!?,;:")) for s in own])
-        sizes.extend([s.count(" ") + 1 for s in own])
+        keys.extend([digest(low[a:b].rstrip(" \t.!?,;:").encode("utf-8", "surrogatepass")) for a, b, _ in own])
+        sizes.extend([n for _, _, n in own])
     n, counts = len(keys), np.array(counts, np.int64)
     doc = np.repeat(np.arange(len(texts)), counts)
     begins = np.repeat(np.cumsum(counts) - counts, counts)
@@ -132,7 +177,7 @@ def _without(text: str | None, lo: np.ndarray, hi: np.ndarray) -> tuple[str | No
     if text is None:
         return None, 0, 0
     if not len(lo):
-        return text, sum(1 for s in _CUT.split(_folded(text)) if s), 0
+        return text, len(sentences(text)), 0
     where = sentences(text)
     gone = np.zeros(len(where) + 1, np.int64)
     np.add.at(gone, lo, 1)
@@ -159,6 +204,8 @@ def remove_repeats(docs: DataFrame, *, run: int = 3, words: int = 15) -> DataFra
     marks = repeated_spans(docs, run=run, words=words)
     marks = marks.groupBy(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))
     cols = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
+    marks = written(marks, "marks")
+    release(docs.sparkSession)  # the spans' shuffle, before the texts' own
     rows = docs.select(*cols, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_text_node"))
     rows = rows.join(marks, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_node") == F.col("_node")), "left")
 
