@@ -72,10 +72,19 @@ def put_bytes(uri: str, chunks) -> int:
         for c in chunks:
             out.write(c)
             size += len(c)
+    if fs.get_file_info(path).type != pafs.FileType.NotFound:  # some stores do not move onto a file
+        fs.delete_file(path)
     fs.move(part, path)
     return size
 
 
+def remove(uri: str) -> None:
+    """Delete a folder of the shared one that no later step reads."""
+    fs, path = filesystem(uri)
+    if fs.get_file_info(path).type == pafs.FileType.Directory:
+        fs.delete_dir(path)
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, all else as it is."""
     return F.translate(text, _UPPER, _UPPER.lower())

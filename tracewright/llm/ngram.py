@@ -1,45 +1,53 @@
 """LM scoring: an n-gram trie of Elias-Fano levels in memory-mapped files, with quantised smoothed probabilities.
 
-Level 1 holds the words, as the sorted hashes of their bytes, and the running sums of their counts; a word's number is its place there. Level n holds, for each
-(n-1)-gram that has any, its continuations: word numbers made monotone by adding the last value of the range before, the
-ranges' contexts and starts, and codes of probabilities. Every sequence is monotone and kept by Elias-Fano in blocks. A
-level is a row of part files, cut between contexts; a part's first context tells where to look.
+Level 1 holds the words: the sorted hashes of their bytes and the running sums of their counts, in files by hash range. A
+word's number is its place there, from 1; 0 is no word. Levels 2 and 3 are one trie of the trigrams, cut into part files
+by ranges of keys (w1, w2, w3). In a part, ``heads`` are the first words, ``second`` and ``third`` the continuations,
+each range made monotone by adding the last value of the range before; ``ptr1`` and ``ptr2`` are the monotone pointers to
+the ranges. Probabilities are 8-bit codes with a codebook for each array of a part.
+
+A key's place x in [0, training tokens) is that of arithmetic coding under unigrams; part = floor(x / part_tokens). So
+any worker finds a key's part by arithmetic, a hot context is cut by its next words, and no directory of parts exists.
+Contexts that a cut goes through are summed over their parts and kept, with their whole sums, in each of them.
 """
 
 from __future__ import annotations
 
 import mmap
-import os
 import tempfile
-from collections import OrderedDict
 from dataclasses import dataclass
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Observation
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, id_crc, put_bytes, release, scratch, written
+from .common import filesystem, id_crc, put_bytes, release, remove, scratch, written
 
-BLOCK = 4096
-#: Steps of a probability code: log10 p = -code / STEPS.
-STEPS = 4096
-#: Bytes of text that a worker takes at a time; decoded blocks that it remembers; entries of a part file.
-STEP_BYTES, REMEMBERED_BLOCKS, PART_ROWS = 1_000_000, 1200, 500_000
+#: Bytes of text that a worker takes at a time; training tokens of a part file; rows that a merge holds before it sums.
+STEP_BYTES, PART_TOKENS, HELD_ROWS = 4_000_000, 1_000_000, 3_000_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _ODD = 0x9E3779B97F4A7C15
+_INVERSE = pow(_ODD, -1, 1 << 64)
 _END = np.uint64(0xE17A1465F0C0FFEE)
+_U = np.uint64
 
 
 # --- words ---
 
+_power_cache: dict[int, np.ndarray] = {}
+
 
 def _powers(n: int, base: int) -> np.ndarray:
-    out = np.ones(n, np.uint64)
-    np.cumprod(np.full(max(n - 1, 0), base, np.uint64), out=out[1:])
-    return out
+    """The first n powers of base modulo 2^64; the longest asked for so far is kept, up to a few steps' size."""
+    found = _power_cache.get(base)
+    if found is None or len(found) < n:
+        found = np.ones(max(n, 1), np.uint64)
+        np.cumprod(np.full(max(n - 1, 0), base, np.uint64), out=found[1:])
+        if n <= 2 * STEP_BYTES:
+            _power_cache[base] = found
+    return found[:n]
 
 
 def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -51,11 +59,12 @@ def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     space = (raw == 32) | ((raw >= 9) & (raw <= 13))
     edge = np.diff(np.concatenate([[1], space.astype(np.int8), [1]]))
     start, stop = np.nonzero(edge == -1)[0], np.nonzero(edge == 1)[0]
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(len(raw), _ODD), dtype=np.uint64)])
-    h = (sums[stop] - sums[start]) * _powers(len(raw), pow(_ODD, -1, 1 << 64))[start]
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + (stop - start).astype(np.uint64)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-    h ^= h >> np.uint64(32)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + _U(1)) * _powers(len(raw), _ODD), out=sums[1:])
+    h = (sums[stop] - sums[start]) * _powers(len(raw), _INVERSE)[start]
+    h = (h ^ (h >> _U(31))) * _U(0xBF58476D1CE4E5B9) + (stop - start).astype(np.uint64)
+    h = (h ^ (h >> _U(29))) * _U(0x94D049BB133111EB)
+    h ^= h >> _U(32)
     ends = np.cumsum([len(t) + 1 for t in texts])
     words = np.searchsorted(start, ends) if len(texts) else np.zeros(0, np.int64)
     return np.insert(h, words, _END), np.diff(np.concatenate([[0], words])) + 1
@@ -64,105 +73,138 @@ def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 # --- Elias-Fano ---
 
 
-def encode_monotone(values: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """Blocks of an ascending uint64 sequence, and their directory: (first value, offset, bytes of low parts, count).
-
-    Within a block, values less the first are split: low bytes as they are, high parts as unary gaps in a bit vector.
-    """
-    out, table, offset = [], [], 0
-    for at in range(0, len(values), BLOCK):
-        v = values[at : at + BLOCK].astype(np.uint64)
-        rest = v - v[0]
-        span = int(rest[-1])
-        low = max(0, -(-((span // len(v)).bit_length() - 1) // 8)) if span >= len(v) else 0
-        high = (rest >> np.uint64(8 * low)).astype(np.int64) if low < 8 else np.zeros(len(v), np.int64)
-        bits = np.zeros(int(high[-1]) + len(v), np.uint8)
-        bits[high + np.arange(len(v))] = 1
-        data = rest.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :low].tobytes() + np.packbits(bits).tobytes()
-        table.append((int(v[0]), offset, low, len(v)))
-        out.append(data)
-        offset += len(data)
-    table.append((0, offset, 0, 0))
-    return b"".join(out), np.array(table, np.uint64)
-
-
-_blocks: OrderedDict[tuple[int, int], np.ndarray] = OrderedDict()
-_serial = count()
+def _pack_low(values: np.ndarray, low: int) -> bytes:
+    """The low bits of each value, one after the other from the least bit on."""
+    out = []
+    for at in range(0, len(values), 1 << 16):  # a whole number of bytes each
+        bits = np.unpackbits(values[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        out.append(np.packbits(bits[:, :low].ravel(), bitorder="little").tobytes())
+    return b"".join(out) + bytes(8)
+
+
+def encode_monotone(values: np.ndarray) -> list[bytes]:
+    """An ascending sequence: header (count, low bits, words of the high part), low parts bit by bit, high parts as unary
+    gaps in a bit vector, and the ones before each word of 64 bits, by which places are selected."""
+    v, n = values.astype(np.uint64), len(values)
+    low = min(56, max(0, (int(v[-1]) // n).bit_length() - 1)) if n else 0
+    high = (v >> _U(low)).astype(np.int64)
+    bits = np.zeros(-(-((int(high[-1]) if n else 0) + n + 1) // 64) * 64, np.uint8)
+    bits[high + np.arange(n)] = 1
+    words = np.packbits(bits, bitorder="little").view("<u8")
+    ones = np.cumsum(np.bitwise_count(words), dtype=np.int64)
+    ranks = np.concatenate([[0], ones[:-1]]).astype("<u4")
+    lows = _pack_low(v, low) if low else bytes(8)
+    return [np.array([n, low, len(words), len(lows) + -len(lows) % 8], "<u8").tobytes(), lows, bytes(-len(lows) % 8), words.tobytes(), ranks.tobytes(), bytes(-len(ranks) * 4 % 8)]
+
+
+def _select_in_word(w: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Place of the r-th one of each word, by halves."""
+    at = np.zeros(len(w), np.int64)
+    for s in (32, 16, 8, 4, 2, 1):
+        c = np.bitwise_count(w & _U((1 << s) - 1)).astype(np.int64)
+        go = r >= c
+        r = r - np.where(go, c, 0)
+        w = np.where(go, w >> _U(s), w)
+        at += np.where(go, s, 0)
+    return at
 
 
 class Monotone:
-    """An ascending sequence in a mapped file; blocks are decoded as they are touched, and some of them remembered."""
-
-    def __init__(self, data: memoryview, table: np.ndarray):
-        self.data, self.table, self.size = data, table, int(table[:-1, 3].sum())
-        self.firsts, self.key = table[:-1, 0], next(_serial)
-
-    def block(self, k: int) -> np.ndarray:
-        found = _blocks.get((self.key, k))
-        if found is None:
-            first, offset, low, n = self.table[k].tolist()
-            raw = np.frombuffer(self.data[offset : int(self.table[k + 1, 1])], np.uint8)
-            high = np.nonzero(np.unpackbits(raw[low * n :]))[0][:n] - np.arange(n)
-            wide = np.zeros((n, 8), np.uint8)
-            wide[:, :low] = raw[: low * n].reshape(n, low)
-            found = wide.view("<u8").reshape(n) + np.uint64(first)
-            if low < 8:
-                found = found + (high.astype(np.uint64) << np.uint64(8 * low))
-            _blocks[self.key, k] = found
-            if len(_blocks) > REMEMBERED_BLOCKS:
-                _blocks.popitem(last=False)
-        return found
-
-    def _over(self, k: np.ndarray, of) -> np.ndarray:
-        """of(block values, rows) for the rows of each block; k ascends."""
-        out = np.zeros(len(k), np.uint64)
-        if len(k):
-            cuts = np.concatenate([[0], np.nonzero(np.diff(k))[0] + 1, [len(k)]])
-            for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                out[s:e] = of(self.block(int(k[s])), slice(s, e))
-        return out
-
-    def get(self, at: np.ndarray) -> np.ndarray:
-        """Values at ascending places."""
-        return self._over(at // BLOCK, lambda v, rows: v[at[rows] % BLOCK])
+    """An ascending sequence in a mapped file. Nothing is decoded but what is asked for."""
+
+    def __init__(self, view: memoryview):
+        n, low, words, lows = np.frombuffer(view[:32], "<u8").astype(np.int64).tolist()
+        self.size, self.low_bits = n, low
+        self.lows = np.ndarray((max(1, lows - 7),), "<u8", view[32 : 32 + lows], strides=(1,))
+        at = 32 + lows
+        self.words = np.frombuffer(view[at : at + 8 * words], "<u8")
+        at += 8 * words
+        self.ranks = np.frombuffer(view[at : at + 4 * words], "<u4")
+        self.bytes = at + 4 * words + -4 * words % 8
+        self.highest = 64 * words - n - 1  # highs beyond this have no zero of their own
+
+    def _low(self, i: np.ndarray) -> np.ndarray:
+        if not self.low_bits:
+            return np.zeros(len(i), np.uint64)
+        bit = i * self.low_bits
+        return (self.lows[bit >> 3] >> (bit & 7).astype(np.uint64)) & _U((1 << self.low_bits) - 1)
+
+    def get(self, i: np.ndarray) -> np.ndarray:
+        """Values at places."""
+        if not len(i):
+            return np.zeros(0, np.uint64)
+        k = np.searchsorted(self.ranks, i.astype(np.uint32), side="right") - 1
+        at = 64 * k + _select_in_word(self.words[k], i - self.ranks[k])
+        return ((at - i).astype(np.uint64) << _U(self.low_bits)) | self._low(i)
+
+    def _below_zero(self, j: np.ndarray) -> np.ndarray:
+        """Entries before the j-th zero of the high part, for j from -1."""
+        zeros = 64 * np.arange(len(self.ranks)) - self.ranks
+        k = np.maximum(np.searchsorted(zeros, j, side="right") - 1, 0)
+        return np.where(j < 0, 0, 64 * k + _select_in_word(~self.words[k], j - zeros[k]) - j)
+
+    def _run(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the successors of values, the end of the run of equal high parts, and the values' low parts."""
+        high = np.minimum(values >> _U(self.low_bits), _U(self.highest)).astype(np.int64)
+        at, end = self._below_zero(high - 1), self._below_zero(high)
+        low = values & _U((1 << self.low_bits) - 1) if self.low_bits else np.zeros(len(values), np.uint64)
+        lo, hi = at, end
+        while (open_ := lo < hi).any():
+            rows = np.nonzero(open_)[0]
+            mid = (lo[rows] + hi[rows]) >> 1
+            less = self._low(mid) < low[rows]
+            lo[rows[less]] = mid[less] + 1
+            hi = hi.copy() if hi is end else hi
+            hi[rows[~less]] = mid[~less]
+        return lo, end, low
 
     def successor(self, values: np.ndarray) -> np.ndarray:
-        """Places of the first entries not below ascending values; size if there are none. Entries must not repeat."""
-        if not self.size:
+        """Places of the first entries not below values; size if there are none."""
+        if not self.size or not len(values):
             return np.zeros(len(values), np.int64)
-        k = np.maximum(np.searchsorted(self.firsts, values, side="right") - 1, 0)
-        inside = self._over(k, lambda v, rows: np.searchsorted(v, values[rows]).astype(np.uint64))
-        return k * BLOCK + inside.astype(np.int64)
+        beyond = (values >> _U(self.low_bits)) > _U(self.highest)
+        return np.where(beyond, self.size, self._run(values)[0])
 
     def find(self, values: np.ndarray) -> np.ndarray:
-        """Places of ascending values; -1 for those that are not there."""
-        at = self.successor(values)
-        ok = at < self.size
-        ok[ok] = self.get(at[ok]) == values[ok]
+        """Places of values; -1 for those that are not there. Entries must not repeat."""
+        if not self.size or not len(values):
+            return np.full(len(values), -1, np.int64)
+        at, end, low = self._run(values)
+        ok = (at < end) & ((values >> _U(self.low_bits)) <= _U(self.highest))
+        ok[ok] = self._low(at[ok]) == low[ok]
         return np.where(ok, at, -1)
 
 
-# --- part files ---
+# --- files ---
 
 
-def pack_part(sequences: dict[str, np.ndarray], codes: dict[str, np.ndarray]) -> list[bytes]:
-    """A part file: a header of lengths, then directories and blocks of the sequences, then the 16-bit codes."""
-    body, head = [], []
-    for name in sorted(sequences):
-        data, table = encode_monotone(sequences[name])
-        body += [table.astype("<u8").tobytes(), data + bytes(-len(data) % 8)]
-        head += [len(table), len(body[-1])]
-    for name in sorted(codes):
-        raw = codes[name].astype("<u2").tobytes()
-        body.append(raw + bytes(-len(raw) % 8))
-        head += [len(codes[name]), len(body[-1])]
-    return [np.array(head, "<u8").tobytes(), *body]
+def encode_codes(values: np.ndarray) -> list[bytes]:
+    """Probabilities as 8-bit codes of equal steps of the logarithm; a code stands for the mean of what it holds."""
+    code, book = np.zeros(len(values), np.uint8), np.zeros(256, "<f8")
+    if len(values):
+        log = np.log(np.maximum(values, 1e-30))
+        low, width = log.min(), max(log.max() - log.min(), 1e-9)
+        code = np.minimum((log - low) * (256 / width), 255).astype(np.uint8)
+        n = np.bincount(code, minlength=256)
+        book = np.bincount(code, values, minlength=256) / np.maximum(n, 1)
+    return [np.array([len(values)], "<u8").tobytes(), book.astype("<f8").tobytes(), code.tobytes(), bytes(-len(code) % 8)]
 
 
-class Part:
-    """A mapped part file. Files that this machine cannot map are fetched once and unlinked while they are mapped."""
+class Codes:
+    def __init__(self, view: memoryview):
+        n = int(np.frombuffer(view[:8], "<u8")[0])
+        self.book, self.code = np.frombuffer(view[8:2056], "<f8"), np.frombuffer(view[2056 : 2056 + n], np.uint8)
+        self.bytes = 2056 + n + -n % 8
 
-    def __init__(self, uri: str, sequences: tuple[str, ...], codes: tuple[str, ...]):
+    def get(self, i: np.ndarray) -> np.ndarray:
+        return self.book[self.code[i]]
+
+
+class Mapped:
+    """A mapped file of sequences and codes, in the order of ``kinds``. What this machine cannot map in place is fetched
+    once, into a file that is unlinked while it is mapped; the shared one stays the only copy that counts."""
+
+    def __init__(self, uri: str, kinds: dict[str, type]):
         fs, path = filesystem(uri)
         if fs.type_name == "local":
             with open(path, "rb") as f:
@@ -173,145 +215,129 @@ class Part:
                     f.write(chunk)
                 f.flush()
                 self.map = mmap.mmap(f.fileno(), 0, prot=mmap.PROT_READ)
-        view = memoryview(self.map)
-        head = np.frombuffer(view[: 16 * (len(sequences) + len(codes))], "<u8").reshape(-1, 2).astype(np.int64)
-        at = head.size * 8
-        for name, (n, size) in zip(sorted(sequences), head[: len(sequences)].tolist()):
-            table = np.frombuffer(view[at : at + 32 * n], "<u8").reshape(n, 4)
-            at += 32 * n
-            setattr(self, name, Monotone(view[at : at + size], table))
-            at += size
-        for name, (n, size) in zip(sorted(codes), head[len(sequences) :].tolist()):
-            setattr(self, name, np.frombuffer(view[at : at + 2 * n], "<u2"))
-            at += size
-
-
-_parts: dict[str, Part] = {}
-_WORDS, _GRAMS = (("words", "sums"), ("prob",)), (("contexts", "starts", "values"), ("prob", "back"))
-
-
-def part(uri: str, kind) -> Part:
-    """This worker's map of a part file."""
-    if uri not in _parts:
-        if len(_parts) > 4096:
-            _parts.clear()
-            _blocks.clear()
-        _parts[uri] = Part(uri, *kind)
-    return _parts[uri]
-
-
-@dataclass(frozen=True)
-class Level:
-    """Part files of a level in order: their first key (hash or context), and the number of entries before each."""
+        view, at = memoryview(self.map), 0
+        for name, kind in kinds.items():
+            setattr(self, name, found := kind(view[at:]))
+            at += found.bytes
+
+
+_WORDS = {"words": Monotone, "sums": Monotone}
+_GRAMS = {"heads": Monotone, "ptr1": Monotone, "second": Monotone, "ptr2": Monotone, "third": Monotone, "back1": Codes, "prob2": Codes, "back2": Codes, "prob3": Codes}
+_maps: dict[str, Mapped] = {}
+
+
+def _mapped(uri: str, kinds: dict[str, type]) -> Mapped:
+    """This worker's map of a file."""
+    if uri not in _maps:
+        if len(_maps) > 8192:
+            _maps.clear()
+        _maps[uri] = Mapped(uri, kinds)
+    return _maps[uri]
+
+
+def _squeeze(*columns: np.ndarray) -> bytes:
+    """Ascending rows of unsigned columns: the first as gaps, all by byte planes, compressed."""
+    n, out = len(columns[0]), []
+    for k, c in enumerate(columns):
+        c = np.diff(c, prepend=c.dtype.type(0)) if k == 0 and n else c
+        width = max(1, -(-int(c.max()).bit_length() // 8)) if n else 1
+        out.append(bytes([width]) + c.astype("<u8").view(np.uint8).reshape(n, 8)[:, :width].T.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(np.array([n], "<u8").tobytes() + b"".join(out))
+
+
+def _unsqueeze(data: bytes, columns: int) -> list[np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    n, at, out = int(raw[:8].view("<u8")[0]), 8, []
+    for k in range(columns):
+        width = int(raw[at])
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :width] = raw[at + 1 : at + 1 + n * width].reshape(width, n).T
+        c = wide.view("<u8").reshape(n)
+        out.append(np.cumsum(c, dtype=np.uint64) if k == 0 else c)
+        at += 1 + n * width
+    return out
 
-    uris: tuple[str, ...]
-    firsts: tuple[int, ...]
-    bases: tuple[int, ...]
-    size: int
 
-    def split(self, keys: np.ndarray):
-        """(uri, base, rows) of the parts that ascending keys fall into."""
-        if len(self.uris):
-            k = np.maximum(np.searchsorted(np.array(self.firsts, np.uint64), keys, side="right") - 1, 0)
-            cuts = np.concatenate([[0], np.nonzero(np.diff(k))[0] + 1, [len(k)]]) if len(k) else np.zeros(1, int)
-            for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                yield self.uris[k[s]], self.bases[k[s]], slice(s, e)
-
-
-def find_words(level: Level, hashes: np.ndarray) -> np.ndarray:
-    """Numbers of ascending hashes; -1 for unknown words."""
-    out = np.full(len(hashes), -1, np.int64)
-    for uri, base, rows in level.split(hashes):
-        at = part(uri, _WORDS).words.find(hashes[rows])
-        out[rows] = np.where(at >= 0, at + base, -1)
-    return out
+def _runs(k: np.ndarray):
+    """(value, begin, end) of the runs of an ascending array."""
+    if len(k):
+        cuts = np.concatenate([[0], np.nonzero(np.diff(k))[0] + 1, [len(k)]])
+        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            yield int(k[s]), s, e
 
 
-def _codes_at(level: Level, numbers: np.ndarray, kind) -> np.ndarray:
-    """Probability codes of entries by ascending number."""
-    out = np.zeros(len(numbers), np.int64)
-    if len(numbers):
-        k = np.searchsorted(np.array(level.bases), numbers, side="right") - 1
-        for p in np.unique(k).tolist():
-            rows = k == p
-            out[rows] = part(level.uris[p], kind).prob[numbers[rows] - level.bases[p]]
-    return out
+def _by_part(batches):
+    """(part, its rows' data) of Arrow batches sorted by part, one piece of data at a time in an inner iterator."""
+    now = None
+    held: list = []
 
+    for b in batches:
+        for p, s, e in _runs(b.column("part").to_numpy()):
+            if now is not None and p != now:
+                yield now, held
+                held = []
+            now = p
+            held.extend(x.as_py() for x in b.column("data").slice(s, e - s))
+    if now is not None:
+        yield now, held
 
-def find_grams(level: Level, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of (context, word) pairs in ascending order: entry numbers or -1, probability codes, and back-off codes.
 
-    The context's range comes from a successor search; within it, the word is sought relative to the value before.
-    """
-    number, prob, back = np.full(len(context), -1, np.int64), np.zeros(len(context), np.int64), np.zeros(len(context), np.int64)
-    for uri, base, rows in level.split(context.astype(np.uint64)):
-        p, c, w = part(uri, _GRAMS), context[rows], word[rows]
-        own, inverse = np.unique(c, return_inverse=True)
-        at = p.contexts.find(own.astype(np.uint64))
-        known = at >= 0
-        lo, hi, before = (np.zeros(len(own), np.int64) for _ in range(3))
-        lo[known] = p.starts.get(at[known]).astype(np.int64)
-        hi[known] = p.starts.get(at[known] + 1).astype(np.int64)
-        inner = known & (lo > 0)
-        before[inner] = p.values.get(lo[inner] - 1).astype(np.int64)
-        b = np.zeros(len(own), np.int64)
-        b[known] = p.back[at[known]]
-        back[rows] = b[inverse]
-        ask = np.nonzero(known[inverse] & (w >= 0))[0]
-        target = (before[inverse[ask]] + w[ask] + 1).astype(np.uint64)
-        order = np.argsort(target, kind="stable")
-        ask, target = ask[order], target[order]
-        found = p.values.find(target)
-        ok = (found >= lo[inverse[ask]]) & (found < hi[inverse[ask]])
-        number[rows.start + ask[ok]] = found[ok] + base
-        prob[rows.start + ask[ok]] = p.prob[found[ok]]
-    return number, prob, back
-
-
-# --- the model ---
+# --- the first level ---
 
 
 @dataclass(frozen=True)
-class Trie:
-    """levels[0]: the words; levels[n]: the (n+1)-grams. tokens and vocabulary: of the training texts. unknown: log10 p."""
+class Words:
+    """The word files: their folder, and for each the words and tokens before it."""
 
-    levels: tuple[Level, ...]
+    folder: str
+    bases: np.ndarray
+    cums: np.ndarray
     tokens: int
-    vocabulary: int
-    unknown: float
+    size: int
+    discount: float
 
+    def _file(self, k: int) -> Mapped:
+        return _mapped(f"{self.folder}/words-{k:06d}.eft", _WORDS)
 
-class Walk:
-    """The tokens of a step of texts, their word numbers, and each level's entry for the n-gram that ends at a token."""
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number, tokens before, count) of ascending hashes; 0s for unknown words."""
+        number, cum, n = (np.zeros(len(hashes), np.int64) for _ in range(3))
+        files = len(self.bases)
+        for k, s, e in _runs(_bucket(hashes, files)):
+            f = self._file(k)
+            at = f.words.find(hashes[s:e] - _first_hash(k, files))
+            rows, at = s + np.nonzero(at >= 0)[0], at[at >= 0]
+            number[rows] = at + self.bases[k] + 1
+            cum[rows], n[rows] = self._sums(f, k, at)
+        return number, cum, n
 
-    def __init__(self, texts: list[bytes]):
-        self.hashes, self.counts = hash_words(texts)
-        self.doc = np.repeat(np.arange(len(texts)), self.counts)
-        self.place = np.arange(len(self.hashes)) - np.repeat(np.cumsum(self.counts) - self.counts, self.counts)
+    def _sums(self, f: Mapped, k: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        before = f.sums.get(at).astype(np.int64)
+        return before + self.cums[k], f.sums.get(at + 1).astype(np.int64) - before
 
-    def words(self, level: Level) -> np.ndarray:
-        own, inverse = np.unique(self.hashes, return_inverse=True)
-        return find_words(level, own)[inverse]
+    def sums(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens before, count) of words by number; 0 is no word."""
+        cum, n = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
+        k = np.searchsorted(self.bases, numbers - 1, side="right") - 1
+        for p in np.unique(k[numbers > 0]).tolist():
+            rows = np.nonzero((k == p) & (numbers > 0))[0]
+            cum[rows], n[rows] = self._sums(self._file(p), p, numbers[rows] - 1 - self.bases[p])
+        return cum, n
 
-    def pairs(self, before: np.ndarray, words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(tokens, context, word) where the token before ends a known (n-1)-gram of the same text."""
-        at = np.nonzero((self.place >= n - 1) & (np.concatenate([[-1], before[:-1]]) >= 0))[0]
-        return at, before[at - 1], words[at]
+    def place(self, first, second, third) -> np.ndarray:
+        """Places x of keys; each argument is (tokens before, count) of a word. (0, 0) for none."""
+        inner = third[0] / self.tokens
+        inner = (second[0] + second[1] * inner) / self.tokens
+        return first[0] + first[1] * inner
 
 
-def _pairwise(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs in ascending order, and for each row its pair."""
-    if not len(a):
-        return a, b, np.zeros(0, np.int64)
-    width = int(b.max()) + 2
-    if int(a.max()) < (1 << 62) // width:
-        key, inverse = np.unique(a * width + b + 1, return_inverse=True)
-        return key // width, key % width - 1, inverse
-    order = np.lexsort((b, a))
-    new = np.concatenate([[True], (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)])
-    inverse = np.empty(len(a), np.int64)
-    inverse[order] = np.cumsum(new) - 1
-    return a[order][new], b[order][new], inverse
+def _bucket(hashes: np.ndarray, n: int) -> np.ndarray:
+    return (((hashes >> _U(32)) * _U(n)) >> _U(32)).astype(np.int64)
+
+
+def _first_hash(k: int, n: int) -> np.uint64:
+    """The smallest hash of a bucket."""
+    return _U((-(-(k << 32) // n)) << 32)
 
 
 def _steps(batches, *columns: str):
@@ -325,49 +351,32 @@ def _steps(batches, *columns: str):
                 part_.append(t)
                 size += len(t)
                 at += 1
-            yield Walk(part_), *[b.column(c).slice(begin, len(part_)) for c in columns]
-
-
-def _levels_of(walk: Walk, levels: tuple[Level, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers, and the entry of the longest level's n-gram that ends at each token (-1: none)."""
-    words = walk.words(levels[0])
-    entry = words
-    for n, level in enumerate(levels[1:], 2):
-        at, context, word = walk.pairs(entry, words, n)
-        c, w, inverse = _pairwise(context, word)
-        entry = np.full(len(words), -1, np.int64)
-        entry[at] = find_grams(level, c, w)[0][inverse]
-    return words, entry
-
-
-class _Tally:
-    """Sums by key over the steps of a task; given out whenever it has grown large, so memory is bounded."""
-
-    def __init__(self, limit: int = 600_000):
-        self.limit, self.rows, self.held = limit, [], 0
-
-    def add(self, *cols: np.ndarray) -> None:
-        self.rows.append(cols)
-        self.held += len(cols[0])
-
-    def take(self, force: bool = False):
-        """(key columns..., sum of the last) when full or forced; else None."""
-        if not self.rows or not (force or self.held > self.limit):
-            return None
-        cols = [np.concatenate(x) for x in zip(*self.rows)]
-        if len(cols) == 2:
-            key, inverse = np.unique(cols[0], return_inverse=True)
-            out = [key, np.bincount(inverse, cols[1]).astype(np.int64)]
-        else:
-            a, b, inverse = _pairwise(cols[0], cols[1])
-            low = np.zeros(len(a), np.int64)
-            low[inverse] = cols[2]
-            out = [a, b, low, np.bincount(inverse, cols[3]).astype(np.int64)]
-        if not force and len(out[0]) < self.limit // 2:
-            self.rows, self.held = [tuple(out)], len(out[0])
-            return None
-        self.rows, self.held = [], 0
-        return out
+            yield hash_words(part_), *[b.column(c).slice(begin, len(part_)) for c in columns]
+
+
+def _pieces(parts: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    """A row for each run of parts: the part and its columns, squeezed."""
+    rows = [(p, _squeeze(*[c[s:e] for c in columns])) for p, s, e in _runs(parts)]
+    return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], names=["part", "data"])
+
+
+def _sum_by(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(key)
+    key, n = key[order], n[order]
+    first = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0] if len(key) else np.zeros(0, np.int64)
+    return key[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _merge_words(held: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    key, n, more, rows = np.zeros(0, np.uint64), np.zeros(0, np.uint64), [], 0
+    for k, data in enumerate(held):
+        more.append(_unsqueeze(data, 2))
+        held[k] = b""
+        rows += len(more[-1][0])
+        if rows > HELD_ROWS or k + 1 == len(held):
+            key, n = _sum_by(np.concatenate([key, *[x[0] for x in more]]), np.concatenate([n, *[x[1] for x in more]]))
+            more, rows = [], 0
+    return key, n
 
 
 def _discount(once: int, twice: int) -> float:
@@ -375,169 +384,328 @@ def _discount(once: int, twice: int) -> float:
     return min(0.95, max(0.1, once / max(1, once + 2 * twice)))
 
 
-def _code(log10: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(-log10 * STEPS), 0, 65535).astype(np.int64)
+def count_words(texts: DataFrame) -> Words:
+    """Count the words of all texts into files by hash range; a worker sums some steps before it sends."""
+    spark = texts.sparkSession
+    files, folder = max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), scratch(spark, "lm-words")
+
+    def count(batches):
+        key, n = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        for ((h, _),) in _steps(batches):
+            own, seen = np.unique(h, return_counts=True)
+            key, n = _sum_by(np.concatenate([key, own]), np.concatenate([n, seen.astype(np.uint64)]))
+            if len(key) > HELD_ROWS:
+                yield _pieces(_bucket(key, files), key, n)
+                key, n = key[:0], n[:0]
+        if len(key):
+            yield _pieces(_bucket(key, files), key, n)
+
+    def build(batches):
+        for p, held in _by_part(batches):
+            key, n = _merge_words(held)
+            put_bytes(f"{folder}/words-{p:06d}.eft", encode_monotone(key - _first_hash(p, files)) + encode_monotone(np.concatenate([[0], np.cumsum(n)])))
+            yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int64()), "words": pa.array([len(key)], pa.int64()), "tokens": pa.array([int(n.sum())], pa.int64()), "once": pa.array([int((n == 1).sum())], pa.int64()), "twice": pa.array([int((n == 2).sum())], pa.int64())})
 
+    rows = texts.mapInArrow(count, "part int, data binary").repartitionById(files, "part").sortWithinPartitions("part")
+    # one row a file, as many as shuffle partitions
+    found = rows.mapInArrow(build, "part long, words long, tokens long, once long, twice long").collect()
+    words, tokens = np.zeros(files, np.int64), np.zeros(files, np.int64)
+    for r in found:
+        words[r["part"]], tokens[r["part"]] = r["words"], r["tokens"]
+    for k in set(range(files)) - {r["part"] for r in found}:
+        put_bytes(f"{folder}/words-{k:06d}.eft", encode_monotone(np.zeros(0, np.uint64)) + encode_monotone(np.zeros(1, np.uint64)))
+    d = _discount(sum(r["once"] for r in found), sum(r["twice"] for r in found))
+    return Words(folder, np.cumsum(words) - words, np.cumsum(tokens) - tokens, int(tokens.sum()), int(words.sum()), d)
 
-def _gather_level(table: DataFrame, build, label: str, key: str, order: list[str], size: int) -> Level:
-    """Write the part files of a level, each by the task that holds its range of keys; their list comes to the driver."""
-    folder = scratch(table.sparkSession, label)
-    parts = max(1, -(-size // PART_ROWS))
-    ranged = table.repartitionByRange(parts, key).sortWithinPartitions(*order)
 
-    def write(batches):
-        cols = [pa.Table.from_batches(x).combine_chunks() for x in [list(batches)] if x]
-        if not cols or not cols[0].num_rows:
-            return
-        uri = f"{folder}/part-{TaskContext.get().partitionId():06d}.eft"
-        first, n, chunks = build({c: cols[0].column(c).to_numpy() for c in cols[0].column_names})
-        if n:
-            put_bytes(uri, chunks)
-            yield pa.RecordBatch.from_pydict({"uri": [uri], "first": pa.array([first], pa.int64()), "n": pa.array([n], pa.int64())})
+# --- the other levels ---
 
-    found = sorted((int(r["first"]) & 0xFFFFFFFFFFFFFFFF, r["uri"], r["n"]) for r in ranged.mapInArrow(write, "uri string, first long, n long").collect())
-    bases = np.concatenate([[0], np.cumsum([n for _, _, n in found])]).astype(int).tolist()
-    return Level(tuple(u for _, u, _ in found), tuple(f for f, _, _ in found), tuple(bases[:-1]), bases[-1])
 
+@dataclass(frozen=True)
+class Trie:
+    words: Words
+    folder: str
+    parts: int
+    part_tokens: int
+
+    def part_of(self, x: np.ndarray) -> np.ndarray:
+        return np.minimum(x // self.part_tokens, self.parts - 1).astype(np.int64)
+
+    def find(self, keys: np.ndarray, x: np.ndarray) -> dict[str, np.ndarray]:
+        """Of (w1, w2, w3) numbers in ascending order, w1 known, at places x: prob2, back1, prob3 and back2; -1: none.
+
+        Each level's range comes from the pointers; in it, the word is sought relative to the value before the range.
+        """
+        out = {name: np.full(keys.shape[1], -1.0) for name in ("back1", "prob2", "back2", "prob3")}
+        for p, s, e in _runs(self.part_of(x)):
+            f = _mapped(f"{self.folder}/part-{p:08d}.eft", _GRAMS)
+            a, b, c = keys[:, s:e]
+            rows, at = _known(f.heads.find(a.astype(np.uint64)))
+            out["back1"][s + rows] = f.back1.get(at)
+            rows, at = _inside(f.ptr1, f.second, rows, at, b)
+            out["prob2"][s + rows], out["back2"][s + rows] = f.prob2.get(at), f.back2.get(at)
+            rows, at = _inside(f.ptr2, f.third, rows, at, c)
+            out["prob3"][s + rows] = f.prob3.get(at)
+        return out
 
-def build_trie(docs: DataFrame, *, order: int = 3, least: int = 2) -> Trie:
-    """Count, smooth and pack the n-grams of all ``docs`` up to ``order``; longer than words, those seen ``least`` times.
 
-    Interpolated absolute discounting: p(w|c) = (n - D) / N(c) + back(c) p(w|shorter c), where back(c) is all mass that
-    the kept continuations leave, so each context's probabilities sum to 1 over the words and the unknown one, which has
-    the mass that the words' own discounts leave. An n-gram is counted where both (n-1)-grams in it are kept, for else
-    it cannot be. Counting keeps sums per task and adds them by key; only files' names come to the driver.
+def _known(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    rows = np.nonzero(at >= 0)[0]
+    return rows, at[rows]
+
+
+def _inside(pointers: Monotone, values: Monotone, rows: np.ndarray, at: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, places) of the words that the ranges of the entries ``at`` hold."""
+    ask = words[rows] > 0
+    rows, at = rows[ask], at[ask]
+    lo, hi = pointers.get(at).astype(np.int64), pointers.get(at + 1).astype(np.int64)
+    before = np.zeros(len(at), np.uint64)
+    before[lo > 0] = values.get(lo[lo > 0] - 1)
+    found = values.find(before + words[rows].astype(np.uint64))
+    ok = (found >= lo) & (found < hi)
+    return rows[ok], found[ok]
+
+
+def _local(h: np.ndarray, counts: np.ndarray, words: Words):
+    """Words of a step by a local number in ascending order, 0 for unknown ones: (local number of each token, the global
+    number, tokens before and count by local number, token's place in its text, bits of a local number)."""
+    own, inverse = np.unique(h, return_inverse=True)
+    number, cum, n = words.find(own)
+    known = number > 0
+    local = np.where(known, np.cumsum(known), 0)[inverse]
+    table = [np.concatenate([[0], c[known]]) for c in (number, cum, n)]
+    place = np.arange(len(h)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return local, table, place, max(1, int(known.sum()).bit_length())
+
+
+def _keys(a: np.ndarray, b: np.ndarray, c: np.ndarray, bits: int):
+    """Distinct (a, b, c) in ascending order, the row's own, and how often each is there."""
+    if 3 * bits <= 63:
+        key, inverse, n = np.unique((a << (2 * bits)) | (b << bits) | c, return_inverse=True, return_counts=True)
+        low = (1 << bits) - 1
+        return np.stack([key >> (2 * bits), (key >> bits) & low, key & low]), inverse, n
+    order = np.lexsort((c, b, a))
+    rows = np.stack([a, b, c])[:, order]
+    new = np.concatenate([[True], (np.diff(rows) != 0).any(axis=0)]) if len(a) else np.zeros(0, bool)
+    inverse = np.empty(len(a), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return rows[:, new], inverse, np.bincount(inverse, minlength=int(new.sum()))
+
+
+def _places(words: Words, table: list[np.ndarray], keys: np.ndarray) -> np.ndarray:
+    _, cum, n = table
+    return words.place(*[(cum[k], n[k]) for k in keys])
+
+
+def _merge_grams(held: list[bytes]) -> list[np.ndarray]:
+    """The sum of pieces: (w1, w2, w3, n), ascending. Columns are ranked first, so that keys pack."""
+    now, more, rows = [np.zeros(0, np.uint64)] * 4, [], 0
+    for k, data in enumerate(held):
+        more.append(_unsqueeze(data, 4))
+        held[k] = b""
+        rows += len(more[-1][0])
+        if rows > HELD_ROWS or k + 1 == len(held):
+            cols = [np.concatenate([now[j], *[x[j] for x in more]]) for j in range(4)]
+            own, ranks = zip(*[np.unique(c, return_inverse=True) for c in cols[:3]])
+            bits = [len(o).bit_length() for o in own]
+            if sum(bits) <= 63:
+                key, n = _sum_by((ranks[0] << (bits[1] + bits[2])) | (ranks[1] << bits[2]) | ranks[2], cols[3])
+                ranks = [key >> (bits[1] + bits[2]), (key >> bits[2]) & ((1 << bits[1]) - 1), key & ((1 << bits[2]) - 1)]
+            else:
+                order = np.lexsort(ranks[::-1])
+                ranks = [r[order] for r in ranks]
+                first = np.nonzero(np.concatenate([[True], np.any([np.diff(r) != 0 for r in ranks], axis=0)]))[0]
+                n, ranks = np.add.reduceat(cols[3][order], first), [r[first] for r in ranks]
+            now, more, rows = [*[o[r] for o, r in zip(own, ranks)], n], [], 0
+    return now
+
+
+def _heads(*columns: np.ndarray) -> np.ndarray:
+    """Where a new run of equal rows begins."""
+    if not len(columns[0]):
+        return np.zeros(0, np.int64)
+    return np.nonzero(np.concatenate([[True], np.any([np.diff(c.astype(np.int64)) != 0 for c in columns], axis=0)]))[0]
+
+
+_CUTS = "part long, kind int, w1 long, w2 long, n long, distinct long, once2 long, twice2 long, once3 long, twice3 long, lo long, hi long"
+
+
+def build_trie(docs: DataFrame, *, part_tokens: int = PART_TOKENS) -> Trie:
+    """Count, smooth and pack the words, bigrams and trigrams of all ``docs``; every one seen is kept.
+
+    Interpolated absolute discounting: p(w|c) = (n(cw) - D) / n(c) + D distinct(c) / n(c) p(w|shorter c). The trie holds
+    the first term and the factor of the second; a walk adds them up, so each context's probabilities sum to 1 over the
+    words and the unknown one, which has the mass that the words' own discounts leave. Every token but ends begins one
+    trigram, filled up with no word after the end, so one count of trigrams gives all three levels.
     """
-    texts = docs.select("text")
-
-    def count_words(batches):
-        tally = _Tally()
-        for (walk,) in _steps(batches):
-            own, n = np.unique(walk.hashes, return_counts=True)
-            tally.add(own, n)
-            if out := tally.take():
-                yield _batch(out, ["h", "n"])
-        if out := tally.take(True):
-            yield _batch(out, ["h", "n"])
-
-    # hashes are unsigned; with the sign bit turned, Spark's order of longs is theirs
-    flip = np.int64(-(1 << 63))
-    words = texts.mapInArrow(count_words, "h long, n long").groupBy(F.col("h").bitwiseXOR(F.lit(-(1 << 63))).alias("h")).agg(F.sum("n").alias("n"))
-    words = written(words, "lm-words")
-    total = words.agg(F.sum("n"), F.count(F.lit(1)), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
-    tokens, vocabulary = total[0] or 0, total[1]
-    d1 = _discount(total[2], total[3])
-    unknown = float(np.log10(d1 * vocabulary / tokens)) if tokens else 0.0
-
-    def build_words(c):
-        h = (c["h"] ^ flip).view(np.uint64)
-        prob = _code(np.log10((c["n"] - d1) / tokens))
-        return int(h[:1].view(np.int64)[0]), len(h), pack_part({"words": h, "sums": np.concatenate([[0], np.cumsum(c["n"])])}, {"prob": prob})
-
-    levels = [_gather_level(words, build_words, "lm-1", "h", ["h"], vocabulary)]
-    for n in range(2, order + 1):
-        level = _count_and_build(texts, tuple(levels), n, least)
-        if not level.size:
-            break
-        levels.append(level)
-        release(texts.sparkSession)
-    return Trie(tuple(levels), tokens, vocabulary, unknown)
-
-
-def _batch(cols, names) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64)) for c in cols], names=names)
-
-
-def _count_and_build(texts: DataFrame, levels: tuple[Level, ...], n: int, least: int) -> Level:
-    names = ["context", "word", "low", "n"]
-
-    def count_grams(batches):
-        tally = _Tally()
-        for (walk,) in _steps(batches):
-            words, entry = _levels_of(walk, levels)
-            at, context, word = walk.pairs(entry, words, n)
-            low = entry[at] if n > 2 else word
-            tally.add(context, np.full(len(at), -1), np.zeros(len(at), np.int64), np.ones(len(at), np.int64))  # the context itself
-            ok = low >= 0
-            tally.add(context[ok], word[ok], low[ok], np.ones(int(ok.sum()), np.int64))
-            if out := tally.take():
-                yield _batch(out, names)
-        if out := tally.take(True):
-            yield _batch(out, names)
-
-    grams = texts.mapInArrow(count_grams, "context long, word long, low long, n long").groupBy("context", "word").agg(F.min("low").alias("low"), F.sum("n").alias("n"))
-    once, twice = (F.count_if((F.col("word") >= 0) & (F.col("n") == k)) for k in (1, 2))
-    # contexts with nothing kept need no entry: their whole mass backs off
-    sketch = grams.withColumn("keep", (F.col("word") < 0) | (F.col("n") >= least))
-    seen = Observation()
-    kept = written(sketch.observe(seen, once.alias("once"), twice.alias("twice"), F.count_if(F.col("keep") & (F.col("word") >= 0)).alias("kept")).where("keep").drop("keep"), f"lm-{n}")
-    found = seen.get
-    d, lower, kind = _discount(found["once"] or 0, found["twice"] or 0), levels[-1], _WORDS if n == 2 else _GRAMS
-
-    def build(c):
-        context, word, seen_n = c["context"], c["word"], c["n"]
-        head = word < 0  # the first row of each context
-        which = np.cumsum(head) - 1
-        total = seen_n[head][which]
-        own = ~head
-        sums = np.bincount(which[own], seen_n[own] - d, minlength=int(head.sum()))
-        back = 1.0 - sums / seen_n[head]
-        order = np.argsort(c["low"][own], kind="stable")
-        low = np.empty(int(own.sum()))
-        low[order] = 10.0 ** (-_codes_at(lower, c["low"][own][order], kind) / STEPS)
-        p = (seen_n[own] - d) / total[own] + back[which[own]] * low
-        size = np.bincount(which[own], minlength=int(head.sum()))
-        has = size > 0
-        starts = np.concatenate([[0], np.cumsum(size[has])])
-        value = word[own] + 1
-        last = value[starts[1:] - 1] if has.any() else value[:0]
-        shift = np.concatenate([[0], np.cumsum(last)[:-1]]) if has.any() else np.zeros(0, np.int64)
-        value = value + np.repeat(shift, size[has])
-        contexts = context[head][has]
-        sequences = {"contexts": contexts, "starts": starts, "values": value}
-        return int(contexts[0]) if len(contexts) else 0, len(value), pack_part(sequences, {"prob": _code(np.log10(np.minimum(p, 1.0))), "back": _code(np.log10(np.maximum(back[has], 1e-12)))})
-
-    return _gather_level(kept, build, f"lm-{n}-trie", "context", ["context", "word"], 2 * (found["kept"] or 0))
-
-
-def word_counts(level: Level, numbers: np.ndarray) -> np.ndarray:
-    """Counts of words by ascending number."""
-    out = np.zeros(len(numbers), np.int64)
-    k = np.searchsorted(np.array(level.bases), numbers, side="right") - 1
-    for p in np.unique(k).tolist():
-        sums, at = part(level.uris[p], _WORDS).sums, numbers[k == p] - level.bases[p]
-        out[k == p] = (sums.get(at + 1) - sums.get(at)).astype(np.int64)
-    return out
+    spark, texts = docs.sparkSession, docs.select("text")
+    words = count_words(texts)
+    release(spark)
+    trie = Trie(words, scratch(spark, "lm-trie"), max(1, -(-words.tokens // part_tokens)), part_tokens)
+    folder, parts = scratch(spark, "lm-counts"), trie.parts
+
+    def count(batches):
+        for ((h, counts),) in _steps(batches):
+            local, table, place, bits = _local(h, counts, words)
+            after = np.repeat(counts, counts) - place  # tokens from here to the end
+            at = np.nonzero(after > 1)[0]
+            third = np.where(after[at] > 2, np.concatenate([local, [0]])[at + 2 if len(at) else at], 0)
+            keys, _, n = _keys(local[at], local[at + 1], third, bits)
+            x = _places(words, table, keys)
+            yield _pieces(trie.part_of(x), *[table[0][k].astype(np.uint64) for k in keys], n.astype(np.uint64))
+
+    def merge(batches):
+        for p, held in _by_part(batches):
+            w1, w2, w3, n = _merge_grams(held)
+            put_bytes(f"{folder}/counts-{p:08d}.raw", [_squeeze(w1, w2, w3, n)])
+            yield _cuts_of(p, w1, w2, w3, n, trie)
+
+    rows = texts.mapInArrow(count, "part int, data binary").repartitionById(parts, "part").sortWithinPartitions("part")
+    cuts = written(rows.mapInArrow(merge, _CUTS), "lm-cuts")
+    release(spark)
+    # contexts that a cut goes through, with their sums over all parts
+    pairs = cuts.where("kind = 1").groupBy("w1", "w2").agg(F.sum("n").alias("n"), F.sum("distinct").alias("distinct"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
+    firsts = cuts.where("kind = 2").groupBy("w1").agg(F.sum("distinct").alias("inner"), F.first("n").alias("n"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
+    firsts = firsts.join(pairs.groupBy("w1").agg(F.count(F.lit(1)).alias("cut")), "w1", "left")
+    firsts = firsts.select("w1", F.lit(0).cast("long").alias("w2"), "n", (F.col("inner") + F.coalesce("cut", F.lit(0))).alias("distinct"), "lo", "hi")
+    seen = cuts.where("kind = 0").agg(*[F.sum(c) for c in ("once2", "twice2", "once3", "twice3")]).first()
+    cut2 = pairs.agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
+    d2, d3 = _discount((seen[0] or 0) + cut2[0], (seen[1] or 0) + cut2[1]), _discount(seen[2] or 0, seen[3] or 0)
+    whole = pairs.select("w1", "w2", "n", "distinct", "lo", "hi").union(firsts)
+    whole = whole.select(F.explode(F.sequence("lo", "hi")).alias("part"), F.struct("w1", "w2", "n", "distinct").alias("c"))
+    jobs = spark.range(parts).withColumnRenamed("id", "part").join(whole.groupBy("part").agg(F.collect_list("c").alias("cuts")), "part", "left")
+    jobs = jobs.join(cuts.where("kind = 0").select(F.col("part").alias("part"), F.lit(True).alias("full")), "part", "left")
+
+    def build(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                p = r["part"]
+                cols = [np.zeros(0, np.uint64)] * 4
+                if r["full"]:
+                    fs, path = filesystem(f"{folder}/counts-{p:08d}.raw")
+                    with fs.open_input_stream(path) as f:
+                        cols = _unsqueeze(f.read(), 4)
+                put_bytes(f"{trie.folder}/part-{p:08d}.eft", _pack_part(cols, r["cuts"] or [], d2, d3))
+                yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int64())})
+
+    made = jobs.select("part", "cuts", "full").repartitionById(parts, F.col("part").cast("int")).mapInArrow(build, "part long").count()
+    assert made == parts, "every part must be there"
+    remove(folder)
+    return trie
+
+
+def _cuts_of(p: int, w1, w2, w3, n, trie: Trie) -> pa.RecordBatch:
+    """What a part tells of itself: how many n-grams it has seen once and twice, and the contexts at its two ends."""
+    words, ends = trie.words, np.concatenate
+    at = _heads(w1, w2)
+    a, b, cnt = w1[at], w2[at], np.add.reduceat(n, at)
+    kids = np.add.reduceat((w3 > 0).astype(np.int64), at)
+    tri = n[w3 > 0]
+    edge = np.unique([0, len(at) - 1])
+    inner = np.ones(len(at), bool)
+    inner[edge] = False
+    zero = {c: 0 for c in ("w1", "w2", "n", "distinct", "once2", "twice2", "once3", "twice3", "lo", "hi")}
+    rows = [zero | {"part": p, "kind": 0, "once2": int((cnt[inner] == 1).sum()), "twice2": int((cnt[inner] == 2).sum()), "once3": int((tri == 1).sum()), "twice3": int((tri == 2).sum())}]
+    none = (np.zeros(1), np.zeros(1))
+    last = (np.array([words.tokens * (1 + 1e-9)]), np.zeros(1))
+    for k in edge.tolist():
+        first, second = words.sums(a[k : k + 1].astype(np.int64)), words.sums(b[k : k + 1].astype(np.int64))
+        lo, hi = (int(trie.part_of(words.place(first, second, x))[0]) for x in (none, last))
+        rows.append(zero | {"part": p, "kind": 1, "w1": int(a[k]), "w2": int(b[k]), "n": int(cnt[k]), "distinct": int(kids[k]), "lo": lo, "hi": hi})
+    for w in np.unique(a[edge]).tolist():
+        first = words.sums(np.array([w], np.int64))
+        lo, hi = (int(trie.part_of(words.place(first, x, none))[0]) for x in (none, last))
+        rows.append(zero | {"part": p, "kind": 2, "w1": int(w), "n": int(first[1][0]), "distinct": int((inner & (a == w)).sum()), "lo": lo, "hi": hi})
+    kinds = {"kind": pa.int32()}
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kinds.get(c, pa.int64())) for c in (x.split()[0] for x in _CUTS.split(", "))], names=[x.split()[0] for x in _CUTS.split(", ")])
+
+
+def _monotone_ranges(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Values of consecutive ranges, each with the last of the range before added; empty ranges add nothing."""
+    size = np.diff(starts)
+    last = np.zeros(len(size), np.int64)
+    last[size > 0] = values[starts[1:][size > 0] - 1]
+    return values + np.repeat(np.cumsum(last) - last, size)
+
+
+def _pack_part(cols: list[np.ndarray], cuts: list[dict], d2: float, d3: float) -> list[bytes]:
+    """A part file from its counts, the contexts that are cut there or near there, and the discounts."""
+    w1, w2, w3, n = (c.astype(np.int64) for c in cols)
+    at = _heads(w1, w2)
+    a, b = w1[at], w2[at]
+    cnt = np.add.reduceat(n, at) if len(at) else n
+    kids = np.add.reduceat((w3 > 0).astype(np.int64), at) if len(at) else n
+    distinct = kids.copy()
+    total: dict[int, tuple[int, int]] = {}
+    for c in cuts:
+        if not c["w2"]:
+            total[c["w1"]] = c["n"], c["distinct"]
+            continue
+        k = np.nonzero((a == c["w1"]) & (b == c["w2"]))[0]
+        if len(k):
+            cnt[k], distinct[k] = c["n"], c["distinct"]
+        else:
+            a, b, cnt, distinct, kids = (np.append(x, v) for x, v in ((a, c["w1"]), (b, c["w2"]), (cnt, c["n"]), (distinct, c["distinct"]), (kids, 0)))
+    own_rows = len(at)
+    order = np.lexsort((b, a))
+    if len(order) > own_rows:  # those put in have no rows of their own, so the order of the rows stays
+        a, b, cnt, distinct, kids = (x[order] for x in (a, b, cnt, distinct, kids))
+    heads, first = np.unique(a, return_index=True)
+    more = np.array(sorted(set(total) - set(heads.tolist())), np.int64)
+    sizes = np.diff(np.append(first, len(a)))
+    seen, kinds2 = (np.add.reduceat(cnt, first), sizes.copy()) if len(first) else (cnt, sizes.copy())
+    every = np.concatenate([heads, more])
+    order = np.argsort(every, kind="stable")
+    every, sizes, seen, kinds2 = every[order], *(np.concatenate([x, np.zeros(len(more), np.int64)])[order] for x in (sizes, seen, kinds2))
+    for w, (c, d) in total.items():
+        k = int(np.searchsorted(every, w))
+        seen[k], kinds2[k] = c, d
+    ptr1 = np.concatenate([[0], np.cumsum(sizes)])
+    ptr2 = np.concatenate([[0], np.cumsum(kids)])
+    tri = w3 > 0
+    third = _monotone_ranges(w3[tri], ptr2)
+    sequences = [every, ptr1, _monotone_ranges(b, ptr1), ptr2, third]
+    codes = [
+        d2 * kinds2 / np.maximum(seen, 1),
+        (cnt - d2) / np.repeat(seen, sizes),
+        d3 * np.maximum(distinct, 1) / cnt,  # what only an end follows is never a context
+        (n[tri] - d3) / np.repeat(cnt, kids),
+    ]
+    return [x for s in sequences for x in encode_monotone(s)] + [x for c in codes for x in encode_codes(c)]
 
 
 def score_texts(docs: DataFrame, trie: Trie, smoothing: float = 0.1) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score and score of every whole text; one row per row.
 
-    score: log10 p of the text's tokens under the trie, each by the longest kept n-gram that ends there, else by backing
-    off; a text's first tokens have shorter contexts. base_score: unigrams with ``smoothing`` added to each count.
+    score: log10 p of the text's tokens under the trie, trigrams interpolated with bigrams and those with words; a text's
+    first tokens have shorter contexts. base_score: unigrams with ``smoothing`` added to each count.
     """
-    whole = trie.tokens + smoothing * (trie.vocabulary + 1)
+    words = trie.words
+    whole = words.tokens + smoothing * (words.size + 1)
+    unknown = words.discount * words.size / words.tokens if words.tokens else 1.0
 
     def run(batches):
-        for walk, ids in _steps(batches, "doc_id"):
-            words = walk.words(trie.levels[0])
-            own, inverse = np.unique(words, return_inverse=True)
-            known = own >= 0
-            p, n = np.full(len(own), trie.unknown), np.zeros(len(own))
-            p[known] = -_codes_at(trie.levels[0], own[known], _WORDS) / STEPS
-            n[known] = word_counts(trie.levels[0], own[known])
-            log, base, entry = p[inverse], np.log10((n + smoothing) / whole)[inverse], words
-            for order, level in enumerate(trie.levels[1:], 2):
-                at, context, word = walk.pairs(entry, words, order)
-                c, w, inverse = _pairwise(context, word)
-                number, prob, back = find_grams(level, c, w)
-                entry = np.full(len(words), -1, np.int64)
-                entry[at] = number[inverse]
-                log[at] = np.where(number >= 0, -prob / STEPS, -back / STEPS)[inverse] + np.where(number[inverse] >= 0, 0.0, log[at])
-            docs_ = len(walk.counts)
-            sums = [np.bincount(walk.doc, x, minlength=docs_) for x in (words >= 0, base, log)]
+        for (h, counts), ids in _steps(batches, "doc_id"):
+            local, table, place, bits = _local(h, counts, words)
+            n = table[2].astype(float)
+            p = np.concatenate([[unknown], (n[1:] - words.discount) / max(words.tokens, 1)])[local]
+            base = np.log10((n + smoothing) / whole)[local] if whole else np.zeros(len(local))
+            known = local > 0
+            shifted = [np.concatenate([np.zeros(k, np.int64), local])[: len(local)] for k in (0, 1, 2)]
+            two = np.nonzero((place >= 1) & (shifted[1] > 0))[0]
+            three = two[(place[two] >= 2) & (shifted[2][two] > 0)]
+            a = np.concatenate([shifted[1][two], shifted[2][three]])
+            b = np.concatenate([shifted[0][two], shifted[1][three]])
+            c = np.concatenate([np.zeros(len(two), np.int64), shifted[0][three]])
+            keys, inverse, _ = _keys(a, b, c, bits)
+            found = trie.find(np.stack([table[0][k] for k in keys]), _places(words, table, keys))
+            for at, prob, back, rows in ((two, "prob2", "back1", inverse[: len(two)]), (three, "prob3", "back2", inverse[len(two) :])):
+                share = found[back][rows]
+                p[at] = np.where(share >= 0, share * p[at] + np.maximum(found[prob][rows], 0), p[at])
+            doc, docs_ = np.repeat(np.arange(len(counts)), counts), len(counts)
+            sums = [np.bincount(doc, x, minlength=docs_) for x in (known, base, np.log10(p))]
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(walk.counts.astype(np.int64)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])],
+                [ids, pa.array(counts.astype(np.int64)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])],
                 names=["doc_id", "n_tokens", "n_known", "base_score", "score"],
             )
 
@@ -549,13 +717,13 @@ def held_out(doc_id):
     return id_crc(doc_id) % 10 == 0
 
 
-def learn_and_score(docs: DataFrame, *, order: int = 3, least: int = 2) -> DataFrame:
+def learn_and_score(docs: DataFrame, *, part_tokens: int = PART_TOKENS) -> DataFrame:
     """Scores of all documents by a trie of those that are not held out.
 
     Null and empty texts are one end token. Null ids count as the empty text's crc, so they are held out. Repeated rows
     are counted and scored each. Without any training text the unknown word has all mass: scores are 0.
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
     """
-    trie = build_trie(docs.where(~held_out(F.col("doc_id"))), order=order, least=least)
+    trie = build_trie(docs.where(~held_out(F.col("doc_id"))), part_tokens=part_tokens)
     out = score_texts(docs, trie)
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(trie.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(trie.words.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -23,7 +23,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by a trigram trie of nine tenths of them, with every n-gram seen there."""
-    return ngram.learn_and_score(_documents(spark, sf_dir), order=3, least=1)
+    return ngram.learn_and_score(_documents(spark, sf_dir))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
