@@ -19,10 +19,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blobs import PIECES, bucket, by_part, first_hash, pieces, runs, squeeze, unsqueeze
 from .common import filesystem, id_crc, put_bytes, release, remove, scratch, written
 
 #: Bytes of text that a worker takes at a time; training tokens of a part file; rows that a merge holds before it sums.
@@ -97,16 +97,25 @@ def encode_monotone(values: np.ndarray) -> list[bytes]:
     return [np.array([n, low, len(words), len(lows) + -len(lows) % 8], "<u8").tobytes(), lows, bytes(-len(lows) % 8), words.tobytes(), ranks.tobytes(), bytes(-len(ranks) * 4 % 8)]
 
 
+_FIFTHS, _THIRDS, _NIBBLES, _BYTES, _TOPS = (_U(x * 0x0101010101010101) for x in (0x55, 0x33, 0x0F, 0x01, 0x80))
+#: By 8 x byte + r: the place of the byte's r-th one.
+_IN_BYTE = np.array([([k for k in range(8) if b >> k & 1] + [0] * 8)[r] for b in range(256) for r in range(8)], np.int64)
+
+
 def _select_in_word(w: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """Place of the r-th one of each word, by halves."""
-    at = np.zeros(len(w), np.int64)
-    for s in (32, 16, 8, 4, 2, 1):
-        c = np.bitwise_count(w & _U((1 << s) - 1)).astype(np.int64)
-        go = r >= c
-        r = r - np.where(go, c, 0)
-        w = np.where(go, w >> _U(s), w)
-        at += np.where(go, s, 0)
-    return at
+    """Place of the r-th one of each word: the byte by running sums of ones, then by table."""
+    x = w - ((w >> _U(1)) & _FIFTHS)
+    x = (x & _THIRDS) + ((x >> _U(2)) & _THIRDS)
+    sums = ((x + (x >> _U(4))) & _NIBBLES) * _BYTES  # byte k: ones in bytes 0 to k
+    r = r.astype(np.uint64)
+    shift = np.bitwise_count(((r * _BYTES) | _TOPS) - sums & _TOPS).astype(np.uint64) * _U(8)
+    r = r - (((sums << _U(8)) >> shift) & _U(255))
+    return shift.astype(np.int64) + _IN_BYTE[(((w >> shift) & _U(255)) * _U(8) + r).astype(np.int64)]
+
+
+def _ones_below(w: np.ndarray) -> np.ndarray:
+    """Place of each word's least one; 64 where there is none."""
+    return np.bitwise_count(~w & (w - _U(1))).astype(np.int64)
 
 
 class Monotone:
@@ -129,33 +138,54 @@ class Monotone:
         bit = i * self.low_bits
         return (self.lows[bit >> 3] >> (bit & 7).astype(np.uint64)) & _U((1 << self.low_bits) - 1)
 
+    def _one(self, i: np.ndarray) -> np.ndarray:
+        """Bit places of the i-th ones of the high part."""
+        k = np.searchsorted(self.ranks, i.astype(np.uint32), side="right") - 1
+        return 64 * k + _select_in_word(self.words[k], i - self.ranks[k])
+
     def get(self, i: np.ndarray) -> np.ndarray:
         """Values at places."""
         if not len(i):
             return np.zeros(0, np.uint64)
-        k = np.searchsorted(self.ranks, i.astype(np.uint32), side="right") - 1
-        at = 64 * k + _select_in_word(self.words[k], i - self.ranks[k])
-        return ((at - i).astype(np.uint64) << _U(self.low_bits)) | self._low(i)
+        return ((self._one(i) - i).astype(np.uint64) << _U(self.low_bits)) | self._low(i)
 
-    def _below_zero(self, j: np.ndarray) -> np.ndarray:
-        """Entries before the j-th zero of the high part, for j from -1."""
+    def range(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values at places and the next ones; the next one's bit is mostly in the same word."""
+        if not len(i):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = self._one(i)
+        step = _ones_below((self.words[at >> 6] >> (at & 63).astype(np.uint64)) & ~_U(1))
+        following = at + step
+        far = np.nonzero(step == 64)[0]
+        following[far] = self._one(i[far] + 1)
+        lo = ((at - i).astype(np.uint64) << _U(self.low_bits)) | self._low(i)
+        hi = ((following - i - 1).astype(np.uint64) << _U(self.low_bits)) | self._low(i + 1)
+        return lo.astype(np.int64), hi.astype(np.int64)
+
+    def _zero(self, j: np.ndarray) -> np.ndarray:
+        """Bit places of the j-th zeros of the high part; -1 for j = -1."""
         zeros = 64 * np.arange(len(self.ranks)) - self.ranks
         k = np.maximum(np.searchsorted(zeros, j, side="right") - 1, 0)
-        return np.where(j < 0, 0, 64 * k + _select_in_word(~self.words[k], j - zeros[k]) - j)
+        return np.where(j < 0, -1, 64 * k + _select_in_word(~self.words[k], np.maximum(j - zeros[k], 0)))
 
     def _run(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places of the successors of values, the end of the run of equal high parts, and the values' low parts."""
         high = np.minimum(values >> _U(self.low_bits), _U(self.highest)).astype(np.int64)
-        at, end = self._below_zero(high - 1), self._below_zero(high)
+        first = self._zero(high - 1) + 1  # where the ones of this high part begin
+        ones = _ones_below(~(self.words[first >> 6] >> (first & 63).astype(np.uint64)))
+        far = np.nonzero(ones + (first & 63) >= 64)[0]
+        ones[far] = self._zero(high[far]) - first[far]
+        at = first - high
+        end = at + ones
         low = values & _U((1 << self.low_bits) - 1) if self.low_bits else np.zeros(len(values), np.uint64)
-        lo, hi = at, end
-        while (open_ := lo < hi).any():
-            rows = np.nonzero(open_)[0]
+        lo, hi = at, end.copy()
+        rows = np.nonzero(lo < hi)[0]
+        while len(rows):
             mid = (lo[rows] + hi[rows]) >> 1
             less = self._low(mid) < low[rows]
             lo[rows[less]] = mid[less] + 1
-            hi = hi.copy() if hi is end else hi
             hi[rows[~less]] = mid[~less]
+            rows = rows[lo[rows] < hi[rows]]
         return lo, end, low
 
     def successor(self, values: np.ndarray) -> np.ndarray:
@@ -235,53 +265,6 @@ def _mapped(uri: str, kinds: dict[str, type]) -> Mapped:
     return _maps[uri]
 
 
-def _squeeze(*columns: np.ndarray) -> bytes:
-    """Ascending rows of unsigned columns: the first as gaps, all by byte planes, compressed."""
-    n, out = len(columns[0]), []
-    for k, c in enumerate(columns):
-        c = np.diff(c, prepend=c.dtype.type(0)) if k == 0 and n else c
-        width = max(1, -(-int(c.max()).bit_length() // 8)) if n else 1
-        out.append(bytes([width]) + c.astype("<u8").view(np.uint8).reshape(n, 8)[:, :width].T.tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(np.array([n], "<u8").tobytes() + b"".join(out))
-
-
-def _unsqueeze(data: bytes, columns: int) -> list[np.ndarray]:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    n, at, out = int(raw[:8].view("<u8")[0]), 8, []
-    for k in range(columns):
-        width = int(raw[at])
-        wide = np.zeros((n, 8), np.uint8)
-        wide[:, :width] = raw[at + 1 : at + 1 + n * width].reshape(width, n).T
-        c = wide.view("<u8").reshape(n)
-        out.append(np.cumsum(c, dtype=np.uint64) if k == 0 else c)
-        at += 1 + n * width
-    return out
-
-
-def _runs(k: np.ndarray):
-    """(value, begin, end) of the runs of an ascending array."""
-    if len(k):
-        cuts = np.concatenate([[0], np.nonzero(np.diff(k))[0] + 1, [len(k)]])
-        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            yield int(k[s]), s, e
-
-
-def _by_part(batches):
-    """(part, its rows' data) of Arrow batches sorted by part, one piece of data at a time in an inner iterator."""
-    now = None
-    held: list = []
-
-    for b in batches:
-        for p, s, e in _runs(b.column("part").to_numpy()):
-            if now is not None and p != now:
-                yield now, held
-                held = []
-            now = p
-            held.extend(x.as_py() for x in b.column("data").slice(s, e - s))
-    if now is not None:
-        yield now, held
-
-
 # --- the first level ---
 
 
@@ -303,9 +286,9 @@ class Words:
         """(number, tokens before, count) of ascending hashes; 0s for unknown words."""
         number, cum, n = (np.zeros(len(hashes), np.int64) for _ in range(3))
         files = len(self.bases)
-        for k, s, e in _runs(_bucket(hashes, files)):
+        for k, s, e in runs(bucket(hashes, files)):
             f = self._file(k)
-            at = f.words.find(hashes[s:e] - _first_hash(k, files))
+            at = f.words.find(hashes[s:e] - first_hash(k, files))
             rows, at = s + np.nonzero(at >= 0)[0], at[at >= 0]
             number[rows] = at + self.bases[k] + 1
             cum[rows], n[rows] = self._sums(f, k, at)
@@ -331,15 +314,6 @@ class Words:
         return first[0] + first[1] * inner
 
 
-def _bucket(hashes: np.ndarray, n: int) -> np.ndarray:
-    return (((hashes >> _U(32)) * _U(n)) >> _U(32)).astype(np.int64)
-
-
-def _first_hash(k: int, n: int) -> np.uint64:
-    """The smallest hash of a bucket."""
-    return _U((-(-(k << 32) // n)) << 32)
-
-
 def _steps(batches, *columns: str):
     """Texts of Arrow batches a bounded number of bytes at a time, with other columns."""
     for b in batches:
@@ -354,12 +328,6 @@ def _steps(batches, *columns: str):
             yield hash_words(part_), *[b.column(c).slice(begin, len(part_)) for c in columns]
 
 
-def _pieces(parts: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
-    """A row for each run of parts: the part and its columns, squeezed."""
-    rows = [(p, _squeeze(*[c[s:e] for c in columns])) for p, s, e in _runs(parts)]
-    return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], names=["part", "data"])
-
-
 def _sum_by(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(key)
     key, n = key[order], n[order]
@@ -370,7 +338,7 @@ def _sum_by(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _merge_words(held: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     key, n, more, rows = np.zeros(0, np.uint64), np.zeros(0, np.uint64), [], 0
     for k, data in enumerate(held):
-        more.append(_unsqueeze(data, 2))
+        more.append(unsqueeze(data, 2))
         held[k] = b""
         rows += len(more[-1][0])
         if rows > HELD_ROWS or k + 1 == len(held):
@@ -395,18 +363,18 @@ def count_words(texts: DataFrame) -> Words:
             own, seen = np.unique(h, return_counts=True)
             key, n = _sum_by(np.concatenate([key, own]), np.concatenate([n, seen.astype(np.uint64)]))
             if len(key) > HELD_ROWS:
-                yield _pieces(_bucket(key, files), key, n)
+                yield pieces(bucket(key, files), key, n)
                 key, n = key[:0], n[:0]
         if len(key):
-            yield _pieces(_bucket(key, files), key, n)
+            yield pieces(bucket(key, files), key, n)
 
     def build(batches):
-        for p, held in _by_part(batches):
+        for p, held in by_part(batches):
             key, n = _merge_words(held)
-            put_bytes(f"{folder}/words-{p:06d}.eft", encode_monotone(key - _first_hash(p, files)) + encode_monotone(np.concatenate([[0], np.cumsum(n)])))
+            put_bytes(f"{folder}/words-{p:06d}.eft", encode_monotone(key - first_hash(p, files)) + encode_monotone(np.concatenate([[0], np.cumsum(n)])))
             yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int64()), "words": pa.array([len(key)], pa.int64()), "tokens": pa.array([int(n.sum())], pa.int64()), "once": pa.array([int((n == 1).sum())], pa.int64()), "twice": pa.array([int((n == 2).sum())], pa.int64())})
 
-    rows = texts.mapInArrow(count, "part int, data binary").repartitionById(files, "part").sortWithinPartitions("part")
+    rows = texts.mapInArrow(count, PIECES).repartitionById(files, "part").sortWithinPartitions("part")
     # one row a file, as many as shuffle partitions
     found = rows.mapInArrow(build, "part long, words long, tokens long, once long, twice long").collect()
     words, tokens = np.zeros(files, np.int64), np.zeros(files, np.int64)
@@ -437,33 +405,42 @@ class Trie:
         Each level's range comes from the pointers; in it, the word is sought relative to the value before the range.
         """
         out = {name: np.full(keys.shape[1], -1.0) for name in ("back1", "prob2", "back2", "prob3")}
-        for p, s, e in _runs(self.part_of(x)):
+        for p, s, e in runs(self.part_of(x)):
             f = _mapped(f"{self.folder}/part-{p:08d}.eft", _GRAMS)
             a, b, c = keys[:, s:e]
-            rows, at = _known(f.heads.find(a.astype(np.uint64)))
-            out["back1"][s + rows] = f.back1.get(at)
-            rows, at = _inside(f.ptr1, f.second, rows, at, b)
-            out["prob2"][s + rows], out["back2"][s + rows] = f.prob2.get(at), f.back2.get(at)
-            rows, at = _inside(f.ptr2, f.third, rows, at, c)
-            out["prob3"][s + rows] = f.prob3.get(at)
+            new1 = np.diff(a, prepend=-1) != 0
+            new2 = new1 | (np.diff(b, prepend=-1) != 0)
+            of1, of2 = np.cumsum(new1) - 1, np.cumsum(new2) - 1  # of each key, which distinct w1 and (w1, w2) it has
+            head = f.heads.find(a[new1].astype(np.uint64))
+            out["back1"][s:e] = _at(f.back1, head)[of1]
+            pair = _inside(f.ptr1, f.second, head, of1[new2], b[new2])
+            out["prob2"][s:e], out["back2"][s:e] = _at(f.prob2, pair)[of2], _at(f.back2, pair)[of2]
+            ask = np.nonzero(c > 0)[0]
+            out["prob3"][s + ask] = _at(f.prob3, _inside(f.ptr2, f.third, pair, of2[ask], c[ask]))
         return out
 
 
-def _known(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    rows = np.nonzero(at >= 0)[0]
-    return rows, at[rows]
-
-
-def _inside(pointers: Monotone, values: Monotone, rows: np.ndarray, at: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, places) of the words that the ranges of the entries ``at`` hold."""
-    ask = words[rows] > 0
-    rows, at = rows[ask], at[ask]
-    lo, hi = pointers.get(at).astype(np.int64), pointers.get(at + 1).astype(np.int64)
-    before = np.zeros(len(at), np.uint64)
-    before[lo > 0] = values.get(lo[lo > 0] - 1)
-    found = values.find(before + words[rows].astype(np.uint64))
-    ok = (found >= lo) & (found < hi)
-    return rows[ok], found[ok]
+def _at(codes: Codes, places: np.ndarray) -> np.ndarray:
+    """Values at places; -1 where the place is."""
+    return np.where(places >= 0, codes.get(np.maximum(places, 0)), -1.0) if len(codes.code) else np.full(len(places), -1.0)
+
+
+def _inside(pointers: Monotone, values: Monotone, entries: np.ndarray, which: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Places of words in the ranges of entries[which]; -1 where there is no such entry or word."""
+    out = np.full(len(words), -1)
+    need = np.zeros(len(entries), bool)
+    need[which[words > 0]] = True
+    need &= entries >= 0
+    lo, hi, before = np.zeros(len(entries), np.int64), np.zeros(len(entries), np.int64), np.zeros(len(entries), np.uint64)
+    lo[need], hi[need] = pointers.range(entries[need])
+    inner = np.nonzero(need & (lo > 0) & (lo < hi))[0]
+    before[inner] = values.get(lo[inner] - 1)
+    ask = np.nonzero((words > 0) & (lo < hi)[which])[0]
+    of = which[ask]
+    found = values.find(before[of] + words[ask].astype(np.uint64))
+    ok = (found >= lo[of]) & (found < hi[of])
+    out[ask[ok]] = found[ok]
+    return out
 
 
 def _local(h: np.ndarray, counts: np.ndarray, words: Words):
@@ -501,7 +478,7 @@ def _merge_grams(held: list[bytes]) -> list[np.ndarray]:
     """The sum of pieces: (w1, w2, w3, n), ascending. Columns are ranked first, so that keys pack."""
     now, more, rows = [np.zeros(0, np.uint64)] * 4, [], 0
     for k, data in enumerate(held):
-        more.append(_unsqueeze(data, 4))
+        more.append(unsqueeze(data, 4))
         held[k] = b""
         rows += len(more[-1][0])
         if rows > HELD_ROWS or k + 1 == len(held):
@@ -552,15 +529,15 @@ def build_trie(docs: DataFrame, *, part_tokens: int = PART_TOKENS) -> Trie:
             third = np.where(after[at] > 2, np.concatenate([local, [0]])[at + 2 if len(at) else at], 0)
             keys, _, n = _keys(local[at], local[at + 1], third, bits)
             x = _places(words, table, keys)
-            yield _pieces(trie.part_of(x), *[table[0][k].astype(np.uint64) for k in keys], n.astype(np.uint64))
+            yield pieces(trie.part_of(x), *[table[0][k].astype(np.uint64) for k in keys], n.astype(np.uint64))
 
     def merge(batches):
-        for p, held in _by_part(batches):
+        for p, held in by_part(batches):
             w1, w2, w3, n = _merge_grams(held)
-            put_bytes(f"{folder}/counts-{p:08d}.raw", [_squeeze(w1, w2, w3, n)])
+            put_bytes(f"{folder}/counts-{p:08d}.raw", [squeeze(w1, w2, w3, n)])
             yield _cuts_of(p, w1, w2, w3, n, trie)
 
-    rows = texts.mapInArrow(count, "part int, data binary").repartitionById(parts, "part").sortWithinPartitions("part")
+    rows = texts.mapInArrow(count, PIECES).repartitionById(parts, "part").sortWithinPartitions("part")
     cuts = written(rows.mapInArrow(merge, _CUTS), "lm-cuts")
     release(spark)
     # contexts that a cut goes through, with their sums over all parts
@@ -584,7 +561,7 @@ def build_trie(docs: DataFrame, *, part_tokens: int = PART_TOKENS) -> Trie:
                 if r["full"]:
                     fs, path = filesystem(f"{folder}/counts-{p:08d}.raw")
                     with fs.open_input_stream(path) as f:
-                        cols = _unsqueeze(f.read(), 4)
+                        cols = unsqueeze(f.read(), 4)
                 put_bytes(f"{trie.folder}/part-{p:08d}.eft", _pack_part(cols, r["cuts"] or [], d2, d3))
                 yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int64())})
 
