@@ -1,6 +1,8 @@
 """The training-data operators against brute force, on small fixtures with the hard cases in them."""
 
+import itertools
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -69,27 +71,37 @@ def odd(spark, rows):
 # 1
 
 
-def repeated(texts, run=3, words=15):
+def plain_sentences(text):
+    """(words, begin, end) of each sentence of a text whose sentences are short, without the operator's own cutter."""
+    out, at = [], 0
+    for m in re.finditer(r"[^.!?\n]*(?:[.!?]+(?=\s|$)|\n|$)|[^\s]+", text):
+        body = m.group().strip()
+        if body:
+            begin = m.start() + m.group().index(body)
+            out.append(([w.rstrip(".,;:!?") or w for w in body.lower().split()], begin, begin + len(body)))
+    return out
+
+
+def repeated(texts, run=3, words=18, together=40):
     """(sentences, removed) of each text in order of id."""
     seen, out = set(), []
     for text in texts:
-        if text is None:
-            out.append((0, 0))
-            continue
-        low = text.lower()
-        where = spans.sentences(text)
-        s, n = [low[a:b].rstrip(" \t.!?,;:") for a, b in where], [low[a:b].count(" ") + 1 for a, b in where]
+        s = [w for w, _, _ in plain_sentences(text or "")]
         gone = [False] * len(s)
         for a in range(len(s)):
             b = a + run
-            while b <= len(s) and sum(n[a:b]) < words:
+            while b <= len(s) and sum(map(len, s[a:b])) < words:
                 b += 1
             if b <= len(s):
-                key = tuple(s[a:b])
+                key = tuple(map(tuple, s[a:b]))
                 if key in seen:
                     gone[a:b] = [True] * (b - a)
                 seen.add(key)
-        out.append((len(s), sum(gone)))
+        removed = 0
+        for drop, group in itertools.groupby(range(len(s)), lambda k: gone[k]):
+            group = list(group)
+            removed += len(group) if drop and sum(len(s[k]) for k in group) >= together else 0
+        out.append((len(s), removed))
     return out
 
 
@@ -104,6 +116,36 @@ def test_op1_spans(docs, rows, empty, odd):
     assert [r["n_removed"] for r in out.where("doc_id = 3").collect()] == [0, 0, 0]
 
 
+def test_op1_one_id_with_two_texts_and_clashing_columns(spark, rows):
+    """Texts of one id are documents of their own, the first by hash; columns of any name come through."""
+    data = [(1, rows[7][1]), (1, rows[7][1] + " And more."), (2, "short"), (None, rows[7][1]), (None, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").select("doc_id", "text", *[F.lit(k).alias(c) for k, c in enumerate(("_spans", "_text_node", "key", "node", "spans", "id", "row", "lo"))])
+    out = spans.remove_repeats(docs)
+    assert out.columns == [*docs.columns, "n_sentences", "n_removed"]
+    got = sorted((r["doc_id"] or 0, r["n_removed"], r["spans"], r["lo"]) for r in out.collect())
+    assert [(i, n > 0) for i, n, _, _ in got] == [(0, False), (0, False), (1, True), (1, True), (2, False)]
+    assert {(a, b) for _, _, a, b in got} == {(4, 7)}
+
+
+def test_op1_cuts_by_content_alone():
+    """A passage set into other text keeps its inner cuts, in any script, whatever changes its length in lower case."""
+    rng = np.random.default_rng(3)
+    vocabulary = [f"word{k}" for k in range(500)]
+    for n in range(40):
+        passage = " ".join(rng.choice(vocabulary, 60))
+        texts = [passage, " ".join(rng.choice(vocabulary, 17)) + " " + passage + " " + " ".join(rng.choice(vocabulary, 9)), "\u0130stanbul. " + passage.upper()]
+        cuts = []
+        for t in texts:
+            at = t.lower().index("word", 0) if t is texts[2] else t.index(passage)
+            cuts.append({(a - at, b - at) for a, b in spans.sentences(t)})
+            cut = spans.cut_texts([t])
+            assert (cut.words <= 12).all() and cut.words.sum() == len(t.split())
+        inner = {c for c in cuts[0] if 110 < c[0] and c[1] < len(passage) - 110}
+        assert inner and inner <= cuts[1]
+        assert len(cuts[2]) == len(cuts[0]) + 1
+    assert len(spans.sentences("\u4f60\u597d\u3002\u518d\u89c1\uff01Yes. No\nline")) == 5
+
+
 # 2
 
 
