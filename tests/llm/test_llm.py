@@ -361,7 +361,8 @@ def test_components_of_a_chain(spark):
 
 def test_near_dedup_stage(docs, rows, odd):
     kept = {r["doc_id"] for r in simhash.keep_one_of_each(docs).collect()}
-    assert {10, 11, 166, 167} <= kept and not {160, 161} & kept and len(kept & {162, 163}) == 1
+    # 161 differs from 11 by one word of 34: five-word shingles have a Jaccard of 0.71, below 0.8
+    assert {10, 11, 161, 166, 167} <= kept and 160 not in kept and len(kept & {162, 163}) == 1
     assert len(kept) >= len(rows) - 4
     assert simhash.keep_one_of_each(odd).where("doc_id = 3").count() == 1
 

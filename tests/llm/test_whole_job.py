@@ -65,3 +65,52 @@ def reordered(seed, texts=40, words=90):
 def test_near_dedup_forest_leaves_no_pair_out(spark):
     docs = spark.createDataFrame(reordered(7), "doc_id long, text string")
     assert sorted(r["doc_id"] for r in simhash.keep_one_of_each(docs).select("doc_id").collect()) == list(range(40))
+
+
+def kept_by_all_pairs(rows, least=0.8):
+    """The smallest id of each group that pairs of five-word shingle sets with a Jaccard of 0.8 or more connect."""
+    words = {k: t.split() for k, t in rows}
+    sets = {k: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for k, w in words.items()}
+    root = {k: k for k in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+                x, y = root[a], root[b]
+                root = {k: min(x, y) if r in (x, y) else r for k, r in root.items()}
+    return sorted(set(root.values()))
+
+
+def edited(seed, groups=6, copies=30, words=160):
+    """Groups of texts with ever more words changed, so that similarities lie on both sides of 0.8, and texts with the same words shuffled."""
+    rng, out = np.random.default_rng(seed), []
+    for g in range(groups):
+        base = [f"g{g}w{k}" for k in rng.integers(0, 90, words)]
+        for n in range(copies):
+            w = list(base)
+            for k in rng.choice(words, n // 3, replace=False):
+                w[k] = f"new{rng.integers(0, 9)}"
+            out.append(w if n % 5 else list(rng.permutation(w)))
+    return [(k, " ".join(w)) for k, w in enumerate(out)]
+
+
+@pytest.mark.parametrize("group_rows", [8192, 12])
+def test_near_dedup_is_that_of_all_pairs(spark, group_rows):
+    """Buckets of over 8 texts, pairs below the threshold and groups larger than what a task compares at a time."""
+    rows = edited(11)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r["doc_id"] for r in simhash.keep_one_of_each(docs, radius=8, group_rows=group_rows).collect())
+    want = kept_by_all_pairs(rows)
+    if group_rows > 100:
+        assert got == want
+    else:  # texts of different parts meet through one of each tree only
+        assert set(want) <= set(got) and len(got) <= len(want) + 12
+
+
+def test_near_dedup_of_clashing_columns_nulls_and_none(spark):
+    data = [(1, "a b c d e f g"), (1, "a b c d e f g"), (None, "a b c d e f g"), (2, None), (3, ""), (None, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    docs = docs.selectExpr("doc_id", "text", *[f"{k} AS {c}" for k, c in enumerate(("node", "_node", "_row", "fp", "root", "s0", "id"))])
+    out = simhash.keep_one_of_each(docs)
+    assert out.columns == docs.columns
+    assert sorted((r["doc_id"], r["root"]) for r in out.collect()) == [(1, 4), (2, 4)]
+    assert simhash.keep_one_of_each(docs.limit(0)).count() == 0

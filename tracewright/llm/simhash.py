@@ -20,6 +20,9 @@ BITS = 64
 SCAN_LIMIT = 4096
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _BLOCK = 65_536
+_SECOND = 0x9E3779B97F4A7C15
+#: Texts of a candidate group that one task compares at a time; larger groups pass through in such parts.
+GROUP_ROWS = 8192
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -52,29 +55,34 @@ def shingle_fingerprint(k: int) -> Callable[[str | None], tuple[bytes, ...]]:
 
 
 def word_and_shingle_fingerprints(k: int) -> Callable[[str | None], tuple[bytes, ...]]:
-    """A 64-bit fingerprint by words weighed by the root of their count, and one of 256 bits by k-word shingles."""
+    """Two independent 64-bit fingerprints by words weighed by the root of their count, and one of 256 bits by k-word shingles."""
 
     def fingerprints(text: str | None) -> tuple[bytes, ...]:
         words = words_of(text)
         if not words:
-            return (bytes(8),) * 5
+            return (bytes(8),) * 6
         counts = Counter(words)
-        bits = np.unpackbits(np.frombuffer(b"".join(xxhash.xxh64_digest(w, 42) for w in counts), np.uint8).reshape(-1, 8), axis=1)
+        base = np.frombuffer(b"".join(xxhash.xxh64_digest(w, 42) for w in counts), ">u8").astype(np.uint64)
         weight = np.sqrt(np.fromiter(counts.values(), float, len(counts)))
-        first = np.packbits(weight @ bits > weight.sum() / 2).tobytes()
-        joined = b"".join(shingle_digests(words, k))
-        base = np.frombuffer(joined, ">u8").astype(np.uint64)
+        both = np.unpackbits(np.stack([base, _mix(base ^ np.uint64(_SECOND))], 1).astype(">u8").view(np.uint8).reshape(len(base), 16), axis=1)
+        first = np.packbits(weight @ both > weight.sum() / 2).tobytes()
+        base = np.frombuffer(b"".join(shingle_digests(words, k)), ">u8").astype(np.uint64)
         votes, total = np.zeros(256, np.int64), len(base)
         for i in range(0, total, _BLOCK):
             h = base[i : i + _BLOCK]
-            wide = np.stack([_mix(h + np.uint64(j * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) for j in range(4)], 1).astype(">u8")
+            wide = np.stack([_mix(h + np.uint64(j * _SECOND & 0xFFFFFFFFFFFFFFFF)) for j in range(4)], 1).astype(">u8")
             votes += np.unpackbits(wide.view(np.uint8).reshape(len(h), 32), axis=1).sum(axis=0, dtype=np.int64)
         second = np.packbits(2 * votes > total).tobytes()
-        return (first, *(second[i : i + 8] for i in range(0, 32, 8)))
+        return (first[:8], first[8:], *(second[i : i + 8] for i in range(0, 32, 8)))
 
     return fingerprints
 
 
+def shingle_set(text: str | None, k: int) -> np.ndarray:
+    """The distinct k-word shingles of a text as ascending 64-bit hashes; of one with fewer words, that of the whole."""
+    return np.unique(np.frombuffer(b"".join(shingle_digests(words_of(text), k)), ">u8").astype(np.uint64))
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -280,27 +288,157 @@ def near_components(docs: DataFrame, *, shingle: int = 4, radius: int = 4) -> Da
     return table.join(classes, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, radius: int = 6, slack: float = 2.2) -> DataFrame:
+def _cosine_bits(similarity: float, bits: int, slack: float) -> int:
+    """Differing bits that a Jaccard of ``similarity`` gives at most, but for one pair in many.
+
+    A Jaccard of s between sets of a size is a cosine of 2s/(1+s), an angle a, and on average a/pi of the bits; ``slack``
+    deviations more are let pass.
+    """
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * p + slack * math.sqrt(bits * p * (1 - p)))
+
+
+def exact_links(nodes: np.ndarray, prints: np.ndarray, sets: list[np.ndarray], similarity: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A forest of the pairs of a group whose sets have a Jaccard of ``similarity`` or more, and each text's tree by number.
+
+    prints: (n, words) fingerprints by shingles; a pair must differ in at most ``most`` bits before its sets are compared.
+    """
+    tree, left, at = np.full(len(nodes), -1), np.arange(len(nodes)), []
+    sizes = np.array([len(x) for x in sets])
+    a, b, trees = [], [], -1
+    while len(left) or at:
+        if not at:
+            at, left = [int(left[0])], left[1:]
+            trees += 1
+            tree[at[0]] = trees
+        i = at.pop()
+        ask = np.nonzero(np.bitwise_count(prints[left] ^ prints[i]).sum(axis=1) <= most)[0]
+        ask = ask[np.minimum(sizes[left[ask]], sizes[i]) >= similarity * np.maximum(sizes[left[ask]], sizes[i])]
+        if not len(ask):
+            continue
+        others = left[ask]
+        flat = np.concatenate([sets[j] for j in others])
+        place = np.minimum(np.searchsorted(sets[i], flat), max(len(sets[i]) - 1, 0))
+        common = np.concatenate([[0], np.cumsum(sets[i][place] == flat if len(sets[i]) else np.zeros(len(flat), bool))])
+        ends = np.cumsum(sizes[others])
+        common = common[ends] - common[ends - sizes[others]]
+        union = sizes[others] + sizes[i] - common
+        ok = common >= similarity * union
+        found = others[ok]
+        if len(found):
+            a.append(np.full(len(found), nodes[i]))
+            b.append(nodes[found])
+            tree[found] = trees
+            at.extend(found.tolist())
+            left = np.delete(left, ask[ok])
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(a), np.concatenate(b), tree) if a else (none, none, tree)
+
+
+_MEMBER = "root long, node long, fp long, fq long, s0 long, s1 long, s2 long, s3 long, shingles binary"
+
+
+def verified_links(members: DataFrame, *, similarity: float, most: int, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Links (a, b) between members of a group (``root``) whose shingle sets have a Jaccard of ``similarity`` or more.
+
+    Groups stream through their task ``group_rows`` texts at a time, the similar next to each other. Of what came
+    before, one text of each tree of links goes on to the next part; where those are over half of a part, they wait as a
+    group of their own for another round, in another order. So a group of any size takes bounded memory.
+    """
+    names = [c.split()[0] for c in _MEMBER.split(", ")]
+
+    def link(batches):
+        held, now = [], None
+
+        def settle(rows, last):
+            """Links of the rows held, and what goes on: to the next part, or to another round."""
+            cols = list(zip(*rows))
+            nodes, prints = np.array(cols[1], np.int64), np.array(cols[4:8], np.int64).T.copy().view(np.uint64)
+            sets = [np.frombuffer(x, "<u8") for x in cols[8]]
+            a, b, tree = exact_links(nodes, prints, sets, similarity, most)
+            one = [rows[k] for k in np.unique(tree, return_index=True)[1].tolist()]
+            late = one if not last and len(one) > group_rows // 2 or last and wait else []
+            return a, b, one, late
+
+        def batch(a, b, late):
+            n = len(a)
+            cols = list(zip(*late)) if late else [[]] * len(names)
+            out = [pa.array(np.concatenate([x, np.array(y, np.int64)]).astype(np.int64)) for x, y in ((a, cols[1]), (b, cols[0]))]
+            out += [pa.array([None] * n + list(cols[k]), pa.binary() if names[k] == "shingles" else pa.int64()) for k in range(len(names))]
+            return pa.RecordBatch.from_arrays(out, names=["a", "b", *names])
+
+        wait = False
+        for rb in batches:
+            for row in zip(*[rb.column(c).to_pylist() for c in names]):
+                if row[0] != now or len(held) >= group_rows:
+                    if held:
+                        a, b, one, late = settle(held, row[0] != now)
+                        yield batch(a, b, late)
+                        wait = row[0] == now and (wait or bool(late))
+                        held = one if row[0] == now and not late else []
+                    now = row[0]
+                held.append(row)
+        if held:
+            a, b, one, late = settle(held, True)
+            yield batch(a, b, late)
+
+    links, order, rows = None, ("fp", "fq"), members
+    while True:
+        sorted_ = rows.repartition("root").sortWithinPartitions("root", order[0], "node")
+        found = written(sorted_.mapInArrow(link, "a long, b long, " + _MEMBER), "verified")
+        new = found.where("root IS NULL").select("a", "b")
+        links = new if links is None else links.union(new)
+        if not found.where("root IS NOT NULL").limit(1).count() or rows is not members and not new.limit(1).count():
+            return links
+        rows, order = found.where("root IS NOT NULL").select(*names), order[::-1]
+
+
+def near_links(docs: DataFrame, nodes: DataFrame, *, shingle: int, similarity: float, radius: int, slack: float, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Links between the texts of ``docs`` that share ``similarity`` of their shingles; nodes: node, first (flag, id), fingerprints.
+
+    Candidates come from two covering LSH over independent word fingerprints; in a bucket, 64 bits by shingles must agree
+    as well. What they connect are groups; in a group, 256 bits and then the shingle sets themselves are compared.
+    """
+    most = _cosine_bits(similarity, 64, slack)
+    links = covering_links(nodes.select("fp", "node", "s0"), radius, dense=8, extra=("s0",), most=most)
+    links = written(links, "candidates")
+    release(docs.sparkSession)  # the buckets' shuffle, before the next
+    links = links.union(covering_links(nodes.select(F.col("fq").alias("fp"), "node", "s0"), radius, dense=8, extra=("s0",), most=most))
+    groups = components(links)
+    release(docs.sparkSession)
+    groups = written(groups.union(groups.select(F.col("root").alias("node"), "root").distinct()), "groups")
+    groups = nodes.join(groups.select(F.col("node").alias("_n"), "root"), F.col("node") == F.col("_n"))
+    groups = groups.select(*[F.col(c).alias(f"_{c}") for c in ("root", "node", "fp", "fq", "s0", "s1", "s2", "s3")], F.col("first.id").alias("_id"))
+    # one document has each text: joined by id as well, so that copies of one text are not one task's
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("node"))
+    texts = texts.join(groups, (F.col("node") == F.col("_node")) & F.col("id").eqNullSafe(F.col("_id"))).select(*[c for c in groups.columns if c != "_id"], "text")
+
+    def sets(batches):
+        for b in batches:
+            own = [shingle_set(t.as_py(), shingle).astype("<u8").tobytes() for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in range(8)], pa.array(own, pa.binary())], names=[c.split()[0] for c in _MEMBER.split(", ")])
+
+    members = written(texts.mapInArrow(sets, _MEMBER), "members").dropDuplicates(["node"])
+    release(docs.sparkSession)  # the texts' shuffle
+    return verified_links(members, similarity=similarity, most=_cosine_bits(similarity, 256, slack), group_rows=group_rows)
+
+
+def keep_one_of_each(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, radius: int = 6, slack: float = 3.0, group_rows: int = GROUP_ROWS) -> DataFrame:
     """The documents without near copies: of each group the one with the smallest id stays, in all its columns.
 
-    Candidates are texts whose word fingerprints (64 bits, weights the root of the count) differ in at most ``radius``
-    bits. A candidate is a link if 256 bits by ``shingle``-word shingles say a Jaccard similarity of ``similarity`` or
-    more: a Jaccard of s is a cosine of 2s/(1+s), an angle a, and 256 a/pi differing bits on average; ``slack`` deviations more
-    are let pass. Groups are what links connect. Equal texts (null is empty) are one node; null ids come after all
-    others, and of rows equal in id and text one stays.
+    Groups are what links connect; a link is a pair of texts whose sets of ``shingle``-word shingles have a Jaccard
+    similarity of ``similarity`` or more, exactly. Its candidates are pairs of which one of two word fingerprints
+    differs in at most ``radius`` bits, and whatever such pairs connect. Equal texts (null is empty) are one node; null
+    ids come after all others, and of rows equal in id and text one stays. An empty table gives an empty one.
     """
-    names = ("fp", "s0", "s1", "s2", "s3")
+    names = ("fp", "fq", "s0", "s1", "s2", "s3")
     table = written(fingerprint_table(docs, word_and_shingle_fingerprints(shingle), names), "prints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id")))
     nodes = written(table.groupBy("node").agg(first.alias("first"), *[F.first(c).alias(c) for c in names]), "nodes")
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    most = int(256 * p + slack * math.sqrt(256 * p * (1 - p)))
-    links = covering_links(nodes.select("node", *names), radius, dense=8, extra=names[1:], most=most)
-    release(docs.sparkSession)  # the buckets' shuffle, before the texts' own
-    roots = components(links)
+    roots = components(near_links(docs, nodes, shingle=shingle, similarity=similarity, radius=radius, slack=slack, group_rows=group_rows))
     named = nodes.select("node", "first").join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
     keep = named.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("first", "node")).alias("k"))
     keep = keep.select(F.col("k.node").alias("_keep_node"), F.col("k.first.id").alias("_keep_id"))
-    rows = docs.withColumn("_node", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    kept = rows.join(keep, (F.col("_node") == F.col("_keep_node")) & F.col("doc_id").eqNullSafe(F.col("_keep_id")))
-    return kept.dropDuplicates(["_node", "doc_id"]).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), docs["doc_id"].cast("long").alias("_row_id"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("_row_node"))
+    kept = rows.join(keep, (F.col("_row_node") == F.col("_keep_node")) & F.col("_row_id").eqNullSafe(F.col("_keep_id")))
+    return kept.dropDuplicates(["_row_node", "_row_id"]).select("_row.*")
