@@ -3,6 +3,7 @@
 import itertools
 import math
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -11,6 +12,7 @@ import pytest
 import xxhash
 import zstandard
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tracewright.llm import common, components, fingerprints, language, mixing, nearest, ngram, packing, sharding, simhash, spans, tokenfile, tokens
@@ -216,12 +218,41 @@ def test_op2_large_vocabularies_do_not_pack():
 def test_op3_language(docs, rows, empty, odd):
     got = {r["doc_id"]: r for r in language.classify(docs).collect()}
     long = [r for r in rows if r[1] and len(r[1]) > 60]
-    assert all(got[r[0]]["lang_pred"] == r[2] for r in long)
+    assert sum(got[r[0]]["lang_pred"] == r[2] for r in long) >= 0.97 * len(long)
     for k in (162, 163, 164, 165):
-        assert got[k]["lang_pred"] == "und" and got[k]["score"] == 0 and got[k]["rejected"]
-    assert all(0 <= r["score"] <= 1 for r in got.values())
-    assert all(r["held_out"] == (zlib.crc32(str(k).encode()) % 4 == 2) for k, r in got.items())
-    assert language.classify(empty).count() == 0 and language.classify(odd).count() == odd.count()
+        assert (got[k]["lang_pred"], got[k]["score"], got[k]["rejected"]) == ("und", 0.0, True)
+    assert language.classify(empty).count() == 0
+    unlabelled = language.classify(docs.withColumn("lang", F.lit(None).cast("string")))
+    assert {r["lang_pred"] for r in unlabelled.collect()} == {"und"}
+    assert language.classify(odd).count() == odd.count()
+
+
+def test_op3_sizes_ties_and_margins(spark, docs, rows):
+    """Each text again, whole and with its repeats, by a coder of its own for every block."""
+    known = docs.where("NOT crc32(string(doc_id)) % 4 = 2")
+    words = language.learn(known)
+    words["zz"] = words["de"]  # a second label of equal sizes never wins
+    got = docs.select("doc_id", language.predictor(words)("text").alias("p")).select("doc_id", "p.*").collect()
+    texts = {r[0]: r[1] for r in rows}
+    for r in got:
+        text = texts[r["doc_id"]]
+        if not text or not re.search("[^\\W\\d_]", text):
+            assert (r["lang_pred"], r["score"], r["margin"]) == ("und", 0.0, 0.0)
+            continue
+        sizes = {}
+        for lang, content in words.items():
+            coder = zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+            raw = text.lower().encode()
+            sizes[lang] = sum(len(coder.compress(raw[k : k + 1024])) for k in range(0, len(raw), 1024))
+        (best, lang), (second, _) = sorted((n, x) for x, n in sizes.items())[:2]
+        slack = 3 + len(text) // 300  # coders that share a table may part a block otherwise by some bytes
+        assert sizes[r["lang_pred"]] - best <= slack and r["lang_pred"] != "zz"
+        assert abs(r["margin"] - (second - best) / second) <= slack / second
+    clash = language.classify(docs.select("doc_id", "text", "lang", F.lit(1).alias("_p"), F.lit(2).alias("row"), F.lit(3).alias("p"), F.lit(4).alias("score")))
+    assert clash.columns == ["doc_id", "text", "lang", "_p", "row", "p", "held_out", "lang_pred", "score", "margin", "rejected"]
+    assert {(r["_p"], r["row"], r["p"]) for r in clash.collect()} == {(1, 2, 3)}
+    many = spark.createDataFrame([(k, "some words here", f"label{k:03d}") for k in range(40)], "doc_id long, text string, lang string")
+    assert len(language.learn(many, labels=7)) == 7
 
 
 # 4
@@ -382,14 +413,57 @@ def test_op8_sharding(docs, rows, empty, odd):
     assert sharding.shard_documents(empty).count() == 0 and sharding.shard_documents(odd).count() == odd.count()
 
 
+def drawn(key, tree):
+    """(region, rack, shard) of a key, draw by draw, without the operator's tables."""
+
+    def first(level, children):
+        def arrival(child):
+            h = xxhash.xxh64_intdigest(struct.pack("<i", level), 42)
+            h = xxhash.xxh64_intdigest(struct.pack("<q", key), xxhash.xxh64_intdigest(struct.pack("<i", child[0]), h))
+            return -math.log(((h >> 11) + 0.5) * 2.0**-53) / child[1], child[0]
+
+        return min(arrival(c) for c in children if c[1] > 0)[1]
+
+    weight = lambda x: x if isinstance(x, float) else sum(map(weight, x))
+    region = first(0, [(k, weight(r)) for k, r in enumerate(tree.regions)])
+    racks = sum(map(len, tree.regions[:region]))
+    rack = first(1, [(racks + k, weight(r)) for k, r in enumerate(tree.regions[region])])
+    shards = sum(len(r) for g in tree.regions for r in g) - sum(len(r) for g in tree.regions[region:] for r in g) + sum(map(len, tree.regions[region][: rack - racks]))
+    return region, rack, first(2, [(shards + k, w) for k, w in enumerate(tree.regions[region][rack - racks])])
+
+
+def test_op8_places_are_the_draws(docs, rows):
+    got = sharding.shard_documents(docs, shards=24).toPandas()
+    even = sharding.HashTree.even(24)
+    for r in got.itertuples():
+        assert (r.region, r.rack, r.shard) == drawn(r.doc_id, even)
+        assert r.grown_shard == drawn(r.doc_id, even.with_region(1.0))[2]
+
+
 def test_op8_weights(spark):
+    """Shares follow weights, a shard of weight 0 gets nothing, and a changed weight moves keys in its own subtrees only."""
     ids = spark.range(20_000).select(F.col("id"))
-    tree = sharding.HashTree((1.0, 2.0, 1.0, 0.0, 4.0), rack=2, region=1)
-    a = sharding.descend(ids, F.col("id"), tree).toPandas().set_index("id").shard
-    share = a.value_counts(normalize=True)
-    assert 3 not in share and all(abs(share[s] - w / 8) < 0.02 for s, w in ((0, 1), (1, 2), (2, 1), (4, 4)))
-    b = sharding.descend(ids, F.col("id"), sharding.HashTree((1.0, 3.0, 1.0, 0.0, 4.0), rack=2, region=1)).toPandas().set_index("id").shard
-    assert set(b[a != b]) == {1}
+    tree = sharding.HashTree((((1.0, 2.0), (1.0,)), ((0.0, 4.0), (2.0, 2.0))))
+    a = sharding.descend(ids, F.col("id"), tree).toPandas().set_index("id")
+    share = a.shard.value_counts(normalize=True)
+    assert 3 not in share and all(abs(share[s] - w / 12) < 0.02 for s, w in ((0, 1), (1, 2), (2, 1), (4, 4), (5, 2), (6, 2)))
+    b = sharding.descend(ids, F.col("id"), sharding.HashTree((((1.0, 3.0), (1.0,)), ((0.0, 4.0), (2.0, 2.0))))).toPandas().set_index("id")
+    moved = a.shard != b.shard
+    assert moved.any() and set(b.region[moved]) == {0}  # into the region whose weight grew, or within it
+    assert (a.shard[(a.region == 1) & (b.region == 1)] == b.shard[(a.region == 1) & (b.region == 1)]).all()
+    assert (b.shard[(a.rack == 0) & moved] == 1).all()  # within the rack, only to the shard that grew
+    c = sharding.descend(ids, F.col("id"), tree.with_region(2.0)).toPandas().set_index("id")
+    assert set(c.shard[c.shard != a.shard]) == {7}
+
+
+def test_op8_hot_and_odd_ids(spark, monkeypatch):
+    """Many rows of one id, alike or not, and null ids are numbered in parts."""
+    monkeypatch.setattr(sharding, "SLOT_ROWS", 20)
+    docs = spark.range(900).selectExpr("CASE WHEN id % 3 = 0 THEN 7 WHEN id % 3 = 1 THEN null ELSE id END AS doc_id", "CASE WHEN id % 3 = 2 THEN string(id) ELSE 'same' END AS text", "1 AS shard", "2 AS _order", "3 AS _s")
+    got = sharding.shard_documents(docs, shards=24).toPandas()
+    for _, g in got.groupby("shard"):
+        assert sorted(g.slot) == list(range(len(g)))
+    assert len(got) == 900 and got.doc_id.isna().sum() == 300 and got.shard[got.doc_id == 7].nunique() == 1
 
 
 # 9, 10
@@ -399,14 +473,18 @@ def test_op8_weights(spark):
 def test_encoder_says_what_the_library_says(name):
     rng = np.random.default_rng(3)
     e = tokens.Encoder(public_path(name))
-    texts = ["", " ", "a  b", "it's I'LL", "a \n b\tc", "Ünï ½ ² 日本", "<|endoftext|> x", "x\x1cy", "é́ x", "A" * 300]
+    library = Tokenizer.from_file(public_path(name))
+    special = [t.content for t in library.get_added_tokens_decoder().values()]
+    assert special
+    texts = [x for t in special for x in (t, t + t, f"a{t}b", f" {t} {t}\n", t.upper(), f"x {t[:-1]}", f"<{t}>", f"it's {t.title()} 12")]
+    texts += ["", " ", "a  b", "it's I'LL", "a \n b\tc", "Ünï ½ ² 日本", "<|endoftext|> x", "x\x1cy", "é́ x", "A" * 300]
     texts += ["".join(rng.choice(list(" \n\tab'sé1½. ,!"), rng.integers(0, 20))) for _ in range(500)]
-    want = [np.array(x.ids, "<u4").tobytes() for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    want = [np.array(x.ids, "<u4").tobytes() for x in library.encode_batch(texts, add_special_tokens=False)]
     assert e.rule and e.encode(texts) == want
 
 
 def ids_of(name, text):
-    return tokens.Encoder(public_path(name)).whole([text])[0] + bytes(4)
+    return np.array(Tokenizer.from_file(public_path(name)).encode(text, add_special_tokens=False).ids, "<u4").tobytes() + bytes(4)
 
 
 def test_op9_files(spark, docs, rows, empty, odd):

@@ -53,18 +53,22 @@ def _rule(spec: dict) -> Callable[[str], list[str]] | None:
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit integers.
 
-    A text's ids are those of its pre-tokens in order, so each distinct pre-token is encoded once and remembered. Texts
-    with characters outside the safe set, or under other rules, go to the tokenizer whole. The memory is bounded.
+    They are what the library gives for the file as it is, without adding special tokens; the strings of the file's added
+    tokens in a text are those tokens, as they are there. A text's ids are those of its pre-tokens in order, so each
+    distinct pre-token is encoded once and remembered. Texts with characters outside the safe set or with the string of
+    an added token, and all texts under other rules, go to the tokenizer whole. The memory is bounded.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as f:
-            self.rule = _rule(json.load(f))
+            spec = json.load(f)
+        self.rule = _rule(spec)
+        added = [t["content"].lower() for t in spec.get("added_tokens") or [] if t["content"]]
+        self.added = re.compile("|".join(map(re.escape, added)), re.I).search if added else lambda text: None
         self.known: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -73,7 +77,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.rule:
             return self.whole(texts)
-        split = [self.rule(t) if _SAFE(t) else None for t in texts]
+        split = [self.rule(t) if _SAFE(t) and not self.added(t) else None for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known, model = self.known, self.model
