@@ -1,4 +1,7 @@
-"""Best-fit packing: few-document length patterns fitted to the histogram by non-negative least squares, then residuals."""
+"""Best-fit packing: few-document length patterns fitted to the histogram by non-negative least squares, then residuals.
+
+Patterns are all those of one to three lengths that fill a sequence, and of four the ones that what is left asks for.
+"""
 
 from __future__ import annotations
 
@@ -13,8 +16,11 @@ from pyspark.sql import functions as F
 from .common import written
 from .tokens import encode_rows
 
-#: Pieces of one length that one task ranks; stride of the first member of a three-document pattern.
-RANK_ROWS, TRIPLE_STRIDE = 20_000, 32
+#: Pieces of one length that one task ranks.
+RANK_ROWS = 1000
+#: Documents of a pattern at most; times that patterns of as many are sought by what the fit leaves; what a fitted repeat
+#: may exceed a whole number by and still be rounded down, of which the best is taken.
+MEMBERS, ROUNDS, ROUNDING = 4, 3, (1e-4, 0.01, 0.05, 0.5)
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -41,21 +47,51 @@ def cut_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id:
 
 
 def length_patterns(present: np.ndarray, capacity: int) -> np.ndarray:
-    """Patterns of one, two and three lengths that fill a sequence; rows are padded with 0. Lengths must be present."""
+    """All patterns of one, two and three lengths that fill a sequence; rows descend and are padded with 0."""
     has = np.zeros(capacity + 1, bool)
     has[present] = True
     a = np.arange(1, capacity // 2 + 1)
-    pairs = np.stack([capacity - a, a, np.zeros_like(a)], 1)
-    x, y = np.meshgrid(np.arange(1, capacity, TRIPLE_STRIDE), np.arange(1, capacity), indexing="ij")
-    z = capacity - x - y
-    keep = (z >= y) & (y >= 1)
-    triples = np.stack([z[keep], y[keep], x[keep]], 1)
-    triples = np.unique(np.sort(triples, axis=1)[:, ::-1], axis=0)
-    every = np.concatenate([[[capacity, 0, 0]], pairs, triples])
+    out = [np.array([[capacity, 0, 0, 0]]), np.stack([capacity - a, a, 0 * a, 0 * a], 1)]
+    for x in np.nonzero(has[: capacity // 3 + 1])[0].tolist():
+        y = np.arange(max(x, 1), (capacity - x) // 2 + 1)
+        y = y[has[y] & has[capacity - x - y]]
+        out.append(np.stack([capacity - x - y, y, np.full(len(y), x), 0 * y], 1))
+    every = np.concatenate(out)
     return every[(has[every] | (every == 0)).all(axis=1)]
 
 
-def fit_repeats(patterns: np.ndarray, counts: np.ndarray, steps: int = 300) -> np.ndarray:
+def better_patterns(worth: np.ndarray, present: np.ndarray, members: int) -> np.ndarray:
+    """For each length, the pattern of ``members`` documents with it that fills a sequence and whose lengths are worth most.
+
+    ``worth`` is what the fit leaves at each length. The best completion comes from a table over sums, so every pattern
+    of so many documents is considered, though only the best are listed.
+    """
+    capacity = len(worth) - 1
+    own = np.full(capacity + 1, -np.inf)
+    own[present] = worth[present]
+    best, last = own, [np.arange(capacity + 1)]
+    for _ in range(members - 2):
+        now, arg = np.full(capacity + 1, -np.inf), np.zeros(capacity + 1, np.int64)
+        for x in present.tolist():
+            value = own[x] + best[: capacity + 1 - x]
+            up = value > now[x:]
+            now[x:][up] = value[up]
+            arg[x:][up] = x
+        best = now
+        last.append(arg)
+    lengths = present[own[present] + best[capacity - present] > 0]
+    rows, rest = [lengths], capacity - lengths
+    for arg in last[::-1]:
+        rows.append(arg[rest])
+        rest = rest - arg[rest]
+    return np.unique(np.sort(np.stack(rows, 1), axis=1)[:, ::-1], axis=0)
+
+
+def _filled(patterns: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+    return sum(np.bincount(patterns[:, j], weights=x * (patterns[:, j] > 0), minlength=n) for j in range(patterns.shape[1]))
+
+
+def fit_repeats(patterns: np.ndarray, counts: np.ndarray, start: np.ndarray | None = None, steps: int = 150) -> np.ndarray:
     """Non-negative repeats x that bring the patterns' lengths nearest to the histogram, by accelerated projected descent."""
     if not len(patterns):
         return np.zeros(0)
@@ -63,18 +99,18 @@ def fit_repeats(patterns: np.ndarray, counts: np.ndarray, steps: int = 300) -> n
     scale = 1.0 / np.sqrt(np.maximum(counts, 1.0))  # counts of rare lengths weigh as those of common ones
 
     def times(x):
-        return sum(np.bincount(patterns[:, j], weights=x * used[:, j], minlength=n) for j in range(3)) * scale
+        return _filled(patterns, x, n) * scale
 
     def back(r):
         r = r * scale
-        return sum(r[patterns[:, j]] * used[:, j] for j in range(3))
+        return sum(r[patterns[:, j]] * used[:, j] for j in range(patterns.shape[1]))
 
     v = np.random.default_rng(0).random(len(patterns))
     for _ in range(30):
         v = back(times(v))
         v /= np.linalg.norm(v)
     step = 1.0 / (1.05 * np.linalg.norm(back(times(v))))
-    x = y = np.zeros(len(patterns))
+    x = y = np.zeros(len(patterns)) if start is None else start
     t, goal = 1.0, counts * scale
     for _ in range(steps):
         new = np.maximum(0.0, y - step * back(times(y) - goal))
@@ -83,6 +119,44 @@ def fit_repeats(patterns: np.ndarray, counts: np.ndarray, steps: int = 300) -> n
     return x
 
 
+def fitted_patterns(counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Two fits, [(patterns, repeats), ...]: of all patterns of up to three documents, and with those of four that fill
+    what the first fit leaves."""
+    capacity, present = len(counts) - 1, np.nonzero(counts)[0]
+    patterns = length_patterns(present, capacity)
+    x = fit_repeats(patterns, counts)
+    first = patterns, x
+    code = lambda p: p @ (capacity + 1) ** np.arange(MEMBERS, dtype=np.int64)
+    for _ in range(ROUNDS if len(present) else 0):
+        left = (counts - _filled(patterns, x, len(counts))) / np.maximum(counts, 1)
+        new = better_patterns(left, present, MEMBERS)
+        new = new[~np.isin(code(new), code(patterns))]
+        if not len(new):
+            break
+        patterns, x = np.concatenate([patterns, new]), np.concatenate([x, np.zeros(len(new))])
+        x = fit_repeats(patterns, counts, x)
+    return [first, (patterns, x)]
+
+
+def rounded(patterns: np.ndarray, x: np.ndarray, counts: np.ndarray, slack: float) -> tuple[list, np.ndarray]:
+    """[(pattern, how many), ...] by falling repeats, rounded up beyond ``slack`` where pieces are there; and the pieces left."""
+    left, chosen = counts.copy(), []
+    for k in np.argsort(-x, kind="stable"):
+        many = int(np.ceil(x[k] - slack))
+        if many <= 0:
+            break
+        need = defaultdict(int)
+        for v in patterns[k]:
+            if v:
+                need[int(v)] += 1
+        many = min(many, *(int(left[v]) // c for v, c in need.items()))
+        if many > 0:
+            for v, c in need.items():
+                left[v] -= many * c
+            chosen.append(([*need.items()], many))
+    return chosen, left
+
+
 def pack_residuals(left: np.ndarray, capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
     """Best-fit decreasing over counts of lengths: [(length, how many), ...] and how many such sequences."""
     by_space: dict[int, list] = defaultdict(list)
@@ -120,22 +194,13 @@ def plan_sequences(counts: np.ndarray, capacity: int) -> dict[str, np.ndarray]:
     The plan depends on the histogram alone; its size is bounded by the number of patterns, not by the documents.
     """
     counts = counts.astype(np.int64)
-    patterns = length_patterns(np.nonzero(counts)[0], capacity)
-    x = np.rint(fit_repeats(patterns, counts.astype(float))).astype(np.int64)
-    left, chosen = counts.copy(), []
-    for k in np.argsort(-x, kind="stable"):
-        if x[k] <= 0:
-            break
-        need = defaultdict(int)
-        for v in patterns[k]:
-            if v:
-                need[int(v)] += 1
-        many = min(int(x[k]), *(int(left[v]) // c for v, c in need.items()))
-        if many > 0:
-            for v, c in need.items():
-                left[v] -= many * c
-            chosen.append(([*need.items()], many))
-    chosen += pack_residuals(left, capacity)
+    plans = []
+    for patterns, x in fitted_patterns(counts.astype(float)):
+        for slack in ROUNDING:
+            chosen, left = rounded(patterns, x, counts, slack)
+            plans.append((chosen + pack_residuals(left, capacity), int((counts - left).sum())))
+    # the fewest sequences; of equal ones the plan that patterns fill most of
+    chosen, by_patterns = min(plans, key=lambda p: (sum(many for _, many in p[0]), -p[1]))
     used, sequence, runs = np.zeros(len(counts), np.int64), 0, []
     for pattern, many in chosen:
         offset = 0
@@ -146,7 +211,7 @@ def plan_sequences(counts: np.ndarray, capacity: int) -> dict[str, np.ndarray]:
         sequence += many
     assert (used == counts).all(), "the plan must hold every piece once"
     runs = np.array(sorted(runs), np.int64).reshape(-1, 5)
-    return {"length": runs[:, 0], "rank": runs[:, 1], "sequence": runs[:, 2], "copies": runs[:, 3], "offset": runs[:, 4], "sequences": np.array([sequence])}
+    return {"length": runs[:, 0], "rank": runs[:, 1], "sequence": runs[:, 2], "copies": runs[:, 3], "offset": runs[:, 4], "sequences": np.array([sequence]), "by_patterns": np.array([by_patterns])}
 
 
 def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: int = 0) -> DataFrame:
