@@ -3,7 +3,7 @@
 Layout of a file, following the public zstandard seekable format:
 
     frame*       up to FRAME_IDS ids each, little-endian unsigned 32-bit, compressed on their own
-    index        a skippable frame (magic 184D2A50): zstandard frame of document count, ids, null flags, lengths
+    index        a skippable frame (magic 184D2A50): zstandard frame, with its checksum, of document count, ids, null flags, lengths
     seek table   a skippable frame (magic 184D2A5E): per frame its compressed size, its size and a checksum (low 32 bits
                  of XXH64 of its content), then frame count, descriptor 80 and magic 8F92EAB1
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,6 +31,8 @@ from .tokens import encode_rows
 #: Fixed values of the seekable format.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEK_MAGIC, CHECKSUM_FLAG = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 FRAME_IDS = 65_536
+#: Bytes of text that a file holds, about, each document counting ROW_BYTES more; documents that a reader gives at a time.
+FILE_BYTES, ROW_BYTES, READ_DOCS = 128_000_000, 64, 20_000
 _SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -38,9 +41,8 @@ class FileWriter:
 
     def __init__(self, level: int = 3):
         self.coder = zstandard.ZstdCompressor(level=level, write_content_size=True)
-        self.ids: list[int] = []
-        self.nulls = bytearray()
-        self.lengths: list[int] = []
+        self.index_coder = zstandard.ZstdCompressor(level=level, write_content_size=True, write_checksum=True)
+        self.ids, self.nulls, self.lengths = array("q"), bytearray(), array("q")
         self.table: list[tuple[int, int, int]] = []
 
     def _frame(self, raw: bytes) -> bytes:
@@ -61,7 +63,7 @@ class FileWriter:
         if held:
             yield self._frame(bytes(held))
         index = struct.pack("<Q", len(self.ids)) + np.array(self.ids, "<i8").tobytes() + bytes(self.nulls) + np.array(self.lengths, "<u8").tobytes()
-        index = self.coder.compress(index)
+        index = self.index_coder.compress(index)
         yield struct.pack("<II", SKIPPABLE_INDEX, len(index)) + index
         entries = b"".join(struct.pack("<III", *x) for x in self.table)
         yield struct.pack("<II", SKIPPABLE_SEEK, len(entries) + 9) + entries + struct.pack("<IBI", len(self.table), CHECKSUM_FLAG, SEEK_MAGIC)
@@ -128,7 +130,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, *, end_id: int = 0, path:
     its partition's number, which appears whole or not at all.
     """
     folder = path or scratch(docs.sparkSession, "tokens")
-    rows = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(ROW_BYTES))).first()[0] or 0
+    files = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(files, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
 
     def write(batches):
@@ -162,15 +166,17 @@ def read_token_files(spark, folder: str, files: list[tuple[str, int]]) -> DataFr
         for batch in batches:
             for k in batch.column("id").to_pylist():
                 r = FileReader(f"{folder}/{files[k][0]}")
-                sums = []
-                for nth in range(len(r.lengths)):
-                    crc = 0
-                    for piece in r.pieces(nth):
-                        crc = zlib.crc32(piece, crc)
-                    sums.append(crc)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(r.doc_ids, pa.int64(), mask=r.nulls), pa.array(r.starts[:-1] + bases[k], pa.int64()), pa.array(r.lengths, pa.int64()), pa.array(sums, pa.int64())],
-                    names=["doc_id", "start", "n_tokens", "ids_crc32"],
-                )
+                for at in range(0, len(r.lengths), READ_DOCS):
+                    own = slice(at, at + READ_DOCS)
+                    sums = []
+                    for nth in range(len(r.lengths))[own]:
+                        crc = 0
+                        for piece in r.pieces(nth):
+                            crc = zlib.crc32(piece, crc)
+                        sums.append(crc)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(r.doc_ids[own], pa.int64(), mask=r.nulls[own]), pa.array(r.starts[:-1][own] + bases[k], pa.int64()), pa.array(r.lengths[own], pa.int64()), pa.array(sums, pa.int64())],
+                        names=["doc_id", "start", "n_tokens", "ids_crc32"],
+                    )
 
     return spark.range(0, len(files), 1, len(files)).mapInArrow(read, _SCHEMA)
