@@ -280,6 +280,9 @@ def test_op4_neighbours(spark):
         assert np.allclose(g.score, far[g.vec_id])
     assert got.query_id.nunique() == 30 and hits / (10 * 30) >= 0.9
     assert nearest.neighbours(df.limit(0)).count() == 0
+    short = spark.createDataFrame([(2000, [1.0, 2.0]), (2020, [3.0] * 9), (None, [1.0] * 8)], "vec_id long, embedding array<float>")
+    again = nearest.neighbours(df.union(short).withColumn("leaf", F.lit(1)).withColumn("query_id", F.lit(2)), query_every=20)
+    assert set(again.toPandas().query_id) == set(got.query_id)
     few = df.where("vec_id < 4")
     assert nearest.neighbours(few, query_every=1).groupBy("query_id").count().toPandas()["count"].tolist() == [3] * 4
 
@@ -324,7 +327,9 @@ def test_op6_fingerprints(docs, rows, empty, odd):
             assert got[k]["n_near"] == sum((f[k] ^ x).bit_count() <= 3 for x in set(f.values())) - 1
     assert np.mean([r["near_edited"] for r in got.values()]) > np.mean([r["near_next"] for r in got.values()])
     assert fingerprints.fingerprint_edits(empty).count() == 0
-    assert fingerprints.fingerprint_edits(odd).count() == odd.select("doc_id", "text").distinct().count()
+    both = fingerprints.fingerprint_edits(odd.union(odd.where("doc_id = 5").withColumn("doc_id", F.lit(-(1 << 63))))).collect()
+    assert len(both) == odd.count() + 1 and sum(r["doc_id"] is None for r in both) == 2 and sum(r["doc_id"] == -(1 << 63) for r in both) == 1
+    assert len({tuple(r) for r in both if r["doc_id"] == 3}) == 1 and sum(r["doc_id"] == 3 for r in both) == 3
 
 
 def test_op6_simhash_votes(spark):

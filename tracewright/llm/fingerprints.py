@@ -51,26 +51,36 @@ def likeness(a: Column, b: Column) -> Column:
     return F.lit(1.0) - F.bit_count(a.bitwiseXOR(b)) / F.lit(float(BITS))
 
 
-def block_keys(fp: Column, radius: int) -> Column:
-    """(table, key) of a fingerprint in every permuted table for ``radius``: 64 bits fall into radius + 3 blocks, and a
-    table brings three of them to the front. ``radius`` differing bits leave three whole blocks, hence a common key."""
+def block_masks(radius: int) -> list[int]:
+    """Of each permuted table for ``radius`` the bits that make its key: 64 bits fall into radius + 3 blocks, and a table
+    brings three of them to the front. ``radius`` differing bits leave three whole blocks, hence a common key."""
     parts = radius + 3
     edges = [round(k * BITS / parts) for k in range(parts + 1)]
     masks = [sum(((1 << (edges[p + 1] - edges[p])) - 1) << edges[p] for p in chosen) for chosen in combinations(range(parts), 3)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    return F.array(*[F.struct(F.lit(t).alias("table"), fp.bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(signed)])
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def block_keys(fp: Column, radius: int) -> Column:
+    """(table, key) of a fingerprint in every permuted table for ``radius``."""
+    return F.array(*[F.struct(F.lit(t).alias("table"), fp.bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(block_masks(radius))])
 
 
-def search(prints: DataFrame, queries: DataFrame, radius: int = 3) -> DataFrame:
-    """(query, fingerprint) of all within ``radius`` bits, itself included; both tables hold distinct longs."""
+def count_near(prints: DataFrame, queries: DataFrame, radius: int = 3) -> DataFrame:
+    """(query, near): how many fingerprints lie within ``radius`` bits, itself included; both tables hold distinct longs.
+
+    A pair that several tables bring together counts in the first of them, so pairs are summed where they meet and never
+    shuffled, however dense a cluster is.
+    """
     table = prints.select("fingerprint", F.explode(block_keys(F.col("fingerprint"), radius)).alias("k")).select("fingerprint", "k.*")
     asked = queries.select("query", F.explode(block_keys(F.col("query"), radius)).alias("k")).select("query", "k.*")
-    near = F.bit_count(F.col("query").bitwiseXOR(F.col("fingerprint"))) <= radius
-    return asked.join(table, ["table", "key"]).where(near).select("query", "fingerprint").distinct()
+    differ = F.col("query").bitwiseXOR(F.col("fingerprint"))
+    first = F.coalesce(*[F.when(differ.bitwiseAND(F.lit(m)) == 0, F.lit(t)) for t, m in enumerate(block_masks(radius))])
+    near = asked.join(table, ["table", "key"]).where((F.bit_count(differ) <= radius) & (F.col("table") == first))
+    return near.groupBy("query").agg(F.count(F.lit(1)).alias("near"))
 
 
 def successors(ids: DataFrame) -> DataFrame:
-    """(id, node, cut, next_id, next_node): each document's next by id and node, the first after the last; no nulls.
+    """(id, node, cut, rows, next_id, next_node): each document's next by id and node, the first after the last; no nulls.
 
     Ranges of some ORDER_ROWS documents are ordered apart and joined at their ends, so no task sees them all.
     """
@@ -83,25 +93,23 @@ def successors(ids: DataFrame) -> DataFrame:
     after = F.coalesce(F.lead("first").over(every), F.first("first").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     heads = heads.select(F.col("_part").alias("_p"), after.alias("_after"))
     out = ranged.join(heads, F.col("_part") == F.col("_p"))
-    return out.select("id", "node", "cut", F.coalesce("_id", "_after.id").alias("next_id"), F.coalesce("_node", "_after.node").alias("next_node"))
-
-
-#: Stands for a null id, before all others.
-_NO_ID = -(1 << 63)
+    return out.select("id", "node", "cut", "rows", F.coalesce("_id", "_after.id").alias("next_id"), F.coalesce("_node", "_after.node").alias("next_node"))
 
 
 def fingerprint_edits(docs: DataFrame, *, radius: int = 3, query_every: int = 50) -> DataFrame:
-    """Fingerprints of every text and of its edited text, and how near they and the next document's are.
+    """Fingerprints of every text and of its edited text, and how near they and the next document's are; a row per row.
 
-    Null texts are empty. Rows equal in id and text are one document and one row; null ids come first in the order (and
-    are told by the smallest long, which therefore is no id); a lone document is its own next. n_near: for ids divisible
-    by ``query_every`` the number of other distinct fingerprints within ``radius`` bits, found through the block tables;
-    null for the rest. Texts are shuffled once, by id and hash; heads and sums go by the same keys.
+    Null texts are empty. Rows equal in id and text are one document in the order and have equal results; null ids come
+    first; a lone document is its own next. n_near: for ids divisible by ``query_every`` the number of other distinct
+    fingerprints within ``radius`` bits, found through the block tables; null for the rest. Texts are shuffled once, by
+    id and hash; heads and sums go by the same keys.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID).cast("long")).alias("id"), F.xxhash64(text).alias("node"), text.alias("text"))
+    doc_id = F.col("doc_id").cast("long")
+    # a null id is a pair of its own, before all others
+    base = docs.select(F.struct(doc_id.isNotNull().alias("some"), F.coalesce(doc_id, F.lit(0).cast("long")).alias("id")).alias("id"), F.xxhash64(text).alias("node"), text.alias("text"))
     cut = F.floor(F.length("text") / 4).cast("int")
-    order = written(successors(base.select("id", "node", cut.alias("cut")).distinct()), "order")
+    order = written(successors(base.groupBy("id", "node").agg(F.first(cut).alias("cut"), F.count(F.lit(1)).alias("rows"))), "order")
     ask = order.select(F.col("id").alias("h_id"), F.col("node").alias("h_node"), "cut", F.col("next_id").alias("id"), F.col("next_node").alias("node"))
     heads = base.join(ask, ["id", "node"])
     heads = heads.groupBy("h_id", "h_node").agg(F.min(F.substring(F.col("text"), F.lit(1), F.col("cut"))).alias("head"))
@@ -114,13 +122,14 @@ def fingerprint_edits(docs: DataFrame, *, radius: int = 3, query_every: int = 50
     edits = prints.where("k = 1").select("id", "node", F.col("sha").alias("edited_sha256"), F.col("fingerprint").alias("edited"))
     following = own.select(F.col("id").alias("next_id"), F.col("node").alias("next_node"), F.col("fingerprint").alias("next"))
     out = own.join(edits, ["id", "node"]).join(order.drop("cut"), ["id", "node"]).join(following, ["next_id", "next_node"])
-    asks = (F.col("id") != _NO_ID) & (F.col("id") % query_every == 0)
+    asks = F.col("id.some") & (F.col("id.id") % query_every == 0)
     asked = own.where(asks).select(F.col("fingerprint").alias("query")).distinct()
-    found = search(own.select("fingerprint").distinct(), asked, radius).groupBy("query").agg((F.count(F.lit(1)) - 1).alias("near"))
+    found = count_near(own.select("fingerprint").distinct(), asked, radius)
     out = out.join(found, F.col("fingerprint") == F.col("query"), "left")
+    out = out.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
     hexed = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
     return out.select(
-        F.when(F.col("id") != _NO_ID, F.col("id")).alias("doc_id"), "n_chars", "edited_sha256", hexed("fingerprint").alias("fingerprint"), hexed("edited").alias("edited_fingerprint"),
+        F.when(F.col("id.some"), F.col("id.id")).alias("doc_id"), "n_chars", "edited_sha256", hexed("fingerprint").alias("fingerprint"), hexed("edited").alias("edited_fingerprint"),
         likeness(F.col("fingerprint"), F.col("edited")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next")).alias("near_next"),
-        F.when(asks, F.col("near")).alias("n_near"),
+        F.when(asks, F.col("near") - 1).alias("n_near"),
     )

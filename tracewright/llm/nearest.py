@@ -148,7 +148,9 @@ class Index:
 
     def __init__(self, vectors: DataFrame, *, leaf_rows: int = 64, seed: int = 0):
         rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
-        self.size = rows.count()
+        length = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
+        rows = rows.where(F.size("embedding") == (length[0]["n"] if length else 0))
+        self.length, self.size = (length[0]["n"], length[0]["count"]) if length else (0, 0)
         u = F.shiftrightunsigned(F.xxhash64("vec_id", F.lit(seed)), 11).cast("double") * F.lit(2.0**-53)
         sample = rows.where(u < F.lit(min(1.0, FIT_ROWS / max(1, self.size)))).orderBy("vec_id").limit(2 * FIT_ROWS).select("embedding").toPandas()
         sample = np.array(sample.embedding.tolist(), np.float64)
@@ -182,6 +184,7 @@ class Index:
 
         truth = _best(self.rows.select("vec_id", "embedding", "leaf").mapInArrow(scan, _FOUND + ", leaf long"), k).select("query_id", "leaf").toPandas()
         at = {int(i): {leaf: n for n, leaf in enumerate(self.tree.visit(q, self.tree.leaves), 1)} for i, q in zip(ids, queries)}
+        recall = min(1.0, recall + 2 * math.sqrt(recall * (1 - recall) / max(1, len(truth))))  # the sample's own error
         needed = np.sort([at[q][leaf] for q, leaf in zip(truth.query_id, truth.leaf)])
         return int(needed[min(len(needed) - 1, math.ceil(recall * len(needed)) - 1)]) if len(needed) else 1
 
@@ -219,7 +222,7 @@ class Index:
 
             return _best(asked.groupBy("bin", "block").cogroup(self.rows.groupBy("bin", "block")).applyInPandas(meet, _FOUND), k)
 
-        queries = queries.select(F.col("query_id").cast("long"), F.col("embedding").cast("array<double>")).where(usable(F.col("embedding")))
+        queries = queries.select(F.col("query_id").cast("long"), F.col("embedding").cast("array<double>")).where(usable(F.col("embedding")) & (F.size("embedding") == self.length))
         found = written(seek(queries, route), "found")
         full = found.groupBy(F.col("query_id").alias("_q")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min(k, max(0, self.size - 1)))
         short = queries.join(full, F.col("query_id") == F.col("_q"), "left_anti")
@@ -238,7 +241,8 @@ def _with_leaf(batches, tree):
 def neighbours(vectors: DataFrame, *, query_every: int = 100, k: int = 10, recall: float = 0.95) -> DataFrame:
     """The k nearest of every row whose vec_id is divisible by ``query_every``, among all other rows.
 
-    Null, empty, zero and non-finite vectors and null ids take no part; vectors must be of one length. Rows that repeat
+    Null, empty, zero and non-finite vectors and null ids take no part, nor do vectors of another length than the most
+    frequent one (of equally frequent ones the shorter). Rows that repeat
     an id are each a candidate for others and none for their own id. Ties go to the smaller vec_id.
     """
     index = Index(vectors)
