@@ -74,3 +74,40 @@ def test_unknown_policy_is_refused():
 def test_reward_order(spark):
     r = lambda g, f, n: one(spark, status.reward_grounding(F.lit(float(g)), F.lit(float(f)), F.lit(True), F.lit(n)))
     assert r(6, 1, 6) > r(0, 0, 0) == 0 > r(0, 0, 5) and abs(r(0, 0, 5) + 0.85) < 1e-9
+
+
+@pytest.mark.parametrize("url, want", [
+    ("foo.com/a", "foo.com/a"), ("www.bar.org", "www.bar.org"), ("//cdn.x/y", "//cdn.x/y"), ("mailto:a@b.c", "mailto:a@b.c"), ("localhost:8080/x/", "localhost:8080/x"), ("/only/path", "/only/path"), ("", "/"),
+    ("http://x.com/?a=%zz+1", "http://x.com/?a=%25zz+1"), ("http://x.com/?b=%&a=1+2", "http://x.com/?a=1+2&b=%25"), ("http://x.com/?a=%2B", "http://x.com/?a=%2B"),
+])
+def test_norm_url_keeps_what_is_not_there(spark, url, want):
+    assert one(spark, keys.norm_url(F.col("u")), u=url) == want
+
+
+@pytest.mark.parametrize("md, want", [
+    ("a data:image/svg+xml,<svg) b", "a ) b"), ("x DATA:font/woff;base64,AAA y", "x  y"), ("![i](data:image/png;base64,cut off", "![i]( off"),
+    ("[[[[[[in](tel:1)](tel:2)](tel:3)](tel:4)](tel:5)](tel:6)", "in"), ("* ![i](x.png)\n* b", "* b"),
+])
+def test_slim_is_a_fixed_point(spark, md, want):
+    assert one(spark, text.slim(F.col("m")), m=md) == want == text.settled(md) == text.settled(want)
+
+
+@pytest.mark.parametrize("html, want", [
+    ("<h1>Menu</h1><p>Try <a href='/m'>our <em>menu</em></a>.</p>", "# Menu\n\nTry [our *menu*](/m)."),
+    ("<ol><li>a<ul><li>b</li></ul></li><li>c</li></ol>", "1. a\n  * b\n2. c"), ("<script>x</script>a<br>b &amp; c<svg><p>no</p></svg>", "a  \nb & c"),
+    ("<table><tr><th>x</th><td>1</td></tr></table>", "| x | 1 |"), ("", ""), ("no tags", "no tags"), ("<img src='data:image/gif;base64,A' alt='z'>", "![z]()"), ("<p>open <b>bold", "open **bold"),
+])
+def test_html_becomes_markdown(html, want):
+    assert text.markdown_of(html) == want
+
+
+def test_previews_and_percents(spark):
+    assert one(spark, text.preview(F.col("t"), 3), t="abcdef").asDict() == {"preview": "abc", "truncated": True, "full_len": 6}
+    assert one(spark, text.percent(F.col("x")), x=0.1234) == "12.3%"
+    assert one(spark, text.percent(F.lit(None).cast("double"))) == "--"
+
+
+@pytest.mark.parametrize("findable, found, want", [(True, True, "correct_find"), (True, False, "false_abstain"), (True, None, "false_abstain"), (False, True, "false_find"), (False, None, "correct_abstain")])
+def test_abstention_outcomes(spark, findable, found, want):
+    df = spark.createDataFrame([(findable, found)], "a boolean, b boolean")
+    assert df.select(status.abstention(F.col("a"), F.col("b"))).first()[0] == want

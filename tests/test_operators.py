@@ -1,8 +1,11 @@
+import datetime
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from tracewright.functions import prompts
 from tracewright.operators import cache, corpus, harvest, menus, messages, ranking, sampling
 from tracewright.sources import files
 from tracewright.streaming import attempts
@@ -133,7 +136,7 @@ def test_grounding(spark):
 @pytest.mark.parametrize("query, name, city, want", [
     ("Ssamjang Atlanta menu", "Ssamjang", "Atlanta", "{name} {city} menu"), ("cheesecake factory menu prices", "The Cheesecake Factory", "Seattle", "{name} menu prices"),
     ("best bbq atlanta", "Ssamjang Korean BBQ", "Atlanta", "best bbq {city}"), ("joes pizza menu", "Joe's Pizza", "New York", "{name} menu"),
-    ("the best menu in town", "The Cheesecake Factory", "Seattle", "the best menu in town"), ("ssamjang new york menu", "Ssamjang", "New York", "{name} {city} menu"),
+    ("la menu", "La Palma", "x", "{name} menu"), ("of menu", "Of Mice", "x", "of menu"), ("the best menu in town", "The Cheesecake Factory", "Seattle", "the best menu in town"), ("ssamjang new york menu", "Ssamjang", "New York", "{name} {city} menu"),
 ])
 def test_templates(query, name, city, want):
     assert harvest.template_of(query, name, city) == want
@@ -198,3 +201,177 @@ def test_streams_say_what_batches_say(spark, tmp_path):
     got = run(attempts.streaks(stream.withColumnRenamed("key", "run"), 3), "streaks")
     want = cache.streaks(df, "key", ["ts", "event_id"], ~F.col("ok")).toPandas()
     assert dict(zip(got.event_id, got.streak)) == dict(zip(want.event_id, want.streak))
+
+
+def test_empty_names_are_alike():
+    assert menus.similarity("!!", "--") == 1.0 and menus.similarity("", "a") == 0.0
+
+
+def greedy(candidate, reference, least=menus.ITEM_MATCH):
+    """Pairs taken one after the other, from full similarities."""
+    ranked = sorted((-menus.similarity(c["name"], r["name"]), not menus._agree(c["price"], r["price"]), i, j) for i, c in enumerate(candidate) for j, r in enumerate(reference))
+    out = []
+    for s, _, i, j in ranked:
+        if -s >= least and all(i != a and j != b for a, b, _ in out):
+            out.append((i, j, -s))
+    return out
+
+
+def test_matching_agrees_with_one_by_one():
+    rng = random.Random(4)
+    words = ["pad", "thai", "noodles", "fried", "rice", "chicken", "(2)", "Soup", "soupe", "!!", ""]
+    for _ in range(60):
+        a, b = ([{"name": " ".join(rng.choices(words, k=rng.randint(0, 3))), "price": rng.choice([None, 1.0, 2.0])} for _ in range(rng.randint(0, 9))] for _ in range(2))
+        assert menus.match_items(a, b) == greedy(a, b)
+
+
+def block(kind, text=None, id=None, name=None, input=None):
+    return {"type": kind, "text": text, "id": id, "name": name, "input": input}
+
+
+def trace(*messages):
+    return [{"role": r, "content": list(c)} for r, c in messages]
+
+
+TRACE = trace(
+    ("user", [block("text", "Ssamjang, "), block("text", "Atlanta")]),
+    ("assistant", [block("text", "I think"), block("tool_use", id="1", name="web_search", input='{"query":"q"}'), block("tool_use", id="2", name="scrape_url", input='{"url":"u","mode":"browser"}')]),
+    ("user", [block("tool_result", "![i](a.png)page", "2"), block("tool_result", "![i](a.png)hits", "1")]),
+    ("assistant", [block("tool_use", id="3", name="scrape_url", input='{"url":"v"}')]), ("user", [block("tool_result", "(scrape failed: x)", "3")]),
+    ("assistant", [block("text", 'Done: {"found": true, '), block("text", '"menu": []} bye')]),
+)
+
+
+@pytest.fixture
+def traces_df(spark):
+    rows = [
+        ("ok", TRACE, ["vegan"]), ("none", [], None), ("null", None, None), ("user", TRACE[:-1], None), ("prose", TRACE[:-1] + trace(("assistant", [block("text", "no json")])), None),
+        ("list", TRACE[:-1] + trace(("assistant", [block("text", "[1]")])), None), ("first", TRACE[1:], None), ("blank", trace(("user", []), ("assistant", [block("text", "{}")])), None),
+    ]
+    return spark.createDataFrame(rows, f"trace_id string, messages {messages.MESSAGES}, restrictions array<string>")
+
+
+def test_training_rows(traces_df):
+    got = {r["trace_id"]: r for r in messages.training_rows(traces_df).collect()}
+    assert {k: r["skip_reason"] for k, r in got.items()} == {
+        "ok": None, "none": "no messages", "null": "no messages", "user": "last turn not assistant", "prose": "final answer unparsable", "list": "final answer unparsable",
+        "first": "first turn not user", "blank": "first turn not user",
+    }
+    system, asked, one, two, answer = got["ok"]["messages"]
+    assert "vegan" in system["content"] and asked["content"] == "Ssamjang, Atlanta" and answer["content"] == '{"found":true,"menu":[]}'
+    assert [(c["name"], c["arguments"]) for c in one["tool_calls"]] == [("web_search", '{"query":"q"}'), ("scrape_url", '{"url":"u","mode":"browser"}')]
+    assert [tuple(c) for c in one["tool_responses"]] == [("web_search", "![i](a.png)hits"), ("scrape_url", "page")]
+    assert [tuple(c) for c in two["tool_responses"]] == [("scrape_url", "(scrape failed: x)")] and two["role"] == "assistant"
+    assert all(r["messages"] is None for k, r in got.items() if k != "ok")
+
+
+def test_calls_and_results_of_traces(traces_df):
+    r = traces_df.select("trace_id", messages.trace_calls(F.col("messages"), F.array(F.lit("s")), F.array(F.lit("w"))).alias("c"), messages.trace_results(F.col("messages")).alias("r"))
+    got = {x["trace_id"]: x for x in r.collect()}
+    c = got["ok"]["c"]
+    assert c["queries"] == ["q"] and [tuple(f) for f in c["fetches"]] == [("u", "browser", False), ("v", "direct", True)] and c["n_calls"] == 3
+    assert [tuple(f) for f in got["none"]["c"]["fetches"]] == [("w", "unknown", False)] and got["null"]["c"]["n_calls"] == 2
+    assert got["ok"]["r"]["scrapes"] == ["![i](a.png)page", "(scrape failed: x)"] and got["ok"]["r"]["searches"] == ["![i](a.png)hits"]
+
+
+def test_chat_becomes_messages(spark):
+    call = lambda i: {"id": i, "name": "web_search", "arguments": "{}"}
+    chat = [("system", "s", None, None), ("user", "hi", None, None), ("assistant", " ", [call("1"), call("2")], None), ("tool", "r1", None, "1"), ("tool", "r2", None, "2"), ("assistant", None, None, None), ("tool", "r3", None, "3"), ("assistant", "bye", None, None)]
+    kind = "array<struct<role:string,content:string,tool_calls:array<struct<id:string,name:string,arguments:string>>,tool_call_id:string>>"
+    df = spark.createDataFrame([(chat,), ([],)], f"chat {kind}")
+    got, none = (r[0] for r in df.select(messages.from_chat(F.col("chat"))).collect())
+    said = [(m["role"], [(b["type"], b["text"], b["id"]) for b in m["content"]]) for m in got]
+    assert said == [
+        ("user", [("text", "hi", None)]), ("assistant", [("tool_use", None, "1"), ("tool_use", None, "2")]), ("user", [("tool_result", "r1", "1"), ("tool_result", "r2", "2")]),
+        ("assistant", [("text", "", None)]), ("user", [("tool_result", "r3", "3")]), ("assistant", [("text", "bye", None)]),
+    ]
+    assert none == []
+
+
+def test_text_joiners(spark):
+    df = spark.createDataFrame([(TRACE,)], f"m {messages.MESSAGES}")
+    first, last = F.get("m", F.lit(0))["content"], F.try_element_at("m", F.lit(-1))["content"]
+    assert df.select(messages.block_text(first), messages.block_text(last, "\n")).first()[:] == ("Ssamjang, Atlanta", 'Done: {"found": true, \n"menu": []} bye')
+
+
+def test_reward_folds_punctuation(spark):
+    df = spark.createDataFrame([(["Joe's (Best) Pie", "Cake"], "joe s  best-pie!")], "n array<string>, e string")
+    g = df.select(messages.reward_evidence(F.col("n"), F.col("e")).alias("g")).first()["g"]
+    assert g["fraction"] == 0.5 and g["misses"] == ["Cake"]
+
+
+def test_slimming_rewrites_changed_rows_only(spark):
+    df = spark.createDataFrame([(1, "a ![x](y)"), (2, "plain"), (3, None)], "k int, response string")
+    assert [tuple(r) for r in cache.slim_rows(df).collect()] == [(1, "a ")]
+    assert cache.slim_rows(cache.slim_rows(df)).count() == 0
+    r = cache.slim_report(df, "response").first()
+    assert (r["scanned"], r["changed"], r["chars_before"] - r["chars_after"]) == (3, 1, 7)
+    assert {x["step"]: x["rows"] for x in cache.clean_changes(df.withColumn("status", F.lit("ok")), most=3).collect()} == {"slim": 1, "reclassify": 3, "clip": 1}
+
+
+def test_groups_of_a_batch():
+    assert sampling.effective_batch(2, 3, 4) == 24 and sampling.effective_batch(2, 3, 0) == 6
+    sampling.check_groups(24, 8)
+    for batch, group in ((24, 7), (24, 1)):
+        with pytest.raises(ValueError):
+            sampling.check_groups(batch, group)
+
+
+def test_prompts_of_episodes(spark):
+    df = spark.createDataFrame([(["vegan"],), (None,)], "r array<string>")
+    a, b = (r["system_prompt"] for r in prompts.with_prompts(df, "r", "teacher").collect())
+    assert "vegan" in a and "whole menu" in b and prompts.GUIDANCE in b
+    with pytest.raises(ValueError):
+        prompts.system_prompt(F.col("r"), "other")
+
+
+def test_provenance_and_exports(spark, tmp_path):
+    df = spark.createDataFrame([(1, True, "a", ["x", "y"]), (2, False, "b", [])], "k int, found boolean, src string, messages array<string>")
+    side = files.sidecar(df, "found", "src", cap=5)
+    assert (side["rows"], side["found"], side["found_false"], side["sources"], side["cap"]) == (2, 1, 1, 2, 5)
+    (tmp_path / "run/checkpoint-9").mkdir(parents=True)
+    assert files.checkpoint_meta(str(tmp_path / "run/checkpoint-9")) is None
+    (tmp_path / "run/meta.json").write_text('{"a": 1}')
+    assert files.checkpoint_meta(str(tmp_path / "run/checkpoint-9/")) == {"a": 1}
+    files.export_candidates(df, str(tmp_path / "out"))
+    assert {(r["k"], r["n_messages"]) for r in spark.read.json(str(tmp_path / "out")).collect()} == {(1, 2), (2, 0)}
+
+
+def test_snapshots_are_checked_and_pushes_skip_what_is_there(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    assert files.snapshot(df, str(tmp_path / "snap"), ["k"]) == 2 and files.snapshot(df, str(tmp_path / "snap"), ["k"]) == 2
+    assert spark.read.parquet(str(tmp_path / "snap")).count() == 2
+    for bad in ([(1, "a"), (1, "b")], [(None, "a")]):
+        with pytest.raises(ValueError):
+            files.snapshot(spark.createDataFrame(bad, "k int, v string"), str(tmp_path / "bad"), ["k"])
+    src, dst = tmp_path / "src", tmp_path / "dst"
+    src.mkdir()
+    (src / "a.txt").write_text("one")
+    (src / "b.txt").write_text("two")
+    assert files.push(spark, str(src), str(dst)) == {"pushed": 2, "skipped": 0, "remote_only": 0}
+    (src / "a.txt").write_text("ONE")
+    (dst / "c.txt").write_text("own")
+    assert files.push(spark, str(src), str(dst)) == {"pushed": 1, "skipped": 1, "remote_only": 1}
+    assert (dst / "a.txt").read_text() == "ONE" and (dst / "c.txt").exists()
+
+
+def test_telemetry_and_upserts_survive_a_restart(spark, tmp_path):
+    schema = "k string, seq long, v string, ok boolean, value double, ts timestamp"
+
+    def put(n, rows):
+        spark.createDataFrame([(*r, True, 1.0, datetime.datetime(2024, 1, 1, 0, n)) for r in rows], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        attempts.upsert_sink(stream, str(tmp_path / "out"), ["k"], str(tmp_path / "ck")).awaitTermination()
+        last = max((tmp_path / "out").glob("snapshot=*"), key=lambda p: int(p.name.split("=")[1]))
+        return {r["k"]: r["v"] for r in spark.read.parquet(str(last)).collect()}
+
+    put(0, [("a", 1, "x"), ("b", 2, "y")])
+    assert run() == {"a": "x", "b": "y"}
+    put(1, [("a", 3, "z")])
+    assert run() == {"a": "z", "b": "y"} and run() == {"a": "z", "b": "y"}
+    put(59, [("c", 4, "w")])
+    q = attempts.telemetry(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("telemetry").outputMode("complete").option("checkpointLocation", str(tmp_path / "t")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted((r["n"], r["ok_rate"]) for r in spark.table("telemetry").collect()) == [(1, 1.0), (3, 1.0)]

@@ -28,7 +28,13 @@ COUNTRY_ALIASES = {
 #: The answers for dead ends.
 BLOCKED_SITE = "(this site blocks automated access and returns no usable content -- try a different search result)"
 BINARY_URL = "(this link is a file download, not a readable web page -- try a different search result)"
-_URL = r"^([a-zA-Z][a-zA-Z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
+#: Schemes that are written with // even where there is no authority.
+AUTHORITY_SCHEMES = (
+    "", "ftp", "http", "gopher", "nntp", "telnet", "imap", "wais", "file", "mms", "https", "shttp", "snews", "prospero",
+    "rtsp", "rtsps", "rtspu", "rsync", "svn", "svn+ssh", "sftp", "nfs", "git", "git+ssh", "ws", "wss", "itms-services",
+)
+#: Scheme, authority, path and query of any text; all but the path may be missing.
+_URL = r"(?s)^(?:([a-zA-Z][a-zA-Z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
 
 def entity_id(name: Column, city: Column) -> Column:
@@ -53,24 +59,41 @@ def norm_query(q: Column) -> Column:
 
 
 def host_of(url: Column) -> Column:
-    """Lower-case network location without one leading www."""
-    return F.regexp_replace(F.lower(F.regexp_extract(F.trim(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), r"^www\.", "")
+    """Lower-case network location without one leading www.; empty where the URL has none."""
+    return F.regexp_replace(F.lower(F.regexp_extract(F.trim(url), _URL, 2)), r"^www\.", "")
+
 
+def _unquoted(part: Column) -> Column:
+    """Plus signs as spaces and valid escapes decoded; a percent sign that begins no escape stays."""
+    return F.url_decode(F.regexp_replace(part, "%(?![0-9A-Fa-f]{2})", "%25"))
 
-def _requote(part: Column) -> Column:
-    """Decoded and encoded again by one rule: ~ stays, * is escaped."""
-    return F.replace(F.replace(F.url_encode(F.coalesce(F.try_url_decode(part), part)), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
+
+def _quoted(part: Column) -> Column:
+    """Encoded by one rule: ~ stays, * is escaped, spaces are plus signs."""
+    return F.replace(F.replace(F.url_encode(part), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
 
 
 def norm_url(url: Column) -> Column:
-    """Lower-case scheme and host, no trailing slashes, fragment or tracking parameters, parameters sorted and re-encoded."""
+    """Lower-case scheme and host, no trailing slashes, fragment or tracking parameters, parameters sorted and re-encoded.
+
+    A URL without a scheme or an authority keeps what it has, so different ones stay different.
+    """
     u = F.trim(url)
+    scheme, host = F.lower(F.regexp_extract(u, _URL, 1)), F.lower(F.regexp_extract(u, _URL, 2))
     path = F.regexp_replace(F.regexp_extract(u, _URL, 3), "/+$", "")
+    path = F.when(path == "", F.lit("/")).otherwise(path)
     pairs = F.filter(F.split(F.coalesce(F.regexp_extract(u, _URL, 4), F.lit("")), "&"), lambda p: p != "")
-    pairs = F.transform(pairs, lambda p: F.struct(_requote(F.substring_index(p, "=", 1)).alias("k"), _requote(F.when(F.instr(p, "=") > 0, F.regexp_replace(p, "^[^=]*=", "")).otherwise("")).alias("v")))
+    pairs = F.transform(pairs, lambda p: F.struct(_unquoted(F.substring_index(p, "=", 1)).alias("k"), _unquoted(F.when(F.instr(p, "=") > 0, F.regexp_replace(p, "^[^=]*=", "")).otherwise("")).alias("v")))
     pairs = F.array_sort(F.filter(pairs, lambda p: ~F.lower(p["k"]).isin(*TRACKING_PARAMS)))
-    query = F.array_join(F.transform(pairs, lambda p: F.concat(p["k"], F.lit("="), p["v"])), "&")
-    base = F.concat(F.lower(F.regexp_extract(u, _URL, 1)), F.lit("://"), F.lower(F.regexp_extract(u, _URL, 2)), F.when(path == "", F.lit("/")).otherwise(path))
+    query = F.array_join(F.transform(pairs, lambda p: F.concat(_quoted(p["k"]), F.lit("="), _quoted(p["v"]))), "&")
+    rooted = F.startswith(path, F.lit("/"))
+    body = (
+        F.when(host != "", F.concat(F.lit("//"), host, F.when(rooted, F.lit("")).otherwise("/"), path))
+        .when(F.startswith(path, F.lit("//")), F.concat(F.lit("//"), path))
+        .when((scheme != "") & scheme.isin(*AUTHORITY_SCHEMES) & rooted, F.concat(F.lit("//"), path))
+        .otherwise(path)
+    )
+    base = F.when(scheme != "", F.concat(scheme, F.lit(":"), body)).otherwise(body)
     return F.when(query == "", base).otherwise(F.concat(base, F.lit("?"), query))
 
 

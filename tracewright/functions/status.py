@@ -52,7 +52,7 @@ def is_conditioned(has_key: Column, restrictions: Column, trace_id: Column) -> C
 def abstention(findable: Column, found: Column) -> Column:
     """One of four outcomes; a null or invalid candidate abstains."""
     found = F.coalesce(found, F.lit(False))
-    return F.when(findable & found, "answered").when(findable, "false_give_up").when(found, "false_find").otherwise("correct_abstention")
+    return F.when(findable & found, "correct_find").when(findable, "false_abstain").when(found, "false_find").otherwise("correct_abstain")
 
 
 def prices_equal(a: Column, b: Column, tolerance: float = 0.005) -> Column:

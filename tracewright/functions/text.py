@@ -2,22 +2,30 @@
 
 from __future__ import annotations
 
+import re
+from html.parser import HTMLParser
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Stored texts, text fed to a model, and its smaller variant, in code points.
 MAX_STORED_CHARS, MAX_TOOL_CHARS, SMALL_TOOL_CHARS = 400_000, 24_000, 16_000
-#: Passes of the markdown slimmer; each only deletes, and later passes find what earlier ones expose.
+#: Native passes of the markdown slimmer; what they leave unsettled goes on in Python.
 SLIM_PASSES = 3
 
-_SLIM = (
-    (r"data:[a-zA-Z0-9.+/-]*;base64,[A-Za-z0-9+/=]*", ""),
+#: What a page loses, in this order: inline data, images, links without text, links to nothing that can be
+#: read (their text stays), bullets with nothing after them, and blank lines beyond one.
+SLIM_PATTERNS = (
+    (r"(?i)data:[^\s)]*", ""),
     (r"!\[[^\]]*\]\([^)]*\)", ""),
     (r"\[\s*\]\(\s*[^)]*\)", ""),
     (r"(?i)\[([^\]]+)\]\(\s*(?:tel:|mailto:|javascript:|#)[^)]*\)|\[([^\]]+)\]\(\s*[^)]*\.(?:png|jpe?g|gif|webp|svg|ico)(?:\?[^)]*)?\s*\)", "$1$2"),
     (r"(?m)^[ \t]*[-*+][ \t]*$\n?", ""),
     (r"\n{3,}", "\n\n"),
 )
+_SLIM_PYTHON = [(re.compile(p), to.replace("$", "\\")) for p, to in SLIM_PATTERNS]
 
 
 def collapse(x: Column) -> Column:
@@ -51,16 +59,31 @@ def cap(x: Column, most: int = MAX_TOOL_CHARS) -> Column:
 def slim_once(x: Column) -> Column:
     """One pass of the slimmer: NULs, data URIs, images, empty links, dead links (their text stays), empty bullets, blank runs."""
     x = F.replace(x, F.char(F.lit(0)), F.lit(""))
-    for pattern, to in _SLIM:
+    for pattern, to in SLIM_PATTERNS:
         x = F.regexp_replace(x, pattern, to)
     return x
 
 
+def settled(md: str) -> str:
+    """The slimmer's fixed point; every pass but the last makes the text shorter."""
+    last = None
+    while md != last:
+        last, md = md, md.replace("\0", "")
+        for pattern, to in _SLIM_PYTHON:
+            md = pattern.sub(to, md)
+    return md
+
+
+@F.pandas_udf(T.StringType())
+def _settle(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else settled(t))
+
+
 def slim(x: Column, passes: int = SLIM_PASSES) -> Column:
-    """The slimmer, repeated; ``slim_once`` of the result is the result unless texts nest deeper than ``passes``."""
+    """The slimmer's fixed point. Texts that ``passes`` native passes leave unsettled, as links nest, go on in Python."""
     for _ in range(passes):
         x = slim_once(x)
-    return x
+    return F.coalesce(_settle(F.when(slim_once(x) != x, x)), x)
 
 
 def transform_tool_result(name: Column, text: Column, most: int = MAX_TOOL_CHARS) -> Column:
@@ -79,9 +102,114 @@ def html_text(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(x, r"(?s)<[^>]*>", " "), r"\s+", " "))
 
 
+class _Markdown(HTMLParser):
+    """HTML to Markdown: headings, emphasis, links, images, lists, rules, code, quotes and tables; text otherwise."""
+
+    DROPPED = frozenset({"script", "style", "noscript", "svg", "template", "head"})
+    BLOCKS = frozenset("p div section article header footer main nav aside ul ol table tr blockquote pre form figure address dl dt dd h1 h2 h3 h4 h5 h6".split())
+    MARKS = {"b": "**", "strong": "**", "i": "*", "em": "*", "code": "`"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out: list[str] = []
+        self.dropped = self.pre = 0
+        self.lists: list[list] = []  # [kind, items so far]
+        self.links: list[tuple[int, str]] = []
+        self.cells = 0
+
+    def _line(self, blank: bool = False) -> None:
+        text = "".join(self.out[-3:])
+        if self.out and not text.endswith("\n\n" if blank else "\n"):
+            self.out.append("\n\n" if blank and not text.endswith("\n") else "\n")
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.DROPPED or self.dropped:
+            self.dropped += tag in self.DROPPED
+            return
+        attrs = dict(attrs)
+        if tag in self.BLOCKS:
+            self._line(blank=tag not in ("tr", "dt", "dd", "ul", "ol") or tag in ("ul", "ol") and not self.lists)
+        if tag[0] == "h" and tag[1:].isdigit():
+            self.out.append("#" * int(tag[1:]) + " ")
+        elif tag in self.MARKS and not self.pre:
+            self.out.append(self.MARKS[tag])
+        elif tag in ("ul", "ol"):
+            self.lists.append([tag, 0])
+        elif tag == "li":
+            self._line()
+            kind = self.lists[-1] if self.lists else ["ul", 0]
+            kind[1] += 1
+            self.out.append("  " * max(0, len(self.lists) - 1) + (f"{kind[1]}. " if kind[0] == "ol" else "* "))
+        elif tag == "br":
+            self.out.append("  \n")
+        elif tag == "hr":
+            self._line(blank=True)
+            self.out.append("---\n\n")
+        elif tag == "img":
+            self.out.append(f"![{attrs.get('alt') or ''}]({attrs.get('src') or ''})")
+        elif tag == "a":
+            self.links.append((len(self.out), attrs.get("href") or ""))
+        elif tag == "blockquote":
+            self.out.append("> ")
+        elif tag == "pre":
+            self.pre += 1
+            self.out.append("```\n")
+        elif tag == "tr":
+            self.cells = 0
+        elif tag in ("td", "th"):
+            self.out.append("| " if not self.cells else " | ")
+            self.cells += 1
+
+    def handle_endtag(self, tag):
+        if self.dropped:
+            self.dropped -= tag in self.DROPPED
+            return
+        if tag in self.MARKS and not self.pre:
+            self.out.append(self.MARKS[tag])
+        elif tag in ("ul", "ol") and self.lists:
+            self.lists.pop()
+        elif tag == "a" and self.links:
+            at, href = self.links.pop()
+            inner = "".join(self.out[at:]).strip()
+            if href:
+                self.out[at:] = [f"[{inner}]({href})"]
+        elif tag == "pre":
+            self.pre = max(0, self.pre - 1)
+            self.out.append("\n```")
+        elif tag == "tr" and self.cells:
+            self.out.append(" |")
+        if tag in self.BLOCKS:
+            self._line(blank=tag not in ("tr", "dt", "dd", "ul", "ol") or tag in ("ul", "ol") and not self.lists)
+
+    def handle_data(self, data):
+        if self.dropped:
+            return
+        if self.pre:
+            self.out.append(data)
+            return
+        text = re.sub(r"\s+", " ", data)
+        if text.strip() or self.out and not self.out[-1].endswith((" ", "\n")):
+            self.out.append(text.lstrip() if not self.out or self.out[-1].endswith(("\n", " ")) else text)
+
+
+def markdown_of(html: str) -> str:
+    """A page as Markdown without scripts, styles, templates, drawings and inline data."""
+    parser = _Markdown()
+    parser.feed(html)
+    parser.close()
+    text = re.sub(r"[ \t]+\n", lambda m: "  \n" if m.group().startswith("  ") else "\n", "".join(parser.out))
+    return _SLIM_PYTHON[0][0].sub("", re.sub(r"\n{3,}", "\n\n", text).strip())
+
+
+@F.pandas_udf(T.StringType())
+def html_markdown(pages: pd.Series) -> pd.Series:
+    """HTML pages as Markdown, as ``markdown_of`` gives them; null for null."""
+    return pages.map(lambda h: None if h is None else markdown_of(h))
+
+
 def percent(x: Column, places: int = 1) -> Column:
     """A share as percent text, ``--`` where it is null."""
-    return F.coalesce(F.format_string(f"%.{places}f%%", x * 100.0), F.lit("--"))
+    return F.when(x.isNotNull(), F.format_string(f"%.{places}f%%", x * 100.0)).otherwise("--")
 
 
 def duration(seconds: Column) -> Column:

@@ -48,10 +48,25 @@ def reclassify(rows: DataFrame, text: str, status: str) -> DataFrame:
     return rows.where("changed").groupBy("transition").agg(F.count(F.lit(1)).alias("n"))
 
 
+def slim_rows(rows: DataFrame, text: str = "response", slimmer=slim) -> DataFrame:
+    """CA5: the rows that slimming changes, with their new text; a second run gives none. Null texts stay as they are."""
+    rows = rows.withColumn("_new", slimmer(F.col(text)))
+    return rows.where(F.col(text) != F.col("_new")).withColumn(text, F.col("_new")).drop("_new")
+
+
 def clean(rows: DataFrame, text: str = "response", most: int = MAX_STORED_CHARS) -> DataFrame:
-    """Slim, classify, clip, in this order; a second run changes nothing."""
+    """CA7: slim, classify, clip, in this order; a second run changes nothing."""
     rows = rows.withColumn(text, slim(F.col(text)))
-    return rows.withColumn("status", scrape_status(F.col(text))).withColumn(text, F.substring(text, 1, most))
+    rows = rows.withColumn("status", scrape_status(F.col(text)))
+    return rows.withColumn(text, slim(F.substring(text, 1, most)))  # a cut can leave a bullet with nothing after it
+
+
+def clean_changes(rows: DataFrame, text: str = "response", status: str = "status", most: int = MAX_STORED_CHARS) -> DataFrame:
+    """CA7 as a dry run: (step, rows): how many rows slimming, classifying and clipping would change; nothing is written."""
+    new = slim(F.col(text))
+    rows = rows.select(F.col(text).alias("old"), F.col(status).alias("status"), new.alias("new")).withColumn("now", scrape_status(F.col("new")))
+    counts = rows.agg(F.count_if(F.col("old") != F.col("new")).alias("slim"), F.count_if(F.col("status") != F.col("now")).alias("reclassify"), F.count_if(F.length("new") > most).alias("clip"))
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("step"), F.col(c).alias("rows")) for c in counts.columns])).alias("x")).select("x.*")
 
 
 def throttle(arrivals: DataFrame, host: str, at: str, order: str, gap: float = 1.0) -> DataFrame:

@@ -14,7 +14,7 @@ from ..functions.keys import entity_id
 #: Tags of closed places, kinds that are a cuisine of their own, and words that name nothing alone.
 CLOSED_TAGS = ("disused", "abandoned", "was:amenity", "disused:amenity")
 OWN_KINDS = ("cafe", "bakery", "bar", "meal_takeaway", "meal_delivery")
-STOPWORDS = frozenset({"the", "a", "an", "of", "and", "in", "at", "on", "la", "le", "el", "de"})
+STOPWORDS = frozenset({"the", "a", "an", "and", "of"})
 
 
 def _present(x: Column) -> Column:

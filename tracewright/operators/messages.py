@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse, fold_words
+from ..functions.prompts import system_prompt
+from ..functions.text import collapse, fold_words, transform_tool_result
+from .menus import extract_json
 
 #: Label of tokens that no loss is taken on (fixed value).
 IGNORED = -100
@@ -91,21 +93,161 @@ def pad_batch(df: DataFrame, ids: str, batch: str, pad: int = 0) -> DataFrame:
     }).drop("_b", "_m")
 
 
+# --- traces as arrays of messages ---
+#
+# A message is struct<role, content>; content an array of blocks struct<type, text, id, name, input>. Blocks are text,
+# tool_use (id, name, input as JSON) and tool_result (id of its use, text). A plain text is one text block.
+
+#: How a failed fetch begins, and the mode that a fetch has unless it says so.
+FAILED_FETCH, DEFAULT_MODE = "(scrape failed", "direct"
+BLOCK = "struct<type:string,text:string,id:string,name:string,input:string>"
+MESSAGES = f"array<struct<role:string,content:array<{BLOCK}>>>"
+
+
+def _block(kind: str, text=None, id_=None, name=None, input_=None) -> Column:
+    none = F.lit(None).cast("string")
+    parts = (F.lit(kind), *(none if x is None else x for x in (text, id_, name, input_)))
+    return F.struct(*[x.alias(n) for x, n in zip(parts, ("type", "text", "id", "name", "input"))])
+
+
+def block_text(content: Column, joiner: str = "") -> Column:
+    """JS9: the texts of a message's text blocks, joined."""
+    return F.array_join(F.transform(F.filter(content, lambda b: b["type"] == "text"), lambda b: F.coalesce(b["text"], F.lit(""))), joiner)
+
+
+def from_chat(chat: Column) -> Column:
+    """O-MSG1: a chat of struct<role, content, tool_calls array<struct<id, name, arguments>>, tool_call_id> as messages.
+
+    System turns go. A user's text is one block; an assistant's is its text unless blank and its calls, or one empty
+    block; consecutive tool turns are the results of one user turn.
+    """
+    chat = F.filter(chat, lambda m: m["role"] != "system")
+    chat = F.transform(chat, lambda m, i: F.struct(m.alias("m"), i.alias("i"), (m["role"] == "tool").alias("tool")))
+
+    def message(x, all_):
+        m = x["m"]
+        calls = F.transform(F.coalesce(m["tool_calls"], F.array()), lambda c: _block("tool_use", None, c["id"], c["name"], c["arguments"]))
+        said = F.when(F.trim(F.coalesce(m["content"], F.lit(""))) != "", F.array(_block("text", m["content"]))).otherwise(F.array().cast(f"array<{BLOCK}>"))
+        assistant = F.concat(said, calls)
+        assistant = F.when(F.size(assistant) > 0, assistant).otherwise(F.array(_block("text", F.lit(""))))
+        after = F.filter(all_, lambda y: ~y["tool"] & (y["i"] > x["i"]))
+        until = F.coalesce(F.array_min(F.transform(after, lambda y: y["i"])), F.lit(1 << 30))
+        results = F.transform(F.filter(all_, lambda y: y["tool"] & (y["i"] >= x["i"]) & (y["i"] < until)), lambda y: _block("tool_result", F.coalesce(y["m"]["content"], F.lit("")), y["m"]["tool_call_id"]))
+        content = F.when(x["tool"], results).when(m["role"] == "assistant", assistant).otherwise(F.array(_block("text", F.coalesce(m["content"], F.lit("")))))
+        return F.struct(F.when(x["tool"], F.lit("user")).otherwise(m["role"]).alias("role"), content.alias("content"))
+
+    begins = lambda x, all_: ~x["tool"] | ~F.exists(all_, lambda y: y["tool"] & (y["i"] == x["i"] - 1))
+    bound = F.transform(F.array(chat), lambda all_: F.transform(F.filter(all_, lambda x: begins(x, all_)), lambda x: message(x, all_)))
+    return F.get(bound, F.lit(0)).cast(MESSAGES)
+
+
+def _placed_blocks(messages: Column) -> Column:
+    """All blocks in order: struct(pos, role, b)."""
+    placed = F.flatten(F.transform(messages, lambda m: F.transform(F.coalesce(m["content"], F.array().cast(f"array<{BLOCK}>")), lambda b: F.struct(m["role"].alias("role"), b.alias("b")))))
+    return F.transform(placed, lambda x, i: F.struct(i.alias("pos"), x["role"].alias("role"), x["b"].alias("b")))
+
+
+def trace_calls(messages: Column, queries: Column, urls: Column) -> Column:
+    """O-MSG3: struct(queries, fetches array<struct<url, mode, failed>>, n_calls) of a trace's tool uses, in order.
+
+    A fetch has failed if the last result of its id that follows it, and no later use of the id, says so. A trace
+    without messages has the queries and urls that are stored with it, in an unknown mode.
+    """
+    argument = lambda b, k: F.coalesce(F.get_json_object(b["input"], f"$.{k}"), F.lit(""))
+
+    def parse(all_):
+        uses = F.filter(all_, lambda x: (x["role"] == "assistant") & (x["b"]["type"] == "tool_use"))
+
+        def fetch(u):
+            own = F.filter(all_, lambda r: (r["b"]["type"] == "tool_result") & (r["b"]["id"] == u["b"]["id"]) & (r["pos"] > u["pos"]) & ~F.exists(uses, lambda v: (v["b"]["id"] == u["b"]["id"]) & (v["pos"] > u["pos"]) & (v["pos"] < r["pos"])))
+            failed = F.coalesce(F.startswith(F.get(own, F.size(own) - 1)["b"]["text"], F.lit(FAILED_FETCH)), F.lit(False))
+            mode = F.coalesce(F.get_json_object(u["b"]["input"], "$.mode"), F.lit(DEFAULT_MODE))
+            return F.struct(argument(u["b"], "url").alias("url"), mode.alias("mode"), failed.alias("failed"))
+
+        return F.struct(
+            F.transform(F.filter(uses, lambda u: u["b"]["name"] == "web_search"), lambda u: argument(u["b"], "query")).alias("queries"),
+            F.transform(F.filter(uses, lambda u: u["b"]["name"] == "scrape_url"), fetch).alias("fetches"), F.size(uses).alias("n_calls"),
+        )
+
+    texts = F.array().cast("array<string>")
+    queries, urls = F.coalesce(queries, texts), F.coalesce(urls, texts)
+    stored = F.struct(queries.alias("queries"), F.transform(urls, lambda u: F.struct(u.alias("url"), F.lit("unknown").alias("mode"), F.lit(False).alias("failed"))).alias("fetches"), (F.size(queries) + F.size(urls)).alias("n_calls"))
+    return F.when(F.coalesce(F.size(messages), F.lit(0)) == 0, stored).otherwise(F.get(F.transform(F.array(_placed_blocks(messages)), parse), F.lit(0)))
+
+
+def trace_results(messages: Column) -> Column:
+    """O-MSG4: struct(scrapes, searches): whole texts of the results in user turns by their tool, in order."""
+
+    def parse(all_):
+        named = lambda r: F.get(F.transform(F.slice(F.reverse(F.filter(all_, lambda u: (u["role"] == "assistant") & (u["b"]["type"] == "tool_use") & (u["b"]["id"] == r["b"]["id"]))), 1, 1), lambda u: u["b"]["name"]), F.lit(0))
+        results = F.filter(all_, lambda r: (r["role"] == "user") & (r["b"]["type"] == "tool_result"))
+        of = lambda tool: F.transform(F.filter(results, lambda r: named(r) == tool), lambda r: F.coalesce(r["b"]["text"], F.lit("")))
+        return F.struct(of("scrape_url").alias("scrapes"), of("web_search").alias("searches"))
+
+    return F.get(F.transform(F.array(_placed_blocks(messages)), parse), F.lit(0))
+
+
+def training_rows(traces: DataFrame, key: str = "trace_id") -> DataFrame:
+    """O-MSG6: (key, skip_reason, messages): each trace as a student sees it, or why it gives no row.
+
+    traces: key, messages, restrictions (array or null). The student's system prompt, the first turn's text, each
+    assistant turn with calls and, beside them, the results of the user turn right after it, slimmed and capped as at
+    inference, then the last turn's answer as compact JSON. Thoughts and texts before calls are dropped. messages:
+    array<struct<role, content, tool_calls array<struct<name, arguments>>, tool_responses array<struct<name, response>>>>.
+    """
+    last = F.try_element_at("messages", F.lit(-1))
+    first = F.get("messages", F.lit(0))
+    traces = traces.select(key, "messages", "restrictions", extract_json(block_text(last["content"])).alias("final"))
+    asked = F.when(first["role"] == "user", block_text(first["content"]))
+    reason = (
+        F.when(F.coalesce(F.size("messages"), F.lit(0)) == 0, "no messages")
+        .when(F.coalesce(last["role"], F.lit("")) != "assistant", "last turn not assistant")
+        .when(~F.coalesce(F.startswith("final", F.lit("{")), F.lit(False)), "final answer unparsable")
+        .when(F.coalesce(asked, F.lit("")) == "", "first turn not user")
+    )
+    # a call and its result, exploded: the slimmer's slow path is no part of a lambda
+    turns = traces.where(reason.isNull()).select(F.col(key).alias("_k"), F.posexplode("messages").alias("turn", "m"), "messages")
+    turns = turns.where((F.col("m.role") == "assistant") & (F.col("turn") < F.size("messages") - 1))
+    after = F.get("messages", F.col("turn") + 1)
+    results = F.when(after["role"] == "user", F.filter(after["content"], lambda b: b["type"] == "tool_result"))
+    calls = turns.select("_k", "turn", results.alias("results"), F.posexplode(F.filter(F.col("m.content"), lambda b: b["type"] == "tool_use")).alias("nth", "u"))
+    own = F.reverse(F.filter("results", lambda r: r["id"] == F.col("u.id")))
+    raw = F.coalesce(F.get(own, F.lit(0))["text"], F.lit(""))
+    calls = calls.select("_k", "turn", "nth", F.col("u.name").alias("name"), F.coalesce("u.input", F.lit("{}")).alias("arguments"), raw.alias("raw"))
+    calls = calls.withColumn("response", transform_tool_result(F.col("name"), F.col("raw")))
+    part = F.struct("turn", "nth", F.struct("name", "arguments").alias("call"), F.struct("name", "response").alias("answer"))
+    calls = calls.groupBy("_k").agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    none = "array<struct<role:string,content:string,tool_calls:array<struct<name:string,arguments:string>>,tool_responses:array<struct<name:string,response:string>>>>"
+    said = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"), F.lit(None).alias("tool_calls"), F.lit(None).alias("tool_responses"))
+    parts = F.coalesce("parts", F.array())
+    mine = lambda turn, field: F.transform(F.filter(parts, lambda p: p["turn"] == turn), lambda p: p[field])
+    bundles = F.transform(F.array_distinct(F.transform(parts, lambda p: p["turn"])), lambda t: F.struct(F.lit("assistant").alias("role"), F.lit(None).cast("string").alias("content"), mine(t, "call").alias("tool_calls"), mine(t, "answer").alias("tool_responses")))
+    prompt = F.array(said("system", system_prompt(F.col("restrictions"), "student")), said("user", asked)).cast(none)
+    rows = traces.withColumn("skip_reason", reason).join(calls, F.col(key) == F.col("_k"), "left")
+    whole = F.concat(prompt, bundles.cast(none), F.array(said("assistant", F.col("final"))).cast(none))
+    return rows.select(key, "skip_reason", F.when(F.col("skip_reason").isNull(), whole).alias("messages"))
+
+
 # --- grounding ---
 
 
 def grounding(names: Column, evidence: Column, fold=collapse) -> Column:
-    """struct(fraction, misses, n): the share of names whose folded form is in the folded evidence; 0 and none without names."""
+    """struct(fraction, misses, n): the share of names whose folded form is in the folded evidence; 0 and none without names.
+
+    Evidence and names are folded once a row: what a lambda is given is computed before it.
+    """
     hay = F.regexp_replace(F.lower(evidence), r"(?U)\s+", " ") if fold is collapse else fold(evidence)
-    missed = F.filter(names, lambda n: ~F.contains(hay, fold(n)))
-    n = F.coalesce(F.size(names), F.lit(0))
-    return F.struct(F.when(n > 0, (n - F.size(missed)) / n).otherwise(0.0).alias("fraction"), missed.alias("misses"), n.alias("n"))
+    folded = F.transform(names, lambda n: F.struct(n.alias("name"), fold(n).alias("key")))
+    given = F.array(F.struct(hay.alias("hay"), folded.alias("names")))
+    missed = F.transform(given, lambda g: F.struct(F.transform(F.filter(g["names"], lambda n: ~F.contains(g["hay"], n["key"])), lambda n: n["name"]).alias("misses"), F.coalesce(F.size(g["names"]), F.lit(0)).alias("n")))
+    out = F.transform(missed, lambda m: F.struct(F.when(m["n"] > 0, (m["n"] - F.size(m["misses"])) / m["n"]).otherwise(0.0).alias("fraction"), m["misses"].alias("misses"), m["n"].alias("n")))
+    return F.get(out, F.lit(0))
 
 
 def trace_grounding(names: Column, evidence: Column, most: int = 25) -> Column:
     """As ``grounding``, rounded half-even to three places; null without names; at most ``most`` misses."""
-    g = grounding(names, evidence)
-    return F.when(F.size(names) > 0, F.struct(F.bround(g["fraction"], 3).alias("fraction"), F.slice(g["misses"], 1, most).alias("misses")))
+    out = F.transform(F.array(grounding(names, evidence)), lambda g: F.when(g["n"] > 0, F.struct(F.bround(g["fraction"], 3).alias("fraction"), F.slice(g["misses"], 1, most).alias("misses"))))
+    return F.get(out, F.lit(0))
 
 
 def reward_evidence(names: Column, evidence: Column) -> Column:
@@ -129,9 +271,11 @@ def menu_reach(strings: Column, scrapes: Column) -> Column:
 
     Each string's end is the least over scrapes of where its first occurrence ends; deepest is the greatest of them.
     """
-    ends = F.transform(strings, lambda s: F.array_min(F.filter(F.transform(scrapes, lambda d: F.when(F.contains(F.lower(d), F.lower(s)), F.instr(F.lower(d), F.lower(s)) - 1 + F.length(s))), lambda e: e.isNotNull())))
-    hit = F.filter(ends, lambda e: e.isNotNull())
-    return F.when(F.size(strings) > 0, F.struct(F.array_max(hit).alias("deepest"), (F.size(hit) / F.size(strings)).alias("match_rate")))
+    given = F.array(F.struct(F.transform(scrapes, lambda d: F.lower(d)).alias("low"), F.transform(strings, lambda s: F.struct(F.lower(s).alias("low"), F.length(s).alias("n"))).alias("strings")))
+    end = lambda d, s: F.when(F.instr(d, s["low"]) > 0, F.instr(d, s["low"]) - 1 + s["n"])
+    ends = F.transform(given, lambda g: F.transform(g["strings"], lambda s: F.array_min(F.filter(F.transform(g["low"], lambda d: end(d, s)), lambda e: e.isNotNull()))))
+    out = F.transform(ends, lambda e: F.when(F.size(e) > 0, F.struct(F.array_max(e).alias("deepest"), (F.size(F.filter(e, lambda x: x.isNotNull())) / F.size(e)).alias("match_rate"))))
+    return F.get(out, F.lit(0))
 
 
 def wire_answer(raw: Column) -> Column:

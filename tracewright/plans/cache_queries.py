@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import keys, status
 from ..operators import cache, ranking
 from .registry import query
-from .text_queries import HOST, _RESP, _STATUS, _response
+from .text_queries import HOST, _RESP, _STATUS, _response, _slim_sql
 
 OK = "event_type <> 'error'"
 
@@ -31,14 +31,14 @@ def cache_hit_rate(t):
     return r.groupBy("user_id").agg(F.count(F.lit(1)).alias("lookups"), F.count_if("hit").alias("hits")).withColumn("hit_rate", cache.hit_rate(F.col("hits"), F.col("lookups")))
 
 
-_MISS = "SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN NULL WHEN l.toxic = 1 THEN 'error' WHEN l.quality = 1 THEN 'ok' ELSE 'empty' END AS st, CASE WHEN l.doc_id IS NOT NULL THEN substr(d.text, 1, 20) END AS resp FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"
+_MISS = "SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN NULL WHEN l.toxic = 1 THEN 'error' WHEN l.quality = 1 THEN 'ok' ELSE 'empty' END AS st, CASE WHEN l.doc_id IS NOT NULL THEN d.text END AS resp FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"
 
 
 @query(f"SELECT doc_id, CASE WHEN st IN ('ok', 'empty') THEN 'hit' ELSE 'fetch' END AS live, CASE WHEN st IN ('ok', 'empty') THEN 'hit' ELSE 'raise' END AS error, CASE WHEN st IS NULL THEN 'canned' ELSE 'hit' END AS canned, coalesce(resp, '(no results)') AS response FROM ({_MISS})")
 def miss_policy(t):
     """JN15, CA2: one lookup join, three policies."""
     stored = t("labels").select(F.col("doc_id").alias("_d"), F.when(F.col("toxic") == 1, "error").when(F.col("quality") == 1, "ok").otherwise("empty").alias("st"))
-    d = t("documents").select("doc_id", F.substring("text", 1, 20).alias("r")).join(stored, F.col("doc_id") == F.col("_d"), "left")
+    d = t("documents").select("doc_id", F.col("text").alias("r")).join(stored, F.col("doc_id") == F.col("_d"), "left")
     resp = F.when(F.col("_d").isNotNull(), F.col("r"))
     p = {k: status.miss_policy(k, F.lit("search"), F.col("st"), resp) for k in ("live", "error", "canned")}
     return d.select("doc_id", *[p[k]["action"].alias(k) for k in p], p["canned"]["response"].alias("response"))
@@ -57,15 +57,32 @@ def cache_store(t):
     return cache.store(d, most=500, veto=F.col("doc_id") % 7 == 0).select("doc_id", "status", "response")
 
 
-@query("""WITH s AS (SELECT text AS a, CASE WHEN doc_id % 2 = 0 THEN text ELSE replace(text, 'the', '') END AS b FROM (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE text END AS text FROM documents))
+_SLIM_IN = "CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 2 = 0 THEN text ELSE '![i](a.png)' || text || '[c](tel:1)' END"
+
+
+def _slim_in():
+    return F.when(F.col("doc_id") % 11 == 0, None).when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.concat(F.lit("![i](a.png)"), "text", F.lit("[c](tel:1)")))
+
+
+@query(f"""WITH s AS (SELECT a, {_slim_sql("a")} AS b FROM (SELECT {_SLIM_IN} AS a FROM documents))
 SELECT count(*) AS scanned, count(*) FILTER (a <> b) AS changed, CAST(coalesce(sum(length(a)), 0) AS BIGINT) AS chars_before, CAST(coalesce(sum(length(b)), 0) AS BIGINT) AS chars_after FROM s""")
 def slim_report(t):
-    """CA5, UX2: any column function may be the slimmer."""
-    d = t("documents").select("doc_id", F.when(F.col("doc_id") % 11 != 0, F.col("text")).alias("text"))
-    d = d.select(F.struct("doc_id", "text").alias("x")).select(F.col("x.text").alias("text"), F.col("x.doc_id").alias("k"))
-    out = d.select("text", F.when(F.col("k") % 2 == 0, F.col("text")).otherwise(F.replace("text", F.lit("the"), F.lit(""))).alias("b"))
-    changed = F.coalesce(F.col("text") != F.col("b"), F.lit(False))
-    return out.agg(F.count(F.lit(1)).alias("scanned"), F.count_if(changed).alias("changed"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars_before"), F.coalesce(F.sum(F.length("b")), F.lit(0)).alias("chars_after"))
+    """CA5, UX2: null responses are scanned and untouched."""
+    return cache.slim_report(t("documents").select(_slim_in().alias("text")), "text")
+
+
+@query(f"SELECT doc_id, b AS response FROM (SELECT doc_id, a, {_slim_sql('a')} AS b FROM (SELECT doc_id, {_SLIM_IN} AS a FROM documents)) WHERE a <> b")
+def slim_rows(t):
+    """CA5: only the rows that slimming changes are written anew."""
+    return cache.slim_rows(t("documents").select("doc_id", _slim_in().alias("response")))
+
+
+@query(f"""WITH s AS (SELECT old, status, new, {_STATUS.replace("length(r)", "length(r)")} AS now FROM (SELECT a AS old, CASE doc_id % 3 WHEN 0 THEN 'ok' ELSE 'empty' END AS status, b AS new, regexp_replace(coalesce(b, ''), '^\\s+|\\s+$', '', 'g') AS r FROM (SELECT doc_id, a, {_slim_sql("a")} AS b FROM (SELECT doc_id, {_SLIM_IN} AS a FROM documents))))
+SELECT step, rows FROM (SELECT count(*) FILTER (old <> new) AS slim, count(*) FILTER (status <> now) AS reclassify, count(*) FILTER (length(new) > 3000) AS clip FROM s) UNPIVOT (rows FOR step IN (slim, reclassify, clip))""")
+def clean_dry_run(t):
+    """CA7: what a clean would change, step by step, without writing."""
+    d = t("documents").select(_slim_in().alias("response"), F.when(F.col("doc_id") % 3 == 0, "ok").otherwise("empty").alias("status"))
+    return cache.clean_changes(d, most=3000)
 
 
 @query(f"SELECT old || '->' || new AS transition, count(*) AS n FROM (SELECT CASE doc_id % 2 WHEN 0 THEN 'ok' ELSE 'error' END AS old, {_STATUS} AS new FROM (SELECT doc_id, regexp_replace({_RESP}, '^\\s+|\\s+$', '', 'g') AS r FROM documents)) WHERE old <> new GROUP BY 1")
@@ -171,10 +188,29 @@ def top_templates(t):
     return r.groupBy(F.when(F.col("place") <= 10, F.col("template")).otherwise("... more").alias("template")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("templates"))
 
 
-@query("SELECT event_type AS mode, count(*) AS n, count(*) FILTER (value > 50) AS failures FROM events GROUP BY 1")
+_FETCHES = """f AS (SELECT page_id, CASE WHEN page_id % 9 = 0 THEN 'web.archive.org' ELSE regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^www\\.', '') END AS domain,
+  CASE page_id % 4 WHEN 0 THEN 'browser' WHEN 1 THEN 'unknown' ELSE 'direct' END AS mode, page_id % 7 = 0 AS failed FROM pages)"""
+
+
+def _fetches(t):
+    """Fetches of traces: url, mode, failed."""
+    k = F.col("page_id")
+    mode = F.when(k % 4 == 0, "browser").when(k % 4 == 1, "unknown").otherwise("direct")
+    return t("pages").select("page_id", F.when(k % 9 == 0, "https://web.archive.org/web/x").otherwise(F.col("url")).alias("url"), mode.alias("mode"), (k % 7 == 0).alias("failed"))
+
+
+@query(f"WITH {_FETCHES} SELECT mode, count(*) AS n, count(*) FILTER (failed) AS failures, count(*) FILTER (domain = 'web.archive.org') AS archived FROM f GROUP BY 1")
 def mode_counts(t):
-    """AG10."""
-    return t("events").groupBy(F.col("event_type").alias("mode")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > 50).alias("failures"))
+    """AG10: fetches, failures and archived pages by mode."""
+    f = _fetches(t)
+    archived = keys.host_of(F.col("url")) == "web.archive.org"
+    return f.groupBy("mode").agg(F.count(F.lit(1)).alias("n"), F.count_if("failed").alias("failures"), F.count_if(archived).alias("archived"))
+
+
+@query(f"WITH {_FETCHES} SELECT domain, count(*) AS n FROM f WHERE failed GROUP BY 1")
+def failure_domains(t):
+    """AG10: hosts whose fetches failed."""
+    return _fetches(t).where("failed").groupBy(keys.host_of(F.col("url")).alias("domain")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""WITH e AS (SELECT o_orderkey, o_orderstatus <> 'F' AS found, bool_or(l_suppkey % 10 = 0) AS delivery, count(*) AS calls FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2)

@@ -17,12 +17,12 @@ CONV = "conversations"
 # --- messages ---
 
 
-@query("WITH b AS (SELECT conv_id, turn, role, text, turn % 2 AS id FROM conversations) SELECT u.conv_id AS trace_id, u.turn AS call_pos, max(r.turn) AS result_pos, arg_max(substr(r.text, 1, 40), r.turn) AS result FROM b u LEFT JOIN b r ON u.conv_id = r.conv_id AND u.id + 1 = r.id + CASE WHEN u.id = 0 THEN 0 ELSE 2 END AND r.role = 'user' AND r.turn > u.turn WHERE u.role = 'assistant' GROUP BY 1, 2")
+@query("WITH b AS (SELECT conv_id, turn, role, text, turn % 2 AS id FROM conversations) SELECT u.conv_id AS trace_id, u.turn AS call_pos, max(r.turn) AS result_pos, arg_max(r.text, r.turn) AS result FROM b u LEFT JOIN b r ON u.conv_id = r.conv_id AND u.id + 1 = r.id + CASE WHEN u.id = 0 THEN 0 ELSE 2 END AND r.role = 'user' AND r.turn > u.turn WHERE u.role = 'assistant' GROUP BY 1, 2")
 def tool_call_pairs(t):
     """JN4, JN6, O-MSG3: a call and the last later result of its id within the trace."""
     c = t(CONV).select("conv_id", "turn", "role", "text", (F.col("turn") % 2).alias("id"))
     use = c.where("role = 'assistant'").select(F.col("conv_id").alias("trace_id"), F.col("turn").alias("pos"), F.lit("tool_use").alias("type"), (1 - F.col("id")).cast("string").alias("id"), F.lit("search").alias("name"), F.col("text").alias("content"))
-    res = c.where("role = 'user'").select(F.col("conv_id").alias("trace_id"), F.col("turn").alias("pos"), F.lit("tool_result").alias("type"), F.when(F.col("id") == 1, "1").otherwise("0").alias("id"), F.lit(None).cast("string").alias("name"), F.substring("text", 1, 40).alias("content"))
+    res = c.where("role = 'user'").select(F.col("conv_id").alias("trace_id"), F.col("turn").alias("pos"), F.lit("tool_result").alias("type"), F.when(F.col("id") == 1, "1").otherwise("0").alias("id"), F.lit(None).cast("string").alias("name"), F.col("text").alias("content"))
     flipped = use.withColumn("id", F.when(F.col("id") == "1", "1").otherwise("0"))
     return messages.call_pairs(flipped.unionByName(res)).select("trace_id", "call_pos", "result_pos", "result")
 
@@ -98,10 +98,10 @@ def pad_batch(t):
     return messages.pad_batch(o, "ids", "b").select("o_orderkey", text("padded"), text("mask"), text("labels"))
 
 
-@query("SELECT c.conv_id, CAST(sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) AS BIGINT) AS n_calls, string_agg(substr(text, 1, 20), '|' ORDER BY turn) FILTER (role = 'assistant') AS queries FROM conversations c GROUP BY 1")
+@query("SELECT c.conv_id, CAST(sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) AS BIGINT) AS n_calls, string_agg(text, '|' ORDER BY turn) FILTER (role = 'assistant') AS queries FROM conversations c GROUP BY 1")
 def extract_calls(t):
     """O-MSG2: the queries of a trace in order."""
-    c = t(CONV).groupBy("conv_id").agg(F.count_if(F.col("role") == "assistant").alias("n_calls"), F.sort_array(F.collect_list(F.when(F.col("role") == "assistant", F.struct("turn", F.substring("text", 1, 20).alias("q"))))).alias("x"))
+    c = t(CONV).groupBy("conv_id").agg(F.count_if(F.col("role") == "assistant").alias("n_calls"), F.sort_array(F.collect_list(F.when(F.col("role") == "assistant", F.struct("turn", F.col("text").alias("q"))))).alias("x"))
     return c.select("conv_id", "n_calls", F.when(F.size("x") > 0, F.array_join(F.transform("x", lambda x: x["q"]), "|")).alias("queries"))
 
 
@@ -175,16 +175,16 @@ def json_arguments(t):
     return t("orders").select("o_orderkey", F.try_element_at(args, F.lit("q")).alias("q"))
 
 
-@query("""WITH k AS (SELECT p_partkey, list_distinct(string_split(p_name, ' ')) AS t FROM (SELECT p_partkey, lower(p_name) AS p_name FROM part)), e AS (SELECT p_partkey, t, unnest(t) AS w FROM k),
-c AS (SELECT a.p_partkey AS a, b.p_partkey AS b, any_value(a.t) AS x, any_value(b.t) AS y FROM e a JOIN e b ON a.w = b.w AND a.p_partkey < 40 AND b.p_partkey < 40 AND a.p_partkey < b.p_partkey GROUP BY 1, 2)
-SELECT a, b, round(len(list_intersect(x, y)) / CAST(len(list_distinct(list_concat(x, y))) AS DOUBLE), 6) AS jaccard FROM c""")
+@query(f"""WITH {ITEMS}, k AS (SELECT trace_id, pos, l_quantity > 10 AS cand, list_distinct(string_split(lower(name), ' ')) AS t FROM items), e AS (SELECT trace_id, pos, cand, t, unnest(t) AS w FROM k),
+c AS (SELECT a.trace_id, a.pos AS a, b.pos AS b, a.t AS x, b.t AS y FROM e a JOIN e b ON a.trace_id = b.trace_id AND a.w = b.w AND a.cand GROUP BY ALL)
+SELECT trace_id, a, b, round(len(list_intersect(x, y)) / CAST(len(list_distinct(list_concat(x, y))) AS DOUBLE), 6) AS jaccard FROM c""")
 def token_jaccard_pairs(t):
-    """JN9 in its SQL form: a menu of forty names against itself, by shared tokens; no cross join."""
-    k = t("part").where("p_partkey < 40").select("p_partkey", menus.tokens_of(F.col("p_name")).alias("t"))
-    e = k.select("p_partkey", "t", F.explode("t").alias("w"))
-    a, b = e.select(F.col("p_partkey").alias("a"), F.col("t").alias("x"), "w"), e.select(F.col("p_partkey").alias("b"), F.col("t").alias("y"), "w")
-    pairs = a.join(b, "w").where("a < b").groupBy("a", "b").agg(F.first("x").alias("x"), F.first("y").alias("y"))
-    return pairs.select("a", "b", F.round(menus.jaccard(F.col("x"), F.col("y")), 6).alias("jaccard"))
+    """JN9 in its SQL form: candidate and reference items of each trace that share a token; no cross join."""
+    k = items(t).select("trace_id", "pos", (F.col("l_quantity") > 10).alias("cand"), menus.tokens_of(F.col("name")).alias("t"))
+    e = k.select("trace_id", "pos", "cand", "t", F.explode("t").alias("w"))
+    a, b = e.where("cand").select("trace_id", F.col("pos").alias("a"), F.col("t").alias("x"), "w"), e.select("trace_id", F.col("pos").alias("b"), F.col("t").alias("y"), "w")
+    pairs = a.join(b, ["trace_id", "w"]).select("trace_id", "a", "b", "x", "y").distinct()
+    return pairs.select("trace_id", "a", "b", F.round(menus.jaccard(F.col("x"), F.col("y")), 6).alias("jaccard"))
 
 
 def _paired(t):
@@ -228,14 +228,14 @@ def _counted(t):
     """Episodes scored by counts alone: every candidate item is a reference item."""
     p = _paired(t).select("trace_id", "schema_valid", "found_c", "found_r", "conditioned", F.size("c").alias("nc"), F.size("r").alias("nr"))
     m = F.least("nc", "nr")
-    return p.withColumns(menus.score_columns(F.col("schema_valid"), F.col("found_c"), F.col("found_r"), F.col("nc"), F.col("nr"), m, m))
+    return p.withColumns(menus.score_columns(F.col("schema_valid"), F.col("found_c"), F.col("found_r"), F.col("nc"), F.col("nr"), m, m, F.ceil(F.col("nc") / 2), F.ceil(F.col("nr") / 3)))
 
 
-@query(f"WITH {_EQ} SELECT trace_id, found_correct, round(CAST(precision AS DOUBLE), 6) AS precision, round(CAST(recall AS DOUBLE), 6) AS recall, CAST(CASE WHEN both_ THEN c - r END AS BIGINT) AS item_delta FROM z")
+@query(f"WITH {_EQ} SELECT trace_id, found_correct, round(CAST(precision AS DOUBLE), 6) AS precision, round(CAST(recall AS DOUBLE), 6) AS recall, CAST(CASE WHEN both_ THEN c - r END AS BIGINT) AS item_delta, CAST(CASE WHEN both_ THEN ceil(c / CAST(2 AS DOUBLE)) - ceil(r / CAST(3 AS DOUBLE)) END AS BIGINT) AS section_delta FROM z")
 def score_by_count(t):
     """MT3's truth table where matching is by count, for SQL."""
     s = _counted(t)
-    return s.select("trace_id", "found_correct", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), "item_delta")
+    return s.select("trace_id", "found_correct", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), "item_delta", "section_delta")
 
 
 @query(f"WITH {_EQ} SELECT count(*) AS n_episodes, round(avg(CASE WHEN valid THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) AS schema_valid_rate, round(avg(CASE WHEN found_correct THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) AS found_accuracy, round(avg(CAST(precision AS DOUBLE)), 6) AS precision, count(precision) AS n_precision, round(avg(CAST(recall AS DOUBLE)), 6) AS recall, count(recall) AS n_recall, round(avg(CASE WHEN both_ THEN c - r END), 6) AS item_delta, round(avg(CASE WHEN both_ THEN abs(c - r) END), 6) AS item_delta_abs FROM z")
@@ -267,10 +267,10 @@ def eval_join_accounting(t):
     return j.agg(F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("paired"), F.count_if(F.col("b").isNull()).alias("candidate_only"), F.count_if(F.col("a").isNull()).alias("reference_only"))
 
 
-@query("WITH o AS (SELECT CASE WHEN quality = 1 AND toxic = 1 THEN 'answered' WHEN quality = 1 THEN 'false_give_up' WHEN toxic = 1 THEN 'false_find' ELSE 'correct_abstention' END AS outcome FROM labels) SELECT b AS outcome, count(o.outcome) AS n FROM (VALUES ('answered'), ('false_give_up'), ('false_find'), ('correct_abstention')) v(b) LEFT JOIN o ON b = o.outcome GROUP BY 1")
+@query("WITH o AS (SELECT CASE WHEN quality = 1 AND toxic = 1 THEN 'correct_find' WHEN quality = 1 THEN 'false_abstain' WHEN toxic = 1 THEN 'false_find' ELSE 'correct_abstain' END AS outcome FROM labels) SELECT b AS outcome, count(o.outcome) AS n FROM (VALUES ('correct_find'), ('false_abstain'), ('false_find'), ('correct_abstain')) v(b) LEFT JOIN o ON b = o.outcome GROUP BY 1")
 def abstention_matrix(t):
     """AG7, MT5: four buckets, zero-filled."""
-    o = t("labels").agg(*[F.count_if(status.abstention(F.col("quality") == 1, F.col("toxic") == 1) == b).alias(b) for b in ("answered", "false_give_up", "false_find", "correct_abstention")])
+    o = t("labels").agg(*[F.count_if(status.abstention(F.col("quality") == 1, F.col("toxic") == 1) == b).alias(b) for b in ("correct_find", "false_abstain", "false_find", "correct_abstain")])
     return o.select(F.explode(F.map_entries(F.map_from_arrays(F.array(*[F.lit(c) for c in o.columns]), F.array(*o.columns)))).alias("x")).select(F.col("x.key").alias("outcome"), F.col("x.value").alias("n"))
 
 
@@ -279,26 +279,31 @@ def abstention_matrix(t):
 _SENT = "list_filter(list_transform(string_split_regex(text, '[.\\n]+'), lambda s: trim(s)), lambda s: s <> '')"
 
 
+def _evidence(word: str = "the"):
+    """A whole text without a word, so that sentences with it have no ground."""
+    return F.replace("text", F.lit(word), F.lit(""))
+
+
 def _names():
     parts = F.transform(F.split("text", r"[.\n]+"), lambda s: F.trim(s))
     return F.filter(parts, lambda s: s != "")
 
 
-@query(f"""WITH h AS (SELECT doc_id, regexp_replace(lower(substr(text, 1, 600)), '\\s+', ' ', 'g') AS hay, {_SENT} AS names FROM documents),
+@query(f"""WITH h AS (SELECT doc_id, regexp_replace(lower(replace(text, 'the', '')), '\\s+', ' ', 'g') AS hay, {_SENT} AS names FROM documents),
 n AS (SELECT doc_id, hay, unnest(names) AS x FROM h), c AS (SELECT doc_id, count(*) AS n, count(*) FILTER (NOT contains(hay, trim(regexp_replace(lower(x), '\\s+', ' ', 'g')))) AS m FROM n GROUP BY 1)
 SELECT h.doc_id, coalesce(n, 0) AS n, CASE WHEN n > 0 THEN (n - m) / CAST(n AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS fraction FROM h LEFT JOIN c ON h.doc_id = c.doc_id""")
 def grounding_score(t):
-    """GR1, JN10: the sentences of a document that its beginning contains."""
-    g = messages.grounding(_names(), F.substring("text", 1, 600))
+    """GR1, JN10: the sentences of a document that its text without one word contains."""
+    g = messages.grounding(_names(), _evidence())
     return t("documents").select("doc_id", g.alias("g")).select("doc_id", F.col("g.n").cast("long").alias("n"), "g.fraction")
 
 
-@query(f"""WITH h AS (SELECT doc_id, regexp_replace(lower(substr(text, 1, 600)), '\\s+', ' ', 'g') AS hay, {_SENT} AS names FROM documents),
+@query(f"""WITH h AS (SELECT doc_id, regexp_replace(lower(replace(text, 'the', '')), '\\s+', ' ', 'g') AS hay, {_SENT} AS names FROM documents),
 n AS (SELECT doc_id, hay, unnest(names) AS x FROM h), c AS (SELECT doc_id, count(*) AS n, count(*) FILTER (NOT contains(hay, trim(regexp_replace(lower(x), '\\s+', ' ', 'g')))) AS m FROM n GROUP BY 1)
 SELECT h.doc_id, round_even((n - m) / CAST(n AS DOUBLE), 3) AS fraction, least(m, 25) AS misses FROM h LEFT JOIN c ON h.doc_id = c.doc_id""")
 def trace_grounding(t):
     """GR2: rounded half-even, null without items, at most 25 misses."""
-    g = messages.trace_grounding(_names(), F.substring("text", 1, 600))
+    g = messages.trace_grounding(_names(), _evidence())
     return t("documents").select("doc_id", g.alias("g")).select("doc_id", "g.fraction", F.size("g.misses").cast("long").alias("misses"))
 
 
@@ -309,12 +314,12 @@ def match_context(t):
     return t("documents").select("doc_id", messages.match_context(F.substring("text", 400, 30), F.col("text"), 50).alias("context"))
 
 
-@query(f"""WITH h AS (SELECT doc_id, [lower(substr(text, 1, 500)), lower(substr(text, 300, 900))] AS d, list_filter(list_slice({_SENT}, 1, 8), lambda s: true) AS names FROM documents),
+@query(f"""WITH h AS (SELECT doc_id, [lower(replace(text, 'the', '')), 'x ' || lower(replace(text, 'de', ''))] AS d, {_SENT} AS names FROM documents),
 n AS (SELECT doc_id, d, unnest(names) AS s FROM h), e AS (SELECT doc_id, list_min(list_filter(list_transform(d, lambda x: CASE WHEN contains(x, lower(s)) THEN instr(x, lower(s)) - 1 + length(s) END), lambda v: v IS NOT NULL)) AS en FROM n)
 SELECT h.doc_id, CAST(max(en) AS INT) AS deepest, count(en) / CAST(nullif(count(e.doc_id), 0) AS DOUBLE) AS match_rate FROM h LEFT JOIN e ON h.doc_id = e.doc_id GROUP BY 1""")
 def menu_reach(t):
     """GR4, JN11, AG16: how deep into the scrapes the strings reach."""
-    r = messages.menu_reach(F.slice(_names(), 1, 8), F.array(F.substring("text", 1, 500), F.substring("text", 300, 900)))
+    r = messages.menu_reach(_names(), F.array(_evidence(), F.concat(F.lit("x "), _evidence("de"))))
     return t("documents").select("doc_id", r.alias("r")).select("doc_id", "r.deepest", "r.match_rate")
 
 
@@ -337,10 +342,10 @@ def reward_total(t):
     return t("documents").select("doc_id", F.round(total, 6).alias("total"))
 
 
-@query("SELECT doc_id, trim(CASE WHEN doc_id % 2 = 0 THEN ' x ' || substr(text, 1, 20) ELSE substr(text, 1, 20) END) AS answer, CAST(CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS INT) AS spans FROM documents")
+@query("SELECT doc_id, trim(CASE WHEN doc_id % 2 = 0 THEN ' x ' || text ELSE text END) AS answer, CAST(CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS INT) AS spans FROM documents")
 def wire_answer(t):
     """RW6, RW8: the answer and evidence of a raw completion."""
-    even = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<tool_call>a</tool_call><tool_response>r</tool_response><think>t\n</think> x "), F.substring("text", 1, 20))).otherwise(F.substring("text", 1, 20))
+    even = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<tool_call>a</tool_call><tool_response>r</tool_response><think>t\n</think> x "), "text")).otherwise(F.col("text"))
     return t("documents").select("doc_id", messages.wire_answer(even).alias("answer"), F.size(messages.wire_evidence(even)).alias("spans"))
 
 
