@@ -137,35 +137,41 @@ def _near(rows: list[np.ndarray], a: np.ndarray, b: np.ndarray, radius: int, mos
     return close
 
 
-def _links_of_run(rows: list[np.ndarray], radius: int, most: int | None, dense: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what is connected within a bucket: all close pairs of up to ``dense`` members, else a forest."""
+def _links_of_run(rows: list[np.ndarray], radius: int, most: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what close pairs connect within a bucket: of each tree, its smallest node with all others.
+
+    So the same texts give the same links in most tables.
+    """
     node, k = rows[1], len(rows[0])
-    if k <= dense:
-        a, b = np.triu_indices(k, 1)
-        close = _near(rows, a, b, radius, most)
-        return node[a[close]], node[b[close]]
-    at, left = [], np.arange(k)
     ends: tuple[list, list] = ([], [])
+    at, left, tree = [], np.arange(k), []
     while len(left) or at:
         if not at:
-            at, left = [left[0]], left[1:]
+            if len(tree) > 1:
+                own = node[tree]
+                ends[0].append(np.full(len(own), own.min()))
+                ends[1].append(own)
+            at, left = [int(left[0])], left[1:]
+            tree = [at[0]]
             continue
-        i = at.pop()
-        close = _near(rows, left, np.array([i]), radius, most)
-        found = left[close]
-        if len(found):
-            ends[0].append(np.full(len(found), node[i]))
-            ends[1].append(node[found])
-            at.extend(found.tolist())
+        close = _near(rows, left, np.array([at.pop()]), radius, most)
+        found = left[close].tolist()
+        if found:
+            at.extend(found)
+            tree.extend(found)
             left = left[~close]
         if not len(left):
             break
+    if len(tree) > 1:
+        own = node[tree]
+        ends[0].append(np.full(len(own), own.min()))
+        ends[1].append(own)
     if not ends[0]:
         return node[:0], node[:0]
     return np.concatenate(ends[0]), np.concatenate(ends[1])
 
 
-def _link_buckets(radius: int, most: int | None, dense: int, limit: int | None, extra: tuple[str, ...]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _link_buckets(radius: int, most: int | None, limit: int | None, extra: tuple[str, ...]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Over rows (bucket, sub, fp, node, extra) sorted by bucket and sub: the links of each bucket; rows of buckets over ``limit`` as hot."""
     names = ["a", "b", "hot", "bucket", *extra]
 
@@ -184,7 +190,7 @@ def _link_buckets(radius: int, most: int | None, dense: int, limit: int | None,
         close = _near(rows, two, two + 1, radius, most) if len(two) else np.zeros(0, bool)
         a, b = [node[two[close]]], [node[two[close] + 1]]
         for s, e in zip(bounds[:-1][size > 2].tolist(), bounds[1:][size > 2].tolist()):
-            x, y = _links_of_run([c[s:e] for c in rows], radius, most, dense)
+            x, y = _links_of_run([c[s:e] for c in rows], radius, most)
             a.append(x)
             b.append(y)
         a, b = np.concatenate(a), np.concatenate(b)
@@ -235,7 +241,7 @@ def _link_buckets(radius: int, most: int | None, dense: int, limit: int | None,
     return run
 
 
-def covering_links(prints: DataFrame, radius: int, *, dense: int = 1, limit: int = SCAN_LIMIT, extra: tuple[str, ...] = (), most: int | None = None) -> DataFrame:
+def covering_links(prints: DataFrame, radius: int, *, limit: int = SCAN_LIMIT, extra: tuple[str, ...] = (), most: int | None = None) -> DataFrame:
     """Links (a, b) between nodes: whatever is within ``radius`` is linked or connected through links.
 
     prints: (fp, node) longs, no two rows alike, and ``extra`` longs; with ``most``, a pair must also differ in at most so
@@ -249,7 +255,7 @@ def covering_links(prints: DataFrame, radius: int, *, dense: int = 1, limit: int
     rows = prints.select("fp", "node", *extra, keyed.alias("k")).select("k.bucket", "k.sub", "fp", "node", *extra)
     rows = rows.repartition("bucket", "sub").sortWithinPartitions("bucket", "sub", "fp", "node")
     linked = ", ".join(f"{c} long" for c in ("a", "b", "hot", "bucket", *extra))
-    found = written(rows.mapInArrow(_link_buckets(radius, most, dense, limit, extra), linked), "links")
+    found = written(rows.mapInArrow(_link_buckets(radius, most, limit, extra), linked), "links")
     links = found.where("hot = 0").select("a", "b")
     if found.where("hot = 1").limit(1).count():
         free = [covering_masks([b for b in range(BITS) if not m >> b & 1], radius) for m in masks]
@@ -267,7 +273,7 @@ def covering_links(prints: DataFrame, radius: int, *, dense: int = 1, limit: int
 
         hot = found.where("hot = 1").select("a", "b", "bucket", *extra).mapInArrow(again, ", ".join(f"{c} long" for c in names))
         hot = hot.repartition("bucket", "sub").sortWithinPartitions("bucket", "sub", "fp", "node")
-        links = links.union(written(hot.mapInArrow(_link_buckets(radius, most, dense, None, extra), linked), "links").select("a", "b"))
+        links = links.union(written(hot.mapInArrow(_link_buckets(radius, most, None, extra), linked), "links").select("a", "b"))
     return links.distinct()
 
 
@@ -298,39 +304,63 @@ def _cosine_bits(similarity: float, bits: int, slack: float) -> int:
     return int(bits * p + slack * math.sqrt(bits * p * (1 - p)))
 
 
+def _rare_lists(sets: list[np.ndarray], similarity: float) -> tuple[list[np.ndarray], dict[int, list[int]]]:
+    """Of each set the rarest elements, of which it shares one with any set of that Jaccard; and the sets by such element.
+
+    Two sets share ``similarity`` of the larger one or more, so they cannot differ in all of the first
+    n - ceil(similarity n) + 1 elements of an order that is common to both: here by how many sets have an element.
+    """
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    every, which, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    place = np.empty(len(every), np.int64)
+    place[np.lexsort((every, counts))] = np.arange(len(every))
+    place, ends = place[which], np.cumsum([len(x) for x in sets])
+    rare, lists = [], {}
+    for k, (end, own) in enumerate(zip(ends.tolist(), sets)):
+        n = len(own)
+        first = np.sort(place[end - n : end])[: n - math.ceil(similarity * n - 1e-9) + 1]
+        rare.append(first)
+        for v in first.tolist():
+            lists.setdefault(v, []).append(k)
+    return rare, lists
+
+
 def exact_links(nodes: np.ndarray, prints: np.ndarray, sets: list[np.ndarray], similarity: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A forest of the pairs of a group whose sets have a Jaccard of ``similarity`` or more, and each text's tree by number.
 
-    prints: (n, words) fingerprints by shingles; a pair must differ in at most ``most`` bits before its sets are compared.
+    prints: (n, words) fingerprints by shingles. A pair must share a rare element and differ in at most ``most`` bits
+    before its sets are compared. Texts without a shingle are alike. What is in a tree is not compared again.
     """
-    tree, left, at = np.full(len(nodes), -1), np.arange(len(nodes)), []
+    tree, open_, at = np.full(len(nodes), -1), np.ones(len(nodes), bool), []
     sizes = np.array([len(x) for x in sets])
-    a, b, trees = [], [], -1
-    while len(left) or at:
-        if not at:
-            at, left = [int(left[0])], left[1:]
-            trees += 1
-            tree[at[0]] = trees
-        i = at.pop()
-        ask = np.nonzero(np.bitwise_count(prints[left] ^ prints[i]).sum(axis=1) <= most)[0]
-        ask = ask[np.minimum(sizes[left[ask]], sizes[i]) >= similarity * np.maximum(sizes[left[ask]], sizes[i])]
-        if not len(ask):
+    rare, lists = _rare_lists(sets, similarity)
+    a, b, trees, shed = [], [], -1, len(nodes) // 2
+    for start in range(len(nodes)):
+        if not open_[start]:
             continue
-        others = left[ask]
-        flat = np.concatenate([sets[j] for j in others])
-        place = np.minimum(np.searchsorted(sets[i], flat), max(len(sets[i]) - 1, 0))
-        common = np.concatenate([[0], np.cumsum(sets[i][place] == flat if len(sets[i]) else np.zeros(len(flat), bool))])
-        ends = np.cumsum(sizes[others])
-        common = common[ends] - common[ends - sizes[others]]
-        union = sizes[others] + sizes[i] - common
-        ok = common >= similarity * union
-        found = others[ok]
-        if len(found):
-            a.append(np.full(len(found), nodes[i]))
-            b.append(nodes[found])
-            tree[found] = trees
-            at.extend(found.tolist())
-            left = np.delete(left, ask[ok])
+        at, trees, open_[start] = [start], trees + 1, False
+        tree[start] = trees
+        while at:
+            i = at.pop()
+            if open_.sum() < shed:  # lists forget what is in a tree
+                lists, shed = {v: [k for k in own if open_[k]] for v, own in lists.items()}, shed // 2
+            near = {k for v in rare[i].tolist() for k in lists.get(v, ()) if open_[k]} if sizes[i] else set(np.nonzero(open_ & (sizes == 0))[0].tolist())
+            others = np.array(sorted(near), np.int64)
+            others = others[np.bitwise_count(prints[others] ^ prints[i]).sum(axis=1) <= most]
+            others = others[np.minimum(sizes[others], sizes[i]) >= similarity * np.maximum(sizes[others], sizes[i])]
+            if not len(others):
+                continue
+            common = np.zeros(len(others), np.int64)
+            if sizes[i]:
+                flat = np.concatenate([sets[j] for j in others])
+                shared = sets[i][np.minimum(np.searchsorted(sets[i], flat), sizes[i] - 1)] == flat
+                common = np.add.reduceat(shared.astype(np.int64), np.cumsum(sizes[others]) - sizes[others])
+            found = others[common >= similarity * (sizes[others] + sizes[i] - common)]
+            if len(found):
+                a.append(np.full(len(found), nodes[i]))
+                b.append(nodes[found])
+                tree[found], open_[found] = trees, False
+                at.extend(found.tolist())
     none = np.zeros(0, np.int64)
     return (np.concatenate(a), np.concatenate(b), tree) if a else (none, none, tree)
 
@@ -400,10 +430,10 @@ def near_links(docs: DataFrame, nodes: DataFrame, *, shingle: int, similarity: f
     as well. What they connect are groups; in a group, 256 bits and then the shingle sets themselves are compared.
     """
     most = _cosine_bits(similarity, 64, slack)
-    links = covering_links(nodes.select("fp", "node", "s0"), radius, dense=8, extra=("s0",), most=most)
+    links = covering_links(nodes.select("fp", "node", "s0"), radius, extra=("s0",), most=most)
     links = written(links, "candidates")
     release(docs.sparkSession)  # the buckets' shuffle, before the next
-    links = links.union(covering_links(nodes.select(F.col("fq").alias("fp"), "node", "s0"), radius, dense=8, extra=("s0",), most=most))
+    links = links.union(covering_links(nodes.select(F.col("fq").alias("fp"), "node", "s0"), radius, extra=("s0",), most=most))
     groups = components(links)
     release(docs.sparkSession)
     groups = written(groups.union(groups.select(F.col("root").alias("node"), "root").distinct()), "groups")
@@ -423,7 +453,7 @@ def near_links(docs: DataFrame, nodes: DataFrame, *, shingle: int, similarity: f
     return verified_links(members, similarity=similarity, most=_cosine_bits(similarity, 256, slack), group_rows=group_rows)
 
 
-def keep_one_of_each(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, radius: int = 6, slack: float = 3.0, group_rows: int = GROUP_ROWS) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, radius: int = 5, slack: float = 3.0, group_rows: int = GROUP_ROWS) -> DataFrame:
     """The documents without near copies: of each group the one with the smallest id stays, in all its columns.
 
     Groups are what links connect; a link is a pair of texts whose sets of ``shingle``-word shingles have a Jaccard

@@ -21,7 +21,7 @@ RUN, WORDS, TOGETHER = 3, 18, 40
 #: have the same ones but near its edges, wherever it begins and ends.
 _LONGEST, _NEAR = 12, 3
 #: Characters that a worker cuts at a time; characters of text for a bucket of spans.
-STEP_CHARS, BUCKET_CHARS = 2_000_000, 16_000_000
+STEP_CHARS, BUCKET_CHARS = 500_000, 16_000_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _U = np.uint64
