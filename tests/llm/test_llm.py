@@ -267,9 +267,11 @@ def vectors(spark, n=600, seed=1):
     return table, spark.createDataFrame(table + bad, "vec_id long, embedding array<float>")
 
 
-def test_op4_neighbours(spark):
+@pytest.mark.parametrize("index", [{}, {"fit_rows": 60, "leaf_rows": 8, "split_rows": 20, "split_fit": 40}])
+def test_op4_neighbours(spark, index):
+    """With a small sample, leaves are split again from their own rows; the very common vector cannot be split."""
     table, df = vectors(spark)
-    got = nearest.neighbours(df, query_every=20, k=10).toPandas()
+    got = nearest.neighbours(df, query_every=20, k=10, **index).toPandas()
     m, hits = np.array([v for _, v in table]), 0
     for q, g in got.groupby("query_id"):
         far = np.sqrt(((m - m[q]) ** 2).sum(1))
@@ -280,6 +282,12 @@ def test_op4_neighbours(spark):
         assert np.allclose(g.score, far[g.vec_id])
     assert got.query_id.nunique() == 30 and hits / (10 * 30) >= 0.9
     assert nearest.neighbours(df.limit(0)).count() == 0
+    if index:
+        made = nearest.Index(df, **index)
+        assert made.nodes.files and made.leaves > made.tree.leaves and made.rows.count() == 600
+        leaf = {r["vec_id"]: r["leaf"] for r in made.rows.collect()}
+        for k, v in table[:50]:  # a search that visits one leaf comes to the row's own
+            assert made.tree.visit(np.array(v), 1, made.nodes) == [leaf[k]]
     short = spark.createDataFrame([(2000, [1.0, 2.0]), (2020, [3.0] * 9), (None, [1.0] * 8)], "vec_id long, embedding array<float>")
     again = nearest.neighbours(df.union(short).withColumn("leaf", F.lit(1)).withColumn("query_id", F.lit(2)), query_every=20)
     assert set(again.toPandas().query_id) == set(got.query_id)

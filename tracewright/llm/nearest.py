@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import filesystem, put_bytes, scratch, written
 
 #: Vectors that the tree is fitted on at most, and queries that calibrate the search at most.
 FIT_ROWS, CALIBRATION_QUERIES = 20_000, 64
@@ -74,23 +74,78 @@ class Tree:
                     out[part] = child
         return out
 
-    def visit(self, query: np.ndarray, most: int) -> list[int]:
-        """Leaves in the order of a best-bin-first search: a priority queue of branches by distance to their centre."""
-        queue, n, order = [(0.0, 0, self.root)], 1, []
-        while queue and len(order) < most:
+    def visit(self, query: np.ndarray, most: int, nodes: Nodes | None = None, until: frozenset = frozenset()) -> list[int]:
+        """Leaves in the order of a best-bin-first search: a priority queue of branches by distance to their centre.
+
+        ``nodes``: how leaves of this tree are split further. The search ends after ``most`` leaves, or with the last of ``until``.
+        """
+        queue, n, order, missing = [(0.0, 0, self.root)], 1, [], set(until)
+        while queue and len(order) < most and (missing or not until):
             _, _, node = heapq.heappop(queue)
-            while isinstance(node, Node):
-                far = ((node.centres - query) ** 2).sum(axis=1)
+            while inner := (node.centres, node.children) if isinstance(node, Node) else nodes and nodes.get(node):
+                centres, children = inner
+                far = ((centres - query) ** 2).sum(axis=1)
                 best = int(far.argmin())
-                for c, child in enumerate(node.children):
+                for c, child in enumerate(children):
                     if c != best:
                         heapq.heappush(queue, (float(far[c]), n, child))
                         n += 1
-                node = node.children[best]
+                node = children[best]
             order.append(node)
+            missing.discard(node)
         return order
 
 
+#: A leaf's number says how deep it is and by which children: depth << 56 | path, 8 bits a child below the first tree.
+_DEPTH, _CHILDREN = 56, 256
+_node_files: dict[str, tuple] = {}
+
+
+@dataclass(frozen=True)
+class Nodes:
+    """Leaves of the first tree, and their children, that are split further, in files of the shared folder that workers map.
+
+    files: for each depth the number of files; a split leaf is in the file of its number modulo that. A file has the
+    leaves in order, where each one's centres begin, and the centres.
+    """
+
+    folder: str
+    files: tuple[int, ...] = ()
+
+    def _file(self, depth: int, k: int) -> tuple:
+        uri = f"{self.folder}/{depth}-{k:06d}.nodes"
+        if uri not in _node_files:
+            if len(_node_files) > 4096:
+                _node_files.clear()
+            fs, path = filesystem(uri)
+            if fs.get_file_info(path).type.name == "NotFound":
+                _node_files[uri] = np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros((0, 1))
+            else:
+                view = memoryview(fs.open_input_file(path).read() if fs.type_name != "local" else np.memmap(path, np.uint8, "r"))
+                n, dims = np.frombuffer(view[:16], "<i8").tolist()
+                leaves, starts = np.frombuffer(view[16 : 16 + 8 * n], "<i8"), np.frombuffer(view[16 + 8 * n : 24 + 16 * n], "<i8")
+                _node_files[uri] = leaves, starts, np.frombuffer(view[24 + 16 * n :], "<f8").reshape(-1, dims)
+        return _node_files[uri]
+
+    def get(self, leaf: int) -> tuple[np.ndarray, list[int]] | None:
+        """Centres and children of a split leaf; None if it is whole."""
+        depth = leaf >> _DEPTH
+        if depth >= len(self.files):
+            return None
+        leaves, starts, centres = self._file(depth, leaf % self.files[depth])
+        k = int(np.searchsorted(leaves, leaf))
+        if k == len(leaves) or leaves[k] != leaf:
+            return None
+        own, path = slice(int(starts[k]), int(starts[k + 1])), leaf & ((1 << _DEPTH) - 1)
+        return centres[own], [(depth + 1) << _DEPTH | path << 8 | c for c in range(own.stop - own.start)]
+
+
+def _pack_nodes(found: list[tuple[int, np.ndarray]]) -> list[bytes]:
+    found.sort(key=lambda x: x[0])
+    starts = np.cumsum([0, *(len(c) for _, c in found)])
+    return [np.array([len(found), found[0][1].shape[1]], "<i8").tobytes(), np.array([x for x, _ in found], "<i8").tobytes(), starts.astype("<i8").tobytes(), np.concatenate([c for _, c in found]).astype("<f8").tobytes()]
+
+
 def _nearest_centre(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return ((centres**2).sum(axis=1) - 2 * rows @ centres.T).argmin(axis=1)
 
@@ -140,31 +195,78 @@ _FOUND = "query_id long, vec_id long, score double"
 
 
 class Index:
-    """Every usable vector under its leaf, leaves in blocks; and the tree, fitted on a bounded sample.
+    """Every usable vector under its leaf, leaves in blocks; and the tree.
 
-    Leaves are numbered along the tree, so those of a block (``bin``) lie together; a leaf of more than BLOCK_ROWS rows has
-    blocks of its own, numbered from 1.
+    The first tree is fitted on a bounded sample (some ``fit_rows`` rows). Of its leaves those of more than ``split_rows``
+    rows are split again, each by k-means on a bounded sample (``split_fit``) of its own rows, and so on, so leaves stay
+    small however many rows there are. Leaves of the first tree are numbered along it, and some that lie together share
+    a block (``bin``); those of a split leaf are a block of their own. What cannot be split, as equal vectors, has
+    blocks of some BLOCK_ROWS rows, numbered from 1.
     """
 
-    def __init__(self, vectors: DataFrame, *, leaf_rows: int = 64, seed: int = 0):
+    def __init__(self, vectors: DataFrame, *, leaf_rows: int = 64, seed: int = 0, fit_rows: int = FIT_ROWS, split_rows: int = 512, split_fit: int = 4096):
+        spark = vectors.sparkSession
         rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
         length = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
         rows = rows.where(F.size("embedding") == (length[0]["n"] if length else 0))
         self.length, self.size = (length[0]["n"], length[0]["count"]) if length else (0, 0)
         u = F.shiftrightunsigned(F.xxhash64("vec_id", F.lit(seed)), 11).cast("double") * F.lit(2.0**-53)
-        sample = rows.where(u < F.lit(min(1.0, FIT_ROWS / max(1, self.size)))).orderBy("vec_id").limit(2 * FIT_ROWS).select("embedding").toPandas()
+        sample = rows.where(u < F.lit(min(1.0, fit_rows / max(1, self.size)))).orderBy("vec_id").limit(2 * fit_rows).select("embedding").toPandas()
         sample = np.array(sample.embedding.tolist(), np.float64)
         leaves = max(1, min(self.size // leaf_rows, len(sample) // 4))
         self.tree = tree = Tree.fit(sample, leaves, seed=seed)
-        placed = rows.mapInArrow(lambda batches: _with_leaf(batches, tree), "vec_id long, embedding array<double>, leaf long")
-        placed = written(placed, "vectors")
-        counts = placed.groupBy(F.col("leaf").alias("_leaf")).agg(F.count(F.lit(1)).alias("_n"))
+        self.nodes = Nodes(scratch(spark, "nodes"))
+        placed = written(rows.mapInArrow(lambda batches: _with_leaf(batches, tree), "vec_id long, embedding array<double>, leaf long"), "vectors")
+        counts = written(placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")), "leaves")
+        while True:
+            depth = len(self.nodes.files)
+            large = counts.where((F.col("n") > split_rows) & (F.shiftright("leaf", _DEPTH) == depth))
+            many = large.count() if depth < 5 else 0
+            if not many:
+                break
+            self.nodes = self._split(placed, large, depth, max(1, -(-many // 1024)), leaf_rows, split_fit)
+            nodes = self.nodes
+            placed = written(placed.mapInArrow(lambda batches, nodes=nodes: _deeper(batches, nodes), "vec_id long, embedding array<double>, leaf long"), "vectors")
+            counts = written(placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")), "leaves")
+        self.leaves = counts.count()
         bins = max(1, -(-self.size // BLOCK_ROWS))
-        parts = F.ceil(F.col("_n") / BLOCK_ROWS).cast("int")
-        self.blocks = counts.select("_leaf", F.floor(F.col("_leaf") * bins / tree.leaves).alias("bin"), F.when(parts > 1, parts).otherwise(0).alias("_parts"))
+        parts = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
+        depth, path = F.shiftright("leaf", _DEPTH), F.col("leaf").bitwiseAND(F.lit((1 << _DEPTH) - 1))
+        above = F.lit(-1) - F.shiftleft(depth - 1, _DEPTH).bitwiseOR(F.shiftright(path, 8))
+        block = F.when(depth == 0, F.floor(F.col("leaf") * bins / tree.leaves)).otherwise(above)
+        self.blocks = counts.select(F.col("leaf").alias("_leaf"), block.cast("long").alias("bin"), F.when(parts > 1, parts).otherwise(0).alias("_parts"))
         part = F.when(F.col("_parts") > 0, F.pmod(F.xxhash64("vec_id", F.lit("block")), F.col("_parts")) + 1).otherwise(0).cast("int")
         self.rows = placed.join(self.blocks, F.col("leaf") == F.col("_leaf")).select("vec_id", "embedding", "leaf", "bin", part.alias("block"))
 
+    def _split(self, placed: DataFrame, large: DataFrame, depth: int, files: int, leaf_rows: int, split_fit: int) -> Nodes:
+        """Fit the children of large leaves on samples of their rows, and write them; leaves of equal vectors stay whole."""
+        folder = self.nodes.folder
+        u = F.shiftrightunsigned(F.xxhash64("vec_id", F.lit(f"split {depth}")), 11).cast("double") * F.lit(2.0**-53)
+        sample = placed.join(large.select(F.col("leaf").alias("_leaf"), "n"), F.col("leaf") == F.col("_leaf")).where(u < F.lit(float(split_fit)) / F.col("n"))
+
+        def fit(group: pd.DataFrame) -> pd.DataFrame:
+            rows = np.array(group.embedding.tolist(), np.float64)
+            distinct = np.unique(rows, axis=0)
+            k = min(_CHILDREN, max(2, int(group.n.iloc[0]) // leaf_rows), len(distinct))
+            centres = np.unique(_kmeans(rows, distinct, k, np.random.default_rng(0)), axis=0)
+            made = [int(group.leaf.iloc[0])] if len(centres) > 1 else []  # a leaf of equal vectors stays whole
+            return pd.DataFrame({"leaf": pd.Series(made, dtype="int64"), "centres": pd.Series([centres.ravel() for _ in made], dtype=object)})
+
+        fitted = sample.select("leaf", "n", "embedding").groupBy("leaf").applyInPandas(fit, "leaf long, centres array<double>")
+        dims = self.length
+
+        def write(batches):
+            found: dict[int, list] = {}
+            for b in batches:
+                for leaf, centres in zip(b.column("leaf").to_pylist(), b.column("centres")):
+                    found.setdefault(leaf % files, []).append((leaf, centres.values.to_numpy().reshape(-1, dims)))
+            for k, own in found.items():
+                put_bytes(f"{folder}/{depth}-{k:06d}.nodes", _pack_nodes(own))
+                yield pa.RecordBatch.from_pydict({"file": pa.array([k], pa.int64())})
+
+        fitted.repartitionById(files, F.pmod("leaf", F.lit(files)).cast("int")).mapInArrow(write, "file long").count()
+        return Nodes(folder, (*self.nodes.files, files))
+
     def calibrate(self, k: int, recall: float, seed: int = 1) -> int:
         """How many leaves a search visits so that ``recall`` of the true neighbours of sampled queries lie in them.
 
@@ -183,7 +285,8 @@ class Index:
                 yield pa.RecordBatch.from_pandas(top.assign(leaf=top.vec_id.map(leaf).astype("int64")), preserve_index=False)
 
         truth = _best(self.rows.select("vec_id", "embedding", "leaf").mapInArrow(scan, _FOUND + ", leaf long"), k).select("query_id", "leaf").toPandas()
-        at = {int(i): {leaf: n for n, leaf in enumerate(self.tree.visit(q, self.tree.leaves), 1)} for i, q in zip(ids, queries)}
+        wanted = truth.groupby("query_id").leaf.agg(frozenset).to_dict()
+        at = {int(i): {leaf: n for n, leaf in enumerate(self.tree.visit(q, self.leaves, self.nodes, wanted.get(i, frozenset((-1,)))), 1)} for i, q in zip(ids, queries)}
         recall = min(1.0, recall + 2 * math.sqrt(recall * (1 - recall) / max(1, len(truth))))  # the sample's own error
         needed = np.sort([at[q][leaf] for q, leaf in zip(truth.query_id, truth.leaf)])
         return int(needed[min(len(needed) - 1, math.ceil(recall * len(needed)) - 1)]) if len(needed) else 1
@@ -194,13 +297,13 @@ class Index:
         queries: (query_id, embedding). Each query goes to the blocks of its leaves and meets its leaves' rows alone there; a
         block gives k per query, and those meet by query. A query that still lacks neighbours, as its leaves hold too few, visits all.
         """
-        tree = self.tree
+        tree, nodes = self.tree, self.nodes
         most = max(visits or self.calibrate(k, recall), 1)
 
         def route(batches, most=most):
             for b in batches:
                 rows = _matrix(b.column("embedding")) if b.num_rows else np.zeros((0, 1))
-                leaves = [tree.visit(q, most) for q in rows]
+                leaves = [tree.visit(q, most, nodes) for q in rows]
                 at = np.repeat(np.arange(len(rows)), [len(x) for x in leaves])
                 yield pa.RecordBatch.from_arrays([b.column("query_id").take(pa.array(at)), b.column("embedding").take(pa.array(at)), pa.array([x for own in leaves for x in own], pa.int64())], names=["query_id", "embedding", "leaf"])
 
@@ -224,10 +327,11 @@ class Index:
 
         queries = queries.select(F.col("query_id").cast("long"), F.col("embedding").cast("array<double>")).where(usable(F.col("embedding")) & (F.size("embedding") == self.length))
         found = written(seek(queries, route), "found")
+        self_leaves = self.leaves
         full = found.groupBy(F.col("query_id").alias("_q")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min(k, max(0, self.size - 1)))
         short = queries.join(full, F.col("query_id") == F.col("_q"), "left_anti")
         if short.limit(1).count():
-            every = seek(short, lambda batches: route(batches, tree.leaves))
+            every = seek(short, lambda batches: route(batches, self_leaves))
             found = found.join(full, F.col("query_id") == F.col("_q"), "left_semi").unionByName(every)
         return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
@@ -238,13 +342,26 @@ def _with_leaf(batches, tree):
         yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("embedding"), pa.array(leaf, pa.int64())], names=["vec_id", "embedding", "leaf"])
 
 
-def neighbours(vectors: DataFrame, *, query_every: int = 100, k: int = 10, recall: float = 0.95) -> DataFrame:
+def _deeper(batches, nodes: Nodes):
+    """Rows of leaves that are split go to the nearest child."""
+    for b in batches:
+        leaf = b.column("leaf").to_numpy().copy()
+        rows = _matrix(b.column("embedding")) if b.num_rows else np.zeros((0, 1))
+        for x in np.unique(leaf).tolist():
+            if found := nodes.get(x):
+                own = np.nonzero(leaf == x)[0]
+                leaf[own] = np.array(found[1])[_nearest_centre(rows[own], found[0])]
+        yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("embedding"), pa.array(leaf, pa.int64())], names=["vec_id", "embedding", "leaf"])
+
+
+def neighbours(vectors: DataFrame, *, query_every: int = 100, k: int = 10, recall: float = 0.95, **index) -> DataFrame:
     """The k nearest of every row whose vec_id is divisible by ``query_every``, among all other rows.
 
     Null, empty, zero and non-finite vectors and null ids take no part, nor do vectors of another length than the most
     frequent one (of equally frequent ones the shorter). Rows that repeat
     an id are each a candidate for others and none for their own id. Ties go to the smaller vec_id.
+    ``index`` goes to ``Index``.
     """
-    index = Index(vectors)
+    index = Index(vectors, **index)
     queries = index.rows.where(F.col("vec_id") % query_every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("embedding").alias("embedding"))
     return index.search(queries, k=k, recall=recall)
