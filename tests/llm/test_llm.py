@@ -562,15 +562,47 @@ def test_op10_plans_hold_all_and_waste_little(seed):
 # pipeline
 
 
+def near_groups(rows, least=0.8):
+    """Ids that stay of (id, text) rows: one of each group of equal texts or five-word Jaccard of 0.8 or more, by all pairs."""
+    sets = {k: set(map(tuple, ([w[i : i + 5] for i in range(max(1, len(w) - 4))]))) for k, t in rows if (w := t.lower().split()) or True}
+    group = {k: k for k, _ in rows}
+    for a, b in itertools.combinations(sorted(group), 2):
+        if group[a] != group[b] and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+            low, high = sorted((group[a], group[b]))
+            group = {k: low if g == high else g for k, g in group.items()}
+    return set(group.values())
+
+
 def test_pipeline(spark, docs, rows, tmp_path_factory):
+    """Each stage by brute force from what the one before it gave."""
     folder = str(tmp_path_factory.mktemp("sf"))
     docs.write.parquet(f"{folder}/documents.parquet")
-    at, kept = docs, []
+    at, kept, texts = docs, [], []
     for name, stage in corpus_pipeline.STAGES:
         at = common.written(stage(spark, at, folder), name)
         kept.append({r["doc_id"] for r in at.select("doc_id").collect()})
+        texts.append(sorted((r["doc_id"], r["text"]) for r in at.select("doc_id", "text").collect()) if "text" in at.columns else [])
         assert name == "pack" or at.columns == list(corpus_pipeline.COLUMNS)
     assert not kept[0] & {162, 163, 164, 165} and len(kept[0]) >= len(rows) - 6
-    assert kept[0] - kept[1] == {160, 161} and kept[1] == kept[2]
+    assert kept[1] == near_groups(texts[0]) and 160 not in kept[1]
+    counts = repeated([t for _, t in texts[1]])
+    assert [len(plain_sentences(t)) for _, t in texts[2]] == [n - gone for n, gone in counts if n > gone]
+    assert kept[2] == {k for (k, _), (n, gone) in zip(texts[1], counts) if n > gone} and sum(gone for _, gone in counts) > 0
+    copies = Counter(texts[3])
+    assert set(copies) <= set(texts[2]) and max(copies.values()) <= 2
+    size = lambda rows_: sum(len(t.split()) for _, t in rows_)
+    assert abs(size(texts[3]) / size(texts[2]) - 1.5) < 0.05
+    lengths = {k: len(ids_of("word_bpe_49k.json", t)) // 4 for k, t in texts[2]}
+    assert at.count() == sum(-(-lengths[k] // 2048) * n for (k, _), n in copies.items())
+    assert sum(r["length"] for r in at.collect()) == sum(lengths[k] * n for (k, _), n in copies.items())
     again = corpus_pipeline.run(spark, folder)
     assert sorted(map(tuple, again.select("doc_id", "piece", "length").collect())) == sorted(map(tuple, at.select("doc_id", "piece", "length").collect()))
+
+
+def test_pipeline_of_none_and_of_odd_rows(spark, docs, odd, empty, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("odd"))
+    for name, table in (("none", empty), ("odd", docs.union(odd.select(*docs.columns)).withColumn("fp", F.lit(1)).withColumn("row", F.lit("x")))):
+        table.write.parquet(f"{folder}/{name}/documents.parquet")
+        got = corpus_pipeline.run(spark, f"{folder}/{name}")
+        assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+        assert (got.count() == 0) == (name == "none")
