@@ -70,6 +70,17 @@ def test_percentile_definitions_differ(spark):
     assert ranking.percentiles(df.limit(0), "v", {"a": ranking.floor_place(0.5)}).first()["n"] == 0
 
 
+def test_percentiles_of_many_values_are_exact(spark):
+    """Ranges of few values, a null group, and one group with most rows."""
+    rows = [(None if k % 7 == 0 else "hot" if k % 7 < 6 else "b", k * 37 % 900) for k in range(2000)]
+    df = spark.createDataFrame(rows, "g string, v int")
+    places = {"p50": ranking.nearest_place(50), "p99": ranking.floor_place(0.99)}
+    for by in (["g"], []):
+        got = {r["g"] if by else "": (r["n"], r["p50"], r["p99"]) for r in ranking.percentiles(df, "v", places, by, rows=100).collect()}
+        groups = {g: sorted(v for h, v in rows if not by or h == g) for g in ({h for h, _ in rows} if by else {""})}
+        assert got == {g: (len(v), v[round(0.5 * (len(v) - 1))], v[min(len(v) - 1, int(0.99 * len(v)))]) for g, v in groups.items()}
+
+
 def test_count_by_split_is_zero_filled(spark):
     assert {r[0]: r[1] for r in corpus.count_by_split(entities(spark, 4)).collect()} == {"sft": 0, "grpo": 0, "eval": 0, "unmarked": 4}
 

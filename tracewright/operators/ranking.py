@@ -48,20 +48,33 @@ def keep_first(df: DataFrame, keys: list, order: list) -> DataFrame:
     return df.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
 
 
-def percentiles(df: DataFrame, value: str, places: dict[str, Column], by: list[str] | None = None) -> DataFrame:
+def percentiles(df: DataFrame, value: str, places: dict[str, Column], by: list[str] | None = None, rows: int = ONE_TASK_ROWS) -> DataFrame:
     """Exact order statistics: for each name the value at the 1-based place that its expression of ``n`` gives.
 
-    Equal values are counted first, so what is ranked is distinct values with running counts.
+    Equal values are counted first, so what is ranked is distinct values with running counts. Beyond ``rows`` of them,
+    approximate quantiles part the values into ranges, of large groups too; each range is summed apart and begins with
+    the sum of those before it.
     """
     by = by or []
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    if by:
-        upto = F.sum("_c").over(Window.partitionBy(*by).orderBy(value))
-        ranked = counts.withColumn("_hi", upto)
-        total = counts.groupBy(*by).agg(F.sum("_c").alias("n"))
-        ranked = ranked.join(total, by)
+    many, cuts = counts.count(), []
+    if many > rows:
+        parts = math.ceil(many / rows) * 2
+        cuts = sorted(set(counts.select(F.percentile_approx(value, [k / parts for k in range(1, parts)], 10 * parts)).first()[0]))
+    group = Window.partitionBy(*by)
+    if not cuts:
+        ranked = counts.withColumns({"_hi": F.sum("_c").over(group.orderBy(value)), "n": F.sum("_c").over(group)})
     else:
-        ranked = counts.withColumn("_hi", F.sum("_c").over(Window.orderBy(value))).withColumn("n", F.sum("_c").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+        counts = counts.withColumn("_range", F.size(F.filter(F.lit(cuts), lambda c: c <= F.col(value))))
+        sums = counts.groupBy(*by, "_range").agg(F.sum("_c").alias("_s"))  # a row for each group and range
+        before = F.coalesce(F.sum("_s").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        sums = sums.withColumns({"_before": before, "n": F.sum("_s").over(group)}).drop("_s")
+        sums = sums.withColumnsRenamed({c: f"_by_{c}" for c in by} | {"_range": "_at"})
+        same = F.col("_range") == F.col("_at")
+        for c in by:
+            same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+        own = Window.partitionBy(*by, "_range").orderBy(value)
+        ranked = counts.join(sums, same).withColumn("_hi", F.col("_before") + F.sum("_c").over(own))
     picks = [F.min(F.when(F.col("_hi") >= place, F.col(value))).alias(name) for name, place in places.items()]
     return ranked.groupBy(*by).agg(F.max("n").alias("n"), *picks) if by else ranked.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), *picks)
 
