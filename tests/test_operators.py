@@ -386,3 +386,14 @@ def test_telemetry_and_upserts_survive_a_restart(spark, tmp_path):
     q = attempts.telemetry(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("telemetry").outputMode("complete").option("checkpointLocation", str(tmp_path / "t")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r["n"], r["ok_rate"]) for r in spark.table("telemetry").collect()) == [(1, 1.0), (3, 1.0)]
+
+
+def test_evidence_pairs_are_those_of_all_pairs(spark):
+    rng = random.Random(9)
+    words = ["red", "blue", "green", "go", "a", "x-y", "Straße", "the"]
+    names = [(k, " ".join(rng.choices(words, k=rng.randint(0, 4)))) for k in range(40)] + [(40, None), (41, "  "), (42, "re"), (43, "e")]
+    texts = [(k, "  ".join(rng.choices(words, k=rng.randint(0, 30)))) for k in range(30)] + [(30, None), (31, "")]
+    fold = lambda s: " ".join((s or "").lower().split())
+    want = {(i, j) for i, n in names for j, t in texts if fold(n) and fold(n) in fold(t)}
+    got = messages.evidence_pairs(spark.createDataFrame(names, "name_id int, name string"), spark.createDataFrame(texts, "evidence_id int, evidence string"))
+    assert {tuple(r) for r in got.collect()} == want

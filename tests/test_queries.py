@@ -12,7 +12,7 @@ from tracewright import plans
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: The only queries that join with a literal relation of a few rows.
-SMALL_CROSS = {"domain_counts", "evidence_lookup"}
+SMALL_CROSS = {"domain_counts"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 

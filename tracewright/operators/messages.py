@@ -244,6 +244,36 @@ def grounding(names: Column, evidence: Column, fold=collapse) -> Column:
     return F.get(out, F.lit(0))
 
 
+def evidence_pairs(names: DataFrame, evidence: DataFrame) -> DataFrame:
+    """JN10 across rows: distinct (name_id, evidence_id) where the folded name is in the folded evidence; no all-pairs test.
+
+    names: name_id, name; evidence: evidence_id, evidence. Of a name of three words or more the longest inner word must
+    be a word of the evidence, so candidates come from an equi-join of words, and only they are tested on whole texts.
+    Names of fewer words have no such word: their first letters, up to three, are sought in all evidence's runs of as many.
+    Blank names and null evidence are in no pair.
+    """
+    key = collapse(F.col("name"))
+    names = names.select("name_id", key.alias("key")).where(F.col("key") != "").distinct()
+    words = F.split("key", " ")
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    names = names.withColumn("anchor", F.when(longest.isNotNull(), F.concat(F.lit("w"), longest)).otherwise(F.concat(F.length(F.substring("key", 1, 3)).cast("string"), F.substring("key", 1, 3))))
+    hay = F.regexp_replace(F.lower("evidence"), r"(?U)\s+", " ")
+    evidence = evidence.select("evidence_id", hay.alias("hay")).where(F.col("hay").isNotNull())
+    kinds = {r["kind"] for r in names.select(F.substring("anchor", 1, 1).alias("kind")).distinct().collect()}
+    pieces = F.array_distinct(F.transform(F.split("hay", " "), lambda w: F.concat(F.lit("w"), w)))
+
+    def runs(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length("hay") - (n - 1), F.lit(1)))
+        return F.array_distinct(F.transform(starts, lambda i: F.concat(F.lit(str(n)), F.substring(F.col("hay"), i, F.lit(n)))))
+
+    for n in sorted(kinds - {"w"}):
+        pieces = F.concat(pieces, runs(int(n)))
+    found = evidence.select("evidence_id", F.explode(pieces).alias("anchor")).join(names.select("name_id", "key", "anchor"), "anchor").select("evidence_id", "name_id", "key")
+    found = found.withColumnRenamed("evidence_id", "_e").join(evidence, F.col("_e") == F.col("evidence_id"))
+    return found.where(F.contains("hay", F.col("key"))).select("name_id", "evidence_id").distinct()
+
+
 def trace_grounding(names: Column, evidence: Column, most: int = 25) -> Column:
     """As ``grounding``, rounded half-even to three places; null without names; at most ``most`` misses."""
     out = F.transform(F.array(grounding(names, evidence)), lambda g: F.when(g["n"] > 0, F.struct(F.bround(g["fraction"], 3).alias("fraction"), F.slice(g["misses"], 1, most).alias("misses"))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import status
-from ..functions.text import collapse, fold_words
+from ..functions.text import fold_words
 from ..operators import menus, messages
 from .registry import query
 from .standins import ITEMS, items
@@ -358,13 +358,10 @@ def neutralize_groups(t):
 
 @query("SELECT b.item_id, count(d.doc_id) AS n_docs FROM benchmark b LEFT JOIN documents d ON contains(regexp_replace(lower(d.text), '\\s+', ' ', 'g'), trim(regexp_replace(lower(b.text), '\\s+', ' ', 'g'))) GROUP BY 1")
 def evidence_lookup(t):
-    """JN10 across rows: the few names of one menu, an array in each row, in all evidence; no cross join of tables."""
-    b = t("benchmark").select("item_id", collapse(F.col("text")).alias("n"))
-    names = F.broadcast(b.agg(F.collect_list(F.struct("item_id", "n")).alias("names")))  # one menu: one row
-    hay = F.regexp_replace(F.lower("text"), r"(?U)\s+", " ")
-    hits = t("documents").select(hay.alias("hay")).crossJoin(names).select(F.explode(F.filter("names", lambda x: F.contains(F.col("hay"), x["n"]))).alias("x"))
-    n = hits.groupBy(F.col("x.item_id").alias("_i")).agg(F.count(F.lit(1)).alias("_n"))
-    return b.join(n, F.col("item_id") == F.col("_i"), "left").select("item_id", F.coalesce("_n", F.lit(0)).alias("n_docs"))
+    """JN10 across rows: the documents that hold each passage, by words that both must have."""
+    pairs = messages.evidence_pairs(t("benchmark").select(F.col("item_id").alias("name_id"), F.col("text").alias("name")), t("documents").select(F.col("doc_id").alias("evidence_id"), F.col("text").alias("evidence")))
+    n = pairs.groupBy("name_id").agg(F.count(F.lit(1)).alias("_n"))
+    return t("benchmark").select("item_id").join(n, F.col("item_id") == F.col("name_id"), "left").select("item_id", F.coalesce("_n", F.lit(0)).alias("n_docs"))
 
 
 @query("SELECT p_partkey, trim(regexp_replace(regexp_replace(replace(lower(p_name), 'ß', 'ss'), '[^\\p{L}\\p{M}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS folded, len(list_distinct(string_split(lower(p_name), ' '))) AS n_tokens FROM part")
