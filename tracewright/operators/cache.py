@@ -10,9 +10,14 @@ from ..functions.text import MAX_STORED_CHARS, slim
 
 
 def replay(events: DataFrame, key: str, order: list[str], stored: Column) -> DataFrame:
-    """``events`` with hit: whether an earlier attempt of the same key was stored. One key's attempts are one group."""
-    before = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return events.withColumn("hit", F.coalesce(F.max(stored.cast("int")).over(before), F.lit(0)) == 1)
+    """``events`` with hit: whether an earlier attempt of the same key was stored.
+
+    The first stored attempt of each key is a minimum, summed before it is shuffled, so a hot key's attempts meet only
+    in a join that adaptive execution can split. ``order`` tells attempts of a key apart.
+    """
+    first = events.where(stored).groupBy(F.col(key).alias("_key")).agg(F.min(F.struct(*order)).alias("_first"))
+    joined = events.join(first, F.col(key).eqNullSafe(F.col("_key")), "left")
+    return joined.withColumn("hit", F.coalesce(F.struct(*order) > F.col("_first"), F.lit(False))).drop("_key", "_first")
 
 
 def hit_rate(hits: Column, lookups: Column) -> Column:
@@ -70,7 +75,10 @@ def clean_changes(rows: DataFrame, text: str = "response", status: str = "status
 
 
 def throttle(arrivals: DataFrame, host: str, at: str, order: str, gap: float = 1.0) -> DataFrame:
-    """``arrivals`` with start: first come, first served by host, starts at least ``gap`` apart."""
+    """``arrivals`` with start: first come, first served by host, starts at least ``gap`` apart.
+
+    What one host gets depends on all before it, so a host is one group.
+    """
     w = Window.partitionBy(host).orderBy(at, order)
     nth = F.row_number().over(w) * gap
     arrivals = arrivals.withColumn("_n", nth).withColumn("_d", F.col(at) - F.col("_n"))
