@@ -397,3 +397,30 @@ def test_evidence_pairs_are_those_of_all_pairs(spark):
     want = {(i, j) for i, n in names for j, t in texts if fold(n) and fold(n) in fold(t)}
     got = messages.evidence_pairs(spark.createDataFrame(names, "name_id int, name string"), spark.createDataFrame(texts, "evidence_id int, evidence string"))
     assert {tuple(r) for r in got.collect()} == want
+
+
+def test_contract_agrees_with_python(spark):
+    rng = random.Random(2)
+    odd = [None, True, 1, 2.5, "x", [], {}, [1], {"a": 1}, 10**30]
+
+    def some(value):
+        return rng.choice(odd) if rng.random() < 0.06 else value
+
+    def without(d):
+        return {k: v for k, v in d.items() if rng.random() > 0.03}
+
+    texts = ['{"found":true,"found":false,"restaurant_name":"x","menu":[]}', '{"found":true,"restaurant_name":"x","menu":[{"section":"a","items":[{"name":"b","price":NaN}]}]}', "", "[", "nul"]
+    for _ in range(400):
+        items = lambda: [some(without({"name": some("n"), "description": some(None), "price": some(rng.choice([None, 1, 2.5, 1e9, 123456789012345678901234567890]))})) for _ in range(rng.randint(0, 2))]
+        menu = [some(without({"section": some("s"), "items": some(items())})) for _ in range(rng.randint(0, 2))]
+        texts.append(json.dumps(some(without({"found": some(True), "restaurant_name": some("r"), "menu": some(menu), "cuisine": some("c"), "notes": some(None), "more": 1}))))
+
+    def want(t):
+        try:
+            return menus.is_valid_menu(json.loads(t))
+        except ValueError:
+            return False
+
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", menus.schema_valid("t").alias("v"))
+    wrong = [(texts[r["k"]], r["v"]) for r in got.collect() if r["v"] is not want(texts[r["k"]])]
+    assert not wrong and 40 < sum(map(want, texts)) < 360
