@@ -79,7 +79,7 @@ def predictor(dictionaries: dict[str, bytes]):
         for texts in parts:
             yield pd.DataFrame([one(t) for t in texts], columns=["lang_pred", "score", "margin"])
 
-    return predict
+    return predict.asNondeterministic()  # else a filter on its result would run it twice
 
 
 def held_out(doc_id: Column) -> Column:
