@@ -20,7 +20,7 @@ from .tokens import encode_rows
 RANK_ROWS = 1000
 #: Documents of a pattern at most; times that patterns of as many are sought by what the fit leaves; what a fitted repeat
 #: may exceed a whole number by and still be rounded down, of which the best is taken.
-MEMBERS, ROUNDS, ROUNDING = 4, 3, (1e-4, 0.01, 0.05, 0.5)
+MEMBERS, ROUNDS, ROUNDING = 4, 2, (1e-4, 0.01, 0.5)
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -91,7 +91,7 @@ def _filled(patterns: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
     return sum(np.bincount(patterns[:, j], weights=x * (patterns[:, j] > 0), minlength=n) for j in range(patterns.shape[1]))
 
 
-def fit_repeats(patterns: np.ndarray, counts: np.ndarray, start: np.ndarray | None = None, steps: int = 150) -> np.ndarray:
+def fit_repeats(patterns: np.ndarray, counts: np.ndarray, start: np.ndarray | None = None, steps: int = 120) -> np.ndarray:
     """Non-negative repeats x that bring the patterns' lengths nearest to the histogram, by accelerated projected descent."""
     if not len(patterns):
         return np.zeros(0)
@@ -106,7 +106,7 @@ def fit_repeats(patterns: np.ndarray, counts: np.ndarray, start: np.ndarray | No
         return sum(r[patterns[:, j]] * used[:, j] for j in range(patterns.shape[1]))
 
     v = np.random.default_rng(0).random(len(patterns))
-    for _ in range(30):
+    for _ in range(15):
         v = back(times(v))
         v /= np.linalg.norm(v)
     step = 1.0 / (1.05 * np.linalg.norm(back(times(v))))
@@ -140,21 +140,24 @@ def fitted_patterns(counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
 
 def rounded(patterns: np.ndarray, x: np.ndarray, counts: np.ndarray, slack: float) -> tuple[list, np.ndarray]:
     """[(pattern, how many), ...] by falling repeats, rounded up beyond ``slack`` where pieces are there; and the pieces left."""
-    left, chosen = counts.copy(), []
-    for k in np.argsort(-x, kind="stable"):
-        many = int(np.ceil(x[k] - slack))
-        if many <= 0:
-            break
-        need = defaultdict(int)
-        for v in patterns[k]:
+    many = np.ceil(x - slack).astype(np.int64)
+    order = np.argsort(-x, kind="stable")[: int((many > 0).sum())]
+    left, chosen = counts.tolist(), []
+    left[0] = 1 << 60  # what patterns are padded with is always there
+    for pattern, n in zip(map(tuple, patterns[order].tolist()), many[order].tolist()):
+        if not all(left[v] for v in pattern):
+            continue
+        need: dict[int, int] = {}
+        for v in pattern:
             if v:
-                need[int(v)] += 1
-        many = min(many, *(int(left[v]) // c for v, c in need.items()))
-        if many > 0:
+                need[v] = need.get(v, 0) + 1
+        n = min(n, *(left[v] // c for v, c in need.items()))
+        if n > 0:
             for v, c in need.items():
-                left[v] -= many * c
-            chosen.append(([*need.items()], many))
-    return chosen, left
+                left[v] -= n * c
+            chosen.append((pattern, n))
+    left[0] = 0
+    return chosen, np.array(left, np.int64)
 
 
 def pack_residuals(left: np.ndarray, capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
@@ -194,13 +197,17 @@ def plan_sequences(counts: np.ndarray, capacity: int) -> dict[str, np.ndarray]:
     The plan depends on the histogram alone; its size is bounded by the number of patterns, not by the documents.
     """
     counts = counts.astype(np.int64)
-    plans = []
+    best: tuple = ()
     for patterns, x in fitted_patterns(counts.astype(float)):
         for slack in ROUNDING:
             chosen, left = rounded(patterns, x, counts, slack)
-            plans.append((chosen + pack_residuals(left, capacity), int((counts - left).sum())))
-    # the fewest sequences; of equal ones the plan that patterns fill most of
-    chosen, by_patterns = min(plans, key=lambda p: (sum(many for _, many in p[0]), -p[1]))
+            rest = pack_residuals(left, capacity)
+            rank = sum(n for _, n in chosen) + sum(n for _, n in rest), int(left.sum())
+            if not best or rank < best[0]:  # the fewest sequences; of equal ones the plan that patterns fill most of
+                best = rank, chosen, rest
+    (_, left_over), chosen, rest = best
+    by_patterns = int(counts.sum()) - left_over
+    chosen = [([(v, pattern.count(v)) for v in dict.fromkeys(pattern) if v], n) for pattern, n in chosen] + rest
     used, sequence, runs = np.zeros(len(counts), np.int64), 0, []
     for pattern, many in chosen:
         offset = 0
