@@ -43,7 +43,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``written`` made and that nothing reads any more, lazily neither."""
+    remove(df.written_at)
 
 
 def release(spark: SparkSession) -> None:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blobs import PIECES, bucket, by_part, first_hash, pieces, runs, squeeze, unsqueeze
-from .common import filesystem, id_crc, put_bytes, release, remove, scratch, written
+from .common import discard, filesystem, id_crc, put_bytes, release, remove, scratch, written
 
 #: Bytes of text that a worker takes at a time; training tokens of a part file; rows that a merge holds before it sums.
 STEP_BYTES, PART_TOKENS, HELD_ROWS = 4_000_000, 1_000_000, 3_000_000
@@ -568,6 +568,7 @@ def build_trie(docs: DataFrame, *, part_tokens: int = PART_TOKENS) -> Trie:
     made = jobs.select("part", "cuts", "full").repartitionById(parts, F.col("part").cast("int")).mapInArrow(build, "part long").count()
     assert made == parts, "every part must be there"
     remove(folder)
+    discard(cuts)
     return trie
 
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, written
+from .common import discard, release, written
 from .components import components
 
 BITS = 64
@@ -22,7 +22,7 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 _BLOCK = 65_536
 _SECOND = 0x9E3779B97F4A7C15
 #: Texts of a candidate group that one task compares at a time; larger groups pass through in such parts.
-GROUP_ROWS = 8192
+GROUP_ROWS = 4096
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -431,10 +431,11 @@ def near_links(docs: DataFrame, nodes: DataFrame, *, shingle: int, similarity: f
     """
     most = _cosine_bits(similarity, 64, slack)
     links = covering_links(nodes.select("fp", "node", "s0"), radius, extra=("s0",), most=most)
-    links = written(links, "candidates")
+    first = written(links, "candidates")
     release(docs.sparkSession)  # the buckets' shuffle, before the next
-    links = links.union(covering_links(nodes.select(F.col("fq").alias("fp"), "node", "s0"), radius, extra=("s0",), most=most))
+    links = first.union(covering_links(nodes.select(F.col("fq").alias("fp"), "node", "s0"), radius, extra=("s0",), most=most))
     groups = components(links)
+    discard(first)
     release(docs.sparkSession)
     groups = written(groups.union(groups.select(F.col("root").alias("node"), "root").distinct()), "groups")
     groups = nodes.join(groups.select(F.col("node").alias("_n"), "root"), F.col("node") == F.col("_n"))
