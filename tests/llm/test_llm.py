@@ -313,6 +313,9 @@ def test_op5_mixing(docs, rows, empty, odd):
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns and mixed.count() == plan.copies.sum()
     assert mixing.plan_copies(empty).count() == 0 and mixing.plan_copies(odd).count() == odd.count() and mixing.mix(odd).count() > 0
+    assert mixing.mix(empty).count() == 0 and mixing.mix(empty).columns == empty.columns
+    clash = docs.select("*", *[F.lit(k).alias(c) for k, c in enumerate(("row", "id", "of", "n", "_mix_k", "copies", "picks"))])
+    assert mixing.mix(clash).columns == clash.columns and {r[-7:] for r in mixing.mix(clash).collect()} == {tuple(range(7))}
 
 
 # 6

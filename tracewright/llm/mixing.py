@@ -72,8 +72,8 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 
     ``how`` goes to ``plan_copies``. Rows are matched to their plan by id and source; repeated rows share one plan.
     """
-    cols = docs.columns
     plan = plan_copies(docs.select("doc_id", "source", "text"), **how)
-    plan = plan.groupBy(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source")).agg(F.max("copies").alias("_mix_n")).where("_mix_n > 0")
-    out = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_mix_id")) & F.col("source").eqNullSafe(F.col("_mix_source")))
-    return out.withColumn("_mix_k", F.explode(F.sequence(F.lit(1), F.col("_mix_n").cast("int")))).select(*cols)
+    plan = plan.groupBy(F.col("doc_id").alias("id"), F.col("source").alias("of")).agg(F.max("copies").alias("n")).where("n > 0")
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    out = rows.join(plan, F.col("row.doc_id").eqNullSafe(F.col("id")) & F.col("row.source").eqNullSafe(F.col("of")))
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("row.*")
