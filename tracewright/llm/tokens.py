@@ -50,6 +50,18 @@ def _rule(spec: dict) -> Callable[[str], list[str]] | None:
     return None
 
 
+class _Known(dict):
+    """Ids of pre-tokens; a new one is asked of the model."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.tokenize = model.tokenize
+
+    def __missing__(self, word: str) -> bytes:
+        self[word] = found = array("I", [t.id for t in self.tokenize(word.encode().decode("latin-1").translate(_LETTERS))]).tobytes()
+        return found
+
+
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit integers.
 
@@ -63,13 +75,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.rule = _rule(spec)
-        added = [t["content"].lower() for t in spec.get("added_tokens") or [] if t["content"]]
-        self.added = re.compile("|".join(map(re.escape, added)), re.I).search if added else lambda text: None
-        self.known: dict[str, bytes] = {}
+        added = [t["content"] for t in spec.get("added_tokens") or [] if t["content"]]
+        # a text with an added token, in any case, has its longest stretch without letters
+        self.marks = sorted({max(re.findall(r"[^\W\d_]+|[\W\d_]+", t), key=lambda x: (not re.search(r"[^\W\d_]", x), len(x))) for t in added})
+        self.known = _Known(self.tokenizer.model)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -77,13 +89,10 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.rule:
             return self.whole(texts)
-        split = [self.rule(t) if _SAFE(t) and not self.added(t) else None for t in texts]
+        split = [self.rule(t) if _SAFE(t) and not any(m in t for m in self.marks) else None for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        known, model = self.known, self.model
-        for w in set().union(*(s for s in split if s)).difference(known):
-            known[w] = array("I", [t.id for t in model.tokenize(w.encode().decode("latin-1").translate(_LETTERS))]).tobytes()
-        get = known.__getitem__
+        get = self.known.__getitem__
         rest = iter(self.whole([t for t, s in zip(texts, split) if s is None]))
         return [next(rest) if s is None else b"".join(map(get, s)) for s in split]
 
