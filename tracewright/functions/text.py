@@ -12,9 +12,6 @@ from pyspark.sql import types as T
 
 #: Stored texts, text fed to a model, and its smaller variant, in code points.
 MAX_STORED_CHARS, MAX_TOOL_CHARS, SMALL_TOOL_CHARS = 400_000, 24_000, 16_000
-#: Native passes of the markdown slimmer; what they leave unsettled goes on in Python.
-SLIM_PASSES = 3
-
 #: What a page loses, in this order: inline data, images, links without text, links to nothing that can be
 #: read (their text stays), bullets with nothing after them, and blank lines beyond one.
 SLIM_PATTERNS = (
@@ -74,16 +71,19 @@ def settled(md: str) -> str:
     return md
 
 
-@F.pandas_udf(T.StringType())
-def _settle(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else settled(t))
+def slim(x: Column) -> Column:
+    """The slimmer's fixed point: passes until one changes nothing.
+
+    Every pass that changes a text takes one of the characters counted here, so there are no more passes than those, and
+    none after the first that changes nothing.
+    """
+    most = F.regexp_count(x, F.lit(r"[\x00\[\n*+:-]")) + 2
 
+    def step(at: Column, _: Column) -> Column:
+        new = F.transform(F.array(slim_once(at["text"])), lambda y: F.struct(y.alias("text"), (y == at["text"]).alias("done")))
+        return F.when(at["done"], at).otherwise(F.get(new, F.lit(0)))
 
-def slim(x: Column, passes: int = SLIM_PASSES) -> Column:
-    """The slimmer's fixed point. Texts that ``passes`` native passes leave unsettled, as links nest, go on in Python."""
-    for _ in range(passes):
-        x = slim_once(x)
-    return F.coalesce(_settle(F.when(slim_once(x) != x, x)), x)
+    return F.aggregate(F.sequence(F.lit(1), most), F.struct(x.alias("text"), F.lit(False).alias("done")), step, lambda at: at["text"])
 
 
 def transform_tool_result(name: Column, text: Column, most: int = MAX_TOOL_CHARS) -> Column:

@@ -205,7 +205,7 @@ def training_rows(traces: DataFrame, key: str = "trace_id") -> DataFrame:
         .when(~F.coalesce(F.startswith("final", F.lit("{")), F.lit(False)), "final answer unparsable")
         .when(F.coalesce(asked, F.lit("")) == "", "first turn not user")
     )
-    # a call and its result, exploded: the slimmer's slow path is no part of a lambda
+    # a call and its result to a row, so that long traces' results are slimmed apart
     turns = traces.where(reason.isNull()).select(F.col(key).alias("_k"), F.posexplode("messages").alias("turn", "m"), "messages")
     turns = turns.where((F.col("m.role") == "assistant") & (F.col("turn") < F.size("messages") - 1))
     after = F.get("messages", F.col("turn") + 1)
