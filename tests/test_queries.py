@@ -1,6 +1,7 @@
 """Every query with SQL against DuckDB on the smallest tables; plans without cartesian products; the entry point."""
 
 import os
+from difflib import SequenceMatcher
 
 import duckdb
 import pandas as pd
@@ -57,3 +58,38 @@ def test_entry(spark):
 def test_filters_and_columns_reach_the_scan(spark):
     plan = plans.QUERIES["traces_of_source"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "o_totalprice" not in plan and "PushedFilters: [" in plan
+
+
+def test_paired_scores_by_hand(spark, duck):
+    """Matches of every trace's items, one after the other by full scores; sections by SQL."""
+
+    def fold(name):
+        return " ".join("".join(c if c.isalnum() or c == "_" else " " for c in name.casefold()).split())
+
+    def alike(a, b):
+        a, b = fold(a), fold(b)
+        x, y = set(a.split()), set(b.split())
+        inside = len(x & y) / min(len(x), len(y)) if min(len(x), len(y)) > 1 else 0.0
+        return 1.0 if a == b else max(SequenceMatcher(None, a, b).ratio(), len(x & y) / len(x | y), inside)
+
+    items = duck.sql("""SELECT l_orderkey AS t, l_linenumber AS pos, p_name AS name, CASE WHEN l_orderkey % 10 <> 0 THEN l_extendedprice END AS price, l_returnflag AS section, l_quantity > 10 AS cand
+      FROM lineitem JOIN part ON l_partkey = p_partkey ORDER BY t, pos, name, price NULLS FIRST""").fetchall()
+    ref = {}
+    for t, *item in items:
+        ref.setdefault(t, []).append(item)
+    found_r = {t for (t,) in duck.sql("SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F'").fetchall()}
+    matched = {r["trace_id"]: r["matched"] for r in plans.QUERIES["fuzzy_item_match"](spark, SF).collect()}
+    scored = {r["trace_id"]: r for r in plans.QUERIES["score_episode"](spark, SF).collect()}
+    for t, own in ref.items():
+        c = [i for i in own if i[4]] if t % 4 else []
+        r = own if t in found_r else []
+        pairs = sorted((-s, a[2] != b[2] and (a[2] is None or b[2] is None or abs(a[2] - b[2]) > 0.005), i, j) for i, a in enumerate(c) for j, b in enumerate(r) if (s := alike(a[1], b[1])) >= 0.75)
+        used_c, used_r = set(), set()
+        for _, _, i, j in pairs:
+            if i not in used_c and j not in used_r:
+                used_c.add(i)
+                used_r.add(j)
+        assert matched[t] == len(used_c), t
+        both = t % 11 and t % 4 and t in found_r
+        want = len({i[3] for i in own if i[4]}) - len({i[3] for i in own}) if both else None
+        assert scored[t]["section_delta"] == want and scored[t]["item_delta"] == (len(c) - len(r) if both else None)

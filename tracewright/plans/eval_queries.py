@@ -190,12 +190,12 @@ def token_jaccard_pairs(t):
 def _paired(t):
     """Candidate and reference menus of each trace: the candidate has the items in more than ten pieces."""
     it = items(t).where("trace_id is not null")
-    side = lambda d, c: d.groupBy("trace_id").agg(F.sort_array(F.collect_list(F.struct("pos", "name", "price"))).alias(c))
+    side = lambda d, c: d.groupBy("trace_id").agg(F.sort_array(F.collect_list(F.struct("pos", "name", "price"))).alias(c), F.count_distinct("section").alias(f"sections_{c}"))
     ref, cand = side(it, "r"), side(it.where("l_quantity > 10"), "c")
     o = t("orders").select(F.col("o_orderkey").alias("trace_id"), (F.col("o_orderstatus") != "F").alias("found_r"), (F.col("o_orderkey") % 4 != 0).alias("found_c"), (F.col("o_orderkey") % 11 != 0).alias("schema_valid"), (F.col("o_orderkey") % 2 == 0).alias("conditioned"))
     strip = lambda c: F.transform(F.coalesce(F.col(c), F.array().cast("array<struct<pos:int,name:string,price:double>>")), lambda x: F.struct(x["name"].alias("name"), x["price"].alias("price")))
     o = o.join(ref, "trace_id", "left").join(cand, "trace_id", "left")
-    return o.withColumns({"c": F.when(F.col("found_c"), strip("c")).otherwise(F.array()), "r": F.when(F.col("found_r"), strip("r")).otherwise(F.array())})
+    return o.withColumns({"c": F.when(F.col("found_c"), strip("c")).otherwise(F.array()), "r": F.when(F.col("found_r"), strip("r")).otherwise(F.array())})  # sections count where both are found
 
 
 @query()
@@ -207,14 +207,14 @@ def fuzzy_item_match(t):
 
 def _scored(t):
     p = _paired(t).withColumn("m", menus.match_counts("c", "r"))
-    cols = menus.score_columns(F.col("schema_valid"), F.col("found_c"), F.col("found_r"), F.size("c"), F.size("r"), F.col("m.matched"), F.col("m.agreed"))
+    cols = menus.score_columns(F.col("schema_valid"), F.col("found_c"), F.col("found_r"), F.size("c"), F.size("r"), F.col("m.matched"), F.col("m.agreed"), F.col("sections_c"), F.col("sections_r"))
     return p.withColumns(cols)
 
 
 @query()
 def score_episode(t):
     """MT3, MT6: all metrics of each episode."""
-    return _scored(t).select("trace_id", "schema_valid", "found_correct", *menus.METRICS, "item_delta")
+    return _scored(t).select("trace_id", "schema_valid", "found_correct", *menus.METRICS, "item_delta", "section_delta")
 
 
 _EQ = """p AS (SELECT o_orderkey AS trace_id, o_orderstatus <> 'F' AS fr, o_orderkey % 4 <> 0 AS fc, o_orderkey % 11 <> 0 AS valid, o_orderkey % 2 = 0 AS conditioned, coalesce(nr, 0) AS nr, coalesce(nc, 0) AS nc FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS nr, count(*) FILTER (l_quantity > 10) AS nc FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey),
