@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language, mixing, nearest, ngram, packing, sharding, simhash, spans, tokenfile
+from . import fingerprints, language, mixing, nearest, ngram, packing, phrases, pii, sharding, simhash, spans, tokenfile, yinyang
 from .tokens import public_path
 
 
@@ -70,6 +70,21 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), public_path("word_bpe_49k.json"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors of 64 components in eight clusters after ten rounds."""
+    return yinyang.yinyang_clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of all documents: what the patterns find, and what the trained classifier adds."""
+    return pii.personal_data(_documents(spark, sf_dir))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of each language, over all documents."""
+    return phrases.collocations(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_lm_scores": op2_lm_scores,
@@ -81,6 +96,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_shard": op8_shard,
     "op9_token_files": op9_token_files,
     "op10_pack": op10_pack,
+    "op11_centroids": op11_centroids,
+    "op12_personal_data": op12_personal_data,
+    "op13_collocations": op13_collocations,
 }
 
 _OP5_SQL = r"""
@@ -115,4 +133,61 @@ SELECT d.doc_id, d.size, d.source_size, d.target, CAST(d.size * d.copies AS BIGI
 FROM drawn d JOIN seeds s ON d.source IS NOT DISTINCT FROM s.source AND d.k = s.k
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_mix_sources": _OP5_SQL}
+
+def _op11_sql(rounds: int = 10, k: int = 8, dims: int = 64) -> str:
+    """Plain k-means over exact integers, a few steps a round."""
+    steps = [rf"""kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS row_id, vec_id, list_transform(embedding, lambda c: CAST(floor(1024.0 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = {dims}
+), parts AS MATERIALIZED (
+  SELECT row_id, i, x[i] AS v FROM kept, range(1, {dims} + 1) d(i)
+), c0 AS MATERIALIZED (
+  SELECT c, i, x[i] AS v FROM (SELECT row_number() OVER (ORDER BY sha256('3:' || CAST(vec_id AS VARCHAR)) NULLS LAST, x) - 1 AS c, x FROM kept QUALIFY c < {k}), range(1, {dims} + 1) d(i)
+)"""]
+    for r in range(rounds + 1):
+        steps.append(rf"""a{r} AS MATERIALIZED (
+  SELECT row_id, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT p.row_id, m.c, sum((p.v - m.v) * (p.v - m.v)) AS d FROM parts p JOIN c{r} m USING (i) GROUP BY ALL) GROUP BY row_id
+)""")
+        if r < rounds:
+            steps.append(rf"""c{r + 1} AS MATERIALIZED (
+  SELECT c, i, coalesce(n.v, o.v) AS v FROM c{r} o LEFT JOIN (
+    SELECT c, i, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS v FROM (SELECT c, i, sum(v) AS s, count(*) AS n FROM a{r} JOIN parts USING (row_id) GROUP BY c, i)
+  ) n USING (c, i)
+)""")
+    return "WITH " + ", ".join(steps) + rf"""
+SELECT k.vec_id, CAST(a.c AS INTEGER) AS "cluster", CAST(a.d AS BIGINT) AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia, h.centroid_sha256
+FROM a{rounds} a JOIN kept k USING (row_id) JOIN (SELECT c, sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY c) h ON a.c = h.c
+"""
+
+
+_OP13_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) AS piece FROM documents
+), split AS (
+  SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS ws FROM pieces
+), grams AS (
+  SELECT lang, k, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS phrase, count(*) AS a
+  FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM split, range(1, 6) t(k) WHERE len(ws) >= k) GROUP BY ALL
+), totals AS (
+  SELECT lang, CAST(sum(a) AS HUGEINT) AS n FROM grams WHERE k = 1 GROUP BY lang
+), cand AS (
+  SELECT lang, k, phrase, string_split(phrase, ' ') AS ws, a FROM grams WHERE k > 1 AND a >= 100
+), cuts AS (
+  SELECT c.*, j, array_to_string(list_slice(ws, 1, j), ' ') AS lp, array_to_string(list_slice(ws, j + 1, k), ' ') AS rp FROM cand c, range(1, 5) t(j) WHERE j < k
+), scored AS (
+  SELECT c.lang, c.k, c.phrase, c.a, l.a AS l, r.a AS r, t.n, (1000 * CAST(c.a AS HUGEINT) * t.n) // (CAST(l.a AS HUGEINT) * r.a) AS score, j
+  FROM cuts c JOIN grams l ON l.lang = c.lang AND l.phrase = c.lp JOIN grams r ON r.lang = c.lang AND r.phrase = c.rp JOIN totals t ON t.lang = c.lang
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+), swallowed AS (
+  SELECT DISTINCT c.lang, array_to_string(list_slice(c.ws, i, i + m - 1), ' ') AS phrase, c.a
+  FROM cand c, range(2, 5) t(m), range(1, 5) u(i) WHERE m < c.k AND i + m - 1 <= c.k
+), kept AS (
+  SELECT b.* FROM best b WHERE NOT EXISTS (SELECT 1 FROM swallowed s WHERE s.lang = b.lang AND s.phrase = b.phrase AND 100 * s.a >= 100 * b.a)
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM kept QUALIFY rank <= 2000
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_mix_sources": _OP5_SQL, "op11_centroids": _op11_sql(), "op13_collocations": _OP13_SQL}
