@@ -163,21 +163,33 @@ FROM a{rounds} a JOIN kept k USING (row_id) JOIN (SELECT c, sha256(string_agg(CA
 _OP13_SQL = r"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')) AS piece FROM documents
+-
+]')) AS piece FROM documents
 ), split AS (
-  SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS ws FROM pieces
+  SELECT lang, row_number() OVER () AS pid, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces
+), words AS (
+  SELECT lang, pid, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM split WHERE len(ws) > 0
+), followed AS (
+  SELECT lang, w, lead(w, 1) OVER p AS w2, lead(w, 2) OVER p AS w3, lead(w, 3) OVER p AS w4, lead(w, 4) OVER p AS w5 FROM words WINDOW p AS (PARTITION BY pid ORDER BY pos)
 ), grams AS (
-  SELECT lang, k, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS phrase, count(*) AS a
-  FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM split, range(1, 6) t(k) WHERE len(ws) >= k) GROUP BY ALL
+  SELECT lang, k, phrase, count(*) AS a FROM (
+    SELECT lang, 1 AS k, w AS phrase FROM followed
+    UNION ALL SELECT lang, 2, w || ' ' || w2 FROM followed
+    UNION ALL SELECT lang, 3, w || ' ' || w2 || ' ' || w3 FROM followed
+    UNION ALL SELECT lang, 4, w || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM followed
+    UNION ALL SELECT lang, 5, w || ' ' || w2 || ' ' || w3 || ' ' || w4 || ' ' || w5 FROM followed
+  ) WHERE phrase IS NOT NULL GROUP BY lang, k, phrase
 ), totals AS (
   SELECT lang, CAST(sum(a) AS HUGEINT) AS n FROM grams WHERE k = 1 GROUP BY lang
-), cand AS (
-  SELECT lang, k, phrase, string_split(phrase, ' ') AS ws, a FROM grams WHERE k > 1 AND a >= 100
-), cuts AS (
-  SELECT c.*, j, array_to_string(list_slice(ws, 1, j), ' ') AS lp, array_to_string(list_slice(ws, j + 1, k), ' ') AS rp FROM cand c, range(1, 5) t(j) WHERE j < k
+), cand AS MATERIALIZED (
+  SELECT g.lang, k, phrase, string_split(phrase, ' ') AS ws, a, n FROM grams g JOIN totals t ON g.lang = t.lang WHERE k > 1 AND a >= 100
+), counted AS MATERIALIZED (
+  SELECT lang || ':' || phrase AS key, a FROM grams WHERE a >= 100
+), cuts AS MATERIALIZED (
+  SELECT c.*, j, lang || ':' || array_to_string(list_slice(ws, 1, j), ' ') AS lp, lang || ':' || array_to_string(list_slice(ws, j + 1, k), ' ') AS rp FROM cand c, range(1, 5) t(j) WHERE j < k
 ), scored AS (
-  SELECT c.lang, c.k, c.phrase, c.a, l.a AS l, r.a AS r, t.n, (1000 * CAST(c.a AS HUGEINT) * t.n) // (CAST(l.a AS HUGEINT) * r.a) AS score, j
-  FROM cuts c JOIN grams l ON l.lang = c.lang AND l.phrase = c.lp JOIN grams r ON r.lang = c.lang AND r.phrase = c.rp JOIN totals t ON t.lang = c.lang
+  SELECT c.lang, c.k, c.phrase, c.a, l.a AS l, r.a AS r, c.n, (1000 * CAST(c.a AS HUGEINT) * c.n) // (CAST(l.a AS HUGEINT) * r.a) AS score, j
+  FROM cuts c JOIN counted l ON l.key = c.lp JOIN counted r ON r.key = c.rp
 ), best AS (
   SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
 ), swallowed AS (
