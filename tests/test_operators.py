@@ -1,6 +1,8 @@
 import datetime
 import json
 import random
+import re
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -96,20 +98,57 @@ def test_unknown_split_is_refused(spark):
         corpus.scan_entities(entities(spark), split="test")
 
 
-@pytest.mark.parametrize("a, b", [("Ceasar Salad", "Caesar Salad"), ("BBQ Chicken Pizza", "Barbecue Chicken Pizza"), ("Spring Rolls (2)", "Spring Rolls")])
-def test_similar_names(a, b):
-    assert menus.similarity(a, b) >= menus.ITEM_MATCH
+SIMILAR = [("Ceasar Salad", "Caesar Salad"), ("BBQ Chicken Pizza", "Barbecue Chicken Pizza"), ("Spring Rolls (2)", "Spring Rolls"), ("!!", "--")]
+DIFFERENT = [("Galbi Set", "Bulgogi Set"), ("Pad Thai", "Pad See Ew"), ("Coke", "Sprite"), ("Pizza", "BBQ Chicken Pizza"), ("", "a")]
+MENU = "array<struct<name:string,price:double>>"
 
 
-@pytest.mark.parametrize("a, b", [("Galbi Set", "Bulgogi Set"), ("Pad Thai", "Pad See Ew"), ("Coke", "Sprite"), ("Pizza", "BBQ Chicken Pizza")])
-def test_different_names(a, b):
-    assert menus.similarity(a, b) < menus.ITEM_MATCH
+def alike(a, b):
+    """The similarity of two names, plainly."""
+    a, b = (" ".join("".join(c if c.isalnum() or c == "_" else " " for c in x.lower()).split()) for x in (a, b))
+    if a == b or not a or not b:
+        return float(a == b)
+    x, y = set(a.split()), set(b.split())
+    inside = len(x & y) / min(len(x), len(y)) if min(len(x), len(y)) > 1 else 0.0
+    return max(SequenceMatcher(None, a, b).ratio(), len(x & y) / len(x | y), inside)
 
 
-def test_matching_is_one_to_one_and_prefers_prices():
-    item = lambda n, p=None: {"name": n, "price": p}
-    assert len(menus.match_items([item("Caesar")] * 2, [item("Caesar")])) == 1
-    assert menus.match_items([item("House Wine", 8.0)], [item("House Wine", 12.0), item("House Wine", 8.0)]) == [(0, 1, 1.0)]
+def greedy(candidate, reference, least=menus.ITEM_MATCH):
+    """Pairs taken one after the other, from full similarities: how many, and how many of one price."""
+    agree = lambda p, q: p == q if p is None or q is None else abs(p - q) <= 0.005
+    ranked = sorted((-alike(c[0], r[0]), not agree(c[1], r[1]), i, j) for i, c in enumerate(candidate) for j, r in enumerate(reference))
+    out = []
+    for s, apart, i, j in ranked:
+        if -s >= least and all(i != a and j != b for a, b, _ in out):
+            out.append((i, j, apart))
+    return len(out), sum(not apart for _, _, apart in out)
+
+
+def matched(spark, cases):
+    rows = [(k, c, r) for k, (c, r) in enumerate(cases)]
+    df = spark.createDataFrame(rows, f"k long, c {MENU}, r {MENU}").repartition(3)
+    return [(r["matched"], r["agreed"]) for r in menus.match_menus(df, "k", "c", "r").orderBy("k").collect()]
+
+
+def test_similar_and_different_names(spark):
+    rows = spark.createDataFrame(SIMILAR + DIFFERENT, "a string, b string")
+    got = {(r["a"], r["b"]): r["s"] for r in rows.select("a", "b", menus.similarity(F.col("a"), F.col("b")).alias("s")).collect()}
+    assert all(got[p] >= menus.ITEM_MATCH for p in SIMILAR) and all(got[p] < menus.ITEM_MATCH for p in DIFFERENT)
+    assert all(abs(got[p] - alike(*p)) < 1e-12 for p in got)
+
+
+def test_matching_is_one_to_one_and_prefers_prices(spark):
+    wine = [("House Wine", 12.0), ("House Wine", 8.0)]
+    cases = [([("Caesar", None)] * 2, [("Caesar", None)]), ([("House Wine", 8.0)], wine), ([], wine), (None, None), ([("a b c", float("nan"))], [("a b c", None)])]
+    assert matched(spark, cases) == [(1, 1), (1, 1), (0, 0), (0, 0), (1, 1)]
+
+
+def test_matching_agrees_with_one_by_one(spark):
+    rng = random.Random(4)
+    words = ["pad", "thai", "noodles", "fried", "rice", "chicken", "(2)", "Soup", "soupe", "!!", "", "ceasar", "caesar"]
+    side = lambda: [(" ".join(rng.choices(words, k=rng.randint(0, 3))), rng.choice([None, 1.0, 2.0])) for _ in range(rng.randint(0, 9))]
+    cases = [(side(), side()) for _ in range(150)]
+    assert matched(spark, cases) == [greedy(c, r) for c, r in cases]
 
 
 @pytest.mark.parametrize("valid, fc, fr, nc, nr, m, want", [
@@ -214,28 +253,6 @@ def test_streams_say_what_batches_say(spark, tmp_path):
     assert dict(zip(got.event_id, got.streak)) == dict(zip(want.event_id, want.streak))
 
 
-def test_empty_names_are_alike():
-    assert menus.similarity("!!", "--") == 1.0 and menus.similarity("", "a") == 0.0
-
-
-def greedy(candidate, reference, least=menus.ITEM_MATCH):
-    """Pairs taken one after the other, from full similarities."""
-    ranked = sorted((-menus.similarity(c["name"], r["name"]), not menus._agree(c["price"], r["price"]), i, j) for i, c in enumerate(candidate) for j, r in enumerate(reference))
-    out = []
-    for s, _, i, j in ranked:
-        if -s >= least and all(i != a and j != b for a, b, _ in out):
-            out.append((i, j, -s))
-    return out
-
-
-def test_matching_agrees_with_one_by_one():
-    rng = random.Random(4)
-    words = ["pad", "thai", "noodles", "fried", "rice", "chicken", "(2)", "Soup", "soupe", "!!", ""]
-    for _ in range(60):
-        a, b = ([{"name": " ".join(rng.choices(words, k=rng.randint(0, 3))), "price": rng.choice([None, 1.0, 2.0])} for _ in range(rng.randint(0, 9))] for _ in range(2))
-        assert menus.match_items(a, b) == greedy(a, b)
-
-
 def block(kind, text=None, id=None, name=None, input=None):
     return {"type": kind, "text": text, "id": id, "name": name, "input": input}
 
@@ -424,3 +441,31 @@ def test_contract_agrees_with_python(spark):
     got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", menus.schema_valid("t").alias("v"))
     wrong = [(texts[r["k"]], r["v"]) for r in got.collect() if r["v"] is not want(texts[r["k"]])]
     assert not wrong and 40 < sum(map(want, texts)) < 360
+
+
+@pytest.mark.parametrize("alone", [0, 1 << 40])
+def test_names_are_found_by_one_scan_as_by_many(spark, monkeypatch, alone):
+    monkeypatch.setattr(messages, "ALONE", alone)
+    monkeypatch.setattr(messages, "AUTOMATON_CHARS", 40)
+    rng = random.Random(9)
+    rows = [(k, ["".join(rng.choices("ab é\t", k=rng.randint(0, 6))) for _ in range(rng.randint(0, 30))], "".join(rng.choices("abé  \n", k=rng.randint(0, 400)))) for k in range(60)]
+    rows += [(60, None, "a"), (61, ["a", "b"], None), (62, [], ""), (63, [None, "A"], "xay")]
+    df = spark.createDataFrame(rows, "k long, names array<string>, hay string")
+    fold = lambda x: re.sub(r"\s+", " ", (x or "").lower())
+    for r in df.select("k", "names", "hay", messages.grounding(F.col("names"), F.col("hay")).alias("g")).collect():
+        names = r["names"] or []
+        misses = [n for n in names if fold(n).strip() not in fold(r["hay"])]
+        assert list(r["g"]["misses"]) == misses and r["g"]["n"] == len(names)
+        assert r["g"]["fraction"] == ((len(names) - len(misses)) / len(names) if names else 0.0)
+
+
+def test_evidence_pairs_are_those_of_all_pairs(spark):
+    rng = random.Random(3)
+    words = ["ab", "b", "abc", "ca", "cab", "x", "abcd", "é"]
+    say = lambda n: " ".join(rng.choices(words, k=n))
+    names = [(k, say(rng.randint(1, 5)).upper() if k % 3 else say(2)) for k in range(40)] + [(40, " "), (41, "no such words here"), (42, None)]
+    evidence = [(k, say(rng.randint(0, 40)).replace(" ", rng.choice([" ", "  ", "\n"]))) for k in range(30)] + [(30, None), (31, "")]
+    fold = lambda x: re.sub(r"\s+", " ", x.lower())
+    want = {(n, e) for n, name in names if name and name.strip() for e, text in evidence if text is not None and fold(name).strip() in fold(text)}
+    got = messages.evidence_pairs(spark.createDataFrame(names, "name_id long, name string"), spark.createDataFrame(evidence, "evidence_id long, evidence string"))
+    assert sorted(map(tuple, got.collect())) == sorted(want)

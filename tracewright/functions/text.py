@@ -53,12 +53,38 @@ def cap(x: Column, most: int = MAX_TOOL_CHARS) -> Column:
     return F.when(over > 0, F.concat(F.substring(x, 1, most), note)).otherwise(x)
 
 
+#: What ``\s`` is in the patterns, which are Python's; only a line feed ends a line.
+_SPACES = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SLIM_JAVA = [(p.replace(r"[^\s", "[^" + _SPACES).replace(r"\s*", f"[{_SPACES}]*").replace("(?m)", "(?md)"), to) for p, to in SLIM_PATTERNS]
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def slim_once(x: Column) -> Column:
-    """One pass of the slimmer: NULs, data URIs, images, empty links, dead links (their text stays), empty bullets, blank runs."""
-    x = F.replace(x, F.char(F.lit(0)), F.lit(""))
-    for pattern, to in SLIM_PATTERNS:
-        x = F.regexp_replace(x, pattern, to)
-    return x
+    """One pass of the slimmer: NULs, data URIs, images, empty links, dead links (their text stays), empty bullets, blank runs.
+
+    Patterns are tried only where a text has the signs that they need.
+    """
+    links = lambda t: F.contains(t, F.lit("]("))
+    needs = (lambda t: F.contains(F.lower(t), F.lit("data:")), links, links, links, lambda t: F.lit(True), lambda t: F.contains(t, F.lit("\n\n\n")))
+
+    def apply(k: int, t: Column) -> Column:
+        if k == len(_SLIM_JAVA):
+            return t
+        pattern, to = _SLIM_JAVA[k]
+        return let(F.when(needs[k](t), F.regexp_replace(t, pattern, to)).otherwise(t), lambda new: apply(k + 1, new))
+
+    return let(F.replace(x, F.char(F.lit(0)), F.lit("")), lambda t: apply(0, t))
+
+
+def has_slack(x: Column) -> Column:
+    """Whether a pass of the slimmer would change a text: each of its matches is taken out or made shorter."""
+    data, image, empty, dead, bullet, _ = (p for p, _ in _SLIM_JAVA)
+    linked = F.contains(x, F.lit("](")) & (x.rlike(image) | x.rlike(empty) | x.rlike(dead))
+    return F.contains(x, F.char(F.lit(0))) | F.contains(F.lower(x), F.lit("data:")) | linked | F.contains(x, F.lit("\n\n\n")) | x.rlike(bullet)
 
 
 def settled(md: str) -> str:
@@ -72,18 +98,21 @@ def settled(md: str) -> str:
 
 
 def slim(x: Column) -> Column:
-    """The slimmer's fixed point: passes until one changes nothing.
+    """The slimmer's fixed point: passes until a text has nothing that one would change; most texts are only looked at.
 
-    Every pass that changes a text takes one of the characters counted here, so there are no more passes than those, and
-    none after the first that changes nothing.
+    Every pass takes one of the characters counted here, so there are no more passes than those. Their number is a
+    square, so that a text that is done early is left after its root's many steps.
     """
-    most = F.regexp_count(x, F.lit(r"[\x00\[\n*+:-]")) + 2
 
-    def step(at: Column, _: Column) -> Column:
-        new = F.transform(F.array(slim_once(at["text"])), lambda y: F.struct(y.alias("text"), (y == at["text"]).alias("done")))
-        return F.when(at["done"], at).otherwise(F.get(new, F.lit(0)))
+    def passes(text: Column) -> Column:
+        side = F.ceil(F.sqrt(F.regexp_count(text, F.lit(r"[\x00\[\n*+:-]")) + 1)).cast("int")
+        once = lambda at: let(slim_once(at["text"]), lambda y: F.struct(y.alias("text"), (~has_slack(y)).alias("done")))
+        unless = lambda at, more: F.when(at["done"], at).otherwise(more)
+        start = F.struct(text.alias("text"), F.lit(False).alias("done"))
+        row = lambda at, n: F.aggregate(F.sequence(F.lit(1), n), at, lambda now, _: unless(now, once(now)))
+        return let(side, lambda n: F.aggregate(F.sequence(F.lit(1), n), start, lambda at, _: unless(at, row(at, n)), lambda at: at["text"]))
 
-    return F.aggregate(F.sequence(F.lit(1), most), F.struct(x.alias("text"), F.lit(False).alias("done")), step, lambda at: at["text"])
+    return let(x, lambda t: F.when(has_slack(t), passes(t)).otherwise(t))
 
 
 def transform_tool_result(name: Column, text: Column, most: int = MAX_TOOL_CHARS) -> Column:

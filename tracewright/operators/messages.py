@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.prompts import system_prompt
-from ..functions.text import collapse, fold_words, transform_tool_result
+from ..functions.text import collapse, fold_words, let, transform_tool_result
 from .menus import extract_json
 
 #: Label of tokens that no loss is taken on (fixed value).
@@ -231,46 +234,114 @@ def training_rows(traces: DataFrame, key: str = "trace_id") -> DataFrame:
 # --- grounding ---
 
 
+#: Names times characters of evidence up to which each name is sought on its own; beyond, an automaton seeks all at once.
+ALONE = 1 << 18
+#: Bits of a filter of asked words, and characters of names that one automaton holds.
+FILTER_BITS, AUTOMATON_CHARS = 1 << 20, 1 << 20
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def absent(keys: pd.Series, evidence: pd.Series) -> pd.Series:
+    """Places of the keys that a text does not contain, by one scan of the text for all of them; null for null."""
+
+    def one(names, hay):
+        if names is None or hay is None:
+            return None
+        wanted, size = [{}], 0
+        for name in names:
+            if size > AUTOMATON_CHARS:
+                wanted, size = [*wanted, {}], 0
+            if name:
+                wanted[-1][name] = None
+                size += len(name)
+        found = {""}
+        for group in wanted:
+            if group:
+                seeker = ahocorasick.Automaton()
+                for name in group:
+                    seeker.add_word(name, name)
+                seeker.make_automaton()
+                left = set(group)
+                for _, name in seeker.iter(hay):
+                    left.discard(name)
+                    if not left:
+                        break
+                found.update(group.keys() - left)
+        return [k for k, name in enumerate(names) if name not in found]
+
+    return pd.Series([one(n, h) for n, h in zip(keys, evidence)], dtype=object)
+
+
 def grounding(names: Column, evidence: Column, fold=collapse) -> Column:
     """struct(fraction, misses, n): the share of names whose folded form is in the folded evidence; 0 and none without names.
 
-    Evidence and names are folded once a row: what a lambda is given is computed before it.
+    Evidence and names are folded once a row. No evidence holds no name. Where names times characters are over ALONE, one
+    scan of the evidence seeks all names; below, each is sought on its own.
     """
+    evidence = F.coalesce(evidence, F.lit(""))
     hay = F.regexp_replace(F.lower(evidence), r"(?U)\s+", " ") if fold is collapse else fold(evidence)
-    folded = F.transform(names, lambda n: F.struct(n.alias("name"), fold(n).alias("key")))
-    given = F.array(F.struct(hay.alias("hay"), folded.alias("names")))
-    missed = F.transform(given, lambda g: F.struct(F.transform(F.filter(g["names"], lambda n: ~F.contains(g["hay"], n["key"])), lambda n: n["name"]).alias("misses"), F.coalesce(F.size(g["names"]), F.lit(0)).alias("n")))
-    out = F.transform(missed, lambda m: F.struct(F.when(m["n"] > 0, (m["n"] - F.size(m["misses"])) / m["n"]).otherwise(0.0).alias("fraction"), m["misses"].alias("misses"), m["n"].alias("n")))
-    return F.get(out, F.lit(0))
+    keys = F.transform(names, lambda n: F.coalesce(fold(n), F.lit("")))
+    many = F.coalesce(F.size(names).cast("long") * F.length(evidence) > ALONE, F.lit(False))
+
+    def alone(given: Column) -> Column:
+        marked = F.transform(given["keys"], lambda k, i: F.when(~F.contains(given["hay"], k), i))
+        return F.filter(marked, lambda i: i.isNotNull())
+
+    places = F.when(many, absent(F.when(many, keys), F.when(many, hay))).otherwise(let(F.struct(F.when(~many, hay).alias("hay"), F.when(~many, keys).alias("keys")), alone))
+    n = F.greatest(F.coalesce(F.size(names), F.lit(0)), F.lit(0))
+    share = lambda g: F.when(g["n"] > 0, (g["n"] - F.size(g["at"])) / g["n"]).otherwise(0.0)
+    return let(F.struct(n.alias("n"), F.coalesce(places, F.array().cast("array<int>")).alias("at"), names.alias("names")), lambda g: F.struct(share(g).alias("fraction"), F.transform(g["at"], lambda i: F.get(g["names"], i)).alias("misses"), g["n"].alias("n")))
+
+
+def word_filter(words: DataFrame, word: str):
+    """A test of words that all words of ``words`` pass and few others do; its size is fixed, however many words there are."""
+    at = F.xxhash64(word).bitwiseAND(F.lit(FILTER_BITS - 1))
+    bits = [0] * (FILTER_BITS // 64)
+    parts = words.select(F.shiftright(at, 6).alias("part"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+    for r in parts.groupBy("part").agg(F.bit_or("bit").alias("bits")).collect():
+        bits[r["part"]] = r["bits"]
+    table = F.split(F.lit(",".join(map(str, bits))), ",").cast("array<bigint>")  # one literal
+
+    def passes(w: Column) -> Column:
+        return let(F.xxhash64(w).bitwiseAND(F.lit(FILTER_BITS - 1)), lambda h: F.bit_get(F.get(table, F.shiftright(h, 6).cast("int")), h.bitwiseAND(F.lit(63)).cast("int")) == 1)
+
+    return passes
 
 
 def evidence_pairs(names: DataFrame, evidence: DataFrame) -> DataFrame:
     """JN10 across rows: distinct (name_id, evidence_id) where the folded name is in the folded evidence; no all-pairs test.
 
-    names: name_id, name; evidence: evidence_id, evidence. Of a name of three words or more the longest inner word must
-    be a word of the evidence, so candidates come from an equi-join of words, and only they are tested on whole texts.
-    Names of fewer words have no such word: their first letters, up to three, are sought in all evidence's runs of as many.
-    Blank names and null evidence are in no pair.
+    names: name_id, name; evidence: evidence_id, evidence. Every name has an anchor that an evidence with it must hold: of
+    three words or more, the inner word that the fewest evidences hold; of two, up to three last letters of the first, at
+    a word's end; of one, its first letters up to three, within a word. Of the evidence only what passes a filter of the
+    anchors becomes rows; candidates come from an equi-join of anchors, and only they are tested on whole texts. Blank
+    names and null evidence are in no pair.
     """
     key = collapse(F.col("name"))
     names = names.select("name_id", key.alias("key")).where(F.col("key") != "").distinct()
     words = F.split("key", " ")
-    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    names = names.withColumn("anchor", F.when(longest.isNotNull(), F.concat(F.lit("w"), longest)).otherwise(F.concat(F.length(F.substring("key", 1, 3)).cast("string"), F.substring("key", 1, 3))))
     hay = F.regexp_replace(F.lower("evidence"), r"(?U)\s+", " ")
     evidence = evidence.select("evidence_id", hay.alias("hay")).where(F.col("hay").isNotNull())
-    kinds = {r["kind"] for r in names.select(F.substring("anchor", 1, 1).alias("kind")).distinct().collect()}
-    pieces = F.array_distinct(F.transform(F.split("hay", " "), lambda w: F.concat(F.lit("w"), w)))
-
-    def runs(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length("hay") - (n - 1), F.lit(1)))
-        return F.array_distinct(F.transform(starts, lambda i: F.concat(F.lit(str(n)), F.substring(F.col("hay"), i, F.lit(n)))))
-
-    for n in sorted(kinds - {"w"}):
-        pieces = F.concat(pieces, runs(int(n)))
-    found = evidence.select("evidence_id", F.explode(pieces).alias("anchor")).join(names.select("name_id", "key", "anchor"), "anchor").select("evidence_id", "name_id", "key")
-    found = found.withColumnRenamed("evidence_id", "_e").join(evidence, F.col("_e") == F.col("evidence_id"))
+    own = F.array_distinct(F.split("hay", " "))
+    inner = names.where(F.size(words) > 2).select("name_id", "key", F.explode(F.array_distinct(F.slice(words, F.lit(2), F.size(words) - 2))).alias("word"))
+    asked = word_filter(inner, "word")
+    counts = evidence.select(F.explode(F.filter(own, asked)).alias("_word")).groupBy("_word").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = inner.join(counts, F.col("word") == F.col("_word"), "left").groupBy("name_id", "key").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "word")).alias("r"))
+    rarest = rarest.where("r.n > 0").select("name_id", "key", F.concat(F.lit("w"), "r.word").alias("anchor"))
+    first = F.get(words, F.lit(0))
+    short = names.where(F.size(words) < 3).select("name_id", "key", F.when(F.size(words) == 2, F.concat(F.lit("e"), F.right(first, F.lit(3)))).otherwise(F.concat(F.lit("i"), F.left(first, F.lit(3)))).alias("anchor"))
+    anchors = rarest.union(short)
+    wanted = word_filter(anchors, "anchor")
+
+    def signs(w: Column) -> Column:
+        ends = F.transform(F.array(*[F.lit(n) for n in (1, 2, 3)]), lambda n: F.concat(F.lit("e"), F.right(w, n)))
+        starts = F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1)))
+        inside = F.flatten(F.transform(starts, lambda i: F.transform(F.array(*[F.lit(n) for n in (1, 2, 3)]), lambda n: F.concat(F.lit("i"), F.substring(w, i, n)))))
+        return F.filter(F.concat(F.array(F.concat(F.lit("w"), w)), ends, inside), wanted)
+
+    held = evidence.select(F.col("evidence_id").alias("_e"), F.explode(F.array_distinct(F.flatten(F.transform(own, signs)))).alias("_anchor"))
+    found = held.join(anchors, F.col("_anchor") == F.col("anchor")).select("_e", "name_id", "key").distinct()
+    found = found.join(evidence, F.col("_e").eqNullSafe(F.col("evidence_id")))
     return found.where(F.contains("hay", F.col("key"))).select("name_id", "evidence_id").distinct()
 
 

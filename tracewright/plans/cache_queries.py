@@ -92,7 +92,7 @@ def reclassify(t):
     return cache.reclassify(d, "response", "status")
 
 
-@query(f"SELECT doc_id, {_STATUS} AS status, length(r0) AS stored FROM (SELECT doc_id, substr({_RESP}, 1, 3000) AS r0, regexp_replace({_RESP}, '^\\s+|\\s+$', '', 'g') AS r FROM documents)")
+@query(f"""SELECT doc_id, {_STATUS} AS status, length(stored) AS stored FROM (SELECT doc_id, {_slim_sql("substr(slim, 1, 3000)")} AS stored, regexp_replace(slim, '^\\s+|\\s+$', '', 'g') AS r FROM (SELECT doc_id, {_slim_sql(_RESP)} AS slim FROM documents))""")
 def clean_cache(t):
     """CA7: slim, classify, clip."""
     d = t("documents").select("doc_id", _response().alias("response"))

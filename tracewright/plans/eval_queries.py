@@ -187,27 +187,37 @@ def token_jaccard_pairs(t):
     return pairs.select("trace_id", "a", "b", F.round(menus.jaccard(F.col("x"), F.col("y")), 6).alias("jaccard"))
 
 
+def _episodes(t):
+    """trace_id, found_r, found_c, schema_valid, conditioned of each order."""
+    k = F.col("o_orderkey")
+    return t("orders").select(k.alias("trace_id"), (F.col("o_orderstatus") != "F").alias("found_r"), (k % 4 != 0).alias("found_c"), (k % 11 != 0).alias("schema_valid"), (k % 2 == 0).alias("conditioned"))
+
+
 def _paired(t):
     """Candidate and reference menus of each trace: the candidate has the items in more than ten pieces."""
-    it = items(t).where("trace_id is not null")
-    side = lambda d, c: d.groupBy("trace_id").agg(F.sort_array(F.collect_list(F.struct("pos", "name", "price"))).alias(c), F.count_distinct("section").alias(f"sections_{c}"))
-    ref, cand = side(it, "r"), side(it.where("l_quantity > 10"), "c")
-    o = t("orders").select(F.col("o_orderkey").alias("trace_id"), (F.col("o_orderstatus") != "F").alias("found_r"), (F.col("o_orderkey") % 4 != 0).alias("found_c"), (F.col("o_orderkey") % 11 != 0).alias("schema_valid"), (F.col("o_orderkey") % 2 == 0).alias("conditioned"))
+    cand = F.col("l_quantity") > 10
+    item = F.struct("pos", "name", "price")
+    sides = items(t).where("trace_id is not null").groupBy("trace_id").agg(
+        F.sort_array(F.collect_list(item)).alias("_r"), F.sort_array(F.collect_list(F.when(cand, item))).alias("_c"),
+        F.size(F.collect_set("section")).alias("sections_r"), F.size(F.collect_set(F.when(cand, F.col("section")))).alias("sections_c"),
+    )
     strip = lambda c: F.transform(F.coalesce(F.col(c), F.array().cast("array<struct<pos:int,name:string,price:double>>")), lambda x: F.struct(x["name"].alias("name"), x["price"].alias("price")))
-    o = o.join(ref, "trace_id", "left").join(cand, "trace_id", "left")
-    return o.withColumns({"c": F.when(F.col("found_c"), strip("c")).otherwise(F.array()), "r": F.when(F.col("found_r"), strip("r")).otherwise(F.array())})  # sections count where both are found
+    o = _episodes(t).join(sides, "trace_id", "left")
+    none = F.array().cast("array<struct<name:string,price:double>>")
+    return o.withColumns({"c": F.when(F.col("found_c"), strip("_c")).otherwise(none), "r": F.when(F.col("found_r"), strip("_r")).otherwise(none)})  # sections count where both are found
 
 
 @query()
 def fuzzy_item_match(t):
     """MT2, JN9, FN13, SO3: greedy pairs by similarity, prices and place."""
-    m = menus.match_counts("c", "r")
-    return _paired(t).select("trace_id", m.alias("m")).select("trace_id", "m.matched", "m.agreed")
+    return menus.match_menus(_paired(t), "trace_id", "c", "r")
 
 
 def _scored(t):
-    p = _paired(t).withColumn("m", menus.match_counts("c", "r"))
-    cols = menus.score_columns(F.col("schema_valid"), F.col("found_c"), F.col("found_r"), F.size("c"), F.size("r"), F.col("m.matched"), F.col("m.agreed"), F.col("sections_c"), F.col("sections_r"))
+    p = _paired(t)
+    m = menus.match_menus(p, "trace_id", "c", "r").withColumnRenamed("trace_id", "_t")
+    p = p.join(m, F.col("trace_id") == F.col("_t"))
+    cols = menus.score_columns(F.col("schema_valid"), F.col("found_c"), F.col("found_r"), F.size("c"), F.size("r"), F.col("matched"), F.col("agreed"), F.col("sections_c"), F.col("sections_r"))
     return p.withColumns(cols)
 
 
@@ -225,8 +235,11 @@ z AS (SELECT *, CASE WHEN both_ AND c = 0 AND r = 0 THEN 1.0 WHEN both_ THEN CAS
 
 
 def _counted(t):
-    """Episodes scored by counts alone: every candidate item is a reference item."""
-    p = _paired(t).select("trace_id", "schema_valid", "found_c", "found_r", "conditioned", F.size("c").alias("nc"), F.size("r").alias("nr"))
+    """Episodes scored by counts alone: every candidate item is a reference item, so one sum of a trace's rows tells all."""
+    n = t("lineitem").groupBy(F.col("l_orderkey").alias("_t")).agg(F.count(F.lit(1)).alias("_r"), F.count_if(F.col("l_quantity") > 10).alias("_c"))
+    p = _episodes(t).join(n, F.col("trace_id") == F.col("_t"), "left")
+    side = lambda found, count: F.when(F.col(found), F.coalesce(count, F.lit(0))).otherwise(0)
+    p = p.withColumns({"nc": side("found_c", F.col("_c")), "nr": side("found_r", F.col("_r"))})
     m = F.least("nc", "nr")
     return p.withColumns(menus.score_columns(F.col("schema_valid"), F.col("found_c"), F.col("found_r"), F.col("nc"), F.col("nr"), m, m, F.ceil(F.col("nc") / 2), F.ceil(F.col("nr") / 3)))
 

@@ -14,7 +14,7 @@ def entities(t) -> DataFrame:
     """entity_id (customer key), name, city, region, cuisine, source, is_chain, split (null for a quarter)."""
     k = F.col("c_custkey") % 4
     split = F.when(k == 0, "sft").when(k == 1, "grpo").when(k == 2, "eval")
-    c = t("customer").join(F.broadcast(t("nation").limit(1000)), F.col("c_nationkey") == F.col("n_nationkey"))  # nations are few
+    c = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return c.select(
         F.col("c_custkey").alias("entity_id"), F.col("c_name").alias("name"), F.col("n_name").alias("city"), F.col("n_regionkey").alias("region"),
         F.col("c_mktsegment").alias("cuisine"), F.lit("osm").alias("source"), (F.col("c_acctbal") > 7000).alias("is_chain"), split.alias("split"),

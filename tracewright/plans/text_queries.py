@@ -156,12 +156,23 @@ def _markdown():
     return F.concat(F.lit("![i](a.png) ![j](data:image/svg+xml,%3Csvg) DATA:text/plain,x [[in](tel:2)](tel:3) [cut](data:abc\n![k](b.png)\n* \n[](x)"), F.col("text"), F.lit("[call](tel:1) [pic](b.JPG?x=1) [keep](http://a.b/c)\n\n\n\nz"))
 
 
-def _slim_sql(x: str, passes: int = 4) -> str:
+#: A pass of the slimmer in SQL, written for its own sake: what goes, and what takes its place.
+_SLIM_STEPS = (
+    (r"'\x00'", "''"), (r"'(?i)data:[^\s)]*'", "''"), (r"'!\[[^\]]*\]\([^)]*\)'", "''"), (r"'\[\s*\]\([^)]*\)'", "''"),
+    (r"'(?i)\[([^\]]+)\]\(\s*(?:(?:tel|mailto|javascript):|#)[^)]*\)|\[([^\]]+)\]\([^)]*\.(?:png|jpg|jpeg|gif|webp|svg|ico)(?:\?[^)]*)?\s*\)'", r"'\1\2'"),
+    (r"'(?m)^[\t ]*[*+-][\t ]*$\n?'", "''"), (r"'\n\n\n+'", "chr(10) || chr(10)"),
+)
+
+
+def _slim_sql(x: str, passes: int = 5) -> str:
     for _ in range(passes):
-        x = f"replace({x}, chr(0), '')"
-        for pattern, to in text.SLIM_PATTERNS:
-            x = "regexp_replace({}, '{}', '{}', 'g')".format(x, pattern.replace("'", "''"), to.replace("$1$2", "\\1\\2"))
-    return x.replace("'\n\n'", "chr(10) || chr(10)")
+        for what, to in _SLIM_STEPS:
+            x = f"regexp_replace({x}, {what}, {to}, 'g')"
+    return x
+
+
+def _cap_sql(x: str, most: int) -> str:
+    return f"CASE WHEN length({x}) > {most} THEN substr({x}, 1, {most}) || chr(10) || '... [truncated ' || (length({x}) - {most}) || ' chars]' ELSE {x} END"
 
 
 @query(f"SELECT doc_id, {_slim_sql(_MD)} AS slim FROM documents")
@@ -176,7 +187,7 @@ def cap_text(t):
     return t("documents").select("doc_id", text.cap(F.col("text"), 1000).alias("capped"))
 
 
-@query(f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN {_slim_sql(_MD)} ELSE {_MD} END AS result FROM documents")
+@query(f"SELECT doc_id, {_cap_sql('x', 24000)} AS result FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN {_slim_sql(_MD)} ELSE {_MD} END AS x FROM documents)")
 def tool_result(t):
     """FN18: fetches are slimmed and capped, other results capped."""
     name = F.when(F.col("doc_id") % 2 == 0, "scrape_url").otherwise("web_search")
