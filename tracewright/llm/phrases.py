@@ -51,7 +51,8 @@ def _filter(uri: str) -> np.ndarray:
 def _may_hold(bits: np.ndarray, lang: bytes, phrases: list[bytes]) -> np.ndarray:
     """Which phrases of a language may be in the filter; a phrase that is, always may."""
     head, digest = lang + b"\0", xxhash.xxh64_intdigest
-    at = np.fromiter((digest(head + p, 42) & (FILTER_BITS - 1) for p in phrases), np.int64, len(phrases))
+    mask = 8 * len(bits) - 1
+    at = np.fromiter((digest(head + p, 42) & mask for p in phrases), np.int64, len(phrases))
     return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
