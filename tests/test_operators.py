@@ -2,13 +2,15 @@ import datetime
 import json
 import random
 import re
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracewright.functions import prompts
-from tracewright.operators import cache, corpus, harvest, menus, messages, ranking, sampling
+from tracewright.operators import cache, corpus, harvest, labels, menus, messages, ranking, sampling
 from tracewright.sources import files
 from tracewright.streaming import attempts
 
@@ -469,3 +471,106 @@ def test_evidence_pairs_are_those_of_all_pairs(spark):
     want = {(n, e) for n, name in names if name and name.strip() for e, text in evidence if text is not None and fold(name).strip() in fold(text)}
     got = messages.evidence_pairs(spark.createDataFrame(names, "name_id long, name string"), spark.createDataFrame(evidence, "evidence_id long, evidence string"))
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("rows", [40, 7, 10**6])
+def test_runs_in_slices_are_as_in_one_window(spark, rows):
+    """A hot run with a third of all rows, and more, goes over many groups; ties and null times too."""
+    rng = random.Random(rows)
+    data = [(k, None if rng.random() < 0.02 else float(rng.randint(0, 120)), rng.choice(["hot", "hot", "a", "b", None]), rng.random() < 0.3, rng.random() < 0.8, float(rng.randint(0, 9))) for k in range(600)]
+    data += [(1000 + k, 200.0 + k, "bad", False, True, 1.0) for k in range(120)]
+    df = spark.createDataFrame(data, "event_id long, at double, run string, ok boolean, counted boolean, value double").repartition(4)
+    order = ["at", "event_id"]
+    w = Window.partitionBy("run").orderBy(*order)
+    bad = (~F.col("ok") & F.col("counted")).cast("int")
+    want = df.withColumn("island", F.sum(1 - bad).over(w)).withColumn("streak", F.sum(bad).over(Window.partitionBy("run", "island").orderBy(*order)))
+    got = cache.streaks(df, "run", order, ~F.col("ok"), F.col("counted"), rows=rows)
+    rows_of = lambda x, *c: sorted(map(tuple, x.select("event_id", *c).collect()))
+    assert rows_of(got, "streak") == rows_of(want, "streak") and set(got.columns) == {*df.columns, "streak"}
+    timed = df.where("at IS NOT NULL")
+    n = F.row_number().over(w) * 0.25
+    want = timed.withColumn("n", n).withColumn("start", F.col("n") + F.max(F.col("at") - F.col("n")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    got = cache.throttle(timed, "run", "at", "event_id", 0.25, rows=rows)
+    assert rows_of(got, "start") == rows_of(want, "start")
+    far = w.rowsBetween(Window.unboundedPreceding, 0)
+    want = df.withColumns({"done": F.count(F.lit(1)).over(far), "ok_rate": F.avg(F.col("ok").cast("double")).over(far), "mean_value": F.avg("value").over(far)})
+    got = cache.running_rates(df, "run", order, F.col("ok"), F.col("value"), rows=rows)
+    assert rows_of(got, "done", "ok_rate", "mean_value") == rows_of(want, "done", "ok_rate", "mean_value")
+    if rows < 100:
+        most = max(Counter((r["run"], r["s"]) for r in cache.streaks(df, "run", order, ~F.col("ok"), rows=rows).withColumn("s", F.floor("at")).collect()).values())
+        assert len(cache._slices(df, "at", rows)) > 10 and most < 720
+
+
+# labels
+
+
+def say(role, content=None, calls=None, responses=None):
+    return {"role": role, "content": content, "tool_calls": calls, "tool_responses": responses}
+
+
+ROW = "k long, messages array<struct<role:string,content:string,tool_calls:array<struct<name:string,arguments:string>>,tool_responses:array<struct<name:string,response:string>>>>"
+
+
+@pytest.mark.parametrize("file", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_labels_are_those_of_whole_retokenisation(spark, file):
+    path = pytest.importorskip("public_tokenizers").path(file)
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(path)
+    ids_of = lambda t: whole.encode(t, add_special_tokens=False).ids
+    rng = random.Random(7)
+    words = ["the menu", "Soup ", " straße", "漢字", "12.50", "\n\n", "  ", "don't", "x" * 60, '"q"', "<b>", "é", "a b c d"]
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    rows = []
+    for k in range(40):
+        turns = [say("system", text(20)), say("user", text(5))]
+        for _ in range(rng.randint(0, 3)):
+            n = rng.randint(1, 2)
+            turns.append(say("assistant", None, [("web_search", '{"q":"' + text(3) + '"}')] * n, [("web_search", text(rng.randint(0, 80)))] * n))
+        rows.append((k, turns + [say("assistant", '{"found":true,"n":"' + text(4) + '"}')]))
+    as_rows = [(k, [(m["role"], m["content"], m["tool_calls"], m["tool_responses"]) for m in turns]) for k, turns in rows]
+    df = spark.createDataFrame([*as_rows, (98, []), (99, None)], ROW).repartition(3)
+    df = df.select("k", F.when(F.col("k") == 99, "no messages").alias("skip_reason"), labels.rendered(F.col("messages")).alias("segments"))
+    segments = {r["k"]: r["segments"] for r in df.collect()}
+    got = {r["k"]: r for r in labels.token_labels(df, path, "k").collect()}
+    assert got[99]["skip_reason"] == "no messages" and got[99]["input_ids"] is None and got[98]["input_ids"] == []
+    kept = 0
+    for k in range(40):
+        full = "".join(s["text"] for s in segments[k])
+        ids, mask, at, broken = ids_of(full), set(), 0, False
+        for s in segments[k]:
+            if s["learn"] and s["text"]:
+                before, after = ids_of(full[:at]), ids_of(full[: at + len(s["text"])])
+                broken |= before != ids[: len(before)] or after != ids[: len(after)]
+                mask.update(range(len(before), len(after)))
+            at += len(s["text"])
+        if broken:
+            assert got[k]["skip_reason"] == labels.BROKEN and got[k]["input_ids"] is None
+            continue
+        kept += 1
+        assert got[k]["input_ids"] == ids and got[k]["labels"] == [x if i in mask else -100 for i, x in enumerate(ids)]
+        learnt = whole.decode([x for x in got[k]["labels"] if x != -100])
+        assert "search" in learnt or len(rows[k][1]) == 3
+    assert kept >= 35
+
+
+def test_a_row_whose_prefix_breaks_has_no_labels(spark):
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    rows = [(1, None, [("fine words ", False), ("here", True)]), (2, None, [("fine words", False), (" here", True)]), (3, None, [("wo", False), ("rds", True)]), (4, "skipped", None)]
+    df = spark.createDataFrame(rows, "trace_id long, skip_reason string, segments array<struct<text:string,learn:boolean>>")
+    got = {r["trace_id"]: r for r in labels.token_labels(df, path).collect()}
+    assert [got[k]["skip_reason"] for k in (1, 2, 3, 4)] == [labels.BROKEN, None, labels.BROKEN, "skipped"]
+    assert got[2]["labels"][:-1] == [-100] * (len(got[2]["labels"]) - 1) and got[2]["labels"][-1] == got[2]["input_ids"][-1]
+
+
+def test_prefixes_are_extended_not_encoded_again():
+    asked = []
+
+    def encode(text):
+        asked.append(len(text))
+        return [ord(c) for c in text]
+
+    text = "some words in a row " * 500
+    ends = list(range(100, len(text), 100))
+    assert labels.prefix_ids(encode, text, ends) == [[ord(c) for c in text[:e]] for e in ends]
+    assert sum(asked) < 4 * len(text)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,34 +76,109 @@ def clean_changes(rows: DataFrame, text: str = "response", status: str = "status
     return counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("step"), F.col(c).alias("rows")) for c in counts.columns])).alias("x")).select("x.*")
 
 
-def throttle(arrivals: DataFrame, host: str, at: str, order: str, gap: float = 1.0) -> DataFrame:
+#: Rows of a table up to which each run, however long, is one group of a window.
+RUN_ROWS = 1_000_000
+
+
+def _slices(df: DataFrame, number: str, rows: int) -> list | None:
+    """Cuts of ``number`` that part the rows into slices of some ``rows``; None where one slice is enough."""
+    n = df.count()
+    if n <= rows:
+        return None
+    parts = math.ceil(n / rows) * 2
+    return sorted(set(df.select(F.percentile_approx(number, [k / parts for k in range(1, parts)], 10 * parts)).first()[0])) or None
+
+
+def segmented(df: DataFrame, run: str, order: list[str], rows: int, local, summary: dict[str, Column], carry, incoming: dict[str, str], finish) -> DataFrame:
+    """A running value of each run that depends on all before it, in slices of time that are run apart.
+
+    ``order[0]``, a number or time, is cut at approximate quantiles; a run's slice is a group of its own. ``local`` (rows,
+    window) gives the value within the slice, ``summary`` what a slice tells those after it, ``carry`` (summaries, window
+    of a run's slices) the columns ``incoming`` from before, and ``finish`` joins both. So a group holds a slice, and of
+    a run only a row a slice meets elsewhere. A table of up to ``rows`` rows is one slice.
+    """
+    cuts = _slices(df, order[0], rows)
+    at = F.lit(0) if cuts is None else F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(order[0])))
+    df = local(df.withColumn("_slice", at), Window.partitionBy(run, "_slice").orderBy(*order))
+    if cuts is None:
+        return finish(df.withColumns({c: F.lit(None).cast(t) for c, t in incoming.items()})).drop("_slice")
+    told = df.groupBy(F.col(run).alias("_run"), F.col("_slice").alias("_at")).agg(*[v.alias(k) for k, v in summary.items()])
+    came = carry(told, Window.partitionBy("_run").orderBy("_at")).select("_run", "_at", *[F.col(c).cast(t).alias(c) for c, t in incoming.items()])
+    joined = df.join(came, F.col(run).eqNullSafe(F.col("_run")) & (F.col("_slice") == F.col("_at")))
+    return finish(joined.drop("_run", "_at")).drop("_slice")
+
+
+def throttle(arrivals: DataFrame, host: str, at: str, order: str, gap: float = 1.0, rows: int = RUN_ROWS) -> DataFrame:
     """``arrivals`` with start: first come, first served by host, starts at least ``gap`` apart.
 
-    What one host gets depends on all before it, so a host is one group.
+    The n-th start of a host is n gaps after the greatest of (arrival less its own number of gaps) so far; numbers and
+    maxima of a slice carry into the next, so that a hot host is many groups.
     """
-    w = Window.partitionBy(host).orderBy(at, order)
-    nth = F.row_number().over(w) * gap
-    arrivals = arrivals.withColumn("_n", nth).withColumn("_d", F.col(at) - F.col("_n"))
-    return arrivals.withColumn("start", F.col("_n") + F.max("_d").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_n", "_d")
 
+    def local(df: DataFrame, w) -> DataFrame:
+        df = df.withColumn("_n", F.row_number().over(w))
+        return df.withColumn("_d", F.col(at) - F.col("_n") * gap).withColumn("_d", F.max("_d").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+    def carry(told: DataFrame, w) -> DataFrame:
+        before = w.rowsBetween(Window.unboundedPreceding, -1)
+        told = told.withColumn("_in_n", F.coalesce(F.sum("_count").over(before), F.lit(0)))
+        return told.withColumn("_in_d", F.max(F.col("_most") - F.col("_in_n") * gap).over(before))
+
+    def finish(df: DataFrame) -> DataFrame:
+        n = F.coalesce("_in_n", F.lit(0))
+        start = (F.col("_n") + n) * gap + F.greatest(F.col("_d") - n * gap, F.col("_in_d"))
+        return df.withColumn("start", start).drop("_n", "_d", "_in_n", "_in_d")
+
+    return segmented(arrivals, host, [at, order], rows, local, {"_count": F.count(F.lit(1)), "_most": F.max("_d")}, carry, {"_in_n": "long", "_in_d": "double"}, finish)
 
-def streaks(events: DataFrame, run: str, order: list[str], failed: Column, counted: Column | None = None) -> DataFrame:
+
+def streaks(events: DataFrame, run: str, order: list[str], failed: Column, counted: Column | None = None, rows: int = RUN_ROWS) -> DataFrame:
     """``events`` with streak: consecutive failures up to here in its run; anything that is no failure resets.
 
-    ``counted`` restricts what counts as a failure, as broken machines among all failures.
+    ``counted`` restricts what counts as a failure, as broken machines among all failures. Of a slice the next ones need
+    whether it has a reset, and how many failures come after the last.
     """
     bad = failed if counted is None else failed & counted
-    w = Window.partitionBy(run).orderBy(*order)
-    events = events.withColumn("_bad", bad.cast("int"))
-    events = events.withColumn("_island", F.sum(1 - F.col("_bad")).over(w))
-    island = Window.partitionBy(run, "_island").orderBy(*order)
-    return events.withColumn("streak", F.sum("_bad").over(island)).drop("_bad", "_island")
 
+    def local(df: DataFrame, w) -> DataFrame:
+        df = df.withColumn("_bad", bad.cast("int"))
+        df = df.withColumn("_island", F.sum(1 - F.col("_bad")).over(w))
+        return df.withColumn("_streak", F.sum("_bad").over(Window.partitionBy(run, "_slice", "_island").orderBy(*order)))
+
+    def carry(told: DataFrame, w) -> DataFrame:
+        reset = F.col("_resets") > 0
+        told = told.withColumn("_group", F.sum(reset.cast("int")).over(w))
+        told = told.withColumn("_tail", F.sum("_after").over(Window.partitionBy("_run", "_group").orderBy("_at")))
+        return told.withColumn("_in_streak", F.lag("_tail").over(w))
+
+    def finish(df: DataFrame) -> DataFrame:
+        open_ = F.when(F.col("_island") == 0, F.coalesce("_in_streak", F.lit(0))).otherwise(0)
+        return df.withColumn("streak", F.col("_streak") + open_).drop("_bad", "_island", "_streak", "_in_streak")
+
+    after = F.max(F.struct("_island", "_streak"))["_streak"]  # the last island's longest streak is what the slice ends with
+    return segmented(events, run, order, rows, local, {"_resets": F.sum(1 - F.col("_bad")), "_after": after}, carry, {"_in_streak": "long"}, finish)
+
+
+def running_rates(events: DataFrame, run: str, order: list[str], ok: Column, value: Column, rows: int = RUN_ROWS) -> DataFrame:
+    """``events`` with done, ok_rate and mean_value so far in its run; sums of a slice carry into the next."""
+
+    def local(df: DataFrame, w) -> DataFrame:
+        w = w.rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({"_done": F.count(F.lit(1)).over(w), "_ok": F.sum(ok.cast("double")).over(w), "_known": F.count(ok).over(w), "_sum": F.sum(value).over(w), "_valued": F.count(value).over(w)})
+
+    sums = ("_done", "_ok", "_known", "_sum", "_valued")
+
+    def carry(told: DataFrame, w) -> DataFrame:
+        return told.withColumns({f"_in{c}": F.sum(f"_all{c}").over(w.rowsBetween(Window.unboundedPreceding, -1)) for c in sums})
+
+    def finish(df: DataFrame) -> DataFrame:
+        all_ = lambda c: F.coalesce(c, F.lit(0)) + F.coalesce(f"_in{c}", F.lit(0))
+        share = lambda a, n: F.when(all_(n) > 0, all_(a) / all_(n))
+        df = df.withColumns({"done": all_("_done").cast("long"), "ok_rate": share("_ok", "_known"), "mean_value": share("_sum", "_valued")})
+        return df.drop(*sums, *[f"_in{c}" for c in sums])
 
-def running_rates(events: DataFrame, run: str, order: list[str], ok: Column, value: Column) -> DataFrame:
-    """``events`` with done, ok_rate and mean_value so far in its run."""
-    w = Window.partitionBy(run).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumns({"done": F.count(F.lit(1)).over(w), "ok_rate": F.avg(ok.cast("double")).over(w), "mean_value": F.avg(value).over(w)})
+    summary = {"_all_done": F.count(F.lit(1)), "_all_ok": F.sum(ok.cast("double")), "_all_known": F.count(ok), "_all_sum": F.sum(value), "_all_valued": F.count(value)}
+    return segmented(events, run, order, rows, local, summary, carry, {"_in_done": "long", "_in_ok": "double", "_in_known": "long", "_in_sum": "double", "_in_valued": "long"}, finish)
 
 
 def url_funnel(ranked: DataFrame, query: str, rank: str, dead: Column, keep: int = 3) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import status
-from ..operators import menus, messages
+from ..operators import labels, menus, messages
 from .registry import query
 from .standins import menus as menu_table
 from .text_queries import _slim_sql
@@ -87,6 +87,17 @@ def training_rows(t):
     return r.select(F.col("trace_id").alias("conv_id"), "skip_reason", F.array_join(calls, "|").alias("calls"), F.get(m, F.lit(1))["content"].alias("asked"), F.try_element_at(m, F.lit(-1))["content"].alias("answer"), F.contains(F.get(m, F.lit(0))["content"], F.lit("vegan")).alias("restricted"))
 
 
+@query()
+def token_labels(t):
+    """O-MSG11: labels of whole training rows by the public tokenizer; the mask as lengths of its runs, and where rows are skipped, why."""
+    import public_tokenizers
+
+    rows = messages.training_rows(_traces(t)).select(F.col("trace_id").alias("conv_id"), "skip_reason", labels.rendered(F.col("messages")).alias("segments"))
+    found = labels.token_labels(rows, public_tokenizers.path("byte_bpe_50k.json"), "conv_id")
+    learnt = F.filter("labels", lambda x: x != messages.IGNORED)
+    return found.select("conv_id", "skip_reason", F.size("input_ids").alias("n_tokens"), F.when(F.col("labels").isNotNull(), F.size(learnt)).alias("n_learnt"), F.crc32(F.array_join(F.transform("labels", lambda x: x.cast("string")), ",")).alias("labels_crc32"))
+
+
 @query("SELECT CASE WHEN doc_id % 5 = 0 THEN 'missing' WHEN doc_id % 2 = 0 THEN 'skipped' ELSE 'pushed' END AS decision, count(*) AS n FROM documents GROUP BY 1")
 def push_plan(t):
     """PV6, SNK7: what a push would send, skip and lack."""
