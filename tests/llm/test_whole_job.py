@@ -93,17 +93,58 @@ def edited(seed, groups=6, copies=30, words=160):
     return [(k, " ".join(w)) for k, w in enumerate(out)]
 
 
-@pytest.mark.parametrize("group_rows", [8192, 12])
-def test_near_dedup_is_that_of_all_pairs(spark, group_rows):
-    """Buckets of over 8 texts, pairs below the threshold and groups larger than what a task compares at a time."""
-    rows = edited(11)
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted(r["doc_id"] for r in simhash.keep_one_of_each(docs, radius=8, group_rows=group_rows).collect())
-    want = kept_by_all_pairs(rows)
-    if group_rows > 100:
-        assert got == want
-    else:  # texts of different parts meet through one of each tree only
-        assert set(want) <= set(got) and len(got) <= len(want) + 12
+def changed(seed):
+    """Pairs and chains of every kind of change, on texts of all lengths: words appended, set in, put before, repeated, taken out."""
+    rng, out = np.random.default_rng(seed), []
+    word = lambda: f"w{rng.integers(0, 5000)}"
+    for g in range(150):
+        n = int(rng.choice([5, 8, 12, 20, 40, 100, 300, 900]))
+        base = [word() for _ in range(n)]
+        out.append(base)
+        kind, more = g % 6, max(1, int(n * rng.uniform(0, 0.25)))
+        for _ in range(1 + g % 3):
+            if kind == 0:
+                base = base + [word()]
+            elif kind == 1:
+                base = base + [word() for _ in range(more)]
+            elif kind == 2:
+                at = int(rng.integers(0, n))
+                base = base[:at] + [word() for _ in range(more)] + base[at:]
+            elif kind == 3:
+                base = base + [base[-1]] * 60
+            elif kind == 4:
+                base = base[: max(1, n - more)]
+            else:
+                base = [word()] + base
+            out.append(base)
+    shared = [word() for _ in range(60)]
+    out += [shared + [word() for _ in range(int(rng.integers(0, 40)))] for _ in range(60)]  # a common passage with other words
+    order = rng.permutation(len(out))
+    return [(k, " ".join(out[i])) for k, i in enumerate(order)]
+
+
+EDITS, DENSE, CHANGES = edited(11), edited(3, groups=2, copies=90, words=60), changed(5)
+
+
+@pytest.mark.parametrize("rows, parts", [(EDITS, {}), (DENSE, {}), (CHANGES, {}), (DENSE, {"group_rows": 12, "fan": 1}), (CHANGES, {"radius": 1, "slack": -9.0, "fan": 2})], ids=["edits", "dense", "changes", "parts", "unlinked"])
+def test_near_dedup_is_that_of_all_pairs(spark, rows, parts):
+    """With the pipeline's own values; with groups and keys of many rounds; and with fingerprints that link next to nothing."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(r["doc_id"] for r in simhash.keep_one_of_each(docs, **parts).collect())
+    assert got == kept_by_all_pairs(rows)
+
+
+def test_prefixes_of_similar_sets_share_a_shingle():
+    rng = np.random.default_rng(1)
+    slots, counts = np.arange(0, 1 << 24, 3), rng.integers(1, 9, len(range(0, 1 << 24, 3)))
+    for _ in range(300):
+        n = int(rng.integers(1, 60))
+        a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        b = np.unique(np.concatenate([a[: n - int(n * rng.uniform(0, 0.2))], rng.integers(0, 1 << 63, int(n * rng.uniform(0, 0.2))).astype(np.uint64)]))
+        a = np.unique(a)
+        common = len(np.intersect1d(a, b))
+        if common >= 0.8 * (len(a) + len(b) - common):
+            assert set(simhash.prefix_of(a, 0.8, slots, counts).tolist()) & set(simhash.prefix_of(b, 0.8, slots, counts).tolist())
 
 
 def test_near_dedup_of_clashing_columns_nulls_and_none(spark):

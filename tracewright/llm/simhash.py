@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, release, written
+from .common import discard, filesystem, put_bytes, release, remove, scratch, written
 from .components import components
 
 BITS = 64
@@ -424,25 +424,21 @@ def verified_links(members: DataFrame, *, similarity: float, most: int, group_ro
 
 
 def near_links(docs: DataFrame, nodes: DataFrame, *, shingle: int, similarity: float, radius: int, slack: float, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Links between the texts of ``docs`` that share ``similarity`` of their shingles; nodes: node, first (flag, id), fingerprints.
+    """Links between texts of ``docs`` that share ``similarity`` of their shingles: those that fingerprints bring together.
 
-    Candidates come from two covering LSH over independent word fingerprints; in a bucket, 64 bits by shingles must agree
-    as well. What they connect are groups; in a group, 256 bits and then the shingle sets themselves are compared.
+    nodes: node, first (flag, id), fingerprints. Candidates come from a covering LSH over word fingerprints; in a bucket,
+    64 bits by shingles must agree as well. What they connect are groups; in a group, 256 bits and then the shingle sets
+    themselves are compared. Every link is exact, but not every pair is found: ``prefix_links`` finds the rest.
     """
     most = _cosine_bits(similarity, 64, slack)
-    links = covering_links(nodes.select("fp", "node", "s0"), radius, extra=("s0",), most=most)
-    first = written(links, "candidates")
-    release(docs.sparkSession)  # the buckets' shuffle, before the next
-    links = first.union(covering_links(nodes.select(F.col("fq").alias("fp"), "node", "s0"), radius, extra=("s0",), most=most))
+    links = written(covering_links(nodes.select("fp", "node", "s0"), radius, extra=("s0",), most=most), "candidates")
+    release(docs.sparkSession)  # the buckets' shuffle
     groups = components(links)
-    discard(first)
-    release(docs.sparkSession)
+    discard(links)
     groups = written(groups.union(groups.select(F.col("root").alias("node"), "root").distinct()), "groups")
     groups = nodes.join(groups.select(F.col("node").alias("_n"), "root"), F.col("node") == F.col("_n"))
     groups = groups.select(*[F.col(c).alias(f"_{c}") for c in ("root", "node", "fp", "fq", "s0", "s1", "s2", "s3")], F.col("first.id").alias("_id"))
-    # one document has each text: joined by id as well, so that copies of one text are not one task's
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("node"))
-    texts = texts.join(groups, (F.col("node") == F.col("_node")) & F.col("id").eqNullSafe(F.col("_id"))).select(*[c for c in groups.columns if c != "_id"], "text")
+    texts = texts_of(docs, groups).select(*[c for c in groups.columns if c != "_id"], "text")
 
     def sets(batches):
         for b in batches:
@@ -454,21 +450,240 @@ def near_links(docs: DataFrame, nodes: DataFrame, *, shingle: int, similarity: f
     return verified_links(members, similarity=similarity, most=_cosine_bits(similarity, 256, slack), group_rows=group_rows)
 
 
-def keep_one_of_each(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, radius: int = 5, slack: float = 3.0, group_rows: int = GROUP_ROWS) -> DataFrame:
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (with _node and _id) with their texts. One document has each text: joined by id as well, so that copies of
+    one text are not one task's; rows equal in id and text come as often as they are."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("node"))
+    return texts.join(wanted, (F.col("node") == F.col("_node")) & F.col("id").eqNullSafe(F.col("_id"))).select(*wanted.columns, "text")
+
+
+# --- all pairs of a similarity, by a prefix filter ---
+
+#: Slots in which shingles are counted, and how often a task must see one before it tells of it.
+SLOT_BITS, TOLD = 24, 4
+_KEY = "key long, n int, pos int, node long, root long"
+_counts: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def common_slots(docs: DataFrame, shingle: int) -> str:
+    """A file of slots of shingles that many texts have, with about how many; at most 2^SLOT_BITS, whatever the corpus.
+
+    The counts only order shingles, the same for all texts, so it does not matter that rare ones are not told of.
+    """
+
+    def run(batches):
+        seen = np.zeros(1 << SLOT_BITS, np.uint16)
+        for b in batches:
+            for text in b.column("text"):
+                slots = np.unique((shingle_set(text.as_py(), shingle) >> np.uint64(64 - SLOT_BITS)).astype(np.int64))
+                seen[slots] = np.minimum(seen[slots], 65_534) + 1
+        slots = np.nonzero(seen >= TOLD)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(seen[slots].astype(np.int64))], names=["slot", "c"])
+
+    told = docs.select("text").mapInArrow(run, "slot long, c long").groupBy("slot").agg(F.sum("c").alias("c"))
+    rows = [(r["slot"], r["c"]) for r in told.toLocalIterator()]
+    table = np.array(sorted(rows), "<i8").reshape(-1, 2)
+    uri = scratch(docs.sparkSession, "slots") + "/counts"
+    put_bytes(uri, [table.tobytes()])
+    return uri
+
+
+def _common(uri: str) -> tuple[np.ndarray, np.ndarray]:
+    """(slots, counts) of such a file, read once a worker."""
+    if uri not in _counts:
+        fs, path = filesystem(uri)
+        with fs.open_input_stream(path) as f:
+            table = np.frombuffer(f.read(), "<i8").reshape(-1, 2)
+        _counts.clear()
+        _counts[uri] = (np.ascontiguousarray(table[:, 0]), np.ascontiguousarray(table[:, 1]))
+    return _counts[uri]
+
+
+def prefix_of(shingles: np.ndarray, similarity: float, slots: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The rarest shingles of a set, in an order common to all: two sets of that Jaccard share one of them.
+
+    They share ``similarity`` of the larger or more, so they cannot differ in all of the first n - ceil(similarity n) + 1.
+    """
+    slot = (shingles >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    at = np.minimum(np.searchsorted(slots, slot), max(0, len(slots) - 1))
+    c = np.where(slots[at] == slot, counts[at], 0) if len(slots) else np.zeros(len(slot), np.int64)
+    n = len(shingles)
+    return shingles[np.lexsort((shingles, c))[: n - math.ceil(similarity * n - 1e-9) + 1]]
+
+
+def _pairs_of_run(n: np.ndarray, pos: np.ndarray, root: np.ndarray, similarity: float, fan: int) -> tuple[list, list, bool]:
+    """Pairs (i, j) of a key's members, ascending by n, that different trees hold and that lengths and places allow.
+
+    Each member gets the ``fan`` such that come nearest before it; whether some were left out is told.
+    """
+    a, b, more = [], [], False
+    lo = np.searchsorted(n, np.ceil(similarity * n - 1e-9), "left")
+    for j in range(1, len(n)):
+        i = np.arange(lo[j], j)
+        i = i[root[i] != root[j]]
+        if len(i):
+            need = np.ceil(similarity / (1 + similarity) * (n[i] + n[j]) - 1e-9)
+            i = i[np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need]  # what is left from the key on
+            more |= len(i) > fan
+            i = i[-fan:]
+            a.extend(i.tolist())
+            b.extend([j] * len(i))
+    return a, b, more
+
+
+def _key_pairs(similarity: float, fan: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Over key rows sorted by key and n: pairs of nodes, and the rows of keys that have more pairs than ``fan`` let through."""
+    names = [c.split()[0] for c in _KEY.split(", ")]
+
+    def batch(a, b, rest):
+        count = len(a)
+        cols = [pa.array(np.concatenate([x, np.zeros(len(rest[0]), np.int64)])) for x in (a, b)]
+        cols.append(pa.array(np.arange(count + len(rest[0])) >= count))
+        cols += [pa.array(np.concatenate([np.zeros(count, np.int64), x]).astype(np.int32 if c in ("n", "pos") else np.int64)) for c, x in zip(names, rest)]
+        return pa.RecordBatch.from_arrays(cols, names=["a", "b", "more", *names])
+
+    def finish(cols):
+        key, n, pos, node, root = cols
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])  # repeated rows of one text
+        key, n, pos, node, root = (c[fresh] for c in cols)
+        begin = np.concatenate([[0], np.nonzero(np.diff(key))[0] + 1])
+        mixed = np.minimum.reduceat(root, begin) != np.maximum.reduceat(root, begin)
+        end = np.append(begin[1:], len(key))
+        a, b, left = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+        for s, e in zip(begin[mixed].tolist(), end[mixed].tolist()):
+            i, j, more = _pairs_of_run(n[s:e], pos[s:e], root[s:e], similarity, fan)
+            a.append(node[s:e][i])
+            b.append(node[s:e][j])
+            if more:
+                left.append(np.arange(s, e))
+        rest = np.concatenate(left) if left else np.zeros(0, np.int64)
+        a, b = np.concatenate(a), np.concatenate(b)
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+        return batch(pairs[:, 0], pairs[:, 1], [c[rest] for c in (key, n, pos, node, root)])
+
+    def run(batches):
+        held = None
+        for rb in batches:
+            cols = [rb.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names]
+            if held is not None:
+                cols = [np.concatenate(x) for x in zip(held, cols)]
+            change = np.nonzero(np.diff(cols[0]))[0]
+            last = int(change[-1]) + 1 if len(change) else 0
+            if last:
+                yield finish([c[:last] for c in cols])
+            held = [c[last:] for c in cols]
+        if held is not None and len(held[0]):
+            yield finish(held)
+
+    return run
+
+
+def _alike(similarity: float) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Over pairs with both sets: those of a Jaccard of ``similarity`` or more."""
+
+    def run(batches):
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column("sa"), b.column("sb")):
+                x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common >= similarity * (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays([b.column("ra"), b.column("rb")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def prefix_links(docs: DataFrame, trees: DataFrame, *, shingle: int, similarity: float, fan: int = 8) -> DataFrame:
+    """Links (a, b) between trees of which some texts share ``similarity`` of their shingles; none is lost.
+
+    trees: node, id (of one document with that text), root. Every text is keyed by its rarest shingles, of which any two
+    similar texts share one; texts of different trees that share a key, and whose lengths and places of the key allow
+    the similarity, are compared whole. A text meets ``fan`` others a key; then trees are joined, and keys that had more
+    pairs go into another round with eight times as many, until none has.
+    """
+    spark = docs.sparkSession
+    common = common_slots(docs, shingle)
+    wanted = trees.select(F.col("node").alias("_node"), F.col("id").alias("_id"), F.col("root").alias("_root"))
+    rows = texts_of(docs, wanted)
+    table = written(rows.mapInArrow(_keys(common, shingle, similarity), _KEY), "keys")
+    release(spark)  # the texts' shuffle
+    links, made = None, [table]
+    rows = table
+    while True:
+        sorted_ = rows.repartition("key").sortWithinPartitions("key", "n", "node")
+        found = written(sorted_.mapInArrow(_key_pairs(similarity, fan), "a long, b long, more boolean, " + _KEY), "pairs")
+        made.append(found)
+        release(spark)  # the keys' shuffle
+        new = written(_verified(docs, trees, found.where("NOT more").select("a", "b").distinct(), shingle, similarity), "alike")
+        links = new if links is None else links.union(new)
+        if not found.where("more").limit(1).count():
+            for t in made:
+                discard(t)
+            remove(common.rsplit("/", 1)[0])
+            return links
+        merged = components(links).withColumnsRenamed({"node": "_n", "root": "_to"})
+        left = found.where("more").select(*[c.split()[0] for c in _KEY.split(", ")])
+        rows = left.join(merged, F.col("root") == F.col("_n"), "left").withColumn("root", F.coalesce("_to", "root")).drop("_n", "_to")
+        fan *= 8
+
+
+def _keys(common: str, shingle: int, similarity: float) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Over texts with node and root: a row for each key of each."""
+
+    def run(batches):
+        slots, counts = _common(common)
+        for b in batches:
+            sets = [shingle_set(t.as_py(), shingle) for t in b.column("text")]
+            parts = [prefix_of(h, similarity, slots, counts) if len(h) else h for h in sets]
+            sizes = np.array([len(p) for p in parts], np.int64)
+            keys = np.concatenate(parts).view(np.int64) if len(parts) else np.zeros(0, np.int64)
+            n = np.repeat(np.array([len(h) for h in sets], np.int32), sizes)
+            pos = (np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+            node, root = (np.repeat(b.column(c).to_numpy(), sizes) for c in ("_node", "_root"))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, n, pos, node, root)], names=[c.split()[0] for c in _KEY.split(", ")])
+
+    return run
+
+
+def _verified(docs: DataFrame, trees: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The roots (a, b) of pairs whose sets have the similarity; sets are made of the texts that pairs name."""
+    pairs = written(pairs, "candidates")
+    ends = pairs.select(F.col("a").alias("_e")).union(pairs.select("b")).distinct()
+    wanted = trees.join(ends, F.col("node") == F.col("_e")).select(F.col("node").alias("_node"), F.col("id").alias("_id"), F.col("root").alias("_root"))
+
+    def sets(batches):
+        for b in batches:
+            own = [shingle_set(t.as_py(), shingle).astype("<u8").tobytes() for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("_node"), b.column("_root"), pa.array(own, pa.binary())], names=["node", "root", "shingles"])
+
+    own = written(texts_of(docs, wanted).mapInArrow(sets, "node long, root long, shingles binary"), "sets").dropDuplicates(["node"])
+    side = lambda n: own.select(F.col("node").alias(f"n{n}"), F.col("root").alias(f"r{n}"), F.col("shingles").alias(f"s{n}"))
+    both = pairs.join(side("a"), F.col("a") == F.col("na")).join(side("b"), F.col("b") == F.col("nb")).select("ra", "rb", "sa", "sb")
+    return both.mapInArrow(_alike(similarity), "a long, b long").distinct()
+
+
+def keep_one_of_each(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, radius: int = 4, slack: float = 3.0, group_rows: int = GROUP_ROWS, fan: int = 8) -> DataFrame:
     """The documents without near copies: of each group the one with the smallest id stays, in all its columns.
 
-    Groups are what links connect; a link is a pair of texts whose sets of ``shingle``-word shingles have a Jaccard
-    similarity of ``similarity`` or more, exactly. Its candidates are pairs of which one of two word fingerprints
-    differs in at most ``radius`` bits, and whatever such pairs connect. Equal texts (null is empty) are one node; null
-    ids come after all others, and of rows equal in id and text one stays. An empty table gives an empty one.
+    Groups are what links connect; a link is any pair of texts whose sets of ``shingle``-word shingles have a Jaccard
+    similarity of ``similarity`` or more. Fingerprints and a covering LSH of ``radius`` bits link most of them, so that a
+    large group is one tree; then a prefix filter over all texts finds what links trees, exactly. Equal texts (null is
+    empty) are one node, and texts without a word are alike; null ids come after all others, and of rows equal in id and
+    text one stays. An empty table gives an empty one.
     """
     names = ("fp", "fq", "s0", "s1", "s2", "s3")
     table = written(fingerprint_table(docs, word_and_shingle_fingerprints(shingle), names), "prints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id")))
     nodes = written(table.groupBy("node").agg(first.alias("first"), *[F.first(c).alias(c) for c in names]), "nodes")
+    discard(table)
     roots = components(near_links(docs, nodes, shingle=shingle, similarity=similarity, radius=radius, slack=slack, group_rows=group_rows))
-    named = nodes.select("node", "first").join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
-    keep = named.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("first", "node")).alias("k"))
+    trees = nodes.select("node", "first").join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
+    trees = written(trees.select("node", "first", F.col("first.id").alias("id"), F.coalesce("root", "node").alias("root")), "trees")
+    release(docs.sparkSession)
+    joined = components(prefix_links(docs, trees, shingle=shingle, similarity=similarity, fan=fan)).withColumnsRenamed({"node": "_tree", "root": "_to"})
+    named = trees.join(joined, F.col("root") == F.col("_tree"), "left")
+    keep = named.groupBy(F.coalesce("_to", "root").alias("root")).agg(F.min(F.struct("first", "node")).alias("k"))
     keep = keep.select(F.col("k.node").alias("_keep_node"), F.col("k.first.id").alias("_keep_id"))
     rows = docs.select(F.struct(*docs.columns).alias("_row"), docs["doc_id"].cast("long").alias("_row_id"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("_row_node"))
     kept = rows.join(keep, (F.col("_row_node") == F.col("_keep_node")) & F.col("_row_id").eqNullSafe(F.col("_keep_id")))
