@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import prompts
 from tracewright.operators import cache, corpus, harvest, labels, menus, messages, ranking, sampling
-from tracewright.sources import files
-from tracewright.streaming import attempts
+from tracewright.sources import files, keyed
+from tracewright.streaming import attempts, ordered
 
 NAMES = [("Ssamjang", "Atlanta", False), ("Pagliacci", "Seattle", False), ("Serious Pie", "Seattle", False), ("McDonald's", "Chicago", True)]
 
@@ -394,8 +394,7 @@ def test_telemetry_and_upserts_survive_a_restart(spark, tmp_path):
     def run():
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
         attempts.upsert_sink(stream, str(tmp_path / "out"), ["k"], str(tmp_path / "ck")).awaitTermination()
-        last = max((tmp_path / "out").glob("snapshot=*"), key=lambda p: int(p.name.split("=")[1]))
-        return {r["k"]: r["v"] for r in spark.read.parquet(str(last)).collect()}
+        return {r["k"]: r["v"] for r in keyed.KeyedTable(spark, str(tmp_path / "out")).read().collect()}
 
     put(0, [("a", 1, "x"), ("b", 2, "y")])
     assert run() == {"a": "x", "b": "y"}
@@ -574,3 +573,119 @@ def test_prefixes_are_extended_not_encoded_again():
     ends = list(range(100, len(text), 100))
     assert labels.prefix_ids(encode, text, ends) == [[ord(c) for c in text[:e]] for e in ends]
     assert sum(asked) < 4 * len(text)
+
+
+# keyed tables
+
+
+def table_of(spark, tmp_path, ranges=8):
+    t = keyed.KeyedTable(spark, str(tmp_path / "table"))
+    rows = spark.createDataFrame([(k, f"v{k}", "sft" if k % 2 else None, 0) for k in range(400)], "k long, v string, split string, seq long")
+    t.create(rows.schema, ["k"], ranges)
+    t.upsert(rows.withColumn("_n", F.lit(0)), "_n")
+    return t, rows
+
+
+def bytes_of(tmp_path):
+    return {p: p.stat().st_size for p in (tmp_path / "table/data").rglob("*.parquet")}
+
+
+def test_only_touched_files_are_written(spark, tmp_path):
+    t, rows = table_of(spark, tmp_path)
+    before = bytes_of(tmp_path)
+    update = spark.createDataFrame([(7, "new", None, 1, 1), (7, "newer", None, 2, 2)], "k long, v string, split string, seq long, _n long")
+    assert t.upsert(update, "_n") == 2
+    new = {p: n for p, n in bytes_of(tmp_path).items() if p not in before}
+    assert len(new) == 1 and sum(new.values()) < sum(before.values()) / 4
+    assert {r["k"]: r["v"] for r in t.read().collect()} == {k: "newer" if k == 7 else f"v{k}" for k in range(400)}
+    assert t.read(1).where("k = 7").first()["v"] == "v7" and t.read(1).count() == 400
+    assert [r["v"] for r in t.lookup(spark.createDataFrame([(7,), (999,)], "k long")).collect()] == ["newer"]
+    keep = lambda base, new, keys, order: corpus.upsert_preserving(base, new.withColumn("_has", F.lit(False)), keys, "split", "_has")
+    t.upsert(spark.createDataFrame([(9, "w", "eval", 3, 3)], update.schema), "_n", merge=keep)
+    assert t.read().where("k = 9").first()[:3] == (9, "w", "sft")
+    files_before = len(bytes_of(tmp_path))
+    assert t.vacuum(keep=1) == 2 and len(bytes_of(tmp_path)) == files_before - 2 and t.numbers() == [3] and t.read().count() == 400
+    with pytest.raises(FileNotFoundError):
+        t.read(1)
+
+
+def test_large_ranges_are_halved_and_batches_count_once(spark, tmp_path):
+    t, rows = table_of(spark, tmp_path, ranges=1)
+    more = rows.select((F.col("k") + 400).alias("k"), "v", "split", "seq", F.lit(0).alias("_n"))
+    assert t.upsert(more, "_n", source=("s", 4), file_rows=100) == 2 and t.upsert(more.withColumn("v", F.lit("x")), "_n", source=("s", 4)) == 2
+    v = t.version()
+    assert len(v.ranges) == 8 and sum(r[3] for r in v.ranges) == 800 == t.read().count() and v.ranges[0][0] == -(1 << 63) and v.ranges[-1][1] == (1 << 63) - 1
+    assert t.upsert(more.limit(0), "_n", source=("s", 5)) == 3 and t.version().applied == {"s": 5}
+    assert {r[0] for r in t.read().select("k").collect()} == set(range(800))
+    with pytest.raises(keyed.CommitConflict):
+        t.create(rows.schema, ["k"])
+
+
+def test_commits_conflict_and_failures_leave_the_last_version(spark, tmp_path, monkeypatch):
+    t, rows = table_of(spark, tmp_path)
+    update = lambda v: spark.createDataFrame([(1, v, None, 1, 1)], "k long, v string, split string, seq long, _n long")
+    base, seen = t.version, []
+
+    def stale(number=None):
+        """As if another writer commits between this one's reading and its commit, once."""
+        found = base(number)
+        if not seen:
+            seen.append(1)
+            keyed.KeyedTable(spark, t.path).upsert(update("other"), "_n")
+        return found
+
+    t.version = stale
+    with pytest.raises(keyed.CommitConflict):
+        t.upsert(update("mine"), "_n")
+    assert t.read().where("k = 1").first()["v"] == "other"
+    seen.clear()
+    t.upsert_retrying(update("mine"), "_n")
+    assert t.read().where("k = 1").first()["v"] == "mine" and t.read().count() == 400
+    del t.version
+    last = t.numbers()[-1]
+    with pytest.raises(Exception, match="broken"):
+        t.upsert(update("bad"), "_n", merge=lambda base, new, keys, order: base.select(*[F.raise_error(F.lit("broken")).cast(k).alias(c) for c, k in base.dtypes]))
+    assert t.numbers()[-1] == last and t.read().where("k = 1").first()["v"] == "mine"
+    (tmp_path / f"table/versions/{last + 1:012d}.json.claim").write_text("")  # a writer that was lost
+    with pytest.raises(keyed.CommitConflict):
+        t.upsert(update("late"), "_n")
+    monkeypatch.setattr(keyed, "CLAIM_S", -1)
+    t.upsert(update("late"), "_n")
+    assert t.read().where("k = 1").first()["v"] == "late"
+
+
+# streams in event order
+
+
+EVENTS = "event_id long, key string, ts timestamp, ok boolean"
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_any_order_of_arrival_gives_the_result_of_a_batch(spark, tmp_path, seed):
+    """Rows arrive in files shuffled within the watermark; each query stops after some files and goes on from its checkpoint."""
+    rng = random.Random(seed)
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(k, rng.choice("aab"), start + datetime.timedelta(seconds=rng.randint(0, 200)), rng.random() < 0.4) for k in range(120)]
+    arrive = sorted(rows, key=lambda r: r[2] + datetime.timedelta(seconds=rng.uniform(0, 60)))
+    flush = [(10_000, "z", start + datetime.timedelta(days=2), True), (10_001, "z", start + datetime.timedelta(days=3), True)]
+    parts = [arrive[:40], arrive[40:80], arrive[80:], flush[:1], flush[1:]]
+    ops = {"hits": lambda s: ordered.replay(s, "5 minutes"), "starts": lambda s: ordered.throttle(s.withColumnRenamed("key", "host"), 2.0, "5 minutes"), "streaks": lambda s: ordered.streaks(s.withColumnRenamed("key", "run"), 3, "5 minutes"), "progress": lambda s: ordered.progress(s.withColumnRenamed("key", "run"), 10, "5 minutes")}
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+    def run(name):
+        stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        ops[name](stream).writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"{name}-ck")).trigger(availableNow=True).start().awaitTermination()
+
+    for n, part in enumerate(parts):
+        spark.createDataFrame(part, EVENTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        if n in (1, 4):
+            for name in ops:
+                run(name)
+    df = spark.createDataFrame(rows, EVENTS)
+    got = lambda name, *c: {r["event_id"]: tuple(r[x] for x in c) for r in spark.read.parquet(str(tmp_path / name)).where("event_id < 10000").collect()}
+    want = lambda d, *c: {r["event_id"]: tuple(r[x] for x in c) for r in d.collect()}
+    assert got("hits", "hit") == want(cache.replay(df, "key", ["ts", "event_id"], F.col("ok")), "hit")
+    assert got("starts", "start") == want(cache.throttle(df.withColumn("at", F.unix_micros("ts") / F.lit(1e6)), "key", "at", "event_id", 2.0), "start")
+    assert got("streaks", "streak") == want(cache.streaks(df, "key", ["ts", "event_id"], ~F.col("ok")), "streak")
+    assert got("progress", "done", "ok_rate") == want(cache.running_rates(df, "key", ["ts", "event_id"], F.col("ok"), F.lit(1.0)), "done", "ok_rate")
+    assert all(c == (d % 10 == 0) for d, c in got("progress", "done", "checkpoint").values())

@@ -67,20 +67,17 @@ def telemetry(attempts: DataFrame, every: str = "10 minutes", late: str = "10 mi
     )
 
 
-def upsert_sink(stream: DataFrame, path: str, keys: list[str], checkpoint: str):
-    """Each batch merged into a Parquet table by key, the last of a key wins: a new snapshot under its batch number.
+def upsert_sink(stream: DataFrame, path: str, keys: list[str], checkpoint: str, order: str = "seq"):
+    """Each batch merged into a keyed table, the last of a key by ``order`` wins; only files with a key of the batch are written.
 
-    A batch that runs again writes the same snapshot, so a restart changes nothing.
+    The table's versions tell which batches of this checkpoint they hold, so one that runs again changes nothing.
     """
-    from ..operators.corpus import upsert
+    from ..sources.keyed import KeyedTable
 
     def merge(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        if n:
-            base = spark.read.parquet(f"{path}/snapshot={n - 1}")
-            batch_new = upsert(base, batch.withColumn("_seq", F.col("seq")), keys, "_seq")
-        else:
-            batch_new = upsert(batch.limit(0), batch.withColumn("_seq", F.col("seq")), keys, "_seq")
-        batch_new.write.mode("overwrite").parquet(f"{path}/snapshot={n}")
+        table = KeyedTable(batch.sparkSession, path)
+        if not table.numbers():
+            table.create(batch.schema, keys)
+        table.upsert_retrying(batch.withColumn("_order", F.col(order)), "_order", source=(checkpoint, n))
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
