@@ -1,3 +1,8 @@
+import os
+import random
+import re
+from html import unescape
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,14 +98,94 @@ def test_slim_is_a_fixed_point(spark, md, want):
 
 
 @pytest.mark.parametrize("html, want", [
-    ("<h1>Menu</h1><p>Try <a href='/m'>our <em>menu</em></a>.</p>", "# Menu\n\nTry [our *menu*](/m)."),
-    ("<ol><li>a<ul><li>b</li></ul></li><li>c</li></ol>", "1. a\n  * b\n2. c"), ("<script>x</script>a<br>b &amp; c<svg><p>no</p></svg>", "a  \nb & c"),
-    ("<table><tr><th>x</th><td>1</td></tr></table>", "| x | 1 |"), ("", ""), ("no tags", "no tags"), ("<img src='data:image/gif;base64,A' alt='z'>", "![z]()"), ("<p>open <b>bold", "open **bold"),
+    ("<h1>Menu</h1><p>Try <a href='/m'>our <em>menu</em></a>.</p>", "Menu\n====\n\nTry [our *menu*](/m)."), ("<h2>a_b</h2>", "a\\_b\n----"), ("<h3>x<br>y <img alt=z src=u></h3>", "### x y z"),
+    ("<ol><li>a<ul><li>b<ul><li>c</li></ul></li></ul></li><li>d</li></ol>", "1. a\n   * b\n     + c\n2. d"), ("<ul><li>a<ul><li>b<ul><li>c<ul><li>d</li></ul></li></ul></li></ul></li></ul>", "* a\n  + b\n    - c\n      * d"),
+    ("<ol start=7><li>a<li>b</ol>", "7. a- b"), ("<script>x</script>a<br>b &amp; c<svg><p>no</p></svg>", "a  \nb & c"), ("<title>T</title>\n<body>x", "T\nx"),
+    ("<table><tr><th>x</th><th>y*</th></tr><tr><td colspan=2>1</td></tr></table>", "| x | y\\* |\n| --- | --- |\n| 1 | |"), ("<table><tr><td>1</td></tr></table>", "|  |\n| --- |\n| 1 |"),
+    ("", ""), ("no tags", "no tags"), ("<img src='data:image/gif;base64,A' alt='z' title='a \"b\"'>", "![z]( \"a \\\"b\\\"\")"), ("<p>open <b>bold", "open **bold**"), ("a<b> b </b>c<i></i>", "a **b** c"),
+    ("<a href='http://a_b.c'>http://a_b.c</a> <a href=x></a><a>t</a>", "<http://a_b.c> t"), ("<code>a_b*</code> 2*3", "`a_b*` 2\\*3"), ("<pre>\n a_b\n  *c</pre>d", "```\n a_b\n  *c\n```\n\nd"),
+    ("<blockquote>q<p>r</p></blockquote>", "> q\n>\n> r"), ("<p>a</p></b></p><hr>b", "a\n\n---\n\nb"), ("<i>a<p>b</i>c", "*a\n\nb*c"), ("<del>x</del>", "~~x~~"), ("<div>" * 4000 + "deep", "deep"),
 ])
 def test_html_becomes_markdown(html, want):
     assert text.markdown_of(html) == want
 
 
+def test_pages_as_another_writer_gives_them():
+    """Random pages of blocks, written as HTML with loose ends and as Markdown by plain rules of their own."""
+    rng = random.Random(8)
+    words = lambda n: " ".join(rng.choices(["soup", "of", "the", "day", "café", "12"], k=n))
+
+    def line():
+        kind, t = rng.randrange(6), words(2)
+        return [(t, t), (f"<b>{t}</b>", f"**{t}**"), (f"<em>{t}", f"*{t}*") if False else (f"<em>{t}</em>", f"*{t}*"), (f'<a href="/x?y=1">{t}</a>', f"[{t}](/x?y=1)"), (f"<code>{t}</code>", f"`{t}`"), (f'<img src="/i.png" alt="{t}">', f"![{t}](/i.png)")][kind]
+
+    def lines(n):
+        parts = [line() for _ in range(n)]
+        return " ".join(h for h, _ in parts), " ".join(m for _, m in parts)
+
+    def items(depth, ordered):
+        html, md = "", []
+        for k in range(rng.randint(1, 3)):
+            h, m = lines(1)
+            bullet = f"{k + 1}." if ordered else "*+-"[depth % 3]
+            md.append(f"{bullet} {m}")
+            if depth < 2 and rng.random() < 0.4 and not ordered:
+                h2, m2 = items(depth + 1, False)
+                h += h2
+                md += [" " * (len(bullet) + 1) + x for x in m2]
+            html += f"<li>{h}</li>\n"
+        tag = "ol" if ordered else "ul"
+        return f"<{tag}>\n{html}</{tag}>", md
+
+    def block():
+        kind = rng.randrange(7)
+        if kind == 0:
+            n, t = rng.randint(1, 6), words(3)
+            return f"<h{n}> {t}\n</h{n}>", f"{t}\n{'=-'[n - 1] * len(t)}" if n < 3 else f"{'#' * n} {t}"
+        if kind == 1:
+            h, m = lines(3)
+            return f"<p>{h}</p>" if rng.random() < 0.5 else f"<div><p>\n{h} </p></div>", m
+        if kind in (2, 3):
+            h, m = items(0, kind == 3)
+            return h, "\n".join(m)
+        if kind == 4:
+            return "<hr>", "---"
+        if kind == 5:
+            rows = [[words(1) for _ in range(2)] for _ in range(2)]
+            h = "".join("<tr>" + "".join(f"<{'td' if k else 'th'}>{c}</{'td' if k else 'th'}>" for c in r) + "</tr>\n" for k, r in enumerate(rows))
+            return f"<table>{h}</table>", f"| {rows[0][0]} | {rows[0][1]} |\n| --- | --- |\n| {rows[1][0]} | {rows[1][1]} |"
+        t = words(2)
+        return f"<pre>{t}\n  {t}</pre>", f"```\n{t}\n  {t}\n```"
+
+    for _ in range(300):
+        parts = [block() for _ in range(rng.randint(1, 6))]
+        html = "<html><body>" + rng.choice(["", "\n", "<script>a<b</script>"]).join(h for h, _ in parts) + rng.choice(["", "</body></html>", "</div></p>"])
+        assert text.markdown_of(html) == "\n\n".join(m for _, m in parts), html
+
+
+def test_markdown_of_all_pages_keeps_their_words(spark):
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("no test tables")
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = pages.select("html", text.html_text(F.col("html")).alias("plain"), text.html_markdown(F.col("html")).alias("md")).collect()
+    for r in rows:
+        said = lambda t: re.findall(r"[^\W_]+", t)
+        md = re.sub(r"\]\([^)]*\)", "]", r["md"].replace("\\", ""))
+        shown = re.findall(r"[^\W_]+", re.sub(r"!\[[^\]]*\]", "", md))
+        assert [w for w in said(unescape(r["plain"]))] == shown, r["html"][:300]
+        assert not re.search(r"<(?!https?:)[a-z/]", re.sub(r"(?s)```.*?```|`[^`]*`", "", md)) and len(rows) > 200
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_slim_on_random_markdown_is_the_loop(spark, seed):
+    rng = random.Random(seed)
+    signs = ["a", " ", "\n", "\n\n\n", "[", "](", ")", "![", "]", "tel:", "x.png", "?q", "data:", "* ", "- ", "+", "\t", "\0", "#", "é", "\xa0", "\r", "mailto:z", "http://a.b/c"]
+    rows = [(k, "".join(rng.choices(signs, k=rng.randint(0, 40)))) for k in range(1500)] + [(9999, "[x](tel:1)" * 500 + "[" * 300 + "in" + "](#)" * 300)]
+    df = spark.createDataFrame(rows, "k long, m string").repartition(4)
+    got = {r["k"]: r["s"] for r in df.select("k", text.slim(F.col("m")).alias("s")).collect()}
+    assert all(got[k] == text.settled(m) for k, m in rows)
+
+
 def test_previews_and_percents(spark):
     assert one(spark, text.preview(F.col("t"), 3), t="abcdef").asDict() == {"preview": "abc", "truncated": True, "full_len": 6}
     assert one(spark, text.percent(F.col("x")), x=0.1234) == "12.3%"

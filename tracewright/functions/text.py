@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -131,103 +132,214 @@ def html_text(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(x, r"(?s)<[^>]*>", " "), r"\s+", " "))
 
 
-class _Markdown(HTMLParser):
-    """HTML to Markdown: headings, emphasis, links, images, lists, rules, code, quotes and tables; text otherwise."""
+class _Node:
+    """An element with its children, texts among them."""
 
-    DROPPED = frozenset({"script", "style", "noscript", "svg", "template", "head"})
-    BLOCKS = frozenset("p div section article header footer main nav aside ul ol table tr blockquote pre form figure address dl dt dd h1 h2 h3 h4 h5 h6".split())
-    MARKS = {"b": "**", "strong": "**", "i": "*", "em": "*", "code": "`"}
+    __slots__ = ("attrs", "children", "depth", "parent", "tag")
+
+    def __init__(self, tag: str, attrs: dict, parent: _Node | None):
+        self.tag, self.attrs, self.parent, self.children, self.depth = tag, attrs, parent, [], parent.depth + 1 if parent else 0
+
+    def ancestors(self) -> Iterator[_Node]:
+        node = self.parent
+        while node is not None:
+            yield node
+            node = node.parent
+
+
+class _Tree(HTMLParser):
+    """A page's elements, whatever is unclosed or closed out of turn: an end closes all up to its start, or nothing.
+
+    What is nested deeper than DEPTH elements lies beside them.
+    """
+
+    DEPTH = 150
+    VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.out: list[str] = []
-        self.dropped = self.pre = 0
-        self.lists: list[list] = []  # [kind, items so far]
-        self.links: list[tuple[int, str]] = []
-        self.cells = 0
-
-    def _line(self, blank: bool = False) -> None:
-        text = "".join(self.out[-3:])
-        if self.out and not text.endswith("\n\n" if blank else "\n"):
-            self.out.append("\n\n" if blank and not text.endswith("\n") else "\n")
+        self.root = self.at = _Node("", {}, None)
 
     def handle_starttag(self, tag, attrs):
-        if tag in self.DROPPED or self.dropped:
-            self.dropped += tag in self.DROPPED
-            return
-        attrs = dict(attrs)
-        if tag in self.BLOCKS:
-            self._line(blank=tag not in ("tr", "dt", "dd", "ul", "ol") or tag in ("ul", "ol") and not self.lists)
-        if tag[0] == "h" and tag[1:].isdigit():
-            self.out.append("#" * int(tag[1:]) + " ")
-        elif tag in self.MARKS and not self.pre:
-            self.out.append(self.MARKS[tag])
-        elif tag in ("ul", "ol"):
-            self.lists.append([tag, 0])
-        elif tag == "li":
-            self._line()
-            kind = self.lists[-1] if self.lists else ["ul", 0]
-            kind[1] += 1
-            self.out.append("  " * max(0, len(self.lists) - 1) + (f"{kind[1]}. " if kind[0] == "ol" else "* "))
-        elif tag == "br":
-            self.out.append("  \n")
-        elif tag == "hr":
-            self._line(blank=True)
-            self.out.append("---\n\n")
-        elif tag == "img":
-            self.out.append(f"![{attrs.get('alt') or ''}]({attrs.get('src') or ''})")
-        elif tag == "a":
-            self.links.append((len(self.out), attrs.get("href") or ""))
-        elif tag == "blockquote":
-            self.out.append("> ")
-        elif tag == "pre":
-            self.pre += 1
-            self.out.append("```\n")
-        elif tag == "tr":
-            self.cells = 0
-        elif tag in ("td", "th"):
-            self.out.append("| " if not self.cells else " | ")
-            self.cells += 1
+        node = _Node(tag, dict(attrs), self.at)
+        self.at.children.append(node)
+        if tag not in self.VOID and (node.depth < self.DEPTH or tag in _DROPPED):
+            self.at = node
+
+    def handle_startendtag(self, tag, attrs):
+        self.at.children.append(_Node(tag, dict(attrs), self.at))
 
     def handle_endtag(self, tag):
-        if self.dropped:
-            self.dropped -= tag in self.DROPPED
-            return
-        if tag in self.MARKS and not self.pre:
-            self.out.append(self.MARKS[tag])
-        elif tag in ("ul", "ol") and self.lists:
-            self.lists.pop()
-        elif tag == "a" and self.links:
-            at, href = self.links.pop()
-            inner = "".join(self.out[at:]).strip()
-            if href:
-                self.out[at:] = [f"[{inner}]({href})"]
-        elif tag == "pre":
-            self.pre = max(0, self.pre - 1)
-            self.out.append("\n```")
-        elif tag == "tr" and self.cells:
-            self.out.append(" |")
-        if tag in self.BLOCKS:
-            self._line(blank=tag not in ("tr", "dt", "dd", "ul", "ol") or tag in ("ul", "ol") and not self.lists)
+        node = self.at
+        while node is not self.root and node.tag != tag:
+            node = node.parent
+        if node is not self.root:
+            self.at = node.parent
 
     def handle_data(self, data):
-        if self.dropped:
-            return
-        if self.pre:
-            self.out.append(data)
-            return
-        text = re.sub(r"\s+", " ", data)
-        if text.strip() or self.out and not self.out[-1].endswith((" ", "\n")):
-            self.out.append(text.lstrip() if not self.out or self.out[-1].endswith(("\n", " ")) else text)
+        self.at.children.append(data)
+
+
+#: Elements whose contents are no text, those that stand on lines of their own, and signs around others (fixed values).
+_DROPPED = frozenset({"script", "style", "noscript", "svg", "template"})
+_BLOCKS = frozenset("p div section article header footer main nav aside ul ol li table tr td th thead tbody tfoot caption blockquote pre form figure figcaption address dl dt dd h1 h2 h3 h4 h5 h6 hr".split())
+_SIGNS = {"b": "**", "strong": "**", "i": "*", "em": "*", "code": "`", "kbd": "`", "samp": "`", "del": "~~", "s": "~~"}
+_HEADINGS, _BULLETS = {f"h{n}": n for n in range(1, 7)}, "*+-"
+_RAW = frozenset({"pre", "code", "kbd", "samp"})
+
+
+def _around(text: str) -> tuple[str, str, str]:
+    """A text's leading space, the text, its trailing space."""
+    inner = text.strip()
+    return (" " if text[0] == " " else "", inner, " " if text[-1] == " " else "") if inner else ("", "", "")
+
+
+def _joined(parts: list[str]) -> str:
+    """Parts one after the other; where line ends meet, the larger number of them stays, two at most."""
+    both = lambda a, b: min(2, max(a, b)) if a and b else a + b
+    out, ends = [], 0
+    for p in parts:
+        body = p.lstrip("\n")
+        ends = both(ends, len(p) - len(body))
+        if body:
+            core = body.rstrip("\n")
+            out += ["\n" * ends, core]
+            ends = len(body) - len(core)
+    return "".join(out) + "\n" * ends
+
+
+class _Writer:
+    """Markdown of a tree: headings of two levels underlined and others by signs, stars and underscores of texts escaped,
+    bullets by depth, spaces before forced line ends, a link to its own text in angle brackets; in headings and cells all
+    is on one line, and an image is its description."""
+
+    def __init__(self):
+        self.items: dict[int, int] = {}  # of each list, its items so far
+        self.begun: set[int] = set()  # tables with a row
+
+    def text(self, node: _Node, data: str, before, after) -> str:
+        tags = {node.tag, *(x.tag for x in node.ancestors())}
+        if "pre" in tags:
+            return data
+        data = re.sub(r"[\t \r\n]*[\r\n][\t \r\n]*", "\n", re.sub(r"[\t ]+", " ", data))
+        block = lambda x: isinstance(x, _Node) and (x.tag in _BLOCKS or x.tag == "br")
+        if before is None and node.tag in _BLOCKS or block(before) or before is None and not node.tag:
+            data = data.lstrip(" \t\r\n")
+        if after is None and node.tag in _BLOCKS or block(after) and after.tag != "br" or after is None and not node.tag:
+            data = data.rstrip(" \t\r\n")
+        return data if tags & _RAW else data.replace("*", "\\*").replace("_", "\\_")
+
+    def inside(self, node: _Node, line: bool) -> str:
+        parts, children = [], node.children
+        for k, c in enumerate(children):
+            if isinstance(c, str):
+                parts.append(self.text(node, c, children[k - 1] if k else None, children[k + 1] if k + 1 < len(children) else None))
+            elif c.tag not in _DROPPED:
+                parts.append(self.element(c, line))
+        return _joined([p for p in parts if p])
+
+    def element(self, node: _Node, line: bool) -> str:
+        tag, flat = node.tag, line or node.tag in _HEADINGS or node.tag in ("td", "th")
+        text = self.inside(node, flat)
+        if tag in _HEADINGS:
+            n, text = _HEADINGS[tag], re.sub(r"\s+", " ", text.strip())
+            if line or not text:
+                return text
+            return f"\n\n{text}\n{'=-'[n - 1] * len(text)}\n\n" if n <= 2 else f"\n\n{'#' * n} {text}\n\n"
+        if tag in _SIGNS:
+            if tag in _RAW and any(x.tag in ("pre", "code", "kbd", "samp") for x in node.ancestors()):
+                return text
+            a, inner, b = _around(text)
+            return f"{a}{_SIGNS[tag]}{inner}{_SIGNS[tag]}{b}" if inner else ""
+        made = getattr(self, f"_{tag}", None)
+        if made:
+            return made(node, text, line)
+        if tag in ("ul", "ol"):
+            return self._list(node, text)
+        if tag in ("div", "section", "article", "dl", "figure", "header", "footer", "main", "nav", "aside", "form", "address"):
+            inner = text.strip()
+            return f" {inner} " if line and inner else f"\n\n{inner}\n\n" if inner else ""
+        return text
+
+    def _a(self, node, text, line):
+        a, inner, b = _around(text)
+        href, title = node.attrs.get("href"), node.attrs.get("title")
+        if not inner:
+            return ""
+        if href and inner.replace("\\_", "_") == href and not title:
+            return f"<{href}>"
+        named = ' "' + title.replace('"', '\\"') + '"' if title else ""
+        return f"{a}[{inner}]({href}{named}){b}" if href else text
+
+    def _img(self, node, text, line):
+        alt, src, title = (node.attrs.get(k) or "" for k in ("alt", "src", "title"))
+        named = ' "' + title.replace('"', '\\"') + '"' if title else ""
+        return alt if line else f"![{alt}]({src}{named})"
+
+    def _br(self, node, text, line):
+        return " " if line else "  \n"
+
+    def _hr(self, node, text, line):
+        return "\n\n---\n\n"
+
+    def _p(self, node, text, line):
+        inner = text.strip()
+        return f" {inner} " if line and inner else f"\n\n{inner}\n\n" if inner else ""
+
+    def _blockquote(self, node, text, line):
+        inner = text.strip()
+        if line:
+            return f" {inner} "
+        return "\n" + "\n".join(f"> {x}" if x else ">" for x in inner.split("\n")) + "\n\n" if inner else "\n"
+
+    def _pre(self, node, text, line):
+        return "\n\n```\n" + text.strip("\n") + "\n```\n\n" if text else ""
+
+    def _list(self, node, text):
+        nested = any(x.tag == "li" for x in node.ancestors())
+        return "\n" + text.rstrip() if nested else f"\n\n{text}\n" if text.strip() else ""
+
+    def _li(self, node, text, line):
+        parent, text = node.parent, text.strip()
+        if parent is not None and parent.tag == "ol":
+            start = str(parent.attrs.get("start") or "1")
+            nth = self.items[id(parent)] = self.items.get(id(parent), -1) + 1
+            bullet = f"{(int(start) if start.isdigit() else 1) + nth}."
+        else:
+            depth = sum(x.tag == "ul" for x in node.ancestors())
+            bullet = _BULLETS[(depth - 1) % len(_BULLETS)]
+        if not text:
+            return f"{bullet}\n"
+        indent = " " * (len(bullet) + 1)
+        return f"{bullet} " + "\n".join(indent + x if k and x else x for k, x in enumerate(text.split("\n"))) + "\n"
+
+    def _td(self, node, text, line):
+        span = str(node.attrs.get("colspan") or "1")
+        return " " + re.sub(r"\s+", " ", text.strip()) + " |" * (min(1000, max(1, int(span))) if span.isdigit() else 1)
+
+    _th = _td
+
+    def _tr(self, node, text, line):
+        cells = [c for c in node.children if isinstance(c, _Node) and c.tag in ("td", "th")]
+        table = next((x for x in node.ancestors() if x.tag == "table"), None)
+        first = table is not None and id(table) not in self.begun
+        self.begun.add(id(table))
+        width = sum(int(c.attrs["colspan"]) if str(c.attrs.get("colspan") or "").isdigit() else 1 for c in cells)
+        rule = "| " + " | ".join(["---"] * width) + " |\n" if first and width else ""
+        head = first and all(c.tag == "th" for c in cells)
+        blank = "| " + " | ".join([""] * width) + " |\n" if rule and not head else ""
+        return f"{blank}{rule}|{text}\n" if blank else f"|{text}\n{rule}"
+
+    def _table(self, node, text, line):
+        return f"\n\n{text.strip()}\n\n" if text.strip() else ""
 
 
 def markdown_of(html: str) -> str:
     """A page as Markdown without scripts, styles, templates, drawings and inline data."""
-    parser = _Markdown()
-    parser.feed(html)
-    parser.close()
-    text = re.sub(r"[ \t]+\n", lambda m: "  \n" if m.group().startswith("  ") else "\n", "".join(parser.out))
-    return _SLIM_PYTHON[0][0].sub("", re.sub(r"\n{3,}", "\n\n", text).strip())
+    tree = _Tree()
+    tree.feed(html)
+    tree.close()
+    return _SLIM_PYTHON[0][0].sub("", _Writer().inside(tree.root, False).strip())
 
 
 @F.pandas_udf(T.StringType())

@@ -203,7 +203,7 @@ def html_text(t):
 _PAGE = '<html><head><title>t</title></head><body><script>x()</script><h2>Menu {0}</h2><p>See <a href="/m/{0}">the <b>menu</b></a> or <img alt="i" src="data:image/png;base64,AA">.</p><ul><li>One &amp; two</li><li>Three</li></ul></body></html>'
 
 
-@query("SELECT page_id, '## Menu ' || page_id || chr(10) || chr(10) || 'See [the **menu**](/m/' || page_id || ') or ![i]().' || chr(10) || chr(10) || '* One & two' || chr(10) || '* Three' AS md FROM pages")
+@query("SELECT page_id, 't' || chr(10) || chr(10) || 'Menu ' || page_id || chr(10) || repeat('-', length('Menu ' || page_id)) || chr(10) || chr(10) || 'See [the **menu**](/m/' || page_id || ') or ![i]().' || chr(10) || chr(10) || '* One & two' || chr(10) || '* Three' AS md FROM pages")
 def html_markdown(t):
     """FN16: headings, links, emphasis, images without inline data and lists as Markdown; the SQL has the result by hand."""
     page = F.replace(F.lit(_PAGE), F.lit("{0}"), F.col("page_id").cast("string"))
