@@ -118,7 +118,7 @@ def world(seed):
             pages = [own[i : i + PAGE] for i in range(0, max(1, len(own)), PAGE)]
             for k, page in enumerate(pages):
                 token, after = (f"{tile}:{k}" if k else None), (f"{tile}:{k + 1}" if k + 1 < len(pages) else None)
-    XX
+                bad = rng.choice([0, 0, 0, 0, 1, 2]) if region != 4 else rng.choice([0, 0, 3]) if tile else 9
                 for attempt in range(1, bad + 1):
                     if rng.random() < 0.8:
                         rows.append((region, tile, token, attempt, rng.choice([429, 504, 403]) if bad < 9 else 404, None, None))
