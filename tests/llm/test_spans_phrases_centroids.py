@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright.llm import phrases, pii, queries, yinyang
+from tracewright.llm import bits, phrases, pii, queries, yinyang
 
 VECTORS = "vec_id long, embedding array<float>, label int, cluster int, x string"
 
@@ -240,13 +240,13 @@ def test_op13_words_in_chunks():
 
 
 def test_op13_filters_hold_all_that_is_frequent(spark, monkeypatch):
-    monkeypatch.setattr(phrases, "FILTER_BITS", 1 << 15)
+    monkeypatch.setattr(bits, "FILTER_BITS", 1 << 15)
     rows = [("en", " ".join(f"w{k % 700}" for k in range(9000))), ("de", "w1 w2 w3. " * 20)]
     df = spark.createDataFrame(rows, "lang string, text string")
     assert sorted(map(tuple, phrases.collocations(df, min_count=5).collect())) == plain_phrases(rows, 5, 5, 2000)
     words = phrases.frequent(phrases.gram_rows(df, 1, 1, reach=5), 5).where("phrase IS NOT NULL")
-    bits = phrases._filter(phrases.write_filter(words))
-    assert all(phrases._may_hold(bits, r["lang"].encode(), [r["phrase"].encode()])[0] for r in words.collect())
+    held = bits.read_filter(phrases.phrase_filter(words))
+    assert all(phrases._may_hold(held, r["lang"].encode(), [r["phrase"].encode()])[0] for r in words.collect())
 
 
 def test_op13_large_products_and_thinned_ranks(spark):

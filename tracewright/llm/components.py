@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from .common import discard, written
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node that has a smaller neighbour has one alone, which has none itself."""
+    up = edges.select(F.col("u").alias("n"), F.lit(1).alias("ups"), F.lit(0).alias("downs"))
+    down = edges.select(F.col("v").alias("n"), F.lit(0).alias("ups"), F.lit(1).alias("downs"))
+    node = up.union(down).groupBy("n").agg(F.sum("ups").alias("ups"), F.max("downs").alias("downs"))
+    return not node.where("ups > 1 OR ups > 0 AND downs > 0").limit(1).count()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -34,15 +38,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     a, b = edges.columns
     now = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct(), "edges")
-    state = _state(now)
     for _ in range(rounds):
-        if not state[0]:
+        if _are_stars(now):
             break
         before, now = now, written(_small_star(_large_star(now)), "edges")
         discard(before)
-        last, state = state, _state(now)
-        if state == last:
-            break
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

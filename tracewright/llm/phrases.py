@@ -11,10 +11,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, filesystem, put_bytes, remove, scratch, small_batches, written
+from .bits import may_hold, read_filter, write_filter
+from .common import discard, remove, small_batches, written
 
-#: Bits of a filter of frequent n-grams: 16 MB, however many there are; more of them only let more rows through.
-FILTER_BITS = 1 << 27
 #: Words that a task gathers before it counts them.
 GATHER = 1 << 20
 _CHUNK = 1 << 22
@@ -22,9 +21,6 @@ _DELIMITERS = b".,;:!?\x0a\x0b\x0c\x0d"
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + _DELIMITERS, b"abcdefghijklmnopqrstuvwxyz " + b"\n" * len(_DELIMITERS))
 _ROWS = "lang string, phrase string, words int, c long"
 
-_filters: dict[str, np.ndarray] = {}
-
-
 def word_chunks(text: bytes, size: int = _CHUNK) -> Iterator[list[bytes]]:
     """The words of a folded text, a bounded number of bytes at a time, with a line end for each end of a piece."""
     at = 0
@@ -36,24 +32,10 @@ def word_chunks(text: bytes, size: int = _CHUNK) -> Iterator[list[bytes]]:
         at = end
 
 
-def _filter(uri: str) -> np.ndarray:
-    """A filter's bits, read once a worker."""
-    if uri not in _filters:
-        fs, path = filesystem(uri)
-        with fs.open_input_stream(path) as f:
-            raw = f.read()
-        if len(_filters) >= 2:
-            _filters.clear()
-        _filters[uri] = np.frombuffer(raw, np.uint8)
-    return _filters[uri]
-
-
 def _may_hold(bits: np.ndarray, lang: bytes, phrases: list[bytes]) -> np.ndarray:
     """Which phrases of a language may be in the filter; a phrase that is, always may."""
     head, digest = lang + b"\0", xxhash.xxh64_intdigest
-    mask = 8 * len(bits) - 1
-    at = np.fromiter((digest(head + p, 42) & mask for p in phrases), np.int64, len(phrases))
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+    return may_hold(bits, np.fromiter((digest(head + p, 42) for p in phrases), np.uint64, len(phrases)))
 
 
 def _grams(tokens: list[bytes], cut: int, low: int, high: int, lang: bytes, words_in: str | None, pairs_in: str | None) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
@@ -72,7 +54,7 @@ def _grams(tokens: list[bytes], cut: int, low: int, high: int, lang: bytes, word
         yield 1, [names[i] for i in found.tolist()], counts[found]
         if high == 1:
             return
-    good = np.ones(len(names), bool) if words_in is None else _may_hold(_filter(words_in), lang, names)
+    good = np.ones(len(names), bool) if words_in is None else _may_hold(read_filter(words_in), lang, names)
     good[0] = False
     size = len(names)
     alive = good[ids]
@@ -81,7 +63,7 @@ def _grams(tokens: list[bytes], cut: int, low: int, high: int, lang: bytes, word
     codes, which = np.unique(ids[start] * size + ids[start + 1], return_inverse=True)
     phrases = [names[c // size] + b" " + names[c % size] for c in codes.tolist()]
     if pairs_in is not None and len(phrases):
-        fine = _may_hold(_filter(pairs_in), lang, phrases)
+        fine = _may_hold(read_filter(pairs_in), lang, phrases)
         keep = fine[which]
         start, which = start[keep], which[keep]
     pair = np.zeros(len(ids) + 1, bool)
@@ -149,16 +131,9 @@ def frequent(rows: DataFrame, min_count: int) -> DataFrame:
     return rows.groupBy("lang", "phrase").agg(F.max("words").alias("words"), F.sum("c").alias("c")).where(F.col("phrase").isNull() | (F.col("c") >= min_count))
 
 
-def write_filter(grams: DataFrame) -> str:
-    """A file with a bit for the hash of each phrase; at most FILTER_BITS are gathered, whatever the table's size."""
-    at = F.xxhash64(F.concat("lang", F.lit("\0"), "phrase")).bitwiseAND(F.lit(FILTER_BITS - 1))
-    parts = grams.where("phrase IS NOT NULL").select(F.shiftright(at, 15).alias("part"), at.bitwiseAND(F.lit(32767)).alias("bit"))
-    bits = bytearray(FILTER_BITS // 8)
-    for r in parts.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():
-        bits[r["part"] * 4096 : (r["part"] + 1) * 4096] = r["bits"]
-    uri = scratch(grams.sparkSession, "filter") + "/bits"
-    put_bytes(uri, [bytes(bits)])
-    return uri
+def phrase_filter(grams: DataFrame) -> str:
+    """A filter of the phrases of each language."""
+    return write_filter(grams.where("phrase IS NOT NULL"), F.xxhash64(F.concat("lang", F.lit("\0"), "phrase")))
 
 
 def frequent_grams(docs: DataFrame, *, max_n: int = 5, min_count: int = 100, gather: int = GATHER) -> tuple[DataFrame, DataFrame]:
@@ -169,13 +144,13 @@ def frequent_grams(docs: DataFrame, *, max_n: int = 5, min_count: int = 100, gat
     """
     small_batches(docs.sparkSession)
     words = written(frequent(gram_rows(docs, 1, 1, reach=max_n, gather=gather), min_count), "words")
-    words_in = write_filter(words)
+    words_in = phrase_filter(words)
     levels = [words.where("phrase IS NOT NULL")]
     used = [words_in]
     if max_n >= 2:
         levels.append(written(frequent(gram_rows(docs, 2, 2, reach=max_n, words_in=words_in, gather=gather), min_count), "pairs"))
     if max_n >= 3:
-        used.append(write_filter(levels[-1]))
+        used.append(phrase_filter(levels[-1]))
         levels.append(written(frequent(gram_rows(docs, 3, max_n, reach=max_n, words_in=words_in, pairs_in=used[-1], gather=gather), min_count), "longer"))
     for uri in used:
         remove(uri.rsplit("/", 1)[0])

@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bits import may_hold, read_filter, write_filter
 from .common import discard, filesystem, put_bytes, release, remove, scratch, written
 from .components import components
 
@@ -452,8 +453,16 @@ def near_links(docs: DataFrame, nodes: DataFrame, *, shingle: int, similarity: f
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``wanted`` (with _node and _id) with their texts. One document has each text: joined by id as well, so that copies of
-    one text are not one task's; rows equal in id and text come as often as they are."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("node"))
+    one text are not one task's; rows equal in id and text come as often as they are. Texts that no filter of the nodes
+    lets through are not shuffled."""
+    bits = write_filter(wanted, F.col("_node"))
+
+    def asked(batches):
+        held = read_filter(bits)
+        for b in batches:
+            yield b.filter(pa.array(may_hold(held, b.column("node").to_numpy())))
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("node")).mapInArrow(asked, "id long, text string, node long")
     return texts.join(wanted, (F.col("node") == F.col("_node")) & F.col("id").eqNullSafe(F.col("_id"))).select(*wanted.columns, "text")
 
 
@@ -462,6 +471,7 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 #: Slots in which shingles are counted, and how often a task must see one before it tells of it.
 SLOT_BITS, TOLD = 24, 4
 _KEY = "key long, n int, pos int, node long, root long"
+_OWN = "key long, n int, pos int, node long"
 _counts: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -594,7 +604,58 @@ def _alike(similarity: float) -> Callable[[Iterable[pa.RecordBatch]], Iterator[p
     return run
 
 
-def prefix_links(docs: DataFrame, trees: DataFrame, *, shingle: int, similarity: float, fan: int = 8) -> DataFrame:
+def _keys(common: str, shingle: int, similarity: float) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Over texts with their node: a row for each key of each; of equal texts in a task the first counts."""
+
+    def run(batches):
+        slots, counts = _common(common)
+        seen: set[int] = set()
+        for b in batches:
+            nodes, sets = [], []
+            for node, text in zip(b.column("node").to_pylist(), b.column("text")):
+                if node not in seen:
+                    seen.add(node)
+                    nodes.append(node)
+                    sets.append(shingle_set(text.as_py(), shingle))
+            parts = [prefix_of(h, similarity, slots, counts) if len(h) else h for h in sets]
+            sizes = np.array([len(p) for p in parts], np.int64)
+            keys = np.concatenate(parts).view(np.int64) if len(parts) else np.zeros(0, np.int64)
+            n = np.repeat(np.array([len(h) for h in sets], np.int32), sizes)
+            pos = (np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, n, pos, np.repeat(np.array(nodes, np.int64), sizes))], names=[c.split()[0] for c in _OWN.split(", ")])
+
+    return run
+
+
+def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over key rows sorted by key and node: those of keys that two texts or more have, each text once."""
+    names = [c.split()[0] for c in _OWN.split(", ")]
+    held, after = None, None  # the last row so far, unless it has gone out; the last key that went out
+    for rb in batches:
+        cols = [rb.column(c).to_numpy(zero_copy_only=False) for c in names]
+        if held is not None:
+            cols = [np.concatenate(x) for x in zip(held, cols)]
+        key, node = cols[0], cols[3]
+        if not len(key):
+            continue
+        fresh = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))
+        cols = [c[fresh] for c in cols]
+        key = cols[0]
+        same = key[1:] == key[:-1]
+        keep = np.append(False, same) | np.append(same, False)
+        if after is not None:
+            keep |= key == after
+        keep[-1] = False  # it waits for what comes next
+        out = [c[keep] for c in cols]
+        if len(out[0]):
+            after = out[0][-1]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=names)
+        held = [c[-1:] for c in cols]
+    if held is not None and after is not None and held[0][0] == after:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], names=names)
+
+
+def prefix_links(docs: DataFrame, trees: DataFrame, *, shingle: int, similarity: float, fan: int = 64) -> DataFrame:
     """Links (a, b) between trees of which some texts share ``similarity`` of their shingles; none is lost.
 
     trees: node, id (of one document with that text), root. Every text is keyed by its rarest shingles, of which any two
@@ -604,48 +665,31 @@ def prefix_links(docs: DataFrame, trees: DataFrame, *, shingle: int, similarity:
     """
     spark = docs.sparkSession
     common = common_slots(docs, shingle)
-    wanted = trees.select(F.col("node").alias("_node"), F.col("id").alias("_id"), F.col("root").alias("_root"))
-    rows = texts_of(docs, wanted)
-    table = written(rows.mapInArrow(_keys(common, shingle, similarity), _KEY), "keys")
-    release(spark)  # the texts' shuffle
-    links, made = None, [table]
-    rows = table
+    texts = docs.select("text", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("node"))
+    keys = texts.mapInArrow(_keys(common, shingle, similarity), _OWN).repartition("key").sortWithinPartitions("key", "node")
+    keys = written(keys.mapInArrow(_shared, _OWN), "keys")
+    release(spark)  # the keys' shuffle
+    remove(common.rsplit("/", 1)[0])
+    own = [c.split()[0] for c in _OWN.split(", ")]
+    rows = keys.join(trees.select(F.col("node").alias("_n"), "root"), F.col("node") == F.col("_n")).select(*own, "root")
+    links, made = None, [keys]
     while True:
         sorted_ = rows.repartition("key").sortWithinPartitions("key", "n", "node")
         found = written(sorted_.mapInArrow(_key_pairs(similarity, fan), "a long, b long, more boolean, " + _KEY), "pairs")
         made.append(found)
-        release(spark)  # the keys' shuffle
         new = written(_verified(docs, trees, found.where("NOT more").select("a", "b").distinct(), shingle, similarity), "alike")
+        release(spark)
         links = new if links is None else links.union(new)
         if not found.where("more").limit(1).count():
             for t in made:
                 discard(t)
-            remove(common.rsplit("/", 1)[0])
             return links
         merged = components(links).withColumnsRenamed({"node": "_n", "root": "_to"})
-        left = found.where("more").select(*[c.split()[0] for c in _KEY.split(", ")])
-        rows = left.join(merged, F.col("root") == F.col("_n"), "left").withColumn("root", F.coalesce("_to", "root")).drop("_n", "_to")
+        left = found.where("more").select(*own, "root")
+        rows = left.join(merged, F.col("root") == F.col("_n"), "left").withColumn("root", F.coalesce("_to", "root")).select(*own, "root")
         fan *= 8
 
 
-def _keys(common: str, shingle: int, similarity: float) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Over texts with node and root: a row for each key of each."""
-
-    def run(batches):
-        slots, counts = _common(common)
-        for b in batches:
-            sets = [shingle_set(t.as_py(), shingle) for t in b.column("text")]
-            parts = [prefix_of(h, similarity, slots, counts) if len(h) else h for h in sets]
-            sizes = np.array([len(p) for p in parts], np.int64)
-            keys = np.concatenate(parts).view(np.int64) if len(parts) else np.zeros(0, np.int64)
-            n = np.repeat(np.array([len(h) for h in sets], np.int32), sizes)
-            pos = (np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
-            node, root = (np.repeat(b.column(c).to_numpy(), sizes) for c in ("_node", "_root"))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, n, pos, node, root)], names=[c.split()[0] for c in _KEY.split(", ")])
-
-    return run
-
-
 def _verified(docs: DataFrame, trees: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The roots (a, b) of pairs whose sets have the similarity; sets are made of the texts that pairs name."""
     pairs = written(pairs, "candidates")
@@ -663,7 +707,7 @@ def _verified(docs: DataFrame, trees: DataFrame, pairs: DataFrame, shingle: int,
     return both.mapInArrow(_alike(similarity), "a long, b long").distinct()
 
 
-def keep_one_of_each(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, radius: int = 4, slack: float = 3.0, group_rows: int = GROUP_ROWS, fan: int = 8) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, radius: int = 4, slack: float = 3.0, group_rows: int = GROUP_ROWS, fan: int = 64) -> DataFrame:
     """The documents without near copies: of each group the one with the smallest id stays, in all its columns.
 
     Groups are what links connect; a link is any pair of texts whose sets of ``shingle``-word shingles have a Jaccard
