@@ -155,3 +155,15 @@ def test_near_dedup_of_clashing_columns_nulls_and_none(spark):
     assert out.columns == docs.columns
     assert sorted((r["doc_id"], r["root"]) for r in out.collect()) == [(1, 4), (2, 4)]
     assert simhash.keep_one_of_each(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("length", [256, 512, 1024, 2048, 4096])
+def test_words_that_polynomials_confuse_are_two(spark, length):
+    """The Thue-Morse word and its complement: equal modulo 2^64 under any base."""
+    one = "".join("ab"[bin(k).count("1") % 2] for k in range(length))
+    two = one.translate(str.maketrans("ab", "ba"))
+    h, _ = ngram.hash_words([one.encode(), two.encode(), one.encode()])
+    assert h[0] == h[4] != h[2]
+    values = np.frombuffer((one + two).encode(), np.uint8)
+    a, b = spans._hashes(values, np.array([0, length]), np.array([length, 2 * length]))
+    assert a != b

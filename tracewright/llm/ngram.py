@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ from .common import discard, filesystem, id_crc, put_bytes, release, remove, scr
 
 #: Bytes of text that a worker takes at a time; training tokens of a part file; rows that a merge holds before it sums.
 STEP_BYTES, PART_TOKENS, HELD_ROWS = 4_000_000, 1_000_000, 3_000_000
+#: Bytes beyond which a word is hashed on its own.
+LONG_WORD = 255
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
@@ -53,7 +56,8 @@ def _powers(n: int, base: int) -> np.ndarray:
 def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts, each text's closed by the end token; and the tokens of each text.
 
-    A word's hash is a polynomial in its bytes modulo 2^64, taken from prefix sums over the whole buffer, then mixed.
+    A word's hash is a polynomial in its bytes modulo 2^64, taken from prefix sums over the whole buffer, then mixed; words
+    of over LONG_WORD bytes, where such polynomials collide by construction, have XXH64 instead.
     """
     raw = np.frombuffer((b"\n".join(texts) + b"\n").translate(_LOWER), np.uint8)
     space = (raw == 32) | ((raw >= 9) & (raw <= 13))
@@ -65,6 +69,8 @@ def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     h = (h ^ (h >> _U(31))) * _U(0xBF58476D1CE4E5B9) + (stop - start).astype(np.uint64)
     h = (h ^ (h >> _U(29))) * _U(0x94D049BB133111EB)
     h ^= h >> _U(32)
+    for i in np.nonzero(stop - start > LONG_WORD)[0].tolist():
+        h[i] = xxhash.xxh64_intdigest(raw[start[i] : stop[i]].tobytes(), 42)
     ends = np.cumsum([len(t) + 1 for t in texts])
     words = np.searchsorted(start, ends) if len(texts) else np.zeros(0, np.int64)
     return np.insert(h, words, _END), np.diff(np.concatenate([[0], words])) + 1

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,14 +61,17 @@ def _powers(n: int, base: int) -> np.ndarray:
 
 
 def _hashes(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """Mixed polynomial hashes of ranges of values, modulo 2^64."""
+    """Mixed polynomial hashes of ranges of values, modulo 2^64; of over 255 values, where such collide by construction, XXH64."""
     n = len(values)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((values.astype(np.uint64) + _U(1)) * _powers(n, _BASE), out=sums[1:])
     h = (sums[stop] - sums[start]) * _powers(n + 1, _INVERSE)[start]
     h = (h ^ (h >> _U(31))) * _U(0xBF58476D1CE4E5B9) + (stop - start).astype(np.uint64)
     h = (h ^ (h >> _U(29))) * _U(0x94D049BB133111EB)
-    return h ^ (h >> _U(32))
+    h ^= h >> _U(32)
+    for i in np.nonzero(stop - start > 255)[0].tolist():
+        h[i] = xxhash.xxh64_intdigest(values[start[i] : stop[i]].astype("<u8").tobytes(), 42)
+    return h
 
 
 @dataclass
