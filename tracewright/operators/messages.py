@@ -294,12 +294,15 @@ def grounding(names: Column, evidence: Column, fold=collapse) -> Column:
 
 
 def word_filter(words: DataFrame, word: str):
-    """A test of words that all words of ``words`` pass and few others do; its size is fixed, however many words there are."""
+    """A test of words that all words of ``words`` pass and few others do; None if there are none. Its size is fixed, however
+    many words there are."""
     at = F.xxhash64(word).bitwiseAND(F.lit(FILTER_BITS - 1))
     bits = [0] * (FILTER_BITS // 64)
     parts = words.select(F.shiftright(at, 6).alias("part"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
     for r in parts.groupBy("part").agg(F.bit_or("bit").alias("bits")).collect():
         bits[r["part"]] = r["bits"]
+    if not any(bits):
+        return None
     table = F.split(F.lit(",".join(map(str, bits))), ",").cast("array<bigint>")  # one literal
 
     def passes(w: Column) -> Column:
@@ -324,20 +327,26 @@ def evidence_pairs(names: DataFrame, evidence: DataFrame) -> DataFrame:
     evidence = evidence.select("evidence_id", hay.alias("hay")).where(F.col("hay").isNotNull())
     own = F.array_distinct(F.split("hay", " "))
     inner = names.where(F.size(words) > 2).select("name_id", "key", F.explode(F.array_distinct(F.slice(words, F.lit(2), F.size(words) - 2))).alias("word"))
-    asked = word_filter(inner, "word")
+    asked = word_filter(inner, "word") or (lambda w: F.lit(False))
     counts = evidence.select(F.explode(F.filter(own, asked)).alias("_word")).groupBy("_word").agg(F.count(F.lit(1)).alias("_n"))
     rarest = inner.join(counts, F.col("word") == F.col("_word"), "left").groupBy("name_id", "key").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "word")).alias("r"))
     rarest = rarest.where("r.n > 0").select("name_id", "key", F.concat(F.lit("w"), "r.word").alias("anchor"))
     first = F.get(words, F.lit(0))
     short = names.where(F.size(words) < 3).select("name_id", "key", F.when(F.size(words) == 2, F.concat(F.lit("e"), F.right(first, F.lit(3)))).otherwise(F.concat(F.lit("i"), F.left(first, F.lit(3)))).alias("anchor"))
     anchors = rarest.union(short)
-    wanted = word_filter(anchors, "anchor")
+    whole, part = word_filter(rarest, "anchor"), word_filter(short, "anchor")
 
     def signs(w: Column) -> Column:
-        ends = F.transform(F.array(*[F.lit(n) for n in (1, 2, 3)]), lambda n: F.concat(F.lit("e"), F.right(w, n)))
-        starts = F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1)))
-        inside = F.flatten(F.transform(starts, lambda i: F.transform(F.array(*[F.lit(n) for n in (1, 2, 3)]), lambda n: F.concat(F.lit("i"), F.substring(w, i, n)))))
-        return F.filter(F.concat(F.array(F.concat(F.lit("w"), w)), ends, inside), wanted)
+        found = [F.array().cast("array<string>")]
+        if whole:
+            found.append(F.filter(F.array(F.concat(F.lit("w"), w)), whole))
+        if part:
+            sizes = F.array(*[F.lit(n) for n in (1, 2, 3)])
+            starts = F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1)))
+            ends = F.transform(sizes, lambda n: F.concat(F.lit("e"), F.right(w, n)))
+            inside = F.flatten(F.transform(starts, lambda i: F.transform(sizes, lambda n: F.concat(F.lit("i"), F.substring(w, i, n)))))
+            found.append(F.filter(F.concat(ends, inside), part))
+        return F.concat(*found)
 
     held = evidence.select(F.col("evidence_id").alias("_e"), F.explode(F.array_distinct(F.flatten(F.transform(own, signs)))).alias("_anchor"))
     found = held.join(anchors, F.col("_anchor") == F.col("anchor")).select("_e", "name_id", "key").distinct()
