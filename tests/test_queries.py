@@ -2,6 +2,7 @@
 
 import os
 from difflib import SequenceMatcher
+from functools import partial
 
 import duckdb
 import pandas as pd
@@ -9,6 +10,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tracewright import plans
+from tracewright.operators import cache
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -55,6 +57,12 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_rates_in_slices_agree_with_sql(spark, duck, monkeypatch):
+    monkeypatch.setattr(cache, "running_rates", partial(cache.running_rates, rows=100))
+    got, want = plans.QUERIES["running_rates"](spark, SF).toPandas(), duck.sql(plans.ORACLE_SQL["running_rates"]).df()
+    assert rows(got) == rows(want)
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     plan = plans.QUERIES["traces_of_source"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "o_totalprice" not in plan and "PushedFilters: [" in plan

@@ -89,6 +89,15 @@ def _slices(df: DataFrame, number: str, rows: int) -> list | None:
     return sorted(set(df.select(F.percentile_approx(number, [k / parts for k in range(1, parts)], 10 * parts)).first()[0])) or None
 
 
+def _place(x: Column, cuts: list[Column]) -> Column:
+    """How many of the ascending cuts are not above ``x``, by halving; 0 where it is null.
+
+    No lambda: the planner carries one over from the rows to their summaries, where ``x`` is not.
+    """
+    place = lambda lo, hi: F.lit(lo) if lo == hi else F.when(x >= cuts[(lo + hi) // 2], place((lo + hi) // 2 + 1, hi)).otherwise(place(lo, (lo + hi) // 2))
+    return place(0, len(cuts))
+
+
 def segmented(df: DataFrame, run: str, order: list[str], rows: int, local, summary: dict[str, Column], carry, incoming: dict[str, str], finish) -> DataFrame:
     """A running value of each run that depends on all before it, in slices of time that are run apart.
 
@@ -98,7 +107,7 @@ def segmented(df: DataFrame, run: str, order: list[str], rows: int, local, summa
     a run only a row a slice meets elsewhere. A table of up to ``rows`` rows is one slice.
     """
     cuts = _slices(df, order[0], rows)
-    at = F.lit(0) if cuts is None else F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(order[0])))
+    at = F.lit(0) if cuts is None else _place(F.col(order[0]), [F.lit(c).cast(df.schema[order[0]].dataType) for c in cuts])
     df = local(df.withColumn("_slice", at), Window.partitionBy(run, "_slice").orderBy(*order))
     if cuts is None:
         return finish(df.withColumns({c: F.lit(None).cast(t) for c, t in incoming.items()})).drop("_slice")
