@@ -63,6 +63,14 @@ def test_rates_in_slices_agree_with_sql(spark, duck, monkeypatch):
     assert rows(got) == rows(want)
 
 
+def test_durations_add_floats_in_the_order_of_events(spark, tmp_path):
+    """0.7 + 0.2 + 0.1 is under 1 as floats, 0.1 + 0.2 + 0.7 is not; rows lie in another order than their ids."""
+    data = [(3, 1, 0.1), (2, 1, 0.2), (1, 1, 0.7), (4, 2, None), (6, 3, 0.7), (5, 3, 0.2), (4, 3, 0.1)]
+    spark.createDataFrame(data, "event_id long, user_id long, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = dict(map(tuple, plans.QUERIES["format_duration"](spark, str(tmp_path)).collect()))
+    assert (got[1], got[3]) == ("0s", "1s")
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     plan = plans.QUERIES["traces_of_source"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "o_totalprice" not in plan and "PushedFilters: [" in plan

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import keys, status, text
@@ -259,8 +260,10 @@ def token_estimate(t):
 
 @query("SELECT user_id, CASE WHEN s >= 3600 THEN printf('%dh%02dm', s // 3600, s % 3600 // 60) WHEN s >= 60 THEN printf('%dm%02ds', s // 60, s % 60) ELSE printf('%ds', s) END AS took FROM (SELECT user_id, CAST(floor(sum(value)) AS BIGINT) AS s FROM events GROUP BY 1)")
 def format_duration(t):
-    """FN29."""
-    return t("events").groupBy("user_id").agg(F.floor(F.sum("value")).alias("s")).select("user_id", text.duration(F.col("s")).alias("took"))
+    """FN29: floats are added one by one in the order of events, as the SQL does; other orders floor whole sums otherwise."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    so_far = t("events").select("user_id", F.row_number().over(w).alias("nth"), F.sum("value").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("sum"))
+    return so_far.groupBy("user_id").agg(F.floor(F.max_by("sum", "nth")).alias("s")).select("user_id", text.duration(F.col("s")).alias("took"))
 
 
 
