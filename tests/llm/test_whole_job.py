@@ -147,6 +147,16 @@ def test_prefixes_of_similar_sets_share_a_shingle():
             assert set(simhash.prefix_of(a, 0.8, slots, counts).tolist()) & set(simhash.prefix_of(b, 0.8, slots, counts).tolist())
 
 
+def test_slot_counts_do_not_pass_the_driver(spark, monkeypatch):
+    """Tasks write them; only slots that a task saw often enough have a count, and the most frequent the highest."""
+    docs = spark.createDataFrame([(f"a b c w{k}" if k % 2 else "a b c a b c",) for k in range(40)], "text string").coalesce(1)
+    for gather in ("collect", "toLocalIterator", "toPandas"):
+        monkeypatch.setattr(type(docs), gather, lambda *_, **__: pytest.fail("gathered"))
+    levels = simhash._common(simhash.common_slots(docs, 3))
+    of = lambda t: levels[simhash._slots_of(simhash.shingle_set(t, 3))].tolist()
+    assert of("a b c") == [43] and of("b c a") == [35] and of("b c w1") == [0] and np.count_nonzero(levels) == 3
+
+
 def test_near_dedup_of_clashing_columns_nulls_and_none(spark):
     data = [(1, "a b c d e f g"), (1, "a b c d e f g"), (None, "a b c d e f g"), (2, None), (3, ""), (None, None)]
     docs = spark.createDataFrame(data, "doc_id long, text string")

@@ -468,17 +468,18 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 # --- all pairs of a similarity, by a prefix filter ---
 
-#: Slots in which shingles are counted, and how often a task must see one before it tells of it.
-SLOT_BITS, TOLD = 24, 4
+#: Slots in which shingles are counted, slots of a file of counts, and how often a task must see one before it tells of it.
+SLOT_BITS, FILE_BITS, TOLD = 24, 20, 4
 _KEY = "key long, n int, pos int, node long, root long"
 _OWN = "key long, n int, pos int, node long"
-_counts: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+_counts: dict[str, np.ndarray] = {}
 
 
 def common_slots(docs: DataFrame, shingle: int) -> str:
-    """A file of slots of shingles that many texts have, with about how many; at most 2^SLOT_BITS, whatever the corpus.
+    """A folder of how many texts have the shingles of a slot, a byte a slot by their logarithm; 2^SLOT_BITS, whatever the corpus.
 
-    The counts only order shingles, the same for all texts, so it does not matter that rare ones are not told of.
+    The counts only order shingles, the same for all texts, so it does not matter that rare ones are not told of, and
+    that near counts are one. Tasks write the files; the driver sees their numbers alone.
     """
 
     def run(batches):
@@ -490,37 +491,61 @@ def common_slots(docs: DataFrame, shingle: int) -> str:
         slots = np.nonzero(seen >= TOLD)[0]
         yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(seen[slots].astype(np.int64))], names=["slot", "c"])
 
+    uri = scratch(docs.sparkSession, "slots")
+
+    def write(batches):
+        parts: dict[int, np.ndarray] = {}
+        for b in batches:
+            slots, c = b.column("slot").to_numpy(), b.column("c").to_numpy()
+            level = np.minimum(255, np.rint(8 * np.log2(c))).astype(np.uint8)
+            for part in np.unique(slots >> FILE_BITS).tolist():
+                own = slots >> FILE_BITS == part
+                parts.setdefault(part, np.zeros(1 << FILE_BITS, np.uint8))[slots[own] & ((1 << FILE_BITS) - 1)] = level[own]
+        for part, levels in parts.items():
+            put_bytes(f"{uri}/{part}", [levels.tobytes()])
+        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64())], names=["part"])
+
     told = docs.select("text").mapInArrow(run, "slot long, c long").groupBy("slot").agg(F.sum("c").alias("c"))
-    rows = [(r["slot"], r["c"]) for r in told.toLocalIterator()]
-    table = np.array(sorted(rows), "<i8").reshape(-1, 2)
-    uri = scratch(docs.sparkSession, "slots") + "/counts"
-    put_bytes(uri, [table.tobytes()])
+    files = 1 << SLOT_BITS - FILE_BITS
+    told.repartitionById(files, F.shiftright("slot", FILE_BITS).cast("int")).mapInArrow(write, "part long").count()
     return uri
 
 
-def _common(uri: str) -> tuple[np.ndarray, np.ndarray]:
-    """(slots, counts) of such a file, read once a worker."""
+def _common(uri: str) -> np.ndarray:
+    """The bytes of all slots of such a folder, read once a worker; slots that no task told of have 0."""
     if uri not in _counts:
         fs, path = filesystem(uri)
-        with fs.open_input_stream(path) as f:
-            table = np.frombuffer(f.read(), "<i8").reshape(-1, 2)
+        table = np.zeros(1 << SLOT_BITS, np.uint8)
+        for part in range(1 << SLOT_BITS - FILE_BITS):
+            if fs.get_file_info(f"{path}/{part}").type.name != "NotFound":
+                with fs.open_input_stream(f"{path}/{part}") as f:
+                    table[part << FILE_BITS : part + 1 << FILE_BITS] = np.frombuffer(f.read(), np.uint8)
         _counts.clear()
-        _counts[uri] = (np.ascontiguousarray(table[:, 0]), np.ascontiguousarray(table[:, 1]))
+        _counts[uri] = table
     return _counts[uri]
 
 
-def prefix_of(shingles: np.ndarray, similarity: float, slots: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The rarest shingles of a set, in an order common to all: two sets of that Jaccard share one of them.
+def _slots_of(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _rarest(shingles: np.ndarray, similarity: float, c: np.ndarray) -> np.ndarray:
+    """The rarest shingles of a set by counts ``c``, in an order common to all: two sets of that Jaccard share one of them.
 
     They share ``similarity`` of the larger or more, so they cannot differ in all of the first n - ceil(similarity n) + 1.
     """
-    slot = (shingles >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-    at = np.minimum(np.searchsorted(slots, slot), max(0, len(slots) - 1))
-    c = np.where(slots[at] == slot, counts[at], 0) if len(slots) else np.zeros(len(slot), np.int64)
     n = len(shingles)
     return shingles[np.lexsort((shingles, c))[: n - math.ceil(similarity * n - 1e-9) + 1]]
 
 
+def prefix_of(shingles: np.ndarray, similarity: float, slots: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The rarest shingles of a set, by counts of some slots (ascending); others have 0."""
+    slot = _slots_of(shingles)
+    at = np.minimum(np.searchsorted(slots, slot), max(0, len(slots) - 1))
+    c = np.where(slots[at] == slot, counts[at], 0) if len(slots) else np.zeros(len(slot), np.int64)
+    return _rarest(shingles, similarity, c)
+
+
 def _pairs_of_run(n: np.ndarray, pos: np.ndarray, root: np.ndarray, similarity: float, fan: int) -> tuple[list, list, bool]:
     """Pairs (i, j) of a key's members, ascending by n, that different trees hold and that lengths and places allow.
 
@@ -608,7 +633,7 @@ def _keys(common: str, shingle: int, similarity: float) -> Callable[[Iterable[pa
     """Over texts with their node: a row for each key of each; of equal texts in a task the first counts."""
 
     def run(batches):
-        slots, counts = _common(common)
+        levels = _common(common)
         seen: set[int] = set()
         for b in batches:
             nodes, sets = [], []
@@ -617,7 +642,7 @@ def _keys(common: str, shingle: int, similarity: float) -> Callable[[Iterable[pa
                     seen.add(node)
                     nodes.append(node)
                     sets.append(shingle_set(text.as_py(), shingle))
-            parts = [prefix_of(h, similarity, slots, counts) if len(h) else h for h in sets]
+            parts = [_rarest(h, similarity, levels[_slots_of(h)]) if len(h) else h for h in sets]
             sizes = np.array([len(p) for p in parts], np.int64)
             keys = np.concatenate(parts).view(np.int64) if len(parts) else np.zeros(0, np.int64)
             n = np.repeat(np.array([len(h) for h in sets], np.int32), sizes)
@@ -669,7 +694,7 @@ def prefix_links(docs: DataFrame, trees: DataFrame, *, shingle: int, similarity:
     keys = texts.mapInArrow(_keys(common, shingle, similarity), _OWN).repartition("key").sortWithinPartitions("key", "node")
     keys = written(keys.mapInArrow(_shared, _OWN), "keys")
     release(spark)  # the keys' shuffle
-    remove(common.rsplit("/", 1)[0])
+    remove(common)
     own = [c.split()[0] for c in _OWN.split(", ")]
     rows = keys.join(trees.select(F.col("node").alias("_n"), "root"), F.col("node") == F.col("_n")).select(*own, "root")
     links, made = None, [keys]
