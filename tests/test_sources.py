@@ -184,3 +184,18 @@ def test_tiles_of_a_box(spark):
         assert len(r["t"]) == 4 and b["south"] <= r["lat"] <= b["north"] and b["west"] <= r["lng"] <= b["east"]
         assert abs((b["north"] - b["south"]) - 10 / 16) < 1e-9 and abs((b["east"] - b["west"]) - 8 / 16) < 1e-9
     assert df.select(crawl.tile_box(*box, F.lit("")).alias("b")).first()["b"] == (10.0, -5.0, 20.0, 3.0)
+
+
+def test_a_crawl_computes_responses_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def tell(tile):
+        made.add(1)
+        return tile
+
+    regions = spark.createDataFrame([(k,) for k in range(3)], "region int")
+    rows = [(k, "", None if n == 1 else f"t{n}", 1, 200, [], f"t{n + 1}" if n < 3 else None) for k in range(3) for n in (1, 2, 3)]
+    recorded = spark.createDataFrame(rows, "region int, tile string, token string, attempt int, status int, places array<struct<id:string>>, next_token string")
+    _, told = crawl.crawl(regions, recorded.withColumn("tile", tell("tile")))
+    assert [r["n_requests"] for r in told.collect()] == [3] * 3 and made.value == len(rows)

@@ -52,13 +52,13 @@ def crawl(regions: DataFrame, recorded: DataFrame, *, pages: int = PAGES, attemp
     waited_s. Requests of a round are one join, so a round costs what its requests do, and rounds are as many as the
     longest chain of requests.
     """
-    recorded = recorded.withColumnsRenamed({c: f"_{c}" for c in ("region", "tile", "token", "attempt")})
+    recorded = checkpointed(recorded.withColumnsRenamed({c: f"_{c}" for c in ("region", "tile", "token", "attempt")}))  # every round reads it
     none = F.lit(None).cast("string")
     frontier = checkpointed(regions.select("region").distinct().select("region", F.lit("").alias("tile"), F.lit(1).alias("page"), none.alias("token"), F.lit(1).alias("attempt")))
     rounds: list[DataFrame] = []
     while frontier.limit(1).count():
         same = (F.col("region") == F.col("_region")) & (F.col("tile") == F.col("_tile")) & F.col("token").eqNullSafe(F.col("_token")) & (F.col("attempt") == F.col("_attempt"))
-        got = frontier.join(recorded, same, "left")
+        got = frontier.join(recorded.join(frontier, same, "left_semi"), same, "left")  # of the responses only those asked for are shuffled
         again = F.coalesce(F.col("status").isin(*AGAIN), F.lit(True))
         outcome = F.when(F.col("status") == 200, "ok").when(again & (F.col("attempt") < attempts), "again").otherwise("failed")
         more = (F.col("page") >= pages) & F.col("next_token").isNotNull()
