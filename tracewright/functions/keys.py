@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import collapse
+from .text import collapse, let
 
 #: Query parameters that say nothing of the page.
 TRACKING_PARAMS = (
@@ -118,8 +118,9 @@ def norm_country(x: Column) -> Column:
 def normalize_restrictions(x: Column) -> Column:
     """Text split at commas, semicolons and line ends; trimmed, empty ones dropped, the first of equal ones (any case) kept."""
     parts = F.filter(F.transform(F.split(x, r"[,\n;]"), lambda p: F.trim(p)), lambda p: p != "")
-    lowered = F.transform(parts, lambda p: F.lower(p))
-    return F.filter(parts, lambda p, i: F.array_position(lowered, F.lower(p)) == i + 1)
+    sorted_ = F.sort_array(F.transform(parts, lambda p, i: F.struct(F.lower(p).alias("low"), i.alias("i"), p.alias("p"))))  # equal ones lie together
+    first = let(sorted_, lambda s: F.filter(s, lambda x, k: (k == 0) | (x["low"] != F.get(s, k - 1)["low"])))
+    return F.transform(F.sort_array(F.transform(first, lambda x: F.struct(x["i"], x["p"]))), lambda x: x["p"])
 
 
 def skip_reason(url: Column) -> Column:
