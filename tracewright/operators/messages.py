@@ -382,7 +382,7 @@ def menu_reach(strings: Column, scrapes: Column) -> Column:
     Each string's end is the least over scrapes of where its first occurrence ends; deepest is the greatest of them.
     """
     given = F.array(F.struct(F.transform(scrapes, lambda d: F.lower(d)).alias("low"), F.transform(strings, lambda s: F.struct(F.lower(s).alias("low"), F.length(s).alias("n"))).alias("strings")))
-    end = lambda d, s: F.when(F.instr(d, s["low"]) > 0, F.instr(d, s["low"]) - 1 + s["n"])
+    end = lambda d, s: let(F.instr(d, s["low"]), lambda at: F.when(at > 0, at - 1 + s["n"]))
     ends = F.transform(given, lambda g: F.transform(g["strings"], lambda s: F.array_min(F.filter(F.transform(g["low"], lambda d: end(d, s)), lambda e: e.isNotNull()))))
     out = F.transform(ends, lambda e: F.when(F.size(e) > 0, F.struct(F.array_max(e).alias("deepest"), (F.size(F.filter(e, lambda x: x.isNotNull())) / F.size(e)).alias("match_rate"))))
     return F.get(out, F.lit(0))
