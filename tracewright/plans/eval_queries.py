@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import status
 from ..functions.text import fold_words
 from ..operators import menus, messages
+from ..session import checkpointed
 from .registry import query
 from .standins import ITEMS, items
 from .standins import menus as menu_table
@@ -204,7 +205,8 @@ def _paired(t):
     strip = lambda c: F.transform(F.coalesce(F.col(c), F.array().cast("array<struct<pos:int,name:string,price:double>>")), lambda x: F.struct(x["name"].alias("name"), x["price"].alias("price")))
     o = _episodes(t).join(sides, "trace_id", "left")
     none = F.array().cast("array<struct<name:string,price:double>>")
-    return o.withColumns({"c": F.when(F.col("found_c"), strip("_c")).otherwise(none), "r": F.when(F.col("found_r"), strip("_r")).otherwise(none)})  # sections count where both are found
+    o = o.withColumns({"c": F.when(F.col("found_c"), strip("_c")).otherwise(none), "r": F.when(F.col("found_r"), strip("_r")).otherwise(none)})  # sections count where both are found
+    return checkpointed(o.drop("_r", "_c"))  # both sides' items, the menus and the scores each read it
 
 
 @query()
