@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 import zstandard
@@ -267,6 +268,17 @@ def vectors(spark, n=600, seed=1):
     return table, spark.createDataFrame(table + bad, "vec_id long, embedding array<float>")
 
 
+def test_routes_go_out_in_small_batches_without_vectors():
+    rng = np.random.default_rng(2)
+    m = rng.normal(size=(400, 8))
+    tree = nearest.Tree.fit(m, 100)
+    asked = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(m.tolist(), pa.list_(pa.float64()))], names=["query_id", "embedding"])
+    out = list(nearest._routes([asked], tree, 60, nearest.Nodes(""), rows=1000))
+    assert all(b.schema.names == ["query_id", "leaf"] and b.num_rows <= 1000 for b in out)
+    got = pa.Table.from_batches(out).to_pandas().groupby("query_id").leaf.agg(list)
+    assert got.to_dict() == {k: tree.visit(q, 60) for k, q in enumerate(m)}
+
+
 @pytest.mark.parametrize("index", [{}, {"fit_rows": 60, "leaf_rows": 8, "split_rows": 20, "split_fit": 40}])
 def test_op4_neighbours(spark, index):
     """With a small sample, leaves are split again from their own rows; the very common vector cannot be split."""

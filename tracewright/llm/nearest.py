@@ -300,19 +300,14 @@ class Index:
         tree, nodes = self.tree, self.nodes
         most = max(visits or self.calibrate(k, recall), 1)
 
-        def route(batches, most=most):
-            for b in batches:
-                rows = _matrix(b.column("embedding")) if b.num_rows else np.zeros((0, 1))
-                leaves = [tree.visit(q, most, nodes) for q in rows]
-                at = np.repeat(np.arange(len(rows)), [len(x) for x in leaves])
-                yield pa.RecordBatch.from_arrays([b.column("query_id").take(pa.array(at)), b.column("embedding").take(pa.array(at)), pa.array([x for own in leaves for x in own], pa.int64())], names=["query_id", "embedding", "leaf"])
-
-        def seek(asked: DataFrame, route) -> DataFrame:
-            asked = asked.mapInArrow(route, "query_id long, embedding array<double>, leaf long")
-            asked = asked.join(self.blocks, F.col("leaf") == F.col("_leaf"))
+        def seek(asked: DataFrame, most: int) -> DataFrame:
+            given = asked.groupBy("query_id").agg(F.first("embedding").alias("embedding"))
+            routed = given.mapInArrow(lambda batches: _routes(batches, tree, most, nodes), "query_id long, leaf long")
+            routed = routed.join(self.blocks, F.col("leaf") == F.col("_leaf"))
             whole = F.col("_parts") == 0
-            asked = asked.withColumn("block", F.explode(F.when(whole, F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("_parts"))))))
-            asked = asked.groupBy("query_id", "bin", "block").agg(F.first("embedding").alias("embedding"), F.collect_list("leaf").alias("leaves"))
+            routed = routed.withColumn("block", F.explode(F.when(whole, F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("_parts"))))))
+            routed = routed.groupBy(F.col("query_id").alias("_q"), "bin", "block").agg(F.collect_list("leaf").alias("leaves"))
+            asked = routed.join(given, F.col("_q") == F.col("query_id")).select("query_id", "bin", "block", "embedding", "leaves")
 
             def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
                 found = [_top(np.zeros(0), [], np.zeros(0), np.zeros((0, 1)), k)]
@@ -326,16 +321,36 @@ class Index:
             return _best(asked.groupBy("bin", "block").cogroup(self.rows.groupBy("bin", "block")).applyInPandas(meet, _FOUND), k)
 
         queries = queries.select(F.col("query_id").cast("long"), F.col("embedding").cast("array<double>")).where(usable(F.col("embedding")) & (F.size("embedding") == self.length))
-        found = written(seek(queries, route), "found")
-        self_leaves = self.leaves
+        found = written(seek(queries, most), "found")
         full = found.groupBy(F.col("query_id").alias("_q")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min(k, max(0, self.size - 1)))
         short = queries.join(full, F.col("query_id") == F.col("_q"), "left_anti")
         if short.limit(1).count():
-            every = seek(short, lambda batches: route(batches, self_leaves))
+            every = seek(short, self.leaves)
             found = found.join(full, F.col("query_id") == F.col("_q"), "left_semi").unionByName(every)
         return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def _routes(batches, tree: Tree, most: int, nodes: Nodes, rows: int = 65_536):
+    """(query_id, leaf) of the leaves that each query visits, some ``rows`` or one query's a batch; vectors stay behind."""
+    ids, leaves, n = [], [], 0
+
+    def batch():
+        at = np.repeat(np.array(ids, np.int64), [len(x) for x in leaves])
+        return pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.concatenate(leaves))], names=["query_id", "leaf"])
+
+    for b in batches:
+        for query, q in zip(b.column("query_id").to_pylist(), _matrix(b.column("embedding")) if b.num_rows else ()):
+            own = np.array(tree.visit(q, most, nodes), np.int64)
+            if n and n + len(own) > rows:
+                yield batch()
+                ids, leaves, n = [], [], 0
+            ids.append(query)
+            leaves.append(own)
+            n += len(own)
+    if n:
+        yield batch()
+
+
 def _with_leaf(batches, tree):
     for b in batches:
         leaf = tree.leaf_of(_matrix(b.column("embedding"))) if b.num_rows else np.zeros(0, np.int64)
